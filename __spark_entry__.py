@@ -31,7 +31,13 @@ from blotter.operators.counts import count_by, distinct_values
 from blotter.operators.points import point_counts, points_from_wkt
 from blotter.operators.shares import share_within
 from blotter.operators.topk import top_k_with_ties
-from blotter.plans import hotspots, incidents
+from blotter.functions.names import clean_names
+from blotter.operators.clip import clip_lines
+from blotter.plans import basemap, hotspots, incidents
+from blotter.plans.ingest import ingest_tables, load_table
+from blotter.session import shared_path
+from blotter.sources.csv import CsvSource, read_csv_text, write_lines
+from blotter.sources.geo import read_lines, read_polygons, write_line_features, write_polygon_features
 from blotter.sources.profile import profile
 
 SF0001 = "/root/testdata/sf0.001"
@@ -258,6 +264,139 @@ def q_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(_t(spark, sf_dir, "orders")).select("column_name", "position", "rows", "non_null", "nulls")
 
 
+# --- CSV ingest ---------------------------------------------------------------------------------
+ORDERS_HEADER = "Order Key,O-CustKey,Order Status,Total Price ($),Order Date,Order%Priority"
+ORDERS_CSV_SCHEMA = T.StructType([
+    T.StructField("Order Key", T.LongType()),
+    T.StructField("O-CustKey", T.LongType()),
+    T.StructField("Order Status", T.StringType()),
+    T.StructField("Total Price ($)", T.DoubleType()),
+    T.StructField("Order Date", T.DateType()),
+    T.StructField("Order%Priority", T.StringType()),
+])
+CUSTOMER_HEADER = "Cust Key,Name,Nation Code,Segment"
+
+
+def _orders_csv_lines(orders: DataFrame) -> DataFrame:
+    """CSV lines for orders with US dates; keys % 101 get a non-numeric price (type reject),
+    keys % 103 lose their last field (too few fields)."""
+    k = F.col("o_orderkey")
+    price = F.when(k % 101 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    head = F.concat_ws(",", k.cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"), price,
+                       F.date_format("o_orderdate", "MM/dd/yyyy"))
+    line = F.when((k % 103 == 0) & (k % 101 != 0), head).otherwise(F.concat_ws(",", head, F.col("o_orderpriority")))
+    return orders.select(line.alias("value"))
+
+
+def _customer_csv_lines(customer: DataFrame) -> DataFrame:
+    """All-text CSV lines: a quoted name holding a comma and doubled quotes, a zero-padded code;
+    keys % 37 lose a field, keys % 41 get an extra one."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""'), F.col("c_mktsegment"), F.lit('"""'))
+    code = F.lpad(F.col("c_nationkey").cast("string"), 3, "0")
+    full = F.concat_ws(",", k.cast("string"), name, code, F.col("c_mktsegment"))
+    line = (F.when(k % 37 == 0, F.concat_ws(",", k.cast("string"), name, code))
+            .when(k % 41 == 0, F.concat_ws(",", full, F.lit("extra")))
+            .otherwise(full))
+    return customer.select(line.alias("value"))
+
+
+def _write_csv_inputs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    root = shared_path(spark, "csv-input")
+    return {
+        "orders": write_lines(_orders_csv_lines(_t(spark, sf_dir, "orders")), f"{root}/orders", ORDERS_HEADER),
+        "customer": write_lines(_customer_csv_lines(_t(spark, sf_dir, "customer")), f"{root}/customer",
+                                CUSTOMER_HEADER),
+    }
+
+
+def _ingest(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    src = _write_csv_inputs(spark, sf_dir)
+    dest = shared_path(spark, "ingested")
+    summary = ingest_tables(spark, {
+        "orders": CsvSource(src["orders"], ORDERS_CSV_SCHEMA),
+        "customer": CsvSource(src["customer"], text=True),
+    }, dest)
+    return dest, summary
+
+
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dest, _ = _ingest(spark, sf_dir)
+    return load_table(spark, dest, "orders")
+
+
+def q_csv_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ingest(spark, sf_dir)[1]
+
+
+def q_csv_text_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = _write_csv_inputs(spark, sf_dir)
+    return clean_names(read_csv_text(spark, src["customer"]))
+
+
+# --- polygons, roads, clip ---------------------------------------------------------------------
+GRID_BOX = (0.5, 0.5, 9.0, 9.0)
+ROAD_TAGS = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential")
+KEPT_NATIONS = ("NATION_0", "NATION_3", "NATION_7", "NATION_12", "NATION_18")
+NATION_ALIASES = {"NATION_0": "Zero", "NATION_7": "Seven", "NATION_18": "Eighteen"}
+
+
+def _rect(x0: F.Column, y0: F.Column, x1: F.Column, y1: F.Column) -> F.Column:
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0))
+
+
+def _nation_polygons(nation: DataFrame, holes: bool) -> DataFrame:
+    """A 1.5 x 1.5 square per nation on a 5 x 5 grid of pitch 2; with ``holes`` every third one
+    has a 0.5 x 0.5 hole."""
+    k = F.col("n_nationkey")
+    x0, y0 = (k % 5) * 2.0, F.floor(k / 5) * 2.0
+    outer = _rect(x0, y0, x0 + 1.5, y0 + 1.5)
+    hole = _rect(x0 + 0.5, y0 + 0.5, x0 + 1.0, y0 + 1.0)
+    rings = F.when(F.lit(holes) & (k % 3 == 0), F.array(outer, hole)).otherwise(F.array(outer))
+    return nation.select(F.col("n_name").alias("name"), rings.alias("rings"))
+
+
+def _supplier_roads(supplier: DataFrame, bends: bool) -> DataFrame:
+    s = F.col("s_suppkey")
+    a = F.struct(((s * 37) % 97).cast("double") / 10.0 + 0.013, ((s * 53) % 89).cast("double") / 10.0 + 0.029)
+    b = F.struct(((s * 71) % 101).cast("double") / 10.0 + 0.017, ((s * 29) % 83).cast("double") / 10.0 + 0.031)
+    m = F.struct(((s * 13) % 91).cast("double") / 10.0 + 0.011, ((s * 17) % 87).cast("double") / 10.0 + 0.023)
+    xy = lambda c: F.struct(c["col1"].alias("x"), c["col2"].alias("y"))
+    pts = F.array(xy(a), xy(m), xy(b)) if bends else F.array(xy(a), xy(b))
+    tag = F.element_at(F.array(*[F.lit(t) for t in ROAD_TAGS]), (s % 6 + 1).cast("int"))
+    return supplier.select(s.alias("way_id"), tag.alias("highway"), pts.alias("pts"))
+
+
+def _geo_files(spark: SparkSession, sf_dir: str, holes: bool, bends: bool) -> tuple[DataFrame, DataFrame]:
+    root = shared_path(spark, "geo")
+    write_polygon_features(_nation_polygons(_t(spark, sf_dir, "nation"), holes), f"{root}/areas")
+    write_line_features(_supplier_roads(_t(spark, sf_dir, "supplier"), bends), f"{root}/roads")
+    return read_polygons(spark, f"{root}/areas"), read_lines(spark, f"{root}/roads")
+
+
+def q_clip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas, roads = _geo_files(spark, sf_dir, holes=False, bends=False)
+    roads = basemap.main_roads(roads, ROAD_TAGS[:5], GRID_BOX).select("way_id", "highway", "pts")
+    clipped = clip_lines(roads, areas.select("name", "rings"), ["way_id"], ["name"], cell=0.25)
+    last = F.size("pts") - 1
+    return _round(clipped.select(
+        "name", "way_id", "highway", "piece",
+        F.col("pts")[0]["x"].alias("x_start"), F.col("pts")[0]["y"].alias("y_start"),
+        F.get("pts", last)["x"].alias("x_end"), F.get("pts", last)["y"].alias("y_end"),
+    ))
+
+
+def q_base_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas, roads = _geo_files(spark, sf_dir, holes=True, bends=True)
+    return basemap.base_map(areas, roads, "name", KEPT_NATIONS, NATION_ALIASES, ROAD_TAGS[:5], GRID_BOX, cell=0.25)
+
+
+def q_recode_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return basemap.named_areas(_t(spark, sf_dir, "nation"), "n_name", KEPT_NATIONS, NATION_ALIASES,
+                               "display_name").select("n_nationkey", "n_name", "display_name")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_counts": q_category_counts,
     "category_counts_text_sources": q_category_counts_text_sources,
@@ -276,6 +415,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "layered_hotspots": q_layered_hotspots,
     "distinct_values": q_distinct_values,
     "profile": q_profile,
+    "recode_alias": q_recode_alias,
+    "csv_roundtrip": q_csv_roundtrip,
+    "csv_reject_counts": q_csv_reject_counts,
+    "csv_text_reject": q_csv_text_reject,
+    "clip_lines": q_clip_lines,
+    "base_map": q_base_map,
 }
 
 
@@ -405,6 +550,55 @@ def _sql() -> dict[str, str]:
         f"count(*) - count({c}) AS nulls FROM orders"
         for i, c in enumerate(cols, start=1)
     )
+
+    s["recode_alias"] = f"""
+        SELECT n_nationkey, n_name, {_case_map_sql('n_name', NATION_ALIASES)} AS display_name FROM nation
+        WHERE n_name IN ({', '.join(f"'{n}'" for n in KEPT_NATIONS)})"""
+    s["csv_roundtrip"] = """
+        SELECT o_orderkey AS order_key, o_custkey AS o_cust_key, o_orderstatus AS order_status,
+               o_totalprice AS total_price, CAST(o_orderdate AS DATE) AS order_date,
+               o_orderpriority AS order_percent_priority
+        FROM orders WHERE o_orderkey % 101 <> 0 AND o_orderkey % 103 <> 0"""
+    s["csv_reject_counts"] = """
+        SELECT 'orders' AS table_name,
+               count(*) FILTER (WHERE o_orderkey % 101 <> 0 AND o_orderkey % 103 <> 0) AS rows,
+               count(*) FILTER (WHERE o_orderkey % 101 = 0 OR o_orderkey % 103 = 0) AS rejected FROM orders
+        UNION ALL
+        SELECT 'customer', count(*) FILTER (WHERE c_custkey % 37 <> 0 AND c_custkey % 41 <> 0),
+               count(*) FILTER (WHERE c_custkey % 37 = 0 OR c_custkey % 41 = 0) FROM customer"""
+    s["csv_text_reject"] = """
+        SELECT CAST(c_custkey AS VARCHAR) AS cust_key, c_name || ', "' || c_mktsegment || '"' AS name,
+               lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS nation_code, c_mktsegment AS segment
+        FROM customer WHERE c_custkey % 37 <> 0 AND c_custkey % 41 <> 0"""
+    xmin, ymin, xmax, ymax = GRID_BOX
+    corners = [(xmin, ymin), (xmin, ymax), (xmax, ymin), (xmax, ymax)]
+    sides = ", ".join(f"(x2 - x1) * ({cy} - y1) - (y2 - y1) * ({cx} - x1)" for cx, cy in corners)
+    tags = ", ".join(f"'{t}'" for t in ROAD_TAGS)
+    kept = ", ".join(f"'{t}'" for t in ROAD_TAGS[:5])
+    s["clip_lines"] = f"""
+        WITH r AS (SELECT n_name AS name, CAST((n_nationkey % 5) * 2 AS DOUBLE) AS rx0,
+                          CAST((n_nationkey // 5) * 2 AS DOUBLE) AS ry0 FROM nation),
+        r2 AS (SELECT name, rx0 AS xmin, rx0 + 1.5 AS xmax, ry0 AS ymin, ry0 + 1.5 AS ymax FROM r),
+        l AS (SELECT s_suppkey AS way_id, ([{tags}])[s_suppkey % 6 + 1] AS highway,
+                     CAST((s_suppkey * 37) % 97 AS DOUBLE) / 10 + 0.013 AS x1,
+                     CAST((s_suppkey * 53) % 89 AS DOUBLE) / 10 + 0.029 AS y1,
+                     CAST((s_suppkey * 71) % 101 AS DOUBLE) / 10 + 0.017 AS x2,
+                     CAST((s_suppkey * 29) % 83 AS DOUBLE) / 10 + 0.031 AS y2 FROM supplier),
+        lb AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM l
+               WHERE highway IN ({kept})
+                 AND least(x1, x2) <= {xmax} AND greatest(x1, x2) >= {xmin}
+                 AND least(y1, y2) <= {ymax} AND greatest(y1, y2) >= {ymin}
+                 AND least({sides}) <= 0 AND greatest({sides}) >= 0),
+        c AS (SELECT lb.*, r2.name,
+                greatest(0.0, CASE WHEN dx > 0 THEN (xmin - x1) / dx ELSE (xmax - x1) / dx END,
+                              CASE WHEN dy > 0 THEN (ymin - y1) / dy ELSE (ymax - y1) / dy END) AS t0,
+                least(1.0, CASE WHEN dx > 0 THEN (xmax - x1) / dx ELSE (xmin - x1) / dx END,
+                           CASE WHEN dy > 0 THEN (ymax - y1) / dy ELSE (ymin - y1) / dy END) AS t1
+              FROM lb, r2)
+        SELECT name, way_id, highway, CAST(1 AS INTEGER) AS piece,
+               round(x1 + t0 * dx, 6) AS x_start, round(y1 + t0 * dy, 6) AS y_start,
+               round(x1 + t1 * dx, 6) AS x_end, round(y1 + t1 * dy, 6) AS y_end
+        FROM c WHERE t1 - t0 > 1e-11"""
     return s
 
 

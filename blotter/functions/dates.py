@@ -20,7 +20,7 @@ def as_date(df: DataFrame, col: str, fmt: str = US_DATE) -> Column:
         return c
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
-    return F.try_to_date(c.cast("string"), F.lit(fmt))
+    return F.try_to_date(c.cast("string"), fmt)
 
 
 def month_of(col: Column | str) -> Column:
