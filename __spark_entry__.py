@@ -468,8 +468,9 @@ def _sql() -> dict[str, str]:
         s AS (SELECT g, k, n, 100 * n / sum(n) OVER (PARTITION BY g) AS percent FROM c),
         r AS (SELECT {_case_map_sql('g', ORDER_STATUS_NAMES)} AS g, {_case_map_sql('k', PRIORITY_NAMES)} AS k,
                      n, percent FROM s),
-        o AS (SELECT g, CAST(row_number() OVER (ORDER BY avg(-percent), g) AS INTEGER) AS ord FROM r GROUP BY g),
-        f AS (SELECT r.*, o.ord, percent / sum(percent) OVER (PARTITION BY r.g) AS frac FROM r JOIN o USING (g)),
+        o AS (SELECT g, CAST(row_number() OVER (ORDER BY round(avg(-percent), 9), g) AS INTEGER) AS ord
+              FROM r GROUP BY g),
+        f AS (SELECT r.*, o.ord, n / sum(n) OVER (PARTITION BY r.g) AS frac FROM r JOIN o USING (g)),
         st AS (SELECT *, sum(frac) OVER (PARTITION BY g ORDER BY k DESC NULLS FIRST
                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ymax FROM f),
         st2 AS (SELECT *, coalesce(lag(ymax) OVER (PARTITION BY g ORDER BY k DESC NULLS FIRST), 0) AS ymin FROM st)

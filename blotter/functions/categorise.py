@@ -1,10 +1,26 @@
 """Ordered, first-match rule categorisation of free text.
 
+Matching: a rule pattern is searched anywhere in the text (no anchors, no word boundaries),
+ignoring case by Unicode simple case folding (see :mod:`.casefold`). The text is folded once
+per row, JVM-side. Alternatives that are plain literals (all but one of the built-in ones)
+are then found by one of two matchers:
+
+``automaton`` (default when ``pyahocorasick`` is importable)
+    an Arrow-batched pandas UDF runs one Aho-Corasick pass per text over all literal tokens
+    and returns a bitmask of the rules that have a token in it. One linear scan per text,
+    whatever the number of tokens; the category choice itself stays a JVM CASE expression.
+``expression``
+    a chain of ``contains`` searches, one per token (pure JVM; cost grows with the number of
+    tokens times the text length).
+
+Alternatives with regex syntax use ``rlike`` on the folded text; patterns with groups,
+classes or escapes are run whole as one case-insensitive regex on the original text.
+
 Two physical strategies give the same result:
 
 ``inline``
-    one CASE WHEN ... RLIKE chain evaluated per row. No shuffle, fully lazy, works on
-    streams. Cost: up to ``len(rules)`` regex searches per row, and Catalyst copies the CASE
+    the folded text and one CASE WHEN chain evaluated per row. No shuffle, fully lazy, works
+    on streams. Cost: up to one search per alternative per row, and Catalyst copies the CASE
     into every filter that mentions the output column, so a ``category != 'Other'`` filter
     evaluates it twice.
 
@@ -22,11 +38,14 @@ picks ``dimension`` for heavily repeated text, ``inline`` otherwise.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .casefold import fold_col, fold_text
 from .rules import CRIME_RULES, DEFAULT_CATEGORY
 
 Rules = Sequence[tuple[str, str]]
@@ -43,23 +62,133 @@ PROBE_ROWS = 20_000
 PROBE_MAX_DISTINCT_RATIO = 0.2
 
 
-def detects(text: Column | str, pattern: str, ignore_case: bool = True) -> Column:
-    """Unanchored regex search (NULL in, NULL out)."""
+_NOT_SPLITTABLE = set("()[]{}\\")
+_REGEX_SYNTAX = set(".^$*+?{}[]()|\\")
+
+
+def split_alternatives(pattern: str) -> list[str] | None:
+    """Top-level alternatives of a pattern without groups/classes/escapes, else None."""
+    if any(ch in _NOT_SPLITTABLE for ch in pattern):
+        return None
+    return pattern.split("|")
+
+
+def detects(text: Column | str, pattern: str, ignore_case: bool = True, folded: Column | None = None) -> Column:
+    """Unanchored search of ``pattern`` in ``text`` (NULL in, NULL out).
+
+    ``folded`` is the case-folded text when the caller already has it (saves a translate).
+    """
     c = F.col(text) if isinstance(text, str) else text
-    return c.rlike((CASE_FLAGS if ignore_case else "") + pattern)
+    if not ignore_case:
+        return c.rlike(pattern)
+    alts = split_alternatives(pattern)
+    if alts is None:
+        return c.rlike(CASE_FLAGS + pattern)
+    f = fold_col(c) if folded is None else folded
+    conds = [
+        f.contains(fold_text(a)) if not any(ch in _REGEX_SYNTAX for ch in a) else f.rlike(fold_text(a))
+        for a in alts
+    ]
+    return reduce(lambda x, y: x | y, conds)
 
 
 def rule_expr(text: Column | str, rules: Rules = CRIME_RULES, default: str = DEFAULT_CATEGORY,
-              ignore_case: bool = True) -> Column:
-    """CASE WHEN text ~ rule1 THEN name1 ... ELSE default END (never NULL)."""
+              ignore_case: bool = True, folded: Column | None = None) -> Column:
+    """CASE WHEN text ~ rule1 THEN name1 ... ELSE default END (never NULL), pure JVM."""
     c = F.col(text) if isinstance(text, str) else text
+    if ignore_case and folded is None:
+        folded = fold_col(c)
     expr = None
     for name, pattern in rules:
-        cond = detects(c, pattern, ignore_case)
+        cond = detects(c, pattern, ignore_case, folded)
+        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
+    return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
+
+
+def _literal_tokens(rules: Rules) -> list[tuple[str, int]]:
+    """(folded token, rule bit) for every literal alternative of every splittable rule."""
+    out = []
+    for i, (_, pattern) in enumerate(rules):
+        alts = split_alternatives(pattern)
+        if alts is None:
+            continue
+        for a in alts:
+            if a and not any(ch in _REGEX_SYNTAX for ch in a):
+                out.append((fold_text(a), 1 << i))
+    return out
+
+
+def _have_automaton() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def rule_mask_udf(tokens: Sequence[tuple[str, int]]):
+    """Pandas UDF: folded text -> OR of the bits of all tokens occurring in it (NULL for NULL).
+
+    Self-contained (no reference to this package) so executors need only ``pyahocorasick``.
+    The automaton is built once per Arrow batch (microseconds for a few hundred tokens).
+    """
+    toks = tuple(tokens)
+
+    @F.pandas_udf("long")
+    def rule_mask(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+        import numpy as np
+
+        auto = ahocorasick.Automaton()
+        for tok, bit in toks:
+            auto.add_word(tok, auto.get(tok, 0) | bit)
+        auto.make_automaton()
+        values = texts.to_numpy(dtype=object)
+        out = np.zeros(len(values), dtype=np.int64)
+        isnull = texts.isna().to_numpy()
+        for i, x in enumerate(values):
+            if isnull[i]:
+                continue
+            m = 0
+            for _, bit in auto.iter(x):
+                m |= bit
+                if m & 1:  # the first rule wins: nothing later can change the answer
+                    break
+            out[i] = m
+        return pd.Series(out, dtype="Int64").mask(isnull)
+
+    return rule_mask
+
+
+def rule_expr_automaton(text: Column | str, folded: Column, rules: Rules = CRIME_RULES,
+                        default: str = DEFAULT_CATEGORY) -> Column:
+    """The same CASE as :func:`rule_expr`, with literal tokens found by one automaton pass."""
+    c = F.col(text) if isinstance(text, str) else text
+    mask = rule_mask_udf(_literal_tokens(rules))(folded)
+    expr = None
+    for i, (name, pattern) in enumerate(rules):
+        alts = split_alternatives(pattern)
+        if alts is None:
+            cond = c.rlike(CASE_FLAGS + pattern)
+        else:
+            cond = (mask.bitwiseAND(F.lit(1 << i)) != 0)
+            for a in alts:
+                if any(ch in _REGEX_SYNTAX for ch in a):
+                    cond = cond | folded.rlike(fold_text(a))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
+def _with_rules(df: DataFrame, col: str, rules: Rules, default: str, out: str, matcher: str = "auto") -> DataFrame:
+    """Inline evaluation with the folded text computed once per row as its own column."""
+    if matcher == "auto":
+        matcher = "automaton" if (_have_automaton() and 0 < len(rules) <= 62) else "expression"
+    folded = df.withColumn("_folded", fold_col(col))
+    if matcher == "automaton":
+        return folded.withColumn(out, rule_expr_automaton(col, F.col("_folded"), rules, default)).drop("_folded")
+    return folded.withColumn(out, rule_expr(col, rules, default, folded=F.col("_folded"))).drop("_folded")
+
+
 def _probe_is_repetitive(df: DataFrame, col: str) -> bool:
     probe = df.select(F.col(col).alias("_v")).limit(PROBE_ROWS)
     row = probe.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_v").alias("d")).first()
@@ -70,38 +199,34 @@ def _probe_is_repetitive(df: DataFrame, col: str) -> bool:
 
 
 def build_dimension(df: DataFrame, col: str, rules: Rules = CRIME_RULES,
-                    default: str = DEFAULT_CATEGORY, out: str = "category") -> DataFrame:
+                    default: str = DEFAULT_CATEGORY, out: str = "category", matcher: str = "auto") -> DataFrame:
     """Distinct values of ``col`` with their category, checkpointed (lineage cut)."""
-    dim = (
-        df.select(F.col(col).alias("_dim_key"))
-        .distinct()
-        .withColumn(out, rule_expr(F.col("_dim_key"), rules, default))
-    )
-    return materialise(dim)
+    keys = df.select(F.col(col).alias("_dim_key")).distinct()
+    return materialise(_with_rules(keys, "_dim_key", rules, default, out, matcher))
 
 
 def categorise(df: DataFrame, col: str, rules: Rules = CRIME_RULES, default: str = DEFAULT_CATEGORY,
-               out: str = "category", strategy: str = "auto") -> DataFrame:
+               out: str = "category", strategy: str = "auto", matcher: str = "auto") -> DataFrame:
     """Add column ``out`` holding the first rule whose pattern occurs in ``col``.
 
     ``rules`` is an ordered list of ``(category, regex)``; the default is used for no match
-    and for NULL text. See the module docstring for the strategies.
+    and for NULL text. See the module docstring for ``strategy`` and ``matcher``.
     """
     if strategy not in ("auto", "inline", "dimension"):
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "auto":
         strategy = "dimension" if _probe_is_repetitive(df, col) else "inline"
     if strategy == "inline" or df.isStreaming:
-        return df.withColumn(out, rule_expr(col, rules, default))
+        return _with_rules(df, col, rules, default, out, matcher)
 
-    dim = build_dimension(df, col, rules, default, out)
+    dim = build_dimension(df, col, rules, default, out, matcher)
     stats = dim.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(F.octet_length("_dim_key")), F.lit(0)).alias("bytes"),
     ).first()
     if stats["rows"] > DIM_MAX_ROWS or stats["bytes"] > DIM_MAX_BYTES:
         # Too big to ship to every task: per-row evaluation, still without a shuffle.
-        return df.withColumn(out, rule_expr(col, rules, default))
+        return _with_rules(df, col, rules, default, out, matcher)
     joined = df.join(F.broadcast(dim), df[col].eqNullSafe(dim["_dim_key"]), "left")
     # Values that appeared after the dimension was built (a changing source) fall back inline.
     return joined.withColumn(out, F.coalesce(dim[out], rule_expr(df[col], rules, default))).drop(

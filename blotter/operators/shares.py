@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .running import row_number_global
 
 
+SCORE_DIGITS = 9
+
+
 def _cols(keys: Sequence[str] | str) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -37,7 +40,8 @@ def stack_fill(df: DataFrame, group: Sequence[str] | str, key: str, value: str =
     """Bars stacked to 1 per group: ``ymin``, ``ymax``, ``ymid`` (label position).
 
     Each value is divided by its group's sum; stacking starts from the last level of ``key``
-    (descending order, NULL level first), so the first level ends on top.
+    (descending order, NULL level first), so the first level ends on top. Any value
+    proportional to the counts gives the same stack; integer counts make the sums exact.
     """
     g = _cols(group)
     frac = F.col(value) / F.sum(value).over(Window.partitionBy(*g))
@@ -53,9 +57,12 @@ def reorder_levels(df: DataFrame, group: str, value: str, out: str = "ord", desc
     """Display order of ``group``: ascending mean of ``-value`` (or ``value``), ties by name.
 
     Adds ``out`` (1 = first). One score per group is computed by a hash aggregate; ranks are
-    a distributed running count over the scores.
+    a distributed running count over the scores. Scores are rounded to ``SCORE_DIGITS``
+    decimals first, so groups whose means are equal up to floating-point summation noise
+    count as ties and are ordered by name, whatever order the rows were summed in.
     """
-    score = F.avg(-F.col(value)) if descending else F.avg(F.col(value))
+    mean = F.avg(-F.col(value)) if descending else F.avg(F.col(value))
+    score = F.round(mean, SCORE_DIGITS)
     scores = df.groupBy(group).agg(score.alias("_score"))
     ranked = row_number_global(scores, [F.col("_score").asc_nulls_last(), F.col(group).asc_nulls_last()], out)
     return df.join(ranked.select(group, out), on=group, how="left")

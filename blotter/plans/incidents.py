@@ -78,7 +78,7 @@ def share_by_group(df: DataFrame, group: str = "category", key: str = "perp_sex"
     shares = share_within(counts, group, "n", "percent")
     shares = shares.withColumn(group, recode(group, group_names)).withColumn(key, recode(key, key_names))
     ordered = reorder_levels(shares, group, "percent", "ord")
-    stacked = stack_fill(ordered, group, key, "percent")
+    stacked = stack_fill(ordered, group, key, "n")
     return stacked.select(
         group, "ord", key, "n", "percent", "ymin", "ymax", "ymid",
         percent_label("percent").alias("label"), colour_map(key, colours).alias("colour"),
