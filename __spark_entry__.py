@@ -301,36 +301,43 @@ def _customer_csv_lines(customer: DataFrame) -> DataFrame:
     return customer.select(line.alias("value"))
 
 
-def _write_csv_inputs(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+_CSV_INPUTS = {
+    "orders": ("orders", _orders_csv_lines, ORDERS_HEADER),
+    "customer": ("customer", _customer_csv_lines, CUSTOMER_HEADER),
+}
+
+
+def _write_csv_inputs(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, str]:
     root = shared_path(spark, "csv-input")
-    return {
-        "orders": write_lines(_orders_csv_lines(_t(spark, sf_dir, "orders")), f"{root}/orders", ORDERS_HEADER),
-        "customer": write_lines(_customer_csv_lines(_t(spark, sf_dir, "customer")), f"{root}/customer",
-                                CUSTOMER_HEADER),
-    }
+    out = {}
+    for name in names:
+        table, make_lines, header = _CSV_INPUTS[name]
+        out[name] = write_lines(make_lines(_t(spark, sf_dir, table)), f"{root}/{name}", header)
+    return out
 
 
-def _ingest(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    src = _write_csv_inputs(spark, sf_dir)
+def _ingest(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple[str, DataFrame]:
+    src = _write_csv_inputs(spark, sf_dir, names)
     dest = shared_path(spark, "ingested")
-    summary = ingest_tables(spark, {
-        "orders": CsvSource(src["orders"], ORDERS_CSV_SCHEMA),
-        "customer": CsvSource(src["customer"], text=True),
-    }, dest)
+    sources = {
+        "orders": lambda: CsvSource(src["orders"], ORDERS_CSV_SCHEMA),
+        "customer": lambda: CsvSource(src["customer"], text=True),
+    }
+    summary = ingest_tables(spark, {n: sources[n]() for n in names}, dest)
     return dest, summary
 
 
 def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dest, _ = _ingest(spark, sf_dir)
+    dest, _ = _ingest(spark, sf_dir, ("orders",))
     return load_table(spark, dest, "orders")
 
 
 def q_csv_reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ingest(spark, sf_dir)[1]
+    return _ingest(spark, sf_dir, ("orders", "customer"))[1]
 
 
 def q_csv_text_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = _write_csv_inputs(spark, sf_dir)
+    src = _write_csv_inputs(spark, sf_dir, ("customer",))
     return clean_names(read_csv_text(spark, src["customer"]))
 
 

@@ -4,7 +4,7 @@ Spark has no usable geometry type, so the intersection is expressed with joins o
 grid, all as DataFrame operations:
 
 1. lines are exploded into segments and polygon rings into edges;
-2. segments and edges are both exploded into the grid cells their bounding boxes cover and
+2. segments and edges are both exploded into the grid cells they pass through and
    equi-joined on the cell, giving every crossing parameter ``t`` along a segment;
 3. every segment is cut at its crossings; each interval lies wholly inside or wholly outside
    each polygon;
@@ -76,10 +76,22 @@ def _edges(polygons: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, cell: float) -> DataFrame:
-    def rng(a: str, b: str) -> Column:
-        return F.sequence(F.floor(F.least(a, b) / cell), F.floor(F.greatest(a, b) / cell))
-
-    return df.withColumn("_ix", F.explode(rng(x1, x2))).withColumn("_iy", F.explode(rng(y1, y2)))
+    """Grid cells a segment passes through (not its whole bounding box): for each column slab
+    the segment crosses, the rows between its y values at the slab borders. Linear in the
+    segment length; the y range is padded by a hair so points on cell borders are never lost."""
+    ax, ay, bx, by = F.col(x1), F.col(y1), F.col(x2), F.col(y2)
+    xlo, xhi = F.least(ax, bx), F.greatest(ax, bx)
+    out = df.withColumn("_ix", F.explode(F.sequence(F.floor(xlo / cell), F.floor(xhi / cell))))
+    sx0 = F.greatest(xlo, F.col("_ix") * cell)
+    sx1 = F.least(xhi, (F.col("_ix") + 1) * cell)
+    slope = F.try_divide(by - ay, bx - ax)
+    vertical = ax == bx
+    ya = F.when(vertical, F.least(ay, by)).otherwise(ay + (sx0 - ax) * slope)
+    yb = F.when(vertical, F.greatest(ay, by)).otherwise(ay + (sx1 - ax) * slope)
+    pad = cell * 1e-9
+    lo = F.floor((F.least(ya, yb) - pad) / cell)
+    hi = F.floor((F.greatest(ya, yb) + pad) / cell)
+    return out.withColumn("_iy", F.explode(F.sequence(lo, hi)))
 
 
 def line_intersects_box(pts: Column | str, box: tuple[float, float, float, float] = CITY_BBOX) -> Column:

@@ -1,10 +1,14 @@
 """Running totals in a global order without moving all rows into one task.
 
-``Window.orderBy(...)`` with no ``partitionBy`` sends every row to a single task. Here the
-table is range-partitioned on the order keys and checkpointed with its partition number
-(so every later read sees the same partitioning); each partition computes its own prefix
-sums, and the per-partition totals — one row per partition, a bound fixed by the partition
-count — are turned into offsets and broadcast back.
+``Window.orderBy(...)`` with no ``partitionBy`` sends every row to a single task. The input
+(typically an aggregated chart table) is checkpointed once and counted:
+
+- up to ``SINGLE_TASK_ROWS`` rows (a bound checked on the materialised data) one ordered
+  window task is the cheapest plan;
+- above it, the table is range-partitioned on the order keys and checkpointed with its
+  partition number (so every later read sees the same partitioning); each partition computes
+  its own prefix sums, and the per-partition totals — one row per partition, a bound fixed by
+  the partition count — are turned into offsets and broadcast back.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
+SINGLE_TASK_ROWS = 100_000
+
 
 def running_total(df: DataFrame, value: str, order: Sequence[Column], out: str,
                   exclusive_out: str | None = None, partitions: int | None = None) -> DataFrame:
@@ -23,12 +29,22 @@ def running_total(df: DataFrame, value: str, order: Sequence[Column], out: str,
 
     ``exclusive_out`` (optional) = the same sum over the rows strictly before (0 for the first).
     Ties in ``order`` land in the same range partition and are summed in an arbitrary but
-    fixed order, like any row-frame window.
+    fixed order, like any row-frame window. ``partitions`` forces the distributed plan.
     """
     spark = df.sparkSession
+    base = materialise(df)
+    if base.count() <= SINGLE_TASK_ROWS and partitions is None:
+        # Proven small: one ordered task.
+        w1 = Window.orderBy(*order)
+        res = base.withColumn(out, F.sum(value).over(w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        if exclusive_out:
+            res = res.withColumn(
+                exclusive_out, F.coalesce(F.sum(value).over(w1.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            )
+        return res
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = materialise(
-        df.repartitionByRange(n, *order)
+        base.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_rt_pid", F.spark_partition_id())
     )

@@ -135,21 +135,23 @@ def ingest_summary(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, header: str | None = None, mode: str = "overwrite") -> str:
-    """Write a one-column text DataFrame as line files; with ``header``, every output file
-    starts with that line (CSV readers with ``header=true`` skip the first line of each file)."""
+    """Write a one-column text DataFrame verbatim, one line per row (empty rows are skipped).
+
+    With ``header``, every output file starts with that line, as CSV readers with
+    ``header=true`` expect. Done with the CSV writer itself: the header is the column name,
+    and a separator and quote character that never occur in text keep each line unquoted.
+    """
     col = lines.columns[0]
-    lines = lines.select(F.col(col).cast("string").alias("value"))
-    if header is not None:
-        def _prepend(batches, _h=header):
-            import pandas as pd
-
-            first = True
-            for pdf in batches:
-                if first:
-                    yield pd.DataFrame({"value": [_h]})
-                    first = False
-                yield pdf
-
-        lines = lines.mapInPandas(_prepend, "value string")
-    lines.write.mode(mode).text(path)
+    one = lines.select(F.col(col).cast("string").alias(header if header is not None else "value"))
+    if header is None:
+        one.write.mode(mode).text(path)
+        return path
+    (
+        one.write.mode(mode)
+        .option("header", True)
+        .option("sep", "\u0001")
+        .option("quote", "\u0000")
+        .option("escapeQuotes", False)
+        .csv(path)
+    )
     return path
