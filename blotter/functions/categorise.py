@@ -214,9 +214,12 @@ def categorise(df: DataFrame, col: str, rules: Rules = CRIME_RULES, default: str
     """
     if strategy not in ("auto", "inline", "dimension"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "auto":
+    if df.isStreaming:
+        # Unbounded input: nothing can be probed or materialised up front.
+        strategy = "inline"
+    elif strategy == "auto":
         strategy = "dimension" if _probe_is_repetitive(df, col) else "inline"
-    if strategy == "inline" or df.isStreaming:
+    if strategy == "inline":
         return _with_rules(df, col, rules, default, out, matcher)
 
     dim = build_dimension(df, col, rules, default, out, matcher)
