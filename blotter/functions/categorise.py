@@ -20,9 +20,7 @@ Two physical strategies give the same result:
 
 ``inline``
     the folded text and one CASE WHEN chain evaluated per row. No shuffle, fully lazy, works
-    on streams. Cost: up to one search per alternative per row, and Catalyst copies the CASE
-    into every filter that mentions the output column, so a ``category != 'Other'`` filter
-    evaluates it twice.
+    on streams. A filter on the category does not re-run the rules (see ``_with_rules``).
 
 ``dimension``
     the distinct values of the text column are categorised once, checkpointed to the shared
@@ -180,13 +178,21 @@ def rule_expr_automaton(text: Column | str, folded: Column, rules: Rules = CRIME
 
 
 def _with_rules(df: DataFrame, col: str, rules: Rules, default: str, out: str, matcher: str = "auto") -> DataFrame:
-    """Inline evaluation with the folded text computed once per row as its own column."""
+    """Inline evaluation with the folded text computed once per row as its own column.
+
+    The category is produced by a one-element ``explode``: Catalyst keeps filters on the
+    category above that generator (so the rules run once per row, not once more inside every
+    pushed-down filter), while filters on other columns are still pushed below it to the scan.
+    """
     if matcher == "auto":
         matcher = "automaton" if (_have_automaton() and 0 < len(rules) <= 62) else "expression"
     folded = df.withColumn("_folded", fold_col(col))
     if matcher == "automaton":
-        return folded.withColumn(out, rule_expr_automaton(col, F.col("_folded"), rules, default)).drop("_folded")
-    return folded.withColumn(out, rule_expr(col, rules, default, folded=F.col("_folded"))).drop("_folded")
+        category = rule_expr_automaton(col, F.col("_folded"), rules, default)
+    else:
+        category = rule_expr(col, rules, default, folded=F.col("_folded"))
+    keep = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != out]
+    return folded.select(*keep, F.explode(F.array(category)).alias(out))
 
 
 def _probe_is_repetitive(df: DataFrame, col: str) -> bool:

@@ -71,3 +71,15 @@ def test_clip_broadcasts_small_polygon_side(spark):
     assert plan.count("BroadcastHashJoin") >= 2
     forced = plan_of(clip_lines(roads, areas, cell=0.25, max_broadcast_rows=0).select("piece"))
     assert "SortMergeJoin" in forced or "ShuffledHashJoin" in forced or "BroadcastHashJoin" in forced
+
+
+def test_category_filter_does_not_rerun_rules(spark):
+    from blotter.plans.incidents import with_category
+
+    docs = table(spark, "documents")
+    q = with_category(docs, "text", strategy="inline").where(F.col("category") != "Other") \
+        .where(F.col("lang").isNotNull()).groupBy("category", "lang").count()
+    final = plan_of(q).split("== Initial Plan ==")[0]
+    assert final.count("ArrowEvalPython") == 1
+    plan = final
+    assert "isnotnull(lang" in " ".join(re.findall(r"PushedFilters: \[[^\]]*\]", plan)).lower()
