@@ -76,7 +76,7 @@ def test_clip_broadcasts_small_polygon_side(spark):
 def test_category_filter_does_not_rerun_rules(spark):
     from blotter.plans.incidents import with_category
 
-    docs = table(spark, "documents")
+    docs = table(spark, "documents", "/root/testdata/sf0.01")  # has matches, so AQE keeps the scan
     q = with_category(docs, "text", strategy="inline").where(F.col("category") != "Other") \
         .where(F.col("lang").isNotNull()).groupBy("category", "lang").count()
     final = plan_of(q).split("== Initial Plan ==")[0]
