@@ -12,7 +12,10 @@ DEGREE_CRS = {4326, 4269}
 WGS84 = 4326
 
 _NUM = r"([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+_NUM_NC = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 WKT_POINT = r"(?i)^\s*POINT\s*\(\s*" + _NUM + r"\s+" + _NUM + r"\s*\)\s*$"
+# The same shape with the two numbers captured together ("x y"), for a single regex pass.
+WKT_POINT_PAIR = r"(?i)^\s*POINT\s*\(\s*(" + _NUM_NC + r"\s+" + _NUM_NC + r")\s*\)\s*$"
 
 
 def _c(col: Column | str) -> Column:
@@ -27,23 +30,40 @@ def valid_points(df: DataFrame, lon: str = "longitude", lat: str = "latitude", d
     return df.where(cond)
 
 
+def _number(text: Column) -> Column:
+    # The pattern admits only numbers, so only the empty no-match needs guarding.
+    return F.when(text != "", text.try_cast("double"))
+
+
 def wkt_lon(col: Column | str) -> Column:
     """x of a ``POINT (x y)`` WKT text; NULL for anything else (EMPTY, other shapes, junk)."""
-    return F.regexp_extract(_c(col), WKT_POINT, 1).try_cast("double")
+    return _number(F.regexp_extract(_c(col), WKT_POINT, 1))
 
 
 def wkt_lat(col: Column | str) -> Column:
     """y of a ``POINT (x y)`` WKT text; NULL for anything else."""
-    return F.regexp_extract(_c(col), WKT_POINT, 2).try_cast("double")
+    return _number(F.regexp_extract(_c(col), WKT_POINT, 2))
+
+
+def wkt_point(col: Column | str) -> Column:
+    """``struct<lon, lat>`` of a ``POINT (x y)`` text with one regex pass (NULL fields if not)."""
+    pair = F.regexp_extract(_c(col), WKT_POINT_PAIR, 1)
+    parts = F.split(pair, r"\s+")
+    return F.struct(_number(F.get(parts, 0)).alias("lon"), _number(F.get(parts, 1)).alias("lat"))
 
 
 def points_from_wkt(df: DataFrame, col: str, lon: str = "lon", lat: str = "lat", keep: bool = False) -> DataFrame:
-    """Parse a WKT point column into ``lon``/``lat`` and drop rows that are not a point."""
-    out = df.withColumn(lon, wkt_lon(col)).withColumn(lat, wkt_lat(col)).where(
+    """Parse a WKT point column into ``lon``/``lat`` and drop rows that are not a point.
+
+    The point is produced by a one-element generator, so the validity filter stays above it
+    and the text is parsed once per row (not again inside a pushed-down filter).
+    """
+    others = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in (lon, lat) and (keep or c != col)]
+    parsed = df.select(*others, F.explode(F.array(wkt_point(col))).alias("_pt"))
+    out = parsed.select(*others, F.col("_pt.lon").alias(lon), F.col("_pt.lat").alias(lat)).where(
         F.col(lon).isNotNull() & F.col(lat).isNotNull()
     )
-    out = with_crs(out, [lon, lat], WGS84)
-    return out if keep else out.drop(col)
+    return with_crs(out, [lon, lat], WGS84)
 
 
 def rejected_wkt(df: DataFrame, col: str) -> DataFrame:
