@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import CITY_BBOX
+from ..session import materialise
 from .points import DEGREE_CRS, crs_of
 
 EPS = 1e-12
@@ -151,7 +152,9 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] =
     P = polygons.select(*[F.col(c).alias(a) for c, a in zip(poly_key, pk)], "rings")
 
     segs = _segments(L, lk)
-    edges = _edges(P, pk)
+    # The polygon side is a dimension: materialise its edges once (lineage cut), so measuring
+    # and broadcasting it does not re-read the polygon source.
+    edges = materialise(_edges(P, pk))
 
     # 2. crossings on the grid. The polygon side is a dimension: after measuring it, broadcast it
     # so the (large) segment side is never shuffled for the two spatial joins.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "blotter") -> SparkSession:
+                app_name: str = "blotter", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on, the UI off and UTC timestamps.
 
     On a cluster, leave ``master`` and ``shuffle_partitions`` unset: the cluster's own
@@ -29,6 +29,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        # Only effective when this call starts the JVM (local mode: the driver is the executor).
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
     return spark

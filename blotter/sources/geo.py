@@ -5,7 +5,8 @@ Layouts
 -------
 polygons: ``name STRING, part INT, rings ARRAY<ARRAY<STRUCT<x DOUBLE, y DOUBLE>>>, properties MAP``
           (one row per polygon; a multi-polygon becomes several rows with increasing ``part``)
-lines:    ``way_id BIGINT, highway STRING, pts ARRAY<STRUCT<x DOUBLE, y DOUBLE>>, properties MAP``
+lines:    ``way_id BIGINT, part INT, highway STRING, pts ARRAY<STRUCT<x DOUBLE, y DOUBLE>>, properties MAP``
+          (a multi-line becomes several rows with increasing ``part``)
 
 One feature per line keeps the files splittable (a single FeatureCollection document is not).
 """
@@ -42,17 +43,16 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 def read_polygons(spark: SparkSession, path: str, name_prop: str = "NAME", fmt: str = "geojson",
                   crs: int = 4269) -> DataFrame:
-    """Polygon features (Polygon / MultiPolygon) -> one row per polygon."""
+    """Polygon features (Polygon / MultiPolygon) -> one row per polygon, in one scan."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        f = read_features(spark, path)
-        poly = f.where(F.col("geom_type") == "Polygon").select(
-            "properties", F.lit(0).alias("part"),
-            F.from_json("coordinates", "array<array<array<double>>>").alias("c"))
-        multi = f.where(F.col("geom_type") == "MultiPolygon").select(
-            "properties", F.posexplode(F.from_json("coordinates", "array<array<array<array<double>>>>")).alias("part", "c"))
-        df = poly.unionByName(multi).select(
+        f = read_features(spark, path).where(F.col("geom_type").isin("Polygon", "MultiPolygon"))
+        parts = F.when(
+            F.col("geom_type") == "Polygon",
+            F.array(F.from_json("coordinates", "array<array<array<double>>>")),
+        ).otherwise(F.from_json("coordinates", "array<array<array<array<double>>>>"))
+        df = f.select("properties", F.posexplode(parts).alias("part", "c")).select(
             F.col("properties")[name_prop].alias("name"), "part",
             F.transform("c", _pts).alias("rings"), "properties")
     return with_crs(df, ["rings"], crs)
@@ -60,17 +60,18 @@ def read_polygons(spark: SparkSession, path: str, name_prop: str = "NAME", fmt:
 
 def read_lines(spark: SparkSession, path: str, id_prop: str = "osm_id", tag: str = "highway",
                fmt: str = "geojson", crs: int = 4326) -> DataFrame:
-    """Line features (LineString / MultiLineString) -> ``way_id, highway, pts, properties``."""
+    """Line features (LineString / MultiLineString) -> ``way_id, part, highway, pts, properties``,
+    in one scan."""
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        f = read_features(spark, path)
-        single = f.where(F.col("geom_type") == "LineString").select(
-            "properties", F.from_json("coordinates", "array<array<double>>").alias("c"))
-        multi = f.where(F.col("geom_type") == "MultiLineString").select(
-            "properties", F.explode(F.from_json("coordinates", "array<array<array<double>>>")).alias("c"))
-        df = single.unionByName(multi).select(
-            F.col("properties")[id_prop].try_cast("bigint").alias("way_id"),
+        f = read_features(spark, path).where(F.col("geom_type").isin("LineString", "MultiLineString"))
+        parts = F.when(
+            F.col("geom_type") == "LineString",
+            F.array(F.from_json("coordinates", "array<array<double>>")),
+        ).otherwise(F.from_json("coordinates", "array<array<array<double>>>"))
+        df = f.select("properties", F.posexplode(parts).alias("part", "c")).select(
+            F.col("properties")[id_prop].try_cast("bigint").alias("way_id"), "part",
             F.col("properties")[tag].alias("highway"),
             _pts(F.col("c")).alias("pts"), "properties")
     return with_crs(df, ["pts"], crs)
