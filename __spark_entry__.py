@@ -26,7 +26,13 @@ from pyspark.sql import types as T
 from blotter.functions.categorise import categorise, categorise_sql
 from blotter.functions.labels import percent_label
 from blotter.functions.recode import recode
-from blotter.functions.rules import MONTH_ABBREVIATIONS, RACE_PALETTE
+from blotter.functions.rules import (
+    CATEGORY_COLOURS,
+    CATEGORY_SHORT_NAMES,
+    LAYER_COLOURS,
+    MONTH_ABBREVIATIONS,
+    RACE_PALETTE,
+)
 from blotter.operators.counts import count_by, distinct_values
 from blotter.operators.points import point_counts, points_from_wkt
 from blotter.operators.shares import share_within
@@ -404,6 +410,40 @@ def q_recode_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "display_name").select("n_nationkey", "n_name", "display_name")
 
 
+# --- full incident pipelines over categorised text ---------------------------------------------
+LANG_NAMES = {"en": "English", "fr": "French"}
+LANG_COLOURS = {"English": "#abc4ff", "French": "#fcb0f3"}
+LAYER_CATEGORY = "Public Order/Admin"
+
+
+def _doc_points(docs: DataFrame) -> DataFrame:
+    k = F.col("doc_id")
+    return docs.select(
+        "text",
+        (F.lit(-74.25) + (k % 56).cast("double") / F.lit(100.0)).alias("longitude"),
+        (F.lit(40.5) + ((k * 7) % 43).cast("double") / F.lit(100.0)).alias("latitude"),
+        _wkt("doc_id", "doc_id").alias("geo"),
+    )
+
+
+def q_category_share_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = incidents.with_category(_t(spark, sf_dir, "documents").select("text", "lang"), "text")
+    return _round(incidents.share_by_group(docs, "category", "lang", group_names=CATEGORY_SHORT_NAMES,
+                                           key_names=LANG_NAMES, colours=LANG_COLOURS))
+
+
+def q_category_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = incidents.with_category(_doc_points(_t(spark, sf_dir, "documents")), "text")
+    return _round(hotspots.top_locations(docs, k=100, colours=CATEGORY_COLOURS))
+
+
+def q_incident_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = incidents.with_category(_doc_points(_t(spark, sf_dir, "documents")), "text")
+    errors = _t(spark, sf_dir, "events").where(F.col("event_type") == "error") \
+        .select(_wkt("user_id", "event_id").alias("geo"))
+    return _round(hotspots.weapons_vs_shootings(docs, errors, "geo", value=LAYER_CATEGORY))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_counts": q_category_counts,
     "category_counts_text_sources": q_category_counts_text_sources,
@@ -428,6 +468,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_text_reject": q_csv_text_reject,
     "clip_lines": q_clip_lines,
     "base_map": q_base_map,
+    "category_share_by_lang": q_category_share_by_lang,
+    "category_hotspots": q_category_hotspots,
+    "incident_layers": q_incident_layers,
 }
 
 
@@ -607,6 +650,57 @@ def _sql() -> dict[str, str]:
                round(x1 + t0 * dx, 6) AS x_start, round(y1 + t0 * dy, 6) AS y_start,
                round(x1 + t1 * dx, 6) AS x_end, round(y1 + t1 * dy, 6) AS y_end
         FROM c WHERE t1 - t0 > 1e-11"""
+    cat = categorise_sql("text")
+    short = _case_map_sql("g", CATEGORY_SHORT_NAMES)
+    s["category_share_by_lang"] = f"""
+        WITH d AS (SELECT {cat} AS g, lang AS k FROM documents),
+        c AS (SELECT g, k, count(*) AS n FROM d WHERE g NOT IN ('Other') GROUP BY 1, 2),
+        s AS (SELECT g, k, n, 100 * n / sum(n) OVER (PARTITION BY g) AS percent FROM c),
+        r AS (SELECT {short} AS g, {_case_map_sql('k', LANG_NAMES)} AS k, n, percent FROM s),
+        o AS (SELECT g, CAST(row_number() OVER (ORDER BY round(avg(-percent), 9), g) AS INTEGER) AS ord
+              FROM r GROUP BY g),
+        f AS (SELECT r.*, o.ord, n / sum(n) OVER (PARTITION BY r.g) AS frac FROM r JOIN o USING (g)),
+        st AS (SELECT *, sum(frac) OVER (PARTITION BY g ORDER BY k DESC NULLS FIRST
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ymax FROM f),
+        st2 AS (SELECT *, coalesce(lag(ymax) OVER (PARTITION BY g ORDER BY k DESC NULLS FIRST), 0) AS ymin FROM st)
+        SELECT g AS category, ord, k AS lang, n, round(percent, 6) AS percent,
+               round(ymin, 6) AS ymin, round(ymax, 6) AS ymax, round((ymin + ymax) / 2, 6) AS ymid,
+               {_pct_label_sql('percent')} AS label,
+               {_case_map_sql('k', LANG_COLOURS, passthrough=False)} AS colour
+        FROM st2"""
+    doc_pts = """
+        SELECT text, doc_id,
+               CAST(-74.25 AS DOUBLE) + CAST(doc_id % 56 AS DOUBLE) / CAST(100 AS DOUBLE) AS longitude,
+               CAST(40.5 AS DOUBLE) + CAST((doc_id * 7) % 43 AS DOUBLE) / CAST(100 AS DOUBLE) AS latitude
+        FROM documents"""
+    s["category_hotspots"] = f"""
+        WITH p AS ({doc_pts}),
+        v AS (SELECT longitude AS lon, latitude AS lat, {categorise_sql('text')} AS category FROM p
+              WHERE longitude IS NOT NULL AND latitude IS NOT NULL AND NOT isnan(longitude) AND NOT isnan(latitude)
+                AND longitude <> 0 AND latitude <> 0),
+        c AS (SELECT lon, lat, category, count(*) AS n FROM v WHERE category <> 'Other' GROUP BY 1, 2, 3),
+        t AS (SELECT lon, lat, category, n FROM (SELECT *, rank() OVER (ORDER BY n DESC) AS r FROM c) WHERE r <= 100)
+        SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, category, n, round({_size_sql('n', 't')}, 6) AS size,
+               {_case_map_sql('category', CATEGORY_COLOURS, passthrough=False)} AS colour,
+               {_IN_VIEW_SQL} AS in_view
+        FROM t"""
+    layers_sql = []
+    for series, src in (
+        ("Weapon Arrests", f"SELECT {_wkt_sql('doc_id', 'doc_id')} AS geo FROM documents "
+                           f"WHERE {categorise_sql('text')} = '{LAYER_CATEGORY}'"),
+        ("Shooting Incidents", f"SELECT {_wkt_sql('user_id', 'event_id')} AS geo FROM events WHERE event_type = 'error'"),
+    ):
+        layers_sql.append(f"""
+        SELECT '{series}' AS series, lon, lat, n FROM (
+          SELECT *, rank() OVER (ORDER BY n DESC) AS r FROM (
+            SELECT lon, lat, count(*) AS n FROM (SELECT {wl} AS lon, {wa} AS lat FROM ({src}))
+            WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1, 2)
+        ) WHERE r <= 100""")
+    s["incident_layers"] = f"""
+        WITH u AS ({' UNION ALL '.join(layers_sql)})
+        SELECT series, round(lon, 6) AS lon, round(lat, 6) AS lat, n, round({_size_sql('n', 'u')}, 6) AS size,
+               {_case_map_sql('series', LAYER_COLOURS, passthrough=False)} AS colour, {_IN_VIEW_SQL} AS in_view
+        FROM u"""
     return s
 
 

@@ -54,9 +54,9 @@ def layer_points(df: DataFrame, wkt_col: str, k: int = 100, drop_zero: bool = Fa
     return top_k_with_ties(point_counts(pts, "lon", "lat"), "n", k)
 
 
-def weapon_arrests(df: DataFrame, category: str = "category") -> DataFrame:
-    """Arrests in the weapons category."""
-    return df.where(F.col(category) == F.lit(WEAPONS))
+def weapon_arrests(df: DataFrame, category: str = "category", value: str = WEAPONS) -> DataFrame:
+    """Arrests in one category (the weapons category by default)."""
+    return df.where(F.col(category) == F.lit(value))
 
 
 def layered_hotspots(layers: Mapping[str, DataFrame], k: int = 100,
@@ -76,9 +76,10 @@ def layered_hotspots(layers: Mapping[str, DataFrame], k: int = 100,
 
 
 def weapons_vs_shootings(arrests: DataFrame, shootings: DataFrame, wkt_col: str = "new_georeferenced_column",
-                         category: str = "category", k: int = 100, drop_zero: bool = False) -> DataFrame:
+                         category: str = "category", k: int = 100, drop_zero: bool = False,
+                         value: str = WEAPONS, shootings_wkt_col: str | None = None) -> DataFrame:
     """Top weapon-arrest points and top shooting points on one map."""
     return layered_hotspots({
-        "Weapon Arrests": layer_points(weapon_arrests(arrests, category), wkt_col, k, drop_zero),
-        "Shooting Incidents": layer_points(shootings, wkt_col, k, drop_zero),
+        "Weapon Arrests": layer_points(weapon_arrests(arrests, category, value), wkt_col, k, drop_zero),
+        "Shooting Incidents": layer_points(shootings, shootings_wkt_col or wkt_col, k, drop_zero),
     }, k)
