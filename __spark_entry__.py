@@ -370,11 +370,17 @@ def _nation_polygons(nation: DataFrame, holes: bool) -> DataFrame:
     return nation.select(F.col("n_name").alias("name"), rings.alias("rings"))
 
 
+def _off(k: int) -> F.Column:
+    """sqrt(k) / 100: an irrational offset (computed identically by both engines) that keeps
+    clipped coordinates away from decimal rounding ties and from the squares' edges."""
+    return F.sqrt(F.lit(float(k))) / 100.0
+
+
 def _supplier_roads(supplier: DataFrame, bends: bool) -> DataFrame:
     s = F.col("s_suppkey")
-    a = F.struct(((s * 37) % 97).cast("double") / 10.0 + 0.013, ((s * 53) % 89).cast("double") / 10.0 + 0.029)
-    b = F.struct(((s * 71) % 101).cast("double") / 10.0 + 0.017, ((s * 29) % 83).cast("double") / 10.0 + 0.031)
-    m = F.struct(((s * 13) % 91).cast("double") / 10.0 + 0.011, ((s * 17) % 87).cast("double") / 10.0 + 0.023)
+    a = F.struct(((s * 37) % 97).cast("double") / 10.0 + _off(2), ((s * 53) % 89).cast("double") / 10.0 + _off(3))
+    b = F.struct(((s * 71) % 101).cast("double") / 10.0 + _off(5), ((s * 29) % 83).cast("double") / 10.0 + _off(7))
+    m = F.struct(((s * 13) % 91).cast("double") / 10.0 + _off(11), ((s * 17) % 87).cast("double") / 10.0 + _off(13))
     xy = lambda c: F.struct(c["col1"].alias("x"), c["col2"].alias("y"))
     pts = F.array(xy(a), xy(m), xy(b)) if bends else F.array(xy(a), xy(b))
     tag = F.element_at(F.array(*[F.lit(t) for t in ROAD_TAGS]), (s % 6 + 1).cast("int"))
@@ -631,10 +637,10 @@ def _sql() -> dict[str, str]:
                           CAST((n_nationkey // 5) * 2 AS DOUBLE) AS ry0 FROM nation),
         r2 AS (SELECT name, rx0 AS xmin, rx0 + 1.5 AS xmax, ry0 AS ymin, ry0 + 1.5 AS ymax FROM r),
         l AS (SELECT s_suppkey AS way_id, ([{tags}])[s_suppkey % 6 + 1] AS highway,
-                     CAST((s_suppkey * 37) % 97 AS DOUBLE) / 10 + 0.013 AS x1,
-                     CAST((s_suppkey * 53) % 89 AS DOUBLE) / 10 + 0.029 AS y1,
-                     CAST((s_suppkey * 71) % 101 AS DOUBLE) / 10 + 0.017 AS x2,
-                     CAST((s_suppkey * 29) % 83 AS DOUBLE) / 10 + 0.031 AS y2 FROM supplier),
+                     CAST((s_suppkey * 37) % 97 AS DOUBLE) / 10 + sqrt(2.0) / 100 AS x1,
+                     CAST((s_suppkey * 53) % 89 AS DOUBLE) / 10 + sqrt(3.0) / 100 AS y1,
+                     CAST((s_suppkey * 71) % 101 AS DOUBLE) / 10 + sqrt(5.0) / 100 AS x2,
+                     CAST((s_suppkey * 29) % 83 AS DOUBLE) / 10 + sqrt(7.0) / 100 AS y2 FROM supplier),
         lb AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM l
                WHERE highway IN ({kept})
                  AND least(x1, x2) <= {xmax} AND greatest(x1, x2) >= {xmin}
