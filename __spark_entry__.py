@@ -450,6 +450,21 @@ def q_incident_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(hotspots.weapons_vs_shootings(docs, errors, "geo", value=LAYER_CATEGORY))
 
 
+# --- repeated short text: dimension strategy against inline ------------------------------------
+PROPS_RULES = (("Seventies", '"k": 7'), ("Teens", '"k": 1'), ("Single", '"k": 0|"k": 2}|"k": 3}|"k": 4}|"k": 5}'))
+
+
+def q_props_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """100 distinct values over every event: ``auto`` picks the materialised dimension."""
+    ev = _t(spark, sf_dir, "events").select("event_type", "props")
+    return count_by(categorise(ev, "props", PROPS_RULES, "Other"), ["event_type", "category"], "n")
+
+
+def q_props_categories_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = _t(spark, sf_dir, "events").select("event_type", "props")
+    return count_by(categorise(ev, "props", PROPS_RULES, "Other", strategy="inline"), ["event_type", "category"], "n")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_counts": q_category_counts,
     "category_counts_text_sources": q_category_counts_text_sources,
@@ -477,6 +492,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "category_share_by_lang": q_category_share_by_lang,
     "category_hotspots": q_category_hotspots,
     "incident_layers": q_incident_layers,
+    "props_categories": q_props_categories,
+    "props_categories_inline": q_props_categories_inline,
 }
 
 
@@ -707,6 +724,11 @@ def _sql() -> dict[str, str]:
         SELECT series, round(lon, 6) AS lon, round(lat, 6) AS lat, n, round({_size_sql('n', 'u')}, 6) AS size,
                {_case_map_sql('series', LAYER_COLOURS, passthrough=False)} AS colour, {_IN_VIEW_SQL} AS in_view
         FROM u"""
+    props = f"""
+        SELECT event_type, {categorise_sql('props', PROPS_RULES, 'Other')} AS category, count(*) AS n
+        FROM events GROUP BY 1, 2"""
+    s["props_categories"] = props
+    s["props_categories_inline"] = props
     return s
 
 

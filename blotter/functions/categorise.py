@@ -28,9 +28,10 @@ Two physical strategies give the same result:
     per *distinct* value. The broadcast is only used after the materialised dimension has been
     counted and measured; above the limits the inline form is used instead.
 
-``auto`` (default) probes the repetition of the column on a small leading slice of the
-input — only to choose the plan, the answer is computed over every row either way — and
-picks ``dimension`` for heavily repeated text, ``inline`` otherwise.
+``auto`` (default) uses ``inline`` for small inputs (a couple of partitions); otherwise it
+probes the repetition of the column on a small leading slice of the input — only to choose
+the plan, the answer is computed over every row either way — and picks ``dimension`` for
+heavily repeated text, ``inline`` otherwise.
 """
 
 from __future__ import annotations
@@ -58,6 +59,9 @@ DIM_MAX_BYTES = 64 * 1024 * 1024
 # counts as "repeated".
 PROBE_ROWS = 20_000
 PROBE_MAX_DISTINCT_RATIO = 0.2
+# Inputs in at most this many partitions (a file scan splits at ~128 MB) are too small for the
+# dimension's fixed cost (a distinct, a checkpoint, a measurement) to pay off.
+SMALL_INPUT_PARTITIONS = 2
 
 
 _NOT_SPLITTABLE = set("()[]{}\\")
@@ -224,7 +228,8 @@ def categorise(df: DataFrame, col: str, rules: Rules = CRIME_RULES, default: str
         # Unbounded input: nothing can be probed or materialised up front.
         strategy = "inline"
     elif strategy == "auto":
-        strategy = "dimension" if _probe_is_repetitive(df, col) else "inline"
+        small = df.rdd.getNumPartitions() <= SMALL_INPUT_PARTITIONS
+        strategy = "dimension" if (not small and _probe_is_repetitive(df, col)) else "inline"
     if strategy == "inline":
         return _with_rules(df, col, rules, default, out, matcher)
 
