@@ -20,6 +20,18 @@ STATUS = "_ingest_status"
 OK, REJECTED = "ok", "rejected"
 
 
+def _all_columns_read(names) -> "F.Column":
+    """An always-true condition that references every column.
+
+    Spark's CSV reader only tokenises the columns a query needs, and a line's field count is
+    only checked against what was tokenised, so a query that reads one column (or none, as
+    ``count()``) would see malformed lines as good ones. Referencing every column keeps the
+    malformed-line decision independent of the projection.
+    """
+    cols = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    return F.length(F.concat_ws("\u0001", *cols)) >= 0
+
+
 def _reader(spark: SparkSession, header: bool, delimiter: str, quote: str, escape: str,
             date_format: str, multiline: bool):
     r = (
@@ -56,12 +68,13 @@ def read_csv_text(spark: SparkSession, path: str, *, delimiter: str = ",", quote
                   mode: str = "DROPMALFORMED", multiline: bool = False) -> DataFrame:
     """Every column as text (leading zeros kept); malformed rows (wrong field count) skipped."""
     schema = header_schema(spark, path, delimiter, quote, escape)
-    return (
+    df = (
         _reader(spark, True, delimiter, quote, escape, US_DATE, multiline)
         .schema(schema)
         .option("mode", mode)
         .csv(path)
     )
+    return df.where(_all_columns_read(schema.fieldNames())) if mode == "DROPMALFORMED" else df
 
 
 def read_csv_tagged(spark: SparkSession, path: str, schema: T.StructType | None = None, *, text: bool = False,
@@ -82,7 +95,8 @@ def read_csv_tagged(spark: SparkSession, path: str, schema: T.StructType | None
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
-    return df.withColumn(STATUS, F.when(F.col(CORRUPT).isNull(), F.lit(OK)).otherwise(F.lit(REJECTED)))
+    good = F.col(CORRUPT).isNull() & _all_columns_read(schema.fieldNames())
+    return df.withColumn(STATUS, F.when(good, F.lit(OK)).otherwise(F.lit(REJECTED)))
 
 
 @dataclass

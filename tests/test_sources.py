@@ -91,3 +91,14 @@ def test_geo_roundtrip(spark):
     assert sorted(r.part for r in mp.collect()) == [0, 1]
     assert read_lines(spark, f"{d}/multi.json").count() == 2
     assert F is not None
+
+
+def test_malformed_rows_independent_of_projection(spark):
+    from blotter.sources.csv import STATUS, read_csv_tagged
+
+    src = _file(BAD_CSV)
+    df = read_csv_text(spark, src)
+    assert df.count() == 2 and df.select("b").count() == 2 and len(df.collect()) == 2
+    tagged = read_csv_tagged(spark, src, text=True)
+    assert tagged.where(F.col(STATUS) == "ok").count() == 2
+    assert tagged.where(F.col(STATUS) == "rejected").select("a").count() == 2
