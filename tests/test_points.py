@@ -53,3 +53,19 @@ def test_weapons_vs_shootings(spark):
     out = {r.series: r for r in weapons_vs_shootings(arrests, shootings).collect()}
     assert out["Weapon Arrests"].n == 2 and out["Weapon Arrests"].colour == "blue" and out["Weapon Arrests"].size == 2.0
     assert out["Shooting Incidents"].n == 4 and out["Shooting Incidents"].colour == "red" and out["Shooting Incidents"].size == 8.0
+
+
+def test_zero_point_kept_in_layers_but_out_of_view(spark):
+    # P12 / D5: in the two-layer map (0, 0) is kept by default; it is hidden by the viewport
+    # but still trains the size scale
+    arrests = spark.createDataFrame(
+        [("Weapons/Explosives", "POINT (0 0)")] * 6 + [("Weapons/Explosives", "POINT (-73.9 40.7)")] * 2,
+        "category string, new_georeferenced_column string")
+    shootings = spark.createDataFrame([("POINT (-73.95 40.65)",)], "new_georeferenced_column string")
+    rows = {(r.series, r.lon, r.lat): r for r in weapons_vs_shootings(arrests, shootings).collect()}
+    zero = rows[("Weapon Arrests", 0.0, 0.0)]
+    assert zero.in_view is False and zero.size == 8.0
+    assert rows[("Shooting Incidents", -73.95, 40.65)].size == 2.0
+    dropped = weapons_vs_shootings(arrests, shootings, drop_zero=True).collect()
+    assert all((r.lon, r.lat) != (0.0, 0.0) for r in dropped)
+    assert F is not None
