@@ -18,11 +18,12 @@ def size_scale(df: DataFrame, n: str = "n", out: str = "size",
                size_range: tuple[float, float] = POINT_SIZE_RANGE) -> DataFrame:
     """Area scale: ``lo + (hi-lo) * sqrt((n-min)/(max-min))`` trained on all rows of ``df``.
 
-    min and max come from one-row scalar subqueries (no join, no single-partition window).
+    min and max come from one scalar subquery (one aggregate; no join, no single-partition
+    window).
     When every value is equal the rescaled value is the midpoint 0.5.
     """
-    lo_n = df.select(F.min(n)).scalar()
-    hi_n = df.select(F.max(n)).scalar()
+    limits = df.select(F.struct(F.min(n).alias("lo"), F.max(n).alias("hi"))).scalar()
+    lo_n, hi_n = limits["lo"], limits["hi"]
     lo, hi = size_range
     span = hi_n - lo_n
     x = F.col(n).cast("double")

@@ -176,9 +176,12 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] =
     crossings = sc.join(ec, ["_ix", "_iy"]).where(crossing).select(*seg_cols, F.round(t, 12).alias("t"))
 
     # 3. cut every segment into intervals: segments and their crossings meet in one aggregate
+    # One shuffle, by line: every later grouping (per segment, per interval, per line and
+    # polygon for stitching, per piece) contains the line key, so none of them reshuffles.
     with_cuts = (
         segs.select(*seg_cols, F.lit(None).cast("double").alias("t"))
         .unionByName(crossings)
+        .repartition(*lk)
         .groupBy(*seg_cols)
         .agg(F.collect_list("t").alias("ts"))
     )

@@ -59,7 +59,7 @@ def monthly_trend(df: DataFrame, date_col: str = "arrest_date", total: str = "to
     )
     if limits is not None:
         out = out.withColumn("y", censor(F.col(total).cast("double"), limits))
-    return out.orderBy(F.col("month").asc_nulls_last())
+    return out
 
 
 def share_by_group(df: DataFrame, group: str = "category", key: str = "perp_sex",

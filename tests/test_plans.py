@@ -84,3 +84,13 @@ def test_category_filter_does_not_rerun_rules(spark):
     plan = final
     # the filter on another column still reaches the scan
     assert "DataFilters: [isnotnull(lang" in plan
+
+
+def test_clip_shuffles_once_by_line(spark):
+    import __spark_entry__ as E
+
+    areas = E._nation_polygons(table(spark, "nation"), holes=True)
+    roads = E._supplier_roads(table(spark, "supplier"), bends=True)
+    final = plan_of(clip_lines(roads, areas, cell=0.25)).split("== Initial Plan ==")[0]
+    hashed = re.findall(r"Exchange hashpartitioning\(([^,]*)", final)
+    assert len(hashed) == 1 and hashed[0].startswith("_lk0")
