@@ -2,7 +2,9 @@
 
 Each function takes the incident table (raw rows) and returns a small chart-ready table.
 The heavy part — scanning, categorising, counting — is a partial+final hash aggregate;
-everything after the first aggregate works on one row per group.
+everything after the first aggregate works on one row per group. The share plans checkpoint
+that count table once: the steps after it run as several small jobs (totals, ranks, running
+sums), and each would otherwise re-scan the raw input.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from ..functions.scales import censor, palette_by_order
 from ..operators.counts import count_by, monthly_counts
 from ..operators.donut import donut_geometry
 from ..operators.shares import reorder_levels, share_of_total, share_within, stack_fill
+from ..session import materialise
 
 
 def with_category(df: DataFrame, text_col: str = "pd_desc", rules: Rules = CRIME_RULES,
@@ -74,7 +77,7 @@ def share_by_group(df: DataFrame, group: str = "category", key: str = "perp_sex"
     filled-stack bounds.
     """
     base = df.where(~F.col(group).isin(*exclude)) if exclude else df
-    counts = count_by(base, [group, key], "n")
+    counts = materialise(count_by(base, [group, key], "n"))
     shares = share_within(counts, group, "n", "percent")
     shares = shares.withColumn(group, recode(group, group_names)).withColumn(key, recode(key, key_names))
     ordered = reorder_levels(shares, group, "percent", "ord")
@@ -93,7 +96,7 @@ def share_then_exclude(df: DataFrame, key: str = "perp_race",
     Hidden keys stay in the denominator, so the shown percentages need not sum to 100.
     Output: ``<key>, n, percent, ypos, angle, label_angle, hjust, label, colour``.
     """
-    counts = count_by(df.where(F.col(key).isNotNull()), key, "n")
+    counts = materialise(count_by(df.where(F.col(key).isNotNull()), key, "n"))
     shares = share_of_total(counts, "n", "percent")
     kept = shares.where(~F.col(key).isin(*exclude_after)) if exclude_after else shares
     ring = donut_geometry(kept, key, "percent", angle_from="ypos")
@@ -110,7 +113,7 @@ def donut_segments(df: DataFrame, key: str = "age_group",
 
     Output: ``<key>, n, percent, ymin, ymax, label_pos, angle, label_angle, label, colour``.
     """
-    counts = count_by(df.where(F.col(key).isNotNull()), key, "n")
+    counts = materialise(count_by(df.where(F.col(key).isNotNull()), key, "n"))
     shares = share_of_total(counts, "n", "percent")
     ring = donut_geometry(shares, key, "percent", angle_from="label_pos")
     return ring.select(
