@@ -27,16 +27,26 @@ PRECEDENCE = [
 DEFAULTS = [(None, "Other"), ("", "Other"), ("ZZZ", "Other"), ("assault", "Violent Crime"), ("DRAPE", "Violent Crime")]
 
 
-def _run(spark, rows, strategy):
+def _run(spark, rows, strategy, matcher="auto"):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id int, pd_desc string")
-    out = categorise(df, "pd_desc", strategy=strategy).orderBy("id").collect()
+    out = categorise(df, "pd_desc", strategy=strategy, matcher=matcher).orderBy("id").collect()
     return [r.category for r in out]
 
 
+@pytest.mark.parametrize("matcher", ["automaton", "expression"])
 @pytest.mark.parametrize("strategy", ["inline", "dimension", "auto"])
 @pytest.mark.parametrize("rows", [ONE_PER_RULE, PRECEDENCE, DEFAULTS], ids=["one_per_rule", "precedence", "defaults"])
-def test_rules(spark, rows, strategy):
-    assert _run(spark, rows, strategy) == [c for _, c in rows]
+def test_rules(spark, rows, strategy, matcher):
+    assert _run(spark, rows, strategy, matcher) == [c for _, c in rows]
+
+
+def test_case_folding_beyond_ascii(spark):
+    # simple case folding: long s folds to s, Kelvin sign to k; dotted capital I and sharp s do not
+    rows = [("\u017fpeeding",), ("MAKING TERRORISTIC THREAT".replace("K", "\u212a"),), ("PUBL\u0130C",), ("STRA\u00dfE",)]
+    df = spark.createDataFrame(rows, "t string")
+    for matcher in ("automaton", "expression"):
+        got = [r.category for r in categorise(df, "t", strategy="inline", matcher=matcher).collect()]
+        assert got == ["Traffic", "Violent Crime", "Other", "Other"]
 
 
 def test_rule_table_shape():
@@ -50,7 +60,8 @@ def test_strategies_agree_on_real_text(spark):
         df = table(spark, tab).select(col)
         a = categorise(df, col, strategy="inline").groupBy("category").count()
         b = categorise(df, col, strategy="dimension").groupBy("category").count()
-        assert sorted(a.collect()) == sorted(b.collect())
+        c = categorise(df, col, strategy="inline", matcher="expression").groupBy("category").count()
+        assert sorted(a.collect()) == sorted(b.collect()) == sorted(c.collect())
 
 
 def test_dimension_plan_broadcasts_and_keeps_filter_off_regex(spark):
