@@ -132,7 +132,9 @@ def rule_mask_udf(tokens: Sequence[tuple[str, int]]):
     """Pandas UDF: folded text -> OR of the bits of all tokens occurring in it (NULL for NULL).
 
     Self-contained (no reference to this package) so executors need only ``pyahocorasick``.
-    The automaton is built once per Arrow batch (microseconds for a few hundred tokens).
+    The automaton is built once per Arrow batch (microseconds for a few hundred tokens). Batch
+    memory is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB by default) as
+    well as by the record count, so very long texts do not make huge batches.
     """
     toks = tuple(tokens)
 
