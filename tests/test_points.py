@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from blotter.operators.layers import union_layers
 from blotter.operators.points import crs_of, point_counts, points_from_wkt, rejected_wkt, to_crs, valid_points, with_crs
@@ -68,4 +67,3 @@ def test_zero_point_kept_in_layers_but_out_of_view(spark):
     assert rows[("Shooting Incidents", -73.95, 40.65)].size == 2.0
     dropped = weapons_vs_shootings(arrests, shootings, drop_zero=True).collect()
     assert all((r.lon, r.lat) != (0.0, 0.0) for r in dropped)
-    assert F is not None

@@ -90,7 +90,6 @@ def test_geo_roundtrip(spark):
     mp = read_polygons(spark, f"{d}/multi.json")
     assert sorted(r.part for r in mp.collect()) == [0, 1]
     assert read_lines(spark, f"{d}/multi.json").count() == 2
-    assert F is not None
 
 
 def test_malformed_rows_independent_of_projection(spark):
