@@ -151,3 +151,29 @@ def test_clip_lengths_bounded(spark):
     for r in out.collect():
         clipped[r.way_id] = clipped.get(r.way_id, 0.0) + length(r.pts)
     assert clipped and all(clipped[w] <= total[w] + 1e-9 for w in clipped)
+
+
+def test_tiling_preserves_length(spark):
+    """Polygons that tile the plane split each line without losing or doubling any length."""
+    import math
+    import random
+
+    rnd = random.Random(7)
+    tiles = [(f"t{i}{j}", [sq(i, j, i + 1, j + 1)]) for i in range(5) for j in range(5)]
+    polys = spark.createDataFrame(tiles, f"name string, rings array<array<{PT}>>")
+    lines = []
+    for wid in range(40):
+        pts = [(rnd.uniform(0.05, 4.95), rnd.uniform(0.05, 4.95)) for _ in range(rnd.randint(2, 5))]
+        lines.append((wid, "primary", ln(*pts)))
+    lines_df = spark.createDataFrame(lines, f"way_id long, highway string, pts array<{PT}>")
+    out = clip_lines(lines_df, polys, cell=0.37)
+
+    def length(pts):
+        return sum(math.dist((a.x, a.y), (b.x, b.y)) for a, b in zip(pts, pts[1:]))
+
+    total = {}
+    for r in out.collect():
+        total[r.way_id] = total.get(r.way_id, 0.0) + length(r.pts)
+    for wid, _, pts in lines:
+        want = sum(math.dist((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(pts, pts[1:]))
+        assert abs(total[wid] - want) < 1e-9
