@@ -82,3 +82,15 @@ def test_category_counts_match_rows(spark):
 def test_rule_expr_never_null(spark):
     df = spark.createDataFrame([(None,), ("x",)], "t string")
     assert all(r.c is not None for r in df.select(rule_expr("t").alias("c")).collect())
+
+
+def test_dimension_over_limit_falls_back_to_inline(spark, monkeypatch):
+    import blotter.functions.categorise as C
+
+    df = table(spark, "part").select("p_type")
+    want = sorted(categorise(df, "p_type", strategy="inline").groupBy("category").count().collect())
+    monkeypatch.setattr(C, "DIM_MAX_ROWS", 1)
+    out = categorise(df, "p_type", strategy="dimension")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert sorted(out.groupBy("category").count().collect()) == want
