@@ -128,3 +128,12 @@ def test_donut_angle_uses_rows_left(spark):
     out = {r.k: r for r in donut_geometry(df, "k", "percent", "ypos").collect()}
     assert out["b"].ypos == 15.0 and abs(out["b"].angle - 0.0) < 1e-9
     assert abs(out["a"].angle - (-180.0)) < 1e-9 and out["a"].label_angle == 0.0 and out["a"].hjust == 1
+
+
+def test_stack_null_level_at_bottom(spark):
+    # W7: stacking starts from the last level; a NULL level comes last, so it sits at the bottom
+    df = spark.createDataFrame([("A", "Female", 1), ("A", "Male", 2), ("A", None, 1)], "c string, s string, n long")
+    out = {r.s: r for r in stack_fill(df, "c", "s", "n").collect()}
+    assert out[None].ymin == 0.0 and out[None].ymax == 0.25
+    assert out["Male"].ymin == 0.25 and out["Male"].ymax == 0.75
+    assert out["Female"].ymax == 1.0 and out["Female"].ymid == 0.875
