@@ -416,7 +416,7 @@ def q_recode_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
                                "display_name").select("n_nationkey", "n_name", "display_name")
 
 
-# --- full incident pipelines over categorised text ---------------------------------------------
+# --- full incident analyses over categorised text ----------------------------------------------
 LANG_NAMES = {"en": "English", "fr": "French"}
 LANG_COLOURS = {"English": "#abc4ff", "French": "#fcb0f3"}
 LAYER_CATEGORY = "Public Order/Admin"
