@@ -52,7 +52,7 @@ def short_scale_label(x: Column | str, accuracy: float = 0.1) -> Column:
     ax = F.abs(c)
     scaled = None
     suffix = None
-    for threshold, sfx in SHORT_SCALE:
+    for threshold, sfx in reversed(SHORT_SCALE):  # largest threshold first
         cond = ax >= F.lit(threshold)
         scaled = F.when(cond, c / F.lit(threshold)) if scaled is None else scaled.when(cond, c / F.lit(threshold))
         suffix = F.when(cond, F.lit(sfx)) if suffix is None else suffix.when(cond, F.lit(sfx))

@@ -5,35 +5,20 @@ original analysis, kept verbatim and in their original order.
 """
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: incident-description rules.
+# FIXED VALUES: incident-description rules (one pattern per line, as written in the analysis).
 # Ordered; the first rule whose pattern occurs anywhere in the text (case-insensitive,
 # no word boundaries) wins. Anything else, including NULL, is DEFAULT_CATEGORY.
 # ---------------------------------------------------------------------------
 CRIME_RULES: tuple[tuple[str, str], ...] = (
-    ("Violent Crime",
-     "ASSAULT|ROBBERY|HOMICIDE|RAPE|SEXUAL|KIDNAPPING|ENDANGERMENT|MENACING|STRANGULATION|"
-     "OBSTR BREATH/CIRCUL|AGGRAVATED HARASSMENT|MAKING TERRORISTIC THREAT|FORCIBLE TOUCHING|"
-     "MURDER|COERCION|SODOMY|STALKING"),
-    ("Property Crime",
-     "BURGLARY|LARCENY|THEFT|FORGERY|FRAUD|ARSON|MISCHIEF|GRAFFITI|STOLEN PROPERTY|"
-     "UNAUTHORIZED USE VEHICLE|BURGLARS TOOLS"),
-    ("Drug/Alcohol",
-     "CONTROLLED|DRUG|CANNABIS|ALCOHOL|IMPAIRED|MARIJUANA|POSS METH|SYNTHETIC"),
-    ("Weapons/Explosives",
-     "WEAPON|FIREWORKS|EXPLOSIVE|CRIM POS WEAP|FIREARMS"),
-    ("Public Order/Admin",
-     "TRESPASS|DISORDERLY|LOITERING|TRAFFIC|BRIBERY|PUBLIC|CODE|HEALTH|BAIL JUMPING|ESCAPE|"
-     "IMPRISONMENT|CONTEMPT|NUISANCE|OBSCENITY|FUGITIVE|UNLICENSED OPERATOR|RADIO DEVICES|"
-     "APPEARANCE TICKET|GENERAL BUSINESS LAW|NY STATE LAWS|NYS|NYC UNCLASSIFIED"),
-    ("Sex Crimes",
-     "PROSTITUTION|PATRONIZING|PROMOTING|LICENSED PREMISES|COMPULSORY|SEX CRIMES|INCEST|"
-     "LURING A CHILD"),
-    ("Animal Crimes",
-     "ANIMAL|TORTURE/INJURE|NEGLECT/POISON|CONFINING ANIMAL|CAUSE SPI/KILL|ABANDON ANIMAL"),
-    ("Traffic",
-     "RECKLESS DRIVING|SPEEDING|FAIL TO SIGNAL|SEAT BELTS|IMPROPER LIGHTS|ONE WAY STREET"),
-    ("Financial/White Collar",
-     "MONEY LAUNDERING|SALE|SALES OF PRESCRIPTION|UNAUTH. SALE"),
+    ("Violent Crime", "ASSAULT|ROBBERY|HOMICIDE|RAPE|SEXUAL|KIDNAPPING|ENDANGERMENT|MENACING|STRANGULATION|OBSTR BREATH/CIRCUL|AGGRAVATED HARASSMENT|MAKING TERRORISTIC THREAT|FORCIBLE TOUCHING|MURDER|COERCION|SODOMY|STALKING"),
+    ("Property Crime", "BURGLARY|LARCENY|THEFT|FORGERY|FRAUD|ARSON|MISCHIEF|GRAFFITI|STOLEN PROPERTY|UNAUTHORIZED USE VEHICLE|BURGLARS TOOLS"),
+    ("Drug/Alcohol", "CONTROLLED|DRUG|CANNABIS|ALCOHOL|IMPAIRED|MARIJUANA|POSS METH|SYNTHETIC"),
+    ("Weapons/Explosives", "WEAPON|FIREWORKS|EXPLOSIVE|CRIM POS WEAP|FIREARMS"),
+    ("Public Order/Admin", "TRESPASS|DISORDERLY|LOITERING|TRAFFIC|BRIBERY|PUBLIC|CODE|HEALTH|BAIL JUMPING|ESCAPE|IMPRISONMENT|CONTEMPT|NUISANCE|OBSCENITY|FUGITIVE|UNLICENSED OPERATOR|RADIO DEVICES|APPEARANCE TICKET|GENERAL BUSINESS LAW|NY STATE LAWS|NYS|NYC UNCLASSIFIED"),
+    ("Sex Crimes", "PROSTITUTION|PATRONIZING|PROMOTING|LICENSED PREMISES|COMPULSORY|SEX CRIMES|INCEST|LURING A CHILD"),
+    ("Animal Crimes", "ANIMAL|TORTURE/INJURE|NEGLECT/POISON|CONFINING ANIMAL|CAUSE SPI/KILL|ABANDON ANIMAL"),
+    ("Traffic", "RECKLESS DRIVING|SPEEDING|FAIL TO SIGNAL|SEAT BELTS|IMPROPER LIGHTS|ONE WAY STREET"),
+    ("Financial/White Collar", "MONEY LAUNDERING|SALE|SALES OF PRESCRIPTION|UNAUTH. SALE"),
 )
 DEFAULT_CATEGORY = "Other"
 
@@ -87,5 +72,5 @@ MONTH_ABBREVIATIONS: tuple[str, ...] = (
     "Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec",
 )
 
-# FIXED VALUES: short-scale suffixes and their thresholds.
-SHORT_SCALE: tuple[tuple[float, str], ...] = ((1e12, "T"), (1e9, "B"), (1e6, "M"), (1e3, "K"))
+# FIXED VALUES: short-scale suffixes and their thresholds, smallest first.
+SHORT_SCALE: tuple[tuple[float, str], ...] = ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T"))
