@@ -18,6 +18,7 @@ Floating-point outputs are rounded to 6 decimals on both sides for the compariso
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -741,8 +742,17 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_llm()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in _sql().items() if k in _QUERIES}
+    return {k: v for k, v in _sql().items() if k in _QUERIES} | _llm()[1]
+
+
+def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators; none where that subpackage is left out."""
+    if find_spec("blotter.llm") is None:
+        return {}, {}
+    from blotter.llm import ORACLES, QUERIES
+
+    return dict(QUERIES), dict(ORACLES)
