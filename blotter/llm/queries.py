@@ -10,10 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from ..session import shared_path
+from . import mixing, packing, sharding, token_store
 from .store import stage, table
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 8 shards of near equal bytes."""
     docs = table(spark, sf_dir, "documents").select(
@@ -26,6 +34,14 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids lie in the store, read back from its files."""
+    path = shared_path(spark, "token-store")
+    token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0,
+                            vocabulary=50_257)
+    return token_store.read_store(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", token_store.crc_rows)
+
+
 def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture's share of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -34,7 +50,15 @@ def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of 4096 ids."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bounded_ring": op1_bounded_ring,
+    "op4_token_store": op4_token_store,
     "op8_splitting_tree": op8_splitting_tree,
+    "op10_harmonic_packing": op10_harmonic_packing,
 }
