@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import mixing, packing, sharding, token_store
+from . import ann_scan, mixing, packing, sharding, token_store, topk_pivot
 from .store import stage, table
 
 
@@ -34,6 +34,18 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found for every 50th vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann_scan.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+def op3_pivot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer products for every 50th vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk_pivot.search(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where every document's ids lie in the store, read back from its files."""
     path = shared_path(spark, "token-store")
@@ -58,6 +70,8 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bounded_ring": op1_bounded_ring,
+    "op2_dimension_scan": op2_dimension_scan,
+    "op3_pivot_table": op3_pivot_table,
     "op4_token_store": op4_token_store,
     "op8_splitting_tree": op8_splitting_tree,
     "op10_harmonic_packing": op10_harmonic_packing,
