@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import ann_scan, mixing, packing, sharding, token_store, topk_pivot
+from . import ann_scan, mixing, nbsvm, packing, sharding, token_store, topk_pivot
 from .store import stage, table
 
 
@@ -54,6 +54,15 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", token_store.crc_rows)
 
 
+def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~nbsvm.held_out(F.col("doc_id")))
+    scored = nbsvm.scores(docs, nbsvm.fit(docs, labels))
+    return scored.select("doc_id", nbsvm.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture's share of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dimension_scan": op2_dimension_scan,
     "op3_pivot_table": op3_pivot_table,
     "op4_token_store": op4_token_store,
+    "op6_nbsvm_quality": op6_nbsvm_quality,
     "op8_splitting_tree": op8_splitting_tree,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
