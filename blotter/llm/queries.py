@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import ann_scan, mixing, nbsvm, packing, sharding, token_store, topk_pivot
+from . import ann_scan, mixing, nbsvm, packing, sharding, suffix_tree, token_store, topk_pivot
 from .store import stage, table
 
 
@@ -63,6 +63,14 @@ def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model's and the base's log10 probability of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = nbsvm.held_out(F.col("doc_id"), rest=1)
+    scored = suffix_tree.score(docs, *suffix_tree.fit(docs.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture's share of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
@@ -83,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pivot_table": op3_pivot_table,
     "op4_token_store": op4_token_store,
     "op6_nbsvm_quality": op6_nbsvm_quality,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_splitting_tree": op8_splitting_tree,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
