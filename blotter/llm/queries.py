@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import ann_scan, mixing, nbsvm, packing, sharding, suffix_tree, token_store, topk_pivot
+from . import ann_scan, minmax_dedup, mixing, nbsvm, packing, sharding, suffix_tree, token_store, topk_pivot
 from .store import stage, table
 
 
@@ -54,6 +54,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", token_store.crc_rows)
 
 
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dimension_scan": op2_dimension_scan,
     "op3_pivot_table": op3_pivot_table,
     "op4_token_store": op4_token_store,
+    "op5_minmax_dedup": op5_minmax_dedup,
     "op6_nbsvm_quality": op6_nbsvm_quality,
     "op7_suffix_tree": op7_suffix_tree,
     "op8_splitting_tree": op8_splitting_tree,
