@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import ann_scan, minmax_dedup, mixing, nbsvm, packing, sharding, suffix_tree, token_store, topk_pivot
+from . import ann_scan, line_dedup, minmax_dedup, mixing, nbsvm, packing, sharding, suffix_tree, token_store, topk_pivot
 from .store import stage, table
 
 
@@ -84,6 +84,14 @@ def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document's text: lines removed, characters and crc32 of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.dedup_lines(docs)
+    return left.select("doc_id", "removed_lines", F.length("text").cast("long").alias("chars"),
+                       F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
+
+
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in sequences of 4096 ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
@@ -99,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nbsvm_quality": op6_nbsvm_quality,
     "op7_suffix_tree": op7_suffix_tree,
     "op8_splitting_tree": op8_splitting_tree,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_harmonic_packing": op10_harmonic_packing,
 }
