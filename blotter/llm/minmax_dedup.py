@@ -71,7 +71,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "key long, n_shingles long, high long, low long, signature binary, buckets array<bigint>"
+_SKETCH = "key long, text_hash long, n_shingles long, high long, low long, signature binary, buckets array<bigint>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,24 +92,24 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count[have] = VALUES // BAND
             offsets = pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), pa.array(n.astype(np.int64)), pa.array(prints[:, 0].astype(np.int64)),
+                [part.column("key"), part.column("text_hash"), pa.array(n.astype(np.int64)), pa.array(prints[:, 0].astype(np.int64)),
                  pa.array(prints[:, 1].astype(np.int64)), binary_rows(small.ravel(), np.full(rows, VALUES)),
                  pa.ListArray.from_arrays(offsets, pa.array(bands(signature).ravel().astype(np.int64)))],
-                names=["key", "n_shingles", "high", "low", "signature", "buckets"])
+                names=["key", "text_hash", "n_shingles", "high", "low", "signature", "buckets"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row of ``docs``.
+    """(key, text_hash, n_shingles, component_id, kept) of every row of ``docs``.
 
+    ``text_hash`` is Spark's xxhash64 of the text; with the key it tells rows of one key apart.
     Documents are linked if 100 * |intersection| >= percent * |union| of their sets. component_id is
     the least key reachable, the document's own included. A document with fewer than 5 words has
     its whole sequence as one shingle; one without words (null, empty) has an empty set and is linked with
     nothing. ``key`` holds whole numbers; rows with a null key are left out of links and get a null
-    component, kept. Of rows that share a key and a text, all are returned, and all with the same key are kept or not
-    alike. An empty table gives an empty result.
+    component, kept. Repeated rows are all returned, alike. An empty table gives an empty result.
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sketches = stage(docs.mapInArrow(_sketch, _SKETCH), "sketches")
+    sketches = stage(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, _SKETCH), "sketches")
     # One node for each distinct set: the least key that has it.
     nodes = sketches.where("n_shingles > 0 AND key IS NOT NULL").groupBy("high", "low", "n_shingles").agg(
         F.min("key").alias("id"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
@@ -128,10 +128,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     found = link(members, verify)
     by_set = nodes.select("high", "low", "n_shingles", "id").join(found, "id", "left").select(
         "high", "low", "n_shingles", F.coalesce("root", "id").alias("root"))
-    out = sketches.select("key", "n_shingles", "high", "low").join(by_set, ["high", "low", "n_shingles"], "left")
+    out = sketches.select("key", "text_hash", "n_shingles", "high", "low").join(by_set, ["high", "low", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("key"))
     component = F.when(F.col("key").isNotNull(), component)
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
+    return out.select(F.col("key").alias(key), "text_hash", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 

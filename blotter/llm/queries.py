@@ -56,7 +56,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op6_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
