@@ -751,8 +751,9 @@ def oracle_sql() -> dict[str, str]:
 
 def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """Queries and SQL of the training-data operators; none where that subpackage is left out."""
-    if find_spec("blotter.llm") is None:
+    if find_spec("blotter.llm") is None or find_spec("corpus_pipeline") is None:
         return {}, {}
     from blotter.llm import ORACLES, QUERIES
+    from corpus_pipeline import ORACLE_SQL, run
 
-    return dict(QUERIES), dict(ORACLES)
+    return {**QUERIES, "pipeline": run}, ORACLES | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
