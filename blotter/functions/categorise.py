@@ -2,36 +2,14 @@
 
 Matching: a rule pattern is searched anywhere in the text (no anchors, no word boundaries),
 ignoring case by Unicode simple case folding (see :mod:`.casefold`). The text is folded once
-per row, JVM-side. Alternatives that are plain literals (all but one of the built-in ones)
-are then found by one of two matchers:
-
-``automaton`` (default when ``pyahocorasick`` is importable)
-    an Arrow-batched pandas UDF runs one Aho-Corasick pass per text over all literal tokens
-    and returns a bitmask of the rules that have a token in it. One linear scan per text,
-    whatever the number of tokens; the category choice itself stays a JVM CASE expression.
-``expression``
-    a chain of ``contains`` searches, one per token (pure JVM; cost grows with the number of
-    tokens times the text length).
-
-Alternatives with regex syntax use ``rlike`` on the folded text; patterns with groups,
-classes or escapes are run whole as one case-insensitive regex on the original text.
-
-Two physical strategies give the same result:
-
-``inline``
-    the folded text and one CASE WHEN chain evaluated per row. No shuffle, fully lazy, works
-    on streams. A filter on the category does not re-run the rules (see ``_with_rules``).
-
-``dimension``
-    the distinct values of the text column are categorised once, checkpointed to the shared
-    checkpoint folder, and joined back with a broadcast hash join. The regexes then run once
-    per *distinct* value. The broadcast is only used after the materialised dimension has been
-    counted and measured; above the limits the inline form is used instead.
-
-``auto`` (default) uses ``inline`` for small inputs (a couple of partitions); otherwise it
-probes the repetition of the column on a small leading slice of the input — only to choose
-the plan, the answer is computed over every row either way — and picks ``dimension`` for
-heavily repeated text, ``inline`` otherwise.
+per row, JVM-side. Alternatives that are plain literals (all but one of
+the built-in ones) are found by a chain of ``contains`` searches; alternatives with regex syntax use
+``rlike`` on the folded text; patterns with groups, classes or escapes are run whole as one
+case-insensitive regex on the original text. Literals that can never decide are not searched (see
+``decisive``).
+
+Everything is one JVM expression evaluated per row: no shuffle, no Python, no choice by input size; it
+works on streams.
 """
 
 from __future__ import annotations
@@ -39,11 +17,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
 from .casefold import fold_col, fold_text
 from .rules import CRIME_RULES, DEFAULT_CATEGORY
 
@@ -52,18 +28,6 @@ Rules = Sequence[tuple[str, str]]
 # Case-insensitive with Unicode case folding: the behaviour of ICU / RE2 "ignore case".
 CASE_FLAGS = "(?iu)"
 
-# Broadcast limits for the materialised dimension: rows and total text bytes.
-DIM_MAX_ROWS = 2_000_000
-DIM_MAX_BYTES = 64 * 1024 * 1024
-# Strategy probe: rows read from the head of the input and the distinct ratio that
-# counts as "repeated".
-PROBE_ROWS = 20_000
-PROBE_MAX_DISTINCT_RATIO = 0.2
-# Inputs in at most this many partitions (a file scan splits at ~128 MB) are too small for the
-# dimension's fixed cost (a distinct, a checkpoint, a measurement) to pay off.
-SMALL_INPUT_PARTITIONS = 2
-
-
 _NOT_SPLITTABLE = set("()[]{}\\")
 _REGEX_SYNTAX = set(".^$*+?{}[]()|\\")
 
@@ -107,147 +71,66 @@ def rule_expr(text: Column | str, rules: Rules = CRIME_RULES, default: str = DEF
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
-def _literal_tokens(rules: Rules) -> list[tuple[str, int]]:
-    """(folded token, rule bit) for every literal alternative of every splittable rule."""
-    out = []
-    for i, (_, pattern) in enumerate(rules):
-        alts = split_alternatives(pattern)
-        if alts is None:
-            continue
-        for a in alts:
-            if a and not any(ch in _REGEX_SYNTAX for ch in a):
-                out.append((fold_text(a), 1 << i))
-    return out
-
+def needless(alternative: str, literals: Sequence[str]) -> bool:
+    """Whether text that matches ``alternative`` always holds one of ``literals`` (all folded).
 
-def _have_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
+    Only wildcards (``.``) may stand between the alternative's fixed parts.
+    """
+    parts = alternative.split(".")
+    if any(ch in _REGEX_SYNTAX for part in parts for ch in part):
         return False
-    return True
+    return any(lit in part for lit in literals if lit for part in parts)
 
 
-def rule_mask_udf(tokens: Sequence[tuple[str, int]]):
-    """Pandas UDF: folded text -> OR of the bits of all tokens occurring in it (NULL for NULL).
+def decisive(rules: Rules) -> list[tuple[str, str]]:
+    """The rules without alternatives that can never decide.
 
-    Self-contained (no reference to this package) so executors need only ``pyahocorasick``.
-    The automaton is built once per Arrow batch (microseconds for a few hundred tokens). Batch
-    memory is bounded by ``spark.sql.execution.arrow.maxBytesPerBatch`` (64 MB by default) as
-    well as by the record count, so very long texts do not make huge batches.
+    A text that matches an alternative which contains a shorter literal of the same or of an earlier
+    rule has already matched that literal, so the alternative need not be searched. The result is
+    the same for every text; the rules themselves stay as written.
     """
-    toks = tuple(tokens)
-
-    @F.pandas_udf("long")
-    def rule_mask(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-        import numpy as np
-
-        auto = ahocorasick.Automaton()
-        for tok, bit in toks:
-            auto.add_word(tok, auto.get(tok, 0) | bit)
-        auto.make_automaton()
-        values = texts.to_numpy(dtype=object)
-        out = np.zeros(len(values), dtype=np.int64)
-        isnull = texts.isna().to_numpy()
-        for i, x in enumerate(values):
-            if isnull[i]:
-                continue
-            m = 0
-            for _, bit in auto.iter(x):
-                m |= bit
-                if m & 1:  # the first rule wins: nothing later can change the answer
-                    break
-            out[i] = m
-        return pd.Series(out, dtype="Int64").mask(isnull)
-
-    return rule_mask
-
-
-def rule_expr_automaton(text: Column | str, folded: Column, rules: Rules = CRIME_RULES,
-                        default: str = DEFAULT_CATEGORY) -> Column:
-    """The same CASE as :func:`rule_expr`, with literal tokens found by one automaton pass."""
-    c = F.col(text) if isinstance(text, str) else text
-    mask = rule_mask_udf(_literal_tokens(rules))(folded)
-    expr = None
-    for i, (name, pattern) in enumerate(rules):
-        alts = split_alternatives(pattern)
-        if alts is None:
-            cond = c.rlike(CASE_FLAGS + pattern)
-        else:
-            cond = (mask.bitwiseAND(F.lit(1 << i)) != 0)
-            for a in alts:
-                if any(ch in _REGEX_SYNTAX for ch in a):
-                    cond = cond | folded.rlike(fold_text(a))
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
+    out: list[tuple[str, str]] = []
+    earlier: list[str] = []
+    for name, pattern in rules:
+        alternatives = split_alternatives(pattern)
+        if alternatives is None:
+            out.append((name, pattern))
+            continue
+        folded = [fold_text(a) for a in alternatives]
+        literals = [a for a in folded if not any(ch in _REGEX_SYNTAX for ch in a)]
+        kept = [a for i, (a, f) in enumerate(zip(alternatives, folded))
+                if f not in folded[:i] and not needless(f, earlier + [lit for lit in literals if lit != f])]
+        if kept:
+            out.append((name, "|".join(kept)))
+        earlier += literals
+    return out
 
 
-def _with_rules(df: DataFrame, col: str, rules: Rules, default: str, out: str, matcher: str = "auto") -> DataFrame:
-    """Inline evaluation with the folded text computed once per row as its own column.
+def categorise(df: DataFrame, col: str, rules: Rules = CRIME_RULES, default: str = DEFAULT_CATEGORY,
+               out: str = "category") -> DataFrame:
+    """Add column ``out`` holding the first rule whose pattern occurs in ``col``.
 
-    The category is produced by a one-element ``explode``: Catalyst keeps filters on the
+    ``rules`` is an ordered list of ``(category, regex)``; the default is used for no match
+    and for NULL text. An input column named ``out`` is replaced. The folded text is computed once per
+    row. The category is produced by a one-element ``explode``: Catalyst keeps filters on the
     category above that generator (so the rules run once per row, not once more inside every
     pushed-down filter), while filters on other columns are still pushed below it to the scan.
     """
-    if matcher == "auto":
-        matcher = "automaton" if (_have_automaton() and 0 < len(rules) <= 62) else "expression"
     folded = df.withColumn("_folded", fold_col(col))
-    if matcher == "automaton":
-        category = rule_expr_automaton(col, F.col("_folded"), rules, default)
-    else:
-        category = rule_expr(col, rules, default, folded=F.col("_folded"))
+    category = rule_expr(col, decisive(rules), default, folded=F.col("_folded"))
     keep = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != out]
     return folded.select(*keep, F.explode(F.array(category)).alias(out))
 
 
-def _probe_is_repetitive(df: DataFrame, col: str) -> bool:
-    probe = df.select(F.col(col).alias("_v")).limit(PROBE_ROWS)
-    row = probe.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_v").alias("d")).first()
-    rows, distinct = row["rows"], row["d"]
-    if not rows:
-        return False
-    return distinct <= PROBE_MAX_DISTINCT_RATIO * rows
-
-
-def build_dimension(df: DataFrame, col: str, rules: Rules = CRIME_RULES,
-                    default: str = DEFAULT_CATEGORY, out: str = "category", matcher: str = "auto") -> DataFrame:
-    """Distinct values of ``col`` with their category, checkpointed (lineage cut)."""
-    keys = df.select(F.col(col).alias("_dim_key")).distinct()
-    return materialise(_with_rules(keys, "_dim_key", rules, default, out, matcher))
+def category_dimension(df: DataFrame, col: str, rules: Rules = CRIME_RULES,
+                       default: str = DEFAULT_CATEGORY, out: str = "category") -> DataFrame:
+    """The distinct values of ``col`` (NULL included) with their category: ``col, out``.
 
-
-def categorise(df: DataFrame, col: str, rules: Rules = CRIME_RULES, default: str = DEFAULT_CATEGORY,
-               out: str = "category", strategy: str = "auto", matcher: str = "auto") -> DataFrame:
-    """Add column ``out`` holding the first rule whose pattern occurs in ``col``.
-
-    ``rules`` is an ordered list of ``(category, regex)``; the default is used for no match
-    and for NULL text. See the module docstring for ``strategy`` and ``matcher``.
+    A lookup table for values that repeat. Joining it back is left to the caller and to the optimizer,
+    which picks the join by the sizes it sees; categorising rows directly was faster in every case
+    measured here.
     """
-    if strategy not in ("auto", "inline", "dimension"):
-        raise ValueError(f"unknown strategy {strategy!r}")
-    if df.isStreaming:
-        # Unbounded input: nothing can be probed or materialised up front.
-        strategy = "inline"
-    elif strategy == "auto":
-        small = df.rdd.getNumPartitions() <= SMALL_INPUT_PARTITIONS
-        strategy = "dimension" if (not small and _probe_is_repetitive(df, col)) else "inline"
-    if strategy == "inline":
-        return _with_rules(df, col, rules, default, out, matcher)
-
-    dim = build_dimension(df, col, rules, default, out, matcher)
-    stats = dim.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(F.octet_length("_dim_key")), F.lit(0)).alias("bytes"),
-    ).first()
-    if stats["rows"] > DIM_MAX_ROWS or stats["bytes"] > DIM_MAX_BYTES:
-        # Too big to ship to every task: per-row evaluation, still without a shuffle.
-        return _with_rules(df, col, rules, default, out, matcher)
-    joined = df.join(F.broadcast(dim), df[col].eqNullSafe(dim["_dim_key"]), "left")
-    # Values that appeared after the dimension was built (a changing source) fall back inline.
-    return joined.withColumn(out, F.coalesce(dim[out], rule_expr(df[col], rules, default))).drop(
-        "_dim_key"
-    ).select(*df.columns, out)
+    return categorise(df.select(col).distinct(), col, rules, default, out)
 
 
 def categorise_sql(text_sql: str, rules: Rules = CRIME_RULES, default: str = DEFAULT_CATEGORY) -> str:

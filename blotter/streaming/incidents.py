@@ -32,7 +32,7 @@ def read_parquet_stream(spark: SparkSession, path: str, schema, glob: str | None
 def category_counts_stream(stream: DataFrame, text_col: str = "pd_desc", rules: Rules = CRIME_RULES,
                            default: str = DEFAULT_CATEGORY) -> DataFrame:
     """Running ``category, n`` over everything received so far."""
-    cat = categorise(stream.select(text_col), text_col, rules, default, "category", strategy="inline")
+    cat = categorise(stream.select(text_col), text_col, rules, default, "category")
     return cat.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,7 +1,8 @@
+import re
+
 import pytest
-from pyspark.sql import functions as F
 
-from blotter.functions.categorise import categorise, rule_expr
+from blotter.functions.categorise import categorise, category_dimension, decisive, rule_expr
 from blotter.functions.rules import CRIME_RULES, DEFAULT_CATEGORY
 from blotter.plans.incidents import category_counts
 from conftest import table
@@ -27,26 +28,55 @@ PRECEDENCE = [
 DEFAULTS = [(None, "Other"), ("", "Other"), ("ZZZ", "Other"), ("assault", "Violent Crime"), ("DRAPE", "Violent Crime")]
 
 
-def _run(spark, rows, strategy, matcher="auto"):
+def _run(spark, rows):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id int, pd_desc string")
-    out = categorise(df, "pd_desc", strategy=strategy, matcher=matcher).orderBy("id").collect()
-    return [r.category for r in out]
+    return [r.category for r in categorise(df, "pd_desc").orderBy("id").collect()]
 
 
-@pytest.mark.parametrize("matcher", ["automaton", "expression"])
-@pytest.mark.parametrize("strategy", ["inline", "dimension", "auto"])
 @pytest.mark.parametrize("rows", [ONE_PER_RULE, PRECEDENCE, DEFAULTS], ids=["one_per_rule", "precedence", "defaults"])
-def test_rules(spark, rows, strategy, matcher):
-    assert _run(spark, rows, strategy, matcher) == [c for _, c in rows]
+def test_rules(spark, rows):
+    assert _run(spark, rows) == [c for _, c in rows]
 
 
 def test_case_folding_beyond_ascii(spark):
     # simple case folding: long s folds to s, Kelvin sign to k; dotted capital I and sharp s do not
     rows = [("\u017fpeeding",), ("MAKING TERRORISTIC THREAT".replace("K", "\u212a"),), ("PUBL\u0130C",), ("STRA\u00dfE",)]
     df = spark.createDataFrame(rows, "t string")
-    for matcher in ("automaton", "expression"):
-        got = [r.category for r in categorise(df, "t", strategy="inline", matcher=matcher).collect()]
-        assert got == ["Traffic", "Violent Crime", "Other", "Other"]
+    got = [r.category for r in categorise(df, "t").collect()]
+    assert got == ["Traffic", "Violent Crime", "Other", "Other"]
+
+
+def test_empty_alternative_matches_every_text(spark):
+    df = spark.createDataFrame([("zzz",), ("",), (None,)], "t string")
+    assert [r.category for r in categorise(df, "t", [("X", "a|")]).collect()] == ["X", "X", "Other"]
+
+
+def test_an_input_column_of_the_same_name_is_replaced(spark):
+    df = spark.createDataFrame([("ROBBERY", "old", 1)], "t string, category string, n int")
+    out = categorise(df, "t")
+    assert out.columns == ["t", "n", "category"] and out.first().category == "Violent Crime"
+    assert category_dimension(df, "t").first().category == "Violent Crime"
+
+
+def test_alternatives_that_cannot_decide_are_left_out(spark):
+    kept = dict(decisive(CRIME_RULES))
+    assert "CONFINING ANIMAL" not in kept["Animal Crimes"].split("|") and "ANIMAL" in kept["Animal Crimes"].split("|")
+    assert kept["Financial/White Collar"].split("|") == ["MONEY LAUNDERING", "SALE"]
+    assert sum(len(p.split("|")) for p in kept.values()) < 87
+    assert decisive([("A", "x.*y|xy"), ("B", "axy|q|Q")]) == [("A", "x.*y|xy"), ("B", "q")]
+
+
+def test_left_out_alternatives_change_nothing(spark):
+    """Every alternative of every rule, alone and next to every rule's first one."""
+    alternatives = [a for _, p in CRIME_RULES for a in p.split("|")]
+    firsts = [p.split("|")[0] for _, p in CRIME_RULES]
+    texts = alternatives + [f"{a} {b}" for a in alternatives for b in firsts]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = categorise(df, "t").withColumn("whole", rule_expr("t"))
+    assert both.where("category <> whole").count() == 0
+    for text, whole in ((r.t, r.whole) for r in both.collect()):
+        want = next((n for n, p in CRIME_RULES if re.search(p, text, re.I)), DEFAULT_CATEGORY)
+        assert whole == want
 
 
 def test_rule_table_shape():
@@ -55,22 +85,11 @@ def test_rule_table_shape():
     assert DEFAULT_CATEGORY == "Other"
 
 
-def test_strategies_agree_on_real_text(spark):
+def test_dimension_agrees_with_rows(spark):
     for tab, col in [("documents", "text"), ("part", "p_type"), ("pages", "html")]:
         df = table(spark, tab).select(col)
-        a = categorise(df, col, strategy="inline").groupBy("category").count()
-        b = categorise(df, col, strategy="dimension").groupBy("category").count()
-        c = categorise(df, col, strategy="inline", matcher="expression").groupBy("category").count()
-        assert sorted(a.collect()) == sorted(b.collect()) == sorted(c.collect())
-
-
-def test_dimension_plan_broadcasts_and_keeps_filter_off_regex(spark):
-    df = table(spark, "part").select("p_type")
-    out = categorise(df, "p_type", strategy="dimension").where(F.col("category") != "Other")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
-    # the regex chain is not evaluated on the fact scan: it lives in the checkpointed dimension
-    assert "RLIKE" not in plan.upper().split("BROADCAST")[0] or "coalesce" in plan
+        rows = categorise(df, col).distinct()
+        assert sorted(rows.collect()) == sorted(category_dimension(df, col).collect())
 
 
 def test_category_counts_match_rows(spark):
@@ -82,15 +101,3 @@ def test_category_counts_match_rows(spark):
 def test_rule_expr_never_null(spark):
     df = spark.createDataFrame([(None,), ("x",)], "t string")
     assert all(r.c is not None for r in df.select(rule_expr("t").alias("c")).collect())
-
-
-def test_dimension_over_limit_falls_back_to_inline(spark, monkeypatch):
-    import blotter.functions.categorise as C
-
-    df = table(spark, "part").select("p_type")
-    want = sorted(categorise(df, "p_type", strategy="inline").groupBy("category").count().collect())
-    monkeypatch.setattr(C, "DIM_MAX_ROWS", 1)
-    out = categorise(df, "p_type", strategy="dimension")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" not in plan
-    assert sorted(out.groupBy("category").count().collect()) == want
