@@ -4,18 +4,20 @@ Spark has no usable geometry type, so the intersection is expressed with joins o
 grid, all as DataFrame operations:
 
 1. lines are exploded into segments and polygon rings into edges;
-2. segments and edges are both exploded into the grid cells they pass through and
-   equi-joined on the cell, giving every crossing parameter ``t`` along a segment;
+2. segments and edges are both exploded into the grid cells they pass through; segments are
+   left-joined to edges on the cell, and one aggregate by segment gathers the parameters ``t`` of its
+   crossings;
 3. every segment is cut at its crossings; each interval lies wholly inside or wholly outside
    each polygon;
-4. the interval midpoint is tested with an even-odd ray cast to +x: an equi-join of midpoints
-   with edges on a horizontal band key (all rings take part, so holes work);
+4. an interval is a candidate for the polygons whose box holds its midpoint (a join on the grid
+   cell); the midpoint is tested with an even-odd ray cast to +x against the edges of that polygon in
+   its horizontal band (all rings of all parts take part, so holes and multi-part polygons work);
 5. inside intervals are stitched into pieces (gaps and islands over the segment order) and
    their points collected in order.
 
-Both joins are equi-joins on a spatial key with a crossing predicate as the join condition;
-the polygon side (edges) is a dimension and is broadcast by AQE when its measured size allows,
-otherwise both sides are shuffled on the key and AQE splits skewed keys.
+All joins are equi-joins on a spatial key; which side is broadcast is the optimizer's choice from the
+sizes it sees. Everything before the stitching is grouped by segment, so a long line is spread over
+many tasks.
 
 Conventions: planar coordinates (degrees treated as a plane); a piece that only touches the
 boundary in a point is dropped; a line running along an edge is inside when the polygon lies
@@ -36,8 +38,6 @@ from .points import DEGREE_CRS, crs_of
 EPS = 1e-12
 MIN_INTERVAL = 1e-11
 DEFAULT_CELL = 0.01
-# Polygon edges exploded to cells/bands: broadcast up to this many rows (~100 bytes each).
-MAX_BROADCAST_EDGE_ROWS = 2_000_000
 
 
 def _segments(lines: DataFrame, key: list[str]) -> DataFrame:
@@ -135,36 +135,32 @@ def _check_crs(lines: DataFrame, polygons: DataFrame) -> None:
 
 def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] = ("way_id",),
                poly_key: Sequence[str] = ("name",), cell: float = DEFAULT_CELL,
-               band: float | None = None, max_broadcast_rows: int | None = MAX_BROADCAST_EDGE_ROWS) -> DataFrame:
+               band: float | None = None) -> DataFrame:
     """Intersect lines (``pts``) with polygons (``rings``).
 
-    ``line_key`` / ``poly_key`` must identify a row of each input. Returns every other column of
-    both inputs plus ``piece`` (1, 2, ... per line and polygon, along the line) and ``pts``, the
-    ordered points of that piece. ``cell`` is the grid size of the crossing join and ``band`` the
-    band height of the inside test (default: ``cell``), both in coordinate units. The exploded
-    polygon edges are broadcast when both their cell and band tables have at most
-    ``max_broadcast_rows`` rows (counted first); otherwise both joins shuffle on their keys.
+    Rows of ``polygons`` with the same ``poly_key`` are the parts of one polygon. A line is identified
+    by ``line_key``, its ``part`` (if there is such a column) and its points; rows that agree in these are
+    one line. Returns the other columns of both inputs (of the polygons: those of one part, without
+    ``part``) plus ``piece`` (1, 2, ... per line and polygon, along the line) and ``pts``, the ordered points
+    of that piece. ``cell`` is the grid size of the crossing join and ``band`` the band height of the
+    inside test (default: ``cell``), both in coordinate units.
     """
     _check_crs(lines, polygons)
     band = band or cell
-    lk, pk = [f"_lk{i}" for i in range(len(line_key))], [f"_pk{i}" for i in range(len(poly_key))]
-    L = lines.select(*[F.col(c).alias(a) for c, a in zip(line_key, lk)], "pts")
+    pk = [f"_pk{i}" for i in range(len(poly_key))]
+    parts = [F.col("part").cast("string")] if "part" in lines.columns else []
+    line_cols = [c for c in lines.columns if c != "pts"]
+    line_id = F.struct(*[F.col(c) for c in line_key], *parts, F.xxhash64("pts").alias("_shape"))
+    L = lines.select(line_id.alias("_line"), F.struct(*line_cols).alias("_attrs"), "pts")
     P = polygons.select(*[F.col(c).alias(a) for c, a in zip(poly_key, pk)], "rings")
 
-    segs = _segments(L, lk)
-    # The polygon side is a dimension: materialise its edges once (lineage cut), so measuring
-    # and broadcasting it does not re-read the polygon source.
+    segs = _segments(L, ["_line", "_attrs"])
+    # Used three times below: computed once, with its lineage cut.
     edges = materialise(_edges(P, pk))
 
-    # 2. crossings on the grid. The polygon side is a dimension: after measuring it, broadcast it
-    # so the (large) segment side is never shuffled for the two spatial joins.
+    # 2. cut points of every segment: one scan of the lines, one shuffle by segment
     sc = _cells(segs, "x1", "y1", "x2", "y2", cell)
     ec = _cells(edges, "ex1", "ey1", "ex2", "ey2", cell).select("_ix", "_iy", "ex1", "ey1", "ex2", "ey2")
-    eb = edges.withColumn(
-        "_band", F.explode(F.sequence(F.floor(F.least("ey1", "ey2") / band), F.floor(F.greatest("ey1", "ey2") / band)))
-    ).select("_band", *pk, "ex1", "ey1", "ex2", "ey2")
-    if max_broadcast_rows and max(ec.count(), eb.count()) <= max_broadcast_rows:
-        ec, eb = F.broadcast(ec), F.broadcast(eb)
     rx, ry = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     sx, sy = F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
     qx, qy = F.col("ex1") - F.col("x1"), F.col("ey1") - F.col("y1")
@@ -172,50 +168,62 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] =
     t = F.try_divide(qx * sy - qy * sx, d)
     u = F.try_divide(qx * ry - qy * rx, d)
     crossing = (t > EPS) & (t < 1 - EPS) & (u >= -EPS) & (u <= 1 + EPS)
-    seg_cols = [*lk, "seg", "x1", "y1", "x2", "y2"]
-    crossings = sc.join(ec, ["_ix", "_iy"]).where(crossing).select(*seg_cols, F.round(t, 12).alias("t"))
-
-    # 3. cut every segment into intervals: segments and their crossings meet in one aggregate
-    # One shuffle, by line: every later grouping (per segment, per interval, per line and
-    # polygon for stitching, per piece) contains the line key, so none of them reshuffles.
+    seg_cols = ["_line", "seg", "x1", "y1", "x2", "y2"]
     with_cuts = (
-        segs.select(*seg_cols, F.lit(None).cast("double").alias("t"))
-        .unionByName(crossings)
-        .repartition(*lk)
+        sc.join(ec, ["_ix", "_iy"], "left")
         .groupBy(*seg_cols)
-        .agg(F.collect_list("t").alias("ts"))
+        .agg(F.collect_set(F.when(crossing, F.round(t, 12))).alias("ts"), F.first("_attrs").alias("_attrs"))
     )
+
+    # 3. cut every segment into intervals
     ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.col("ts"))))
     iv = F.transform(F.sequence(F.lit(0), F.size(ts) - 2),
                      lambda i: F.struct(F.get(ts, i).alias("ta"), F.get(ts, i + 1).alias("tb")))
     intervals = (
-        with_cuts.select(*seg_cols, F.explode(iv).alias("iv"))
-        .select(*seg_cols, "iv.ta", "iv.tb")
+        with_cuts.select(*seg_cols, "_attrs", F.explode(iv).alias("iv"))
+        .select(*seg_cols, "_attrs", "iv.ta", "iv.tb")
         .where(F.col("tb") - F.col("ta") > MIN_INTERVAL)
     )
     tm = (F.col("ta") + F.col("tb")) / 2.0
     intervals = intervals.withColumn("mx", F.col("x1") + tm * rx).withColumn("my", F.col("y1") + tm * ry)
 
-    # 4. even-odd test of the midpoint against all edges of its horizontal band
-    ib = intervals.withColumn("_band", F.floor(F.col("my") / band))
+    # 4. candidate polygons by box, then the even-odd test against their edges in the midpoint's band
+    boxes = edges.groupBy(*pk).agg(
+        F.min(F.least("ex1", "ex2")).alias("bx1"), F.max(F.greatest("ex1", "ex2")).alias("bx2"),
+        F.min(F.least("ey1", "ey2")).alias("by1"), F.max(F.greatest("ey1", "ey2")).alias("by2"))
+
+    def span(lo: str, hi: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+
+    boxes = boxes.withColumn("_ix", span("bx1", "bx2")).withColumn("_iy", span("by1", "by2"))
+    held = F.col("mx").between(F.col("bx1"), F.col("bx2")) & F.col("my").between(F.col("by1"), F.col("by2"))
+    near = (
+        intervals.withColumn("_ix", F.floor(F.col("mx") / cell)).withColumn("_iy", F.floor(F.col("my") / cell))
+        .join(boxes, ["_ix", "_iy"]).where(held)
+        .withColumn("_band", F.floor(F.col("my") / band))
+        .drop("_ix", "_iy", "bx1", "bx2", "by1", "by2")
+    )
+    eb = edges.withColumn(
+        "_band", F.explode(F.sequence(F.floor(F.least("ey1", "ey2") / band), F.floor(F.greatest("ey1", "ey2") / band)))
+    ).select("_band", *pk, "ex1", "ey1", "ex2", "ey2")
     ray_hits = (
         ((F.col("ey1") > F.col("my")) != (F.col("ey2") > F.col("my")))
         & (F.greatest("ex1", "ex2") > F.col("mx"))
         & (F.col("ex1") + F.try_divide((F.col("my") - F.col("ey1")) * (F.col("ex2") - F.col("ex1")),
                                        F.col("ey2") - F.col("ey1")) > F.col("mx"))
     )
-    keys = [*lk, "seg", "ta", "tb", "x1", "y1", "x2", "y2", *pk]
+    keys = [*seg_cols, "ta", "tb", *pk]
     inside = (
-        ib.join(eb, "_band")
+        _join_null_safe(near, eb, ["_band", *pk])
         .where(ray_hits)
         .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_hits"))
+        .agg(F.count(F.lit(1)).alias("_hits"), F.first("_attrs").alias("_attrs"))
         .where(F.col("_hits") % 2 == 1)
         .drop("_hits")
     )
 
     # 5. stitch consecutive inside intervals of the same line and polygon into pieces
-    w = Window.partitionBy(*lk, *pk).orderBy("seg", "ta")
+    w = Window.partitionBy("_line", *pk).orderBy("seg", "ta")
     prev_seg, prev_tb = F.lag("seg").over(w), F.lag("tb").over(w)
     continues = ((prev_seg == F.col("seg")) & (F.abs(prev_tb - F.col("ta")) < 1e-9)) | (
         (prev_seg == F.col("seg") - 1) & (prev_tb > 1 - 1e-9) & (F.col("ta") < 1e-9)
@@ -227,16 +235,23 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] =
         # "+ 0.0" folds a negative zero into 0.0
         return F.struct((F.col("x1") + F.col(tc) * rx + 0.0).alias("x"), (F.col("y1") + F.col(tc) * ry + 0.0).alias("y"))
 
-    ends = flagged.select(*lk, *pk, "piece", F.struct("seg", "ta", at("ta").alias("a"), at("tb").alias("b")).alias("iv"))
-    pieces = ends.groupBy(*lk, *pk, "piece").agg(F.array_sort(F.collect_list("iv")).alias("ivs"))
+    ends = flagged.select("_line", "_attrs", *pk, "piece",
+                          F.struct("seg", "ta", at("ta").alias("a"), at("tb").alias("b")).alias("iv"))
+    pieces = ends.groupBy("_line", *pk, "piece").agg(
+        F.array_sort(F.collect_list("iv")).alias("ivs"), F.first("_attrs").alias("_attrs"))
     pts = F.concat(F.array(F.get(F.col("ivs"), 0)["a"]), F.transform("ivs", lambda v: v["b"]))
-    pieces = pieces.select(*lk, *pk, "piece", pts.alias("pts"))
-
-    # attributes of both sides back on (keys identify rows)
-    line_attrs = lines.select(*[F.col(c).alias(a) for c, a in zip(line_key, lk)],
-                              *[c for c in lines.columns if c not in ("pts", *line_key)], *line_key)
-    poly_attrs = polygons.select(*[F.col(c).alias(a) for c, a in zip(poly_key, pk)],
-                                 *[c for c in polygons.columns if c not in ("rings", *poly_key)], *poly_key)
-    out = pieces.join(poly_attrs, pk).join(line_attrs, lk).drop(*lk, *pk)
-    front = [c for c in polygons.columns if c != "rings"] + [c for c in lines.columns if c != "pts"]
-    return out.select(*front, "piece", "pts")
+
+    # attributes of the polygons: one row for each key
+    poly_cols = [c for c in polygons.columns if c not in ("rings", "part")]
+    poly_attrs = polygons.groupBy(*[F.col(c).alias(a) for c, a in zip(poly_key, pk)]).agg(
+        F.first(F.struct(*poly_cols)).alias("_poly"))
+    out = _join_null_safe(pieces.select("_attrs", *pk, "piece", pts.alias("pts")), poly_attrs, pk)
+    return out.select(*[F.col("_poly")[c].alias(c) for c in poly_cols], *[F.col("_attrs")[c].alias(c) for c in line_cols],
+                      "piece", "pts")
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join in which a null key matches a null key."""
+    right = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    on = [left[k].eqNullSafe(right[f"_r{k}"]) for k in keys]
+    return left.join(right, on).drop(*[f"_r{k}" for k in keys])

@@ -29,8 +29,12 @@ def base_map(polygons: DataFrame, lines: DataFrame, name_col: str = "name",
              classes: Sequence[str] = ROAD_CLASSES, box: tuple[float, float, float, float] = CITY_BBOX,
              cell: float = DEFAULT_CELL, line_key: Sequence[str] = ("way_id",),
              poly_key: Sequence[str] = ("name",)) -> DataFrame:
-    """Roads clipped to the named districts: ``borough_name, highway, way_id, piece, pts``."""
+    """Roads clipped to the named districts: ``borough_name, highway, way_id, (part,) piece, pts``.
+
+    Parts of a district are one district; parts of a road are clipped each on its own.
+    """
     areas = named_areas(polygons, name_col, keep, aliases).select(*poly_key, "borough_name", "rings")
-    roads = main_roads(lines, classes, box).select(*line_key, "highway", "pts")
+    part = ["part"] if "part" in lines.columns else []
+    roads = main_roads(lines, classes, box).select(*line_key, *part, "highway", "pts")
     clipped = clip_lines(roads, areas, line_key, poly_key, cell)
-    return clipped.select("borough_name", "highway", *line_key, "piece", "pts")
+    return clipped.select("borough_name", "highway", *line_key, *part, "piece", "pts")

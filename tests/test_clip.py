@@ -41,11 +41,10 @@ CASES = [
 
 
 @pytest.mark.parametrize("case", CASES, ids=[str(c[0]) for c in CASES])
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_fixture_cases(spark, polys, case, broadcast):
+def test_fixture_cases(spark, polys, case):
     wid, pts, expected = case
     lines = spark.createDataFrame([(wid, "primary", pts)], f"way_id long, highway string, pts array<{PT}>")
-    out = clip_lines(lines, polys, ["way_id"], ["name"], cell=0.25, max_broadcast_rows=(10**6 if broadcast else 0))
+    out = clip_lines(lines, polys, ["way_id"], ["name"], cell=0.25)
     got = [(name, pts) for _, name, _, pts in _pieces(out)]
     want = sorted((n, tuple((float(x), float(y)) for x, y in p)) for n, p in expected)
     assert sorted(got) == want
@@ -177,3 +176,36 @@ def test_tiling_preserves_length(spark):
     for wid, _, pts in lines:
         want = sum(math.dist((a["x"], a["y"]), (b["x"], b["y"])) for a, b in zip(pts, pts[1:]))
         assert abs(total[wid] - want) < 1e-9
+
+
+def _square(x, y):
+    return [(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0), (x, y)]
+
+
+def test_two_part_borough_and_two_part_road_give_no_copies(spark):
+    """Through the default keys of the base map: parts of a name are one district."""
+    from blotter.plans.basemap import base_map
+
+    areas = spark.createDataFrame([("Kings", 0, [_square(0.0, 0.0)]), ("Kings", 1, [_square(2.0, 0.0)])],
+                                  f"name string, part int, rings array<array<{PT}>>")
+    roads = spark.createDataFrame(
+        [(1, 0, "primary", ln((-1.0, 0.5), (0.5, 0.5))), (1, 1, "primary", ln((0.7, 0.25), (5.0, 0.25))),
+         (2, 0, "trunk", ln((0.25, 0.75), (0.5, 0.75)))],
+        f"way_id long, part int, highway string, pts array<{PT}>")
+    out = base_map(areas, roads, keep=("Kings",), aliases={"Kings": "Brooklyn"}, box=(-9, -9, 9, 9), cell=0.25)
+    got = sorted((r.way_id, r.part, r.piece, [(round(p.x, 9), round(p.y, 9)) for p in r.pts]) for r in out.collect())
+    assert got == [
+        (1, 0, 1, [(0.0, 0.5), (0.5, 0.5)]),
+        (1, 1, 1, [(0.7, 0.25), (1.0, 0.25)]),
+        (1, 1, 2, [(2.0, 0.25), (3.0, 0.25)]),
+        (2, 0, 1, [(0.25, 0.75), (0.5, 0.75)]),
+    ]
+    assert {r.borough_name for r in out.collect()} == {"Brooklyn"}
+
+
+def test_null_keys_and_missing_polygons(spark):
+    areas = spark.createDataFrame([(None, [_square(0.0, 0.0)])], f"name string, rings array<array<{PT}>>")
+    roads = spark.createDataFrame([(None, "primary", ln((-1.0, 0.5), (0.5, 0.5)))], f"way_id long, highway string, pts array<{PT}>")
+    got = clip_lines(roads, areas, cell=0.25).collect()
+    assert [(r.name, r.way_id, r.piece) for r in got] == [(None, None, 1)]
+    assert clip_lines(roads, areas.limit(0), cell=0.25).count() == 0
