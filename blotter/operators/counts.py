@@ -25,9 +25,7 @@ def monthly_counts(df: DataFrame, date_col: str, name: str = "total",
     """Rows per calendar month 1-12 (all years pooled), months ascending, NULL month last."""
     month = month_of(as_date(df, date_col, date_format))
     counts = df.select(month.alias("month")).groupBy("month").agg(F.count(F.lit(1)).alias(name))
-    # At most 13 rows (12 months and NULL): sorting them in one partition needs no range
-    # partitioning (and so no sampling job).
-    return counts.coalesce(1).sortWithinPartitions(F.col("month").asc_nulls_last())
+    return counts.orderBy(F.col("month").asc_nulls_last())
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

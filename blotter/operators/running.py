@@ -1,74 +1,55 @@
 """Running totals in a global order without moving all rows into one task.
 
-``Window.orderBy(...)`` with no ``partitionBy`` sends every row to a single task. The input
-(typically an aggregated chart table) is checkpointed once and counted:
-
-- up to ``SINGLE_TASK_ROWS`` rows (a bound checked on the materialised data) one ordered
-  window task is the cheapest plan;
-- above it, the table is range-partitioned on the order keys and checkpointed with its
-  partition number (so every later read sees the same partitioning); each partition computes
-  its own prefix sums, and the per-partition totals — one row per partition, a bound fixed by
-  the partition count — are turned into offsets and broadcast back.
+``Window.orderBy(...)`` with no ``partitionBy`` sends every row to a single task. Here the input is
+range-partitioned on the order keys and checkpointed with its partition number (so every later read
+sees the same partitioning); each partition computes its own prefix sums, and the per-partition
+totals (one row for each partition) are turned into offsets and broadcast back. There is one plan
+for every input size. Sums of whole numbers are exact, so they do not depend on the partitions;
+scale them afterwards rather than summing fractions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
-SINGLE_TASK_ROWS = 100_000
-
 
 def running_total(df: DataFrame, value: str, order: Sequence[Column], out: str,
-                  exclusive_out: str | None = None, partitions: int | None = None) -> DataFrame:
+                  exclusive_out: str | None = None, partitions: int | None = None,
+                  also: Mapping[str, str] | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all rows up to and including this one in ``order``.
 
     ``exclusive_out`` (optional) = the same sum over the rows strictly before (0 for the first).
-    Ties in ``order`` land in the same range partition and are summed in an arbitrary but
-    fixed order, like any row-frame window. ``partitions`` forces the distributed plan.
+    ``also`` maps further outputs to their values, summed alike. Ties in ``order`` land in the same range
+    partition and are summed in an arbitrary but fixed order, like any row-frame window.
+    ``partitions`` sets the number of ranges.
     """
-    spark = df.sparkSession
-    base = materialise(df)
-    if base.count() <= SINGLE_TASK_ROWS and partitions is None:
-        # Proven small: one ordered task.
-        w1 = Window.orderBy(*order)
-        res = base.withColumn(out, F.sum(value).over(w1.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        if exclusive_out:
-            res = res.withColumn(
-                exclusive_out, F.coalesce(F.sum(value).over(w1.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            )
-        return res
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     staged = materialise(
-        base.repartitionByRange(n, *order)
+        df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_rt_pid", F.spark_partition_id())
     )
+    sums = {out: value, **(also or {})}
     w = Window.partitionBy("_rt_pid").orderBy(*order)
-    local = staged.withColumn(
-        "_rt_local", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
+    upto, before = (w.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    local = staged.withColumns({f"_rt_{o}": F.sum(v).over(upto) for o, v in sums.items()})
     if exclusive_out:
-        local = local.withColumn(
-            "_rt_local_ex",
-            F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-    totals = staged.groupBy("_rt_pid").agg(F.sum(value).alias("_rt_ptotal"))
-    # One row per partition: a single-task window here is bounded by the partition count.
+        local = local.withColumn("_rt_before", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    # One row for each partition: a single-task window here is bounded by the partition count.
+    totals = staged.groupBy("_rt_pid").agg(*[F.sum(v).alias(f"_rt_total_{o}") for o, v in sums.items()])
     wp = Window.orderBy("_rt_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_rt_pid", F.coalesce(F.sum("_rt_ptotal").over(wp), F.lit(0)).alias("_rt_offset")
-    )
-    res = local.join(F.broadcast(offsets), "_rt_pid").withColumn(out, F.col("_rt_offset") + F.col("_rt_local"))
-    drop = ["_rt_pid", "_rt_local", "_rt_offset"]
+    offsets = totals.select("_rt_pid", *[
+        F.coalesce(F.sum(f"_rt_total_{o}").over(wp), F.lit(0)).alias(f"_rt_offset_{o}") for o in sums])
+    res = local.join(F.broadcast(offsets), "_rt_pid")
+    res = res.withColumns({o: F.col(f"_rt_offset_{o}") + F.col(f"_rt_{o}") for o in sums})
     if exclusive_out:
-        res = res.withColumn(exclusive_out, F.col("_rt_offset") + F.col("_rt_local_ex"))
-        drop.append("_rt_local_ex")
-    return res.drop(*drop)
+        res = res.withColumn(exclusive_out, F.col(f"_rt_offset_{out}") + F.col("_rt_before"))
+    return res.drop("_rt_pid", "_rt_before", *[f"_rt_{o}" for o in sums], *[f"_rt_offset_{o}" for o in sums])
 
 
 def row_number_global(df: DataFrame, order: Sequence[Column], out: str = "ord") -> DataFrame:

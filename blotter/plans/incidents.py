@@ -27,23 +27,23 @@ from ..functions.rules import (
     SEX_COLOURS,
     SEX_LABELS,
 )
-from ..functions.scales import censor, palette_by_order
+from ..functions.scales import censor
 from ..operators.counts import count_by, monthly_counts
 from ..operators.donut import donut_geometry
-from ..operators.shares import reorder_levels, share_of_total, share_within, stack_fill
+from ..operators.shares import reorder_levels, share_within, stack_fill
 from ..session import materialise
 
 
 def with_category(df: DataFrame, text_col: str = "pd_desc", rules: Rules = CRIME_RULES,
-                  default: str = DEFAULT_CATEGORY, out: str = "category", strategy: str = "auto") -> DataFrame:
+                  default: str = DEFAULT_CATEGORY, out: str = "category") -> DataFrame:
     """The incident table with its rule category."""
-    return categorise(df, text_col, rules, default, out, strategy)
+    return categorise(df, text_col, rules, default, out)
 
 
 def category_counts(df: DataFrame, text_col: str = "pd_desc", rules: Rules = CRIME_RULES,
-                    default: str = DEFAULT_CATEGORY, strategy: str = "auto") -> DataFrame:
+                    default: str = DEFAULT_CATEGORY) -> DataFrame:
     """Rows per category: ``category, n``."""
-    cat = categorise(df.select(text_col), text_col, rules, default, "category", strategy)
+    cat = categorise(df.select(text_col), text_col, rules, default, "category")
     return count_by(cat, "category", "n")
 
 
@@ -94,29 +94,26 @@ def share_then_exclude(df: DataFrame, key: str = "perp_race",
     """Share of the total per ``key`` (NULL keys removed first), then some keys hidden.
 
     Hidden keys stay in the denominator, so the shown percentages need not sum to 100.
-    Output: ``<key>, n, percent, ypos, angle, label_angle, hjust, label, colour``.
+    Output, in ring order: ``<key>, ord, n, percent, ypos, angle, label_angle, hjust, label, colour``.
     """
-    counts = materialise(count_by(df.where(F.col(key).isNotNull()), key, "n"))
-    shares = share_of_total(counts, "n", "percent")
-    kept = shares.where(~F.col(key).isin(*exclude_after)) if exclude_after else shares
-    ring = donut_geometry(kept, key, "percent", angle_from="ypos")
-    ring = palette_by_order(ring, key, palette, "colour")
+    counts = count_by(df.where(F.col(key).isNotNull()), key, "n")
+    ring = donut_geometry(counts, key, "n", angle_from="ypos", hidden=exclude_after)
+    colour = F.try_element_at(F.array(*[F.lit(c) for c in palette]), F.col("rank"))
     return ring.select(
-        key, "n", "percent", "ypos", "angle", "label_angle", "hjust",
-        percent_label("percent").alias("label"), "colour",
-    )
+        key, "ord", "n", "percent", "ypos", "angle", "label_angle", "hjust",
+        percent_label("percent").alias("label"), colour.alias("colour"),
+    ).orderBy("ord")
 
 
 def donut_segments(df: DataFrame, key: str = "age_group",
                    colours: Mapping[str, str] = AGE_COLOURS) -> DataFrame:
     """Ring segments per ``key`` (NULL removed): bounds, label position and angle.
 
-    Output: ``<key>, n, percent, ymin, ymax, label_pos, angle, label_angle, label, colour``.
+    Output, in ring order: ``<key>, ord, n, percent, ymin, ymax, label_pos, angle, label_angle, label, colour``.
     """
-    counts = materialise(count_by(df.where(F.col(key).isNotNull()), key, "n"))
-    shares = share_of_total(counts, "n", "percent")
-    ring = donut_geometry(shares, key, "percent", angle_from="label_pos")
+    counts = count_by(df.where(F.col(key).isNotNull()), key, "n")
+    ring = donut_geometry(counts, key, "n", angle_from="label_pos")
     return ring.select(
-        key, "n", "percent", "ymin", "ymax", "label_pos", "angle", "label_angle",
+        key, "ord", "n", "percent", "ymin", "ymax", "label_pos", "angle", "label_angle",
         percent_label("percent").alias("label"), colour_map(key, colours).alias("colour"),
-    )
+    ).orderBy("ord")

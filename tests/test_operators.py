@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -124,8 +126,9 @@ def test_palette_by_order(spark):
 
 
 def test_donut_angle_uses_rows_left(spark):
-    df = spark.createDataFrame([("a", 30.0), ("b", 30.0)], "k string, percent double")
-    out = {r.k: r for r in donut_geometry(df, "k", "percent", "ypos").collect()}
+    df = spark.createDataFrame([("a", 3), ("b", 3), ("hidden", 4)], "k string, n long")
+    out = {r.k: r for r in donut_geometry(df, "k", "n", "ypos", hidden=["hidden"]).collect()}
+    assert sorted(out) == ["a", "b"] and out["b"].percent == 30.0 and (out["b"].ord, out["b"]["rank"]) == (1, 2)
     assert out["b"].ypos == 15.0 and abs(out["b"].angle - 0.0) < 1e-9
     assert abs(out["a"].angle - (-180.0)) < 1e-9 and out["a"].label_angle == 0.0 and out["a"].hjust == 1
 
@@ -137,3 +140,16 @@ def test_stack_null_level_at_bottom(spark):
     assert out[None].ymin == 0.0 and out[None].ymax == 0.25
     assert out["Male"].ymin == 0.25 and out["Male"].ymax == 0.75
     assert out["Female"].ymax == 1.0 and out["Female"].ymid == 0.875
+
+
+def test_running_sums_do_not_depend_on_partitions(spark):
+    rng = random.Random(1)
+    rows = [(f"k{i:04d}", rng.randint(1, 10**6)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, n long")
+    seen = set()
+    for parts in (1, 3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        out = donut_geometry(df.repartition(parts), "k").select("k", "ymin", "ymax", "label_pos", "angle").collect()
+        seen.add(tuple(sorted(map(tuple, out))))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(seen) == 1
