@@ -24,18 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.functions.categorise import categorise, categorise_sql
+from blotter.functions.categorise import categorise, categorise_sql, category_dimension
 from blotter.functions.labels import percent_label
 from blotter.functions.recode import recode
 from blotter.functions.rules import (
     CATEGORY_COLOURS,
     CATEGORY_SHORT_NAMES,
     LAYER_COLOURS,
+    MAP_VIEW,
     MONTH_ABBREVIATIONS,
     RACE_PALETTE,
 )
 from blotter.operators.counts import count_by, distinct_values
-from blotter.operators.points import point_counts, points_from_wkt
+from blotter.functions.scales import in_view
+from blotter.operators.points import crs_of, point_counts, points_from_wkt, to_crs, with_crs
 from blotter.operators.shares import share_within
 from blotter.operators.topk import top_k_with_ties
 from blotter.functions.names import clean_names
@@ -71,11 +73,11 @@ NAME_RULES = (("Warm", "red|hot"), ("Cool", "blue|cold"), ("Aged", "old|new"))
 TYPE_RULES = (("Budget", "ECONOMY|PROMO|SMALL"), ("Premium", "LARGE|STANDARD"))
 ORDER_STATUS_NAMES = {"F": "Finished", "O": "Open"}
 PRIORITY_NAMES = {"1-URGENT": "Urgent"}
-PRIORITY_COLOURS = {"Urgent": "#abc4ff", "2-HIGH": "#fcb0f3"}
+PRIORITY_COLOURS = {"Urgent": "#c1121f", "2-HIGH": "#e09f3e"}
 LINESTATUS_NAMES = {"O": "Open", "F": "Filled"}
-TYPE_COLOURS = {"ECONOMY": "#9b5de5", "PROMO": "#f15bb5", "LARGE": "#fee440"}
-STATUS_COLOURS = {"F": "#ff0000", "O": "#ffe100"}
-EVENT_COLOURS = {"click": "blue", "error": "red"}
+TYPE_COLOURS = {"ECONOMY": "#264653", "PROMO": "#2a9d8f", "LARGE": "#e76f51"}
+STATUS_COLOURS = {"F": "#335c67", "O": "#9e2a2b"}
+EVENT_COLOURS = {"click": "teal", "error": "maroon"}
 ORDER_LIMITS = (1200.0, 1300.0)
 TEXT_SOURCES = (("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text"))
 
@@ -171,7 +173,7 @@ def _size_sql(n: str, table: str) -> str:
     )
 
 
-_IN_VIEW_SQL = "coalesce(lon BETWEEN -74.25 AND -73.7 AND lat BETWEEN 40.5 AND 40.92, false)"
+_IN_VIEW_SQL = "coalesce(lon BETWEEN {} AND {} AND lat BETWEEN {} AND {}, false)".format(*MAP_VIEW)
 
 
 # =============================================================================================
@@ -189,17 +191,19 @@ def q_category_counts_text_sources(spark: SparkSession, sf_dir: str) -> DataFram
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return count_by(categorise(union, "text", strategy="inline"), ["source", "category"], "n")
+    return count_by(categorise(union, "text"), ["source", "category"], "n")
 
 
 def q_categorise_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.category_counts(_t(spark, sf_dir, "part"), "p_name", NAME_RULES, "Other", strategy="inline")
+    return incidents.category_counts(_t(spark, sf_dir, "part"), "p_name", NAME_RULES, "Other")
 
 
 def q_category_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per value, with the category of each distinct value joined on."""
     part = _t(spark, sf_dir, "part").select("p_type")
-    cat = categorise(part, "p_type", TYPE_RULES, "Other", "category", strategy="dimension")
-    return count_by(cat, ["p_type", "category"], "n")
+    lookup = category_dimension(part, "p_type", TYPE_RULES, "Other").withColumnRenamed("p_type", "_value")
+    counts = count_by(part, "p_type", "n")
+    return counts.join(lookup, counts["p_type"].eqNullSafe(lookup["_value"])).select("p_type", "category", "n")
 
 
 def q_monthly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,8 +412,84 @@ def q_clip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_base_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bent roads in squares with holes; points as whole millionths of a degree."""
     areas, roads = _geo_files(spark, sf_dir, holes=True, bends=True)
-    return basemap.base_map(areas, roads, "name", KEPT_NATIONS, NATION_ALIASES, ROAD_TAGS[:5], GRID_BOX, cell=0.25)
+    out = basemap.base_map(areas, roads, "name", KEPT_NATIONS, NATION_ALIASES, ROAD_TAGS[:5], GRID_BOX, cell=0.25)
+    return out.select("borough_name", "highway", "way_id", "piece", _path("pts").alias("path"))
+
+
+def _path(pts: str) -> F.Column:
+    def micro(c: F.Column) -> F.Column:
+        return F.round(c * 1e6).cast("long").cast("string")
+
+    return F.array_join(F.transform(pts, lambda q: F.concat_ws(" ", micro(q["x"]), micro(q["y"]))), ",")
+
+
+def q_multi_part_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-part roads in districts of several parts: the squares of a region's nations."""
+    nation, supplier = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "supplier")
+    squares = _nation_polygons(nation, holes=False).join(nation, F.col("name") == F.col("n_name"))
+    areas = squares.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("name"),
+                           F.col("n_nationkey").alias("part"), "rings")
+    bent = _supplier_roads(supplier, bends=True)
+    roads = bent.select("way_id", "highway", F.posexplode(F.array(F.slice("pts", 1, 2), F.slice("pts", 2, 2))).alias("part", "pts"))
+    out = basemap.base_map(areas, roads, "name", ("R0", "R1", "R3"), {"R0": "Zero"}, ROAD_TAGS[:5], GRID_BOX, cell=0.25)
+    return out.select("borough_name", "highway", "way_id", "part", "piece", _path("pts").alias("path"))
+
+
+# --- one description for every rule, and the branches that the given tables do not reach ----------
+DESCRIPTIONS = (
+    "ASSAULT 3", "LARCENY,PETIT", "CONTROLLED SUBSTANCE", "CRIM POS WEAP 2", "TRESPASS 2", "PROSTITUTION",
+    "TORTURE/INJURE", "SPEEDING", "MONEY LAUNDERING", "ROBBERY, WEAPON", "SALE OF CONTROLLED SUBSTANCE",
+    "UNAUTHX SALE", "assault", None, "", "ZZZ",
+)
+
+
+def _description(key: str) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, DESCRIPTIONS)), (F.col(key) % len(DESCRIPTIONS) + 1).cast("int"))
+
+
+def _description_sql(key: str) -> str:
+    items = ", ".join("NULL" if d is None else f"'{d}'" for d in DESCRIPTIONS)
+    return f"([{items}])[{key} % {len(DESCRIPTIONS)} + 1]"
+
+
+def q_nine_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order gets a description by its key; all ten categories occur."""
+    orders = _t(spark, sf_dir, "orders").select(_description("o_orderkey").alias("pd_desc"))
+    return incidents.category_counts(orders)
+
+
+def q_weapons_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-layer map with its own category filter."""
+    orders = _t(spark, sf_dir, "orders").select(
+        _description("o_orderkey").alias("pd_desc"), _wkt("o_custkey", "o_orderkey").alias("geo"))
+    errors = _t(spark, sf_dir, "events").where(F.col("event_type") == "error").select(_wkt("user_id", "event_id").alias("geo"))
+    return _round(hotspots.weapons_vs_shootings(incidents.with_category(orders), errors, "geo"))
+
+
+def q_monthly_trend_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text, some impossible or missing; ``place`` is the position in the promised order."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 50 == 0, F.lit("13/45/2024")).when(k % 51 != 0, F.date_format("o_orderdate", "MM/dd/yyyy"))
+    trend = incidents.monthly_trend(_t(spark, sf_dir, "orders").select(text.alias("arrest_date")))
+    return trend.withColumn("place", F.when(F.col("month").isNull(), 13).otherwise(F.col("month")).cast("int"))
+
+
+def q_ring_without_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring whose key is missing on every tenth row."""
+    key = F.when(F.col("p_partkey") % 10 != 0, F.col("p_type")).alias("age_group")
+    return _round(incidents.donut_segments(_t(spark, sf_dir, "part").select(key), "age_group", TYPE_COLOURS))
+
+
+def q_points_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points inside and outside the viewport, with the CRS of the points after a change of frame."""
+    k = F.col("o_custkey")
+    pts = _t(spark, sf_dir, "orders").select((F.lit(-74.5) + (k % 100) / F.lit(100.0)).alias("lon"),
+                                             (F.lit(40.0) + (k % 130) / F.lit(100.0)).alias("lat"))
+    moved = to_crs(with_crs(pts, ["lon", "lat"], 4269), ["lon", "lat"], 4326)
+    flags = moved.select(in_view("lon", "lat").alias("in_view"), F.lit(crs_of(moved, "lon")).alias("crs"))
+    return flags.groupBy("in_view", "crs").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_recode_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +499,7 @@ def q_recode_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- full incident analyses over categorised text ----------------------------------------------
 LANG_NAMES = {"en": "English", "fr": "French"}
-LANG_COLOURS = {"English": "#abc4ff", "French": "#fcb0f3"}
+LANG_COLOURS = {"English": "#540b0e", "French": "#0d3b66"}
 LAYER_CATEGORY = "Public Order/Admin"
 
 
@@ -451,22 +531,30 @@ def q_incident_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(hotspots.weapons_vs_shootings(docs, errors, "geo", value=LAYER_CATEGORY))
 
 
-# --- repeated short text: dimension strategy against inline ------------------------------------
+# --- repeated short text: every event, and its distinct values ---------------------------------
 PROPS_RULES = (("Seventies", '"k": 7'), ("Teens", '"k": 1'), ("Single", '"k": 0|"k": 2}|"k": 3}|"k": 4}|"k": 5}'))
 
 
 def q_props_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """100 distinct values over every event: ``auto`` picks the materialised dimension."""
-    ev = _t(spark, sf_dir, "events").select("event_type", "props")
-    return count_by(categorise(ev, "props", PROPS_RULES, "Other"), ["event_type", "category"], "n")
+    """Repeated values: counted first, categorised once for each (event_type, props)."""
+    ev = count_by(_t(spark, sf_dir, "events"), ["event_type", "props"], "rows")
+    cat = categorise(ev, "props", PROPS_RULES, "Other")
+    return cat.groupBy("event_type", "category").agg(F.sum("rows").alias("n"))
 
 
 def q_props_categories_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, categorised for every event."""
     ev = _t(spark, sf_dir, "events").select("event_type", "props")
-    return count_by(categorise(ev, "props", PROPS_RULES, "Other", strategy="inline"), ["event_type", "category"], "n")
+    return count_by(categorise(ev, "props", PROPS_RULES, "Other"), ["event_type", "category"], "n")
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "nine_rules": q_nine_rules,
+    "weapons_layers": q_weapons_layers,
+    "monthly_trend_text": q_monthly_trend_text,
+    "ring_without_nulls": q_ring_without_nulls,
+    "points_in_view": q_points_in_view,
+    "multi_part_map": q_multi_part_map,
     "category_counts": q_category_counts,
     "category_counts_text_sources": q_category_counts_text_sources,
     "categorise_rules": q_categorise_rules,
@@ -563,7 +651,7 @@ def _sql() -> dict[str, str]:
         a AS (SELECT *, ymax - percent / 2 AS ypos FROM g),
         b AS (SELECT *, 90 - 360 * ypos / (SELECT sum(percent) FROM kept) AS angle FROM a),
         p AS (SELECT k, row_number() OVER (ORDER BY k) AS rk FROM kept)
-        SELECT k AS c_mktsegment, n, round(percent, 6) AS percent, round(ypos, 6) AS ypos,
+        SELECT k AS c_mktsegment, CAST(row_number() OVER (ORDER BY k DESC NULLS LAST) AS INTEGER) AS ord, n, round(percent, 6) AS percent, round(ypos, 6) AS ypos,
                round(angle, 6) AS angle,
                round(CASE WHEN angle < -90 THEN angle + 180 ELSE angle END, 6) AS label_angle,
                CASE WHEN angle < -90 THEN 1 ELSE 0 END AS hjust,
@@ -577,7 +665,7 @@ def _sql() -> dict[str, str]:
         h AS (SELECT *, coalesce(lag(ymax) OVER (ORDER BY k DESC NULLS LAST), 0) AS ymin FROM g),
         a AS (SELECT *, (ymax + ymin) / 2 AS label_pos FROM h),
         b AS (SELECT *, 90 - 360 * label_pos / (SELECT sum(percent) FROM s) AS angle FROM a)
-        SELECT k AS p_type, n, round(percent, 6) AS percent, round(ymin, 6) AS ymin, round(ymax, 6) AS ymax,
+        SELECT k AS p_type, CAST(row_number() OVER (ORDER BY k DESC NULLS LAST) AS INTEGER) AS ord, n, round(percent, 6) AS percent, round(ymin, 6) AS ymin, round(ymax, 6) AS ymax,
                round(label_pos, 6) AS label_pos, round(angle, 6) AS angle,
                round(CASE WHEN angle < -90 THEN angle + 180 ELSE angle END, 6) AS label_angle,
                {_pct_label_sql('percent')} AS label,
@@ -647,6 +735,7 @@ def _sql() -> dict[str, str]:
         FROM customer WHERE c_custkey % 37 <> 0 AND c_custkey % 41 <> 0"""
     xmin, ymin, xmax, ymax = GRID_BOX
     corners = [(xmin, ymin), (xmin, ymax), (xmax, ymin), (xmax, ymax)]
+    seg_sides = ", ".join(f"(x2 - x1) * ({cy} - y1) - (y2 - y1) * ({cx} - x1)" for cx, cy in corners)
     sides = ", ".join(f"(x2 - x1) * ({cy} - y1) - (y2 - y1) * ({cx} - x1)" for cx, cy in corners)
     tags = ", ".join(f"'{t}'" for t in ROAD_TAGS)
     kept = ", ".join(f"'{t}'" for t in ROAD_TAGS[:5])
@@ -674,6 +763,78 @@ def _sql() -> dict[str, str]:
                round(x1 + t0 * dx, 6) AS x_start, round(y1 + t0 * dy, 6) AS y_start,
                round(x1 + t1 * dx, 6) AS x_end, round(y1 + t1 * dy, 6) AS y_end
         FROM c WHERE t1 - t0 > 1e-11"""
+    # Segments of the bent roads, the parameters where each is inside a square and outside its hole,
+    # and islands of intervals that touch.
+    bent = f"""
+        l AS (SELECT s_suppkey AS way_id, ([{tags}])[s_suppkey % 6 + 1] AS highway,
+                     CAST((s_suppkey * 37) % 97 AS DOUBLE) / 10 + sqrt(2.0) / 100 AS ax,
+                     CAST((s_suppkey * 53) % 89 AS DOUBLE) / 10 + sqrt(3.0) / 100 AS ay,
+                     CAST((s_suppkey * 13) % 91 AS DOUBLE) / 10 + sqrt(11.0) / 100 AS mx,
+                     CAST((s_suppkey * 17) % 87 AS DOUBLE) / 10 + sqrt(13.0) / 100 AS my,
+                     CAST((s_suppkey * 71) % 101 AS DOUBLE) / 10 + sqrt(5.0) / 100 AS bx,
+                     CAST((s_suppkey * 29) % 83 AS DOUBLE) / 10 + sqrt(7.0) / 100 AS by_ FROM supplier),
+        seg AS (SELECT way_id, highway, 0 AS seg, ax AS x1, ay AS y1, mx AS x2, my AS y2 FROM l WHERE highway IN ({kept})
+                UNION ALL SELECT way_id, highway, 1, mx, my, bx, by_ FROM l WHERE highway IN ({kept})),
+        hit AS (SELECT *, least(x1, x2) <= {xmax} AND greatest(x1, x2) >= {xmin}
+                 AND least(y1, y2) <= {ymax} AND greatest(y1, y2) >= {ymin}
+                 AND least({seg_sides}) <= 0 AND greatest({seg_sides}) >= 0 AS hits FROM seg)"""
+
+    def inside(lo_x: str, hi_x: str, lo_y: str, hi_y: str) -> str:
+        return f"""greatest(0.0, CASE WHEN dx > 0 THEN ({lo_x} - x1) / dx ELSE ({hi_x} - x1) / dx END,
+                              CASE WHEN dy > 0 THEN ({lo_y} - y1) / dy ELSE ({hi_y} - y1) / dy END) AS t0,
+                least(1.0, CASE WHEN dx > 0 THEN ({hi_x} - x1) / dx ELSE ({lo_x} - x1) / dx END,
+                           CASE WHEN dy > 0 THEN ({hi_y} - y1) / dy ELSE ({lo_y} - y1) / dy END) AS t1"""
+
+    def point(t: str) -> str:
+        return (f"CAST(CAST(round((x1 + {t} * dx) * 1e6) AS BIGINT) AS VARCHAR) || ' ' || "
+                f"CAST(CAST(round((y1 + {t} * dy) * 1e6) AS BIGINT) AS VARCHAR)")
+
+    keep_names = ", ".join(f"'{n}'" for n in KEPT_NATIONS)
+    s["base_map"] = f"""
+        WITH {bent},
+        road AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM hit QUALIFY bool_or(hits) OVER (PARTITION BY way_id)),
+        sq AS (SELECT n_nationkey AS k, {_case_map_sql('n_name', NATION_ALIASES)} AS borough_name,
+                      CAST((n_nationkey % 5) * 2 AS DOUBLE) AS qx, CAST((n_nationkey // 5) * 2 AS DOUBLE) AS qy
+               FROM nation WHERE n_name IN ({keep_names})),
+        o AS (SELECT road.*, sq.*, {inside('qx', 'qx + 1.5', 'qy', 'qy + 1.5')} FROM road, sq),
+        o2 AS (SELECT * FROM o WHERE t1 - t0 > 1e-11),
+        h AS (SELECT o2.* EXCLUDE (t0, t1), t0 AS o0, t1 AS o1, {inside('qx + 0.5', 'qx + 1.0', 'qy + 0.5', 'qy + 1.0')} FROM o2),
+        cut AS (SELECT *, k % 3 = 0 AND t1 - t0 > 1e-11 AS holed FROM h),
+        iv AS (SELECT * REPLACE (o0 AS t0, CASE WHEN holed THEN greatest(o0, t0) ELSE o1 END AS t1) FROM cut
+               UNION ALL SELECT * REPLACE (least(o1, t1) AS t0, o1 AS t1) FROM cut WHERE holed),
+        f AS (SELECT * FROM iv WHERE t1 - t0 > 1e-11),
+        g AS (SELECT *, CASE WHEN lag(seg) OVER w = seg - 1 AND lag(t1) OVER w > 1 - 1e-9 AND t0 < 1e-9 THEN 0 ELSE 1 END AS fresh
+              FROM f WINDOW w AS (PARTITION BY way_id, k ORDER BY seg, t0)),
+        p AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY way_id, k ORDER BY seg, t0) AS INTEGER) AS piece FROM g)
+        SELECT borough_name, highway, way_id, piece,
+               arg_min({point('t0')}, seg + t0) || ',' || string_agg({point('t1')}, ',' ORDER BY seg, t0) AS path
+        FROM p GROUP BY borough_name, highway, way_id, piece"""
+    s["multi_part_map"] = f"""
+        WITH {bent},
+        road AS (SELECT *, x2 - x1 AS dx, y2 - y1 AS dy FROM hit WHERE hits),
+        sq AS (SELECT 'R' || n_regionkey AS name, CAST((n_nationkey % 5) * 2 AS DOUBLE) AS qx,
+                      CAST((n_nationkey // 5) * 2 AS DOUBLE) AS qy
+               FROM nation WHERE n_regionkey IN (0, 1, 3)),
+        o AS (SELECT road.*, sq.*, {inside('qx', 'qx + 1.5', 'qy', 'qy + 1.5')} FROM road, sq)
+        SELECT CASE WHEN name = 'R0' THEN 'Zero' ELSE name END AS borough_name, highway, way_id, CAST(seg AS INTEGER) AS part,
+               CAST(row_number() OVER (PARTITION BY way_id, seg, name ORDER BY t0) AS INTEGER) AS piece,
+               {point('t0')} || ',' || {point('t1')} AS path
+        FROM o WHERE t1 - t0 > 1e-11"""
+    described = _description_sql("o_orderkey")
+    s["nine_rules"] = f"""
+        SELECT {categorise_sql('d')} AS category, count(*) AS n FROM (SELECT {described} AS d FROM orders) GROUP BY 1"""
+    s["monthly_trend_text"] = f"""
+        WITH m AS (SELECT CASE WHEN o_orderkey % 50 <> 0 AND o_orderkey % 51 <> 0 THEN CAST(month(o_orderdate) AS INTEGER) END AS month,
+                          count(*) AS total_arrests FROM orders GROUP BY 1)
+        SELECT month, {_month_label_sql('month')} AS month_label, total_arrests, {_short_label_sql('total_arrests')} AS label,
+               CAST(row_number() OVER (ORDER BY month NULLS LAST) AS INTEGER) AS place FROM m"""
+    s["ring_without_nulls"] = s["donut_segments"].replace(
+        "FROM part WHERE p_type IS NOT NULL", "FROM part WHERE p_type IS NOT NULL AND p_partkey % 10 <> 0").replace(
+        "AS p_type", "AS age_group")
+    s["points_in_view"] = f"""
+        SELECT {_IN_VIEW_SQL} AS in_view, CAST(4326 AS INTEGER) AS crs, count(*) AS n
+        FROM (SELECT -74.5::DOUBLE + (o_custkey % 100) / 100.0::DOUBLE AS lon, 40.0::DOUBLE + (o_custkey % 130) / 100.0::DOUBLE AS lat
+              FROM orders) GROUP BY ALL"""
     cat = categorise_sql("text")
     short = _case_map_sql("g", CATEGORY_SHORT_NAMES)
     s["category_share_by_lang"] = f"""
@@ -708,23 +869,28 @@ def _sql() -> dict[str, str]:
                {_case_map_sql('category', CATEGORY_COLOURS, passthrough=False)} AS colour,
                {_IN_VIEW_SQL} AS in_view
         FROM t"""
-    layers_sql = []
-    for series, src in (
-        ("Weapon Arrests", f"SELECT {_wkt_sql('doc_id', 'doc_id')} AS geo FROM documents "
-                           f"WHERE {categorise_sql('text')} = '{LAYER_CATEGORY}'"),
-        ("Shooting Incidents", f"SELECT {_wkt_sql('user_id', 'event_id')} AS geo FROM events WHERE event_type = 'error'"),
-    ):
-        layers_sql.append(f"""
-        SELECT '{series}' AS series, lon, lat, n FROM (
-          SELECT *, rank() OVER (ORDER BY n DESC) AS r FROM (
-            SELECT lon, lat, count(*) AS n FROM (SELECT {wl} AS lon, {wa} AS lat FROM ({src}))
-            WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1, 2)
-        ) WHERE r <= 100""")
-    s["incident_layers"] = f"""
-        WITH u AS ({' UNION ALL '.join(layers_sql)})
-        SELECT series, round(lon, 6) AS lon, round(lat, 6) AS lat, n, round({_size_sql('n', 'u')}, 6) AS size,
-               {_case_map_sql('series', LAYER_COLOURS, passthrough=False)} AS colour, {_IN_VIEW_SQL} AS in_view
-        FROM u"""
+    def layers(weapons: str) -> str:
+        layers_sql = []
+        for series, src in (
+            ("Weapon Arrests", weapons),
+            ("Shooting Incidents", f"SELECT {_wkt_sql('user_id', 'event_id')} AS geo FROM events WHERE event_type = 'error'"),
+        ):
+            layers_sql.append(f"""
+            SELECT '{series}' AS series, lon, lat, n FROM (
+              SELECT *, rank() OVER (ORDER BY n DESC) AS r FROM (
+                SELECT lon, lat, count(*) AS n FROM (SELECT {wl} AS lon, {wa} AS lat FROM ({src}))
+                WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY 1, 2)
+            ) WHERE r <= 100""")
+        return f"""
+            WITH u AS ({' UNION ALL '.join(layers_sql)})
+            SELECT series, round(lon, 6) AS lon, round(lat, 6) AS lat, n, round({_size_sql('n', 'u')}, 6) AS size,
+                   {_case_map_sql('series', LAYER_COLOURS, passthrough=False)} AS colour, {_IN_VIEW_SQL} AS in_view
+            FROM u"""
+
+    s["incident_layers"] = layers(f"SELECT {_wkt_sql('doc_id', 'doc_id')} AS geo FROM documents "
+                                  f"WHERE {categorise_sql('text')} = '{LAYER_CATEGORY}'")
+    s["weapons_layers"] = layers(f"SELECT {_wkt_sql('o_custkey', 'o_orderkey')} AS geo FROM orders "
+                                 f"WHERE {categorise_sql(described)} = 'Weapons/Explosives'")
     props = f"""
         SELECT event_type, {categorise_sql('props', PROPS_RULES, 'Other')} AS category, count(*) AS n
         FROM events GROUP BY 1, 2"""
