@@ -47,14 +47,19 @@ def _reader(spark: SparkSession, header: bool, delimiter: str, quote: str, escap
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, *, header: bool = True,
              delimiter: str = ",", quote: str = '"', escape: str = '"', date_format: str = US_DATE,
-             infer_schema: bool = False, multiline: bool = False) -> DataFrame:
-    """Typed CSV scan. Give ``schema`` for production data; ``infer_schema`` costs an extra pass."""
+             infer_schema: bool = False, multiline: bool = False, mode: str = "FAILFAST") -> DataFrame:
+    """Typed CSV scan. Give ``schema`` for production data; ``infer_schema`` costs an extra pass.
+
+    A value that does not fit its column fails the read; ``read_csv_tagged`` keeps and counts such lines
+    instead, and ``mode="PERMISSIVE"`` makes them NULL.
+    """
     r = _reader(spark, header, delimiter, quote, escape, date_format, multiline)
     if schema is not None:
         r = r.schema(schema)
     elif infer_schema:
         r = r.option("inferSchema", True)
-    return r.csv(path)
+    df = r.option("mode", mode).csv(path)
+    return df.where(_all_columns_read(df.columns)) if mode == "FAILFAST" else df
 
 
 def header_schema(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"',

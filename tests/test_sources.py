@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +42,11 @@ def test_typed_csv_dates_and_type_rejects(spark):
     src = _file("Arrest Date,PD_DESC,Latitude\n01/25/2024,ASSAULT 3,40.7\n13/45/2024,X,1\n02/01/2024,THEFT,abc\n")
     schema = T.StructType([T.StructField("Arrest Date", T.DateType()), T.StructField("PD_DESC", T.StringType()),
                            T.StructField("Latitude", T.DoubleType())])
-    df = clean_names(read_csv(spark, src, schema))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_csv(spark, src, schema).collect()
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_csv(spark, src, schema).select("PD_DESC").collect()  # whatever is projected
+    df = clean_names(read_csv(spark, src, schema, mode="PERMISSIVE"))
     assert df.columns == ["arrest_date", "pd_desc", "latitude"]
     dest = tempfile.mkdtemp(prefix="blotter-ingest-")
     summary = ingest_tables(spark, {"arrests": CsvSource(src, schema)}, dest).first()
