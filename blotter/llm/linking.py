@@ -4,51 +4,55 @@ Nodes meet in buckets; two nodes are linked if they share a bucket and ``verify`
 Only the components of these links are wanted, so pairs inside a component that is already
 known need no test. Each round picks one leader for every bucket that still holds several components,
 tests it against the members of other components, and joins the components of confirmed pairs.
-A large group of copies so collapses in a few rounds of at most one pair for each member. A last
-step tests all pairs of different components that are left in a bucket, so no link is lost:
-the rounds only save work.
+A large group of copies so collapses in a few rounds of at most one pair for each member. When the rounds
+stop paying, ``narrow`` may bound which pairs can be linked at all; a last step tests every pair of
+different components left in a bucket that the bounds allow. So no link is lost: rounds and bounds only
+save work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .store import stage
 
-#: Leader rounds go on while the pairs left in buckets are more than this many for each member.
-PAIRS_PER_MEMBER, MAX_ROUNDS = 2, 6
+#: All pairs are tested once there are at most so many for each member left in the buckets; rounds go
+#: on while each leaves at most the share ``PAYS`` of the pairs before it.
+PAIRS_PER_MEMBER, PAYS = 2, 0.5
 
+Narrow = Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], narrow: Narrow | None = None) -> DataFrame:
     """(id, root) of the nodes that are not the least of their component.
 
     ``members`` has (bucket long, id long), each once. ``verify`` takes pairs (a < b), each once, and
-    returns those that are linked.
+    returns those that are linked. ``narrow`` takes (id, comp) and returns the nodes that can have a
+    link outside their component, with columns of bounds, and a condition that any two linked nodes of
+    different components fulfil, made from the columns' prefixes of either side.
     """
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     active = stage(members.join(shared, "bucket", "left_semi").withColumn("comp", F.col("id")), "link-members")
     found: DataFrame | None = None
-    for turn in range(MAX_ROUNDS):
+    turn, before = 0, None
+    while True:
         sizes = active.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
         left = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).agg(
-            F.sum(F.col("n")), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+            F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
         if not left[0] or not left[1]:
             break
         few = left[1] <= PAIRS_PER_MEMBER * left[0]
-        pairs = _all_pairs(active) if few else _leader_pairs(active, turn)
-        links = stage(verify(pairs), "links")
-        if links.isEmpty() and few:
-            break
-        found, active = _join(found, links, active)
-        if few:
+        if few or (before is not None and left[1] > PAYS * before):
+            links = stage(verify(_all_pairs(active, None if few else narrow)), "links")
+            found, _ = _join(found, links, active)
             break
-    else:
-        links = stage(verify(_all_pairs(active)), "links")
+        links = stage(verify(_leader_pairs(active, turn)), "links")
         found, active = _join(found, links, active)
+        turn, before = turn + 1, left[1]
     if found is None:
         return members.select("id", F.col("id").alias("root")).limit(0)
     return found
@@ -62,10 +66,16 @@ def _leader_pairs(active: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def _all_pairs(active: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket; within a component none."""
-    other = active.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    return active.join(other, "bucket").where("id < b AND comp <> comp_b").select(F.col("id").alias("a"), "b").distinct()
+def _all_pairs(active: DataFrame, narrow: Narrow | None) -> DataFrame:
+    """Pairs of different components in a bucket that can be linked; within a component none."""
+    allowed = F.lit(True)
+    if narrow is not None:
+        bounds, condition = narrow(active.select("id", "comp").distinct())
+        active = stage(active.join(bounds.drop("comp"), "id"), "link-narrowed")
+        allowed = condition("one", "two")
+    one, two = active.alias("one"), active.alias("two")
+    apart = (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.comp") != F.col("two.comp"))
+    return one.join(two, apart & allowed).select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
 
 
 def _join(found: DataFrame | None, links: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:

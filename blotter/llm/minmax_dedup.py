@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     def verify(pairs: DataFrame) -> DataFrame:
         return confirm(estimate(pairs, nodes, percent), texts, percent)
 
-    found = link(members, verify)
+    found = link(members, verify, lambda ids: reachable(ids, texts, percent))
     by_set = nodes.select("high", "low", "n_shingles", "id").join(found, "id", "left").select(
         "high", "low", "n_shingles", F.coalesce("root", "id").alias("root"))
     out = sketches.select("key", "text_hash", "n_shingles", "high", "low").join(by_set, ["high", "low", "n_shingles"], "left")
@@ -135,6 +135,36 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
                       F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 
+def reachable(ids: DataFrame, texts: DataFrame, percent: int):
+    """Bounds for ``link``: of each set, how many shingles occur in another component.
+
+    The intersection of two sets of different components holds only such shingles, so it is at most the
+    smaller of the two numbers; a heavily edited copy has too few to be linked with anything.
+    """
+    texts = texts.join(ids, "id")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch):
+                part = batch.slice(a, b - a)
+                row, shingle = shingles(part.column("text"))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.astype(np.int64)), part.column("id").take(at), part.column("comp").take(at)],
+                                                 names=["shingle", "id", "comp"])
+
+    single = texts.select("id", "comp", "text").mapInArrow(spread, "shingle long, id long, comp long")
+    common = single.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    own = single.join(common.select("shingle", F.lit(1).alias("outside")), "shingle", "left").groupBy("id").agg(
+        F.count(F.lit(1)).alias("own"), F.count("outside").alias("outside"))
+    own = own.where(100 * F.col("outside") >= percent * F.col("own"))
+
+    def allowed(one: str, two: str):
+        most = F.least(F.col(f"{one}.outside"), F.col(f"{two}.outside"))
+        return 100 * most >= percent * (F.col(f"{one}.own") + F.col(f"{two}.own") - most)
+
+    return own, allowed
+
+
 def estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes and signatures allow the similarity asked for."""
     one = nodes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("s_a"))
