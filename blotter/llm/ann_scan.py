@@ -10,7 +10,7 @@ k-th best so far; the partial distance, scaled by D/d, rejects it when it is abo
 factor (1 + ``EPSILON`` / sqrt(d))**2. Survivors of all blocks get the exact cosine on the original
 vectors in double precision.
 
-Lists are split into blocks of about ``BLOCK_ROWS`` rows by a hash of the id, and the
+Lists are split into blocks of about ``BLOCK_ROWS`` rows by row, and the
 queries of a list into blocks of ``QUERY_ROWS``, so a list of any size, even one of a third of all
 rows, is many small groups. The number of lists grows with the square root of the rows.
 """
@@ -139,7 +139,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
     blocks = filed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("row_blocks")).join(
         probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("query_blocks")), "list")
     blocks = stage(blocks, "ann-blocks")
-    deal = F.xxhash64("id", "list")
+    deal = F.xxhash64(F.monotonically_increasing_id())  # of a written table: repeated rows are dealt apart
     left = filed.join(F.broadcast(blocks), "list").select(
         "id", "vec", "list", F.pmod(deal, "row_blocks").cast("int").alias("row_block"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"))

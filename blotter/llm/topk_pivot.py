@@ -10,7 +10,7 @@ next bound is beyond the distance of the k-th best product known: no later row c
 are integers and computed exactly; bounds get a slack for rounding. A first bound for every query
 comes from the pivot rows themselves.
 
-Rows are dealt to blocks of about ``BLOCK_ROWS`` by a hash, queries to blocks of ``QUERY_ROWS``; each pair
+Rows are dealt to blocks of about ``BLOCK_ROWS`` by row, queries to blocks of ``QUERY_ROWS``; each pair
 of blocks is one group of bounded size.
 """
 
@@ -98,7 +98,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
 
     row_blocks = max(1, math.ceil(facts["n"] / BLOCK_ROWS))
     query_blocks = max(1, math.ceil(asked.count() / QUERY_ROWS))
-    deal = F.xxhash64("id", "vec")
+    deal = F.xxhash64(F.monotonically_increasing_id())  # of a written table: repeated rows are dealt apart
     left = base.select("id", "vec", F.pmod(deal, F.lit(row_blocks)).cast("int").alias("row_block"),
                        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     right = asked.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("row_block"),
