@@ -31,7 +31,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], narrow: N
     """(id, root) of the nodes that are not the least of their component.
 
     ``members`` has (bucket long, id long), each once. ``verify`` takes pairs (a < b), each once, and
-    returns those that are linked. ``narrow`` takes (id, comp) and returns the nodes that can have a
+    returns those that are linked. ``narrow`` takes (id, comp) and returns the nodes (id) that can have a
     link outside their component, with columns of bounds, and a condition that any two linked nodes of
     different components fulfil, made from the columns' prefixes of either side.
     """
@@ -71,7 +71,7 @@ def _all_pairs(active: DataFrame, narrow: Narrow | None) -> DataFrame:
     allowed = F.lit(True)
     if narrow is not None:
         bounds, condition = narrow(active.select("id", "comp").distinct())
-        active = stage(active.join(bounds.drop("comp"), "id"), "link-narrowed")
+        active = stage(active.join(bounds, "id"), "link-narrowed")
         allowed = condition("one", "two")
     one, two = active.alias("one"), active.alias("two")
     apart = (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.comp") != F.col("two.comp"))

@@ -25,7 +25,7 @@ from .linking import link
 from .store import stage
 from .textbytes import LOWER, Spans, binary_rows, chunks, distinct_pairs, mix, row_bytes, span_hashes, windows, words
 
-SHINGLE, HASHES, BAND, LEAST_MATCH = 5, 40, 4, 48
+SHINGLE, HASHES, BAND, LEAST_MATCH, PARTS = 5, 40, 4, 48, 64
 VALUES = 2 * HASHES
 _rng = np.random.default_rng(2)
 _FACTOR = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -136,10 +136,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
 
 
 def reachable(ids: DataFrame, texts: DataFrame, percent: int):
-    """Bounds for ``link``: of each set, how many shingles occur in another component.
+    """Bounds for ``link``: of each set, how many shingles occur in another component, by part.
 
-    The intersection of two sets of different components holds only such shingles, so it is at most the
-    smaller of the two numbers; a heavily edited copy has too few to be linked with anything.
+    The shingles fall into ``PARTS`` parts by their hash. The intersection of two sets of different
+    components holds only shingles that occur in another one, and in each part at most as many as the
+    set that has fewer of them: a heavily edited copy has too few to be linked with anything, and copies edited in
+    different places have too few in common.
     """
     texts = texts.join(ids, "id")
 
@@ -154,15 +156,32 @@ def reachable(ids: DataFrame, texts: DataFrame, percent: int):
 
     single = texts.select("id", "comp", "text").mapInArrow(spread, "shingle long, id long, comp long")
     common = single.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    own = single.join(common.select("shingle", F.lit(1).alias("outside")), "shingle", "left").groupBy("id").agg(
-        F.count(F.lit(1)).alias("own"), F.count("outside").alias("outside"))
-    own = own.where(100 * F.col("outside") >= percent * F.col("own"))
+    outside = single.join(common.select("shingle", F.lit(True).alias("outside")), "shingle", "left").groupBy("id").agg(
+        F.count(F.lit(1)).alias("own"), F.collect_list(F.when(F.col("outside"), F.col("shingle"))).alias("shingles"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            part = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(PARTS)
+            row = np.repeat(np.arange(len(size)), size)
+            counts = np.bincount(row * PARTS + part.astype(np.int64), minlength=len(size) * PARTS)
+            offsets = pa.array(np.arange(0, (len(size) + 1) * PARTS, PARTS), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("own"), pa.array(size.astype(np.int64)),
+                 pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32)))], names=["id", "own", "outside", "parts"])
+
+    bounds = outside.where(100 * F.size("shingles") >= percent * F.col("own")).mapInArrow(
+        count, "id long, own long, outside long, parts array<int>")
 
     def allowed(one: str, two: str):
-        most = F.least(F.col(f"{one}.outside"), F.col(f"{two}.outside"))
-        return 100 * most >= percent * (F.col(f"{one}.own") + F.col(f"{two}.own") - most)
+        def similar(most):
+            return 100 * most >= percent * (F.col(f"{one}.own") + F.col(f"{two}.own") - most)
+
+        common = F.aggregate(F.zip_with(F.col(f"{one}.parts"), F.col(f"{two}.parts"), lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+        return similar(F.least(F.col(f"{one}.outside"), F.col(f"{two}.outside"))) & similar(common)
 
-    return own, allowed
+    return bounds, allowed
 
 
 def estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
