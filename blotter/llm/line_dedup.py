@@ -19,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link
@@ -135,12 +135,12 @@ def _similar(percent: int):
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, id): the ten choices of two blocks of each SimHash."""
+    """(bucket, id, simhash): the ten choices of two blocks of each SimHash."""
     def block(at: int, size: int):
         return F.shiftrightunsigned("simhash", at).bitwiseAND((1 << size) - 1)
 
     keys = [F.lit(i << 26) + F.shiftleft(block(*x), 13) + block(*y) for i, (x, y) in enumerate(combinations(BLOCKS, 2))]
-    return nodes.select(F.explode(F.array(*keys)).alias("bucket"), "id")
+    return nodes.select(F.explode(F.array(*keys)).alias("bucket"), "id", "simhash")
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -154,14 +154,11 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         F.min("simhash").alias("simhash"), F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
 
-    def within(pairs: DataFrame) -> DataFrame:
-        one = nodes.select(F.col("id").alias("a"), F.col("simhash").alias("s_a"))
-        two = nodes.select(F.col("id").alias("b"), F.col("simhash").alias("s_b"))
-        near = F.bit_count(F.col("s_a").bitwiseXOR(F.col("s_b"))) <= NEAR_BITS
-        return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+    def near(one: str, two: str) -> Column:
+        return F.bit_count(F.col(f"{one}.simhash").bitwiseXOR(F.col(f"{two}.simhash"))) <= NEAR_BITS
 
     # Only lines that SimHash links to another need their words fetched.
-    loose = link(_buckets(nodes), within)
+    loose = link(_buckets(nodes), lambda pairs: pairs, near=near)
     linked = loose.select(F.explode(F.array("id", "root")).alias("id")).distinct()
     candidates = stage(nodes.join(linked, "id", "left_semi"), "line-candidates")
     keys = stage(candidates.select(F.col("first.key").alias("key")).distinct(), "line-keys")
@@ -175,10 +172,10 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     def verify(pairs: DataFrame) -> DataFrame:
         one = words_of.select(F.col("id").alias("a"), F.col("words").alias("w_a"))
         two = words_of.select(F.col("id").alias("b"), F.col("words").alias("w_b"))
-        return within(pairs).join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(
             _similar(percent), "a long, b long")
 
-    found = link(_buckets(candidates), verify)
+    found = link(_buckets(candidates), verify, near=near)
     grouped = nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     kept = grouped.select("high", "low", "root").join(several, "root").select(

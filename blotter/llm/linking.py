@@ -27,10 +27,12 @@ PAIRS_PER_MEMBER, PAYS = 2, 0.5
 Narrow = Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column]]]
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], narrow: Narrow | None = None) -> DataFrame:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], narrow: Narrow | None = None,
+         near: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(id, root) of the nodes that are not the least of their component.
 
-    ``members`` has (bucket long, id long), each once. ``verify`` takes pairs (a < b), each once, and
+    ``members`` has (bucket long, id long), each once, and columns that ``near`` needs: a condition that
+    any two linked nodes fulfil, made from the columns' prefixes of either side. ``verify`` takes pairs (a < b), each once, and
     returns those that are linked. ``narrow`` takes (id, comp) and returns the nodes (id) that can have a
     link outside their component, with columns of bounds, and a condition that any two linked nodes of
     different components fulfil, made from the columns' prefixes of either side.
@@ -47,35 +49,43 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], narrow: N
             break
         few = left[1] <= PAIRS_PER_MEMBER * left[0]
         if few or (before is not None and left[1] > PAYS * before):
-            links = stage(verify(_all_pairs(active, None if few else narrow)), "links")
+            links = stage(verify(_all_pairs(active, None if few else narrow, near)), "links")
             found, _ = _join(found, links, active)
             break
-        links = stage(verify(_leader_pairs(active, turn)), "links")
-        found, active = _join(found, links, active)
+        links = stage(verify(_leader_pairs(active, turn, near)), "links")
+        if not links.isEmpty():
+            found, active = _join(found, links, active)
         turn, before = turn + 1, left[1]
     if found is None:
         return members.select("id", F.col("id").alias("root")).limit(0)
     return found
 
 
-def _leader_pairs(active: DataFrame, turn: int) -> DataFrame:
+def _pairs(one: DataFrame, two: DataFrame, allowed: Column, near: Callable[[str, str], Column] | None) -> DataFrame:
+    """Distinct (a, b), a < b, of different components in a bucket that the conditions allow."""
+    apart = (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.comp") != F.col("two.comp")) & allowed
+    if near is not None:
+        apart = apart & near("one", "two")
+    return one.alias("one").join(two.alias("two"), apart).select(
+        F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
+
+
+def _leader_pairs(active: DataFrame, turn: int, near: Callable[[str, str], Column] | None) -> DataFrame:
     order = F.xxhash64("id", F.lit(turn))  # the same in all buckets, so that copies meet few leaders
-    leaders = active.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), "id", "comp")).alias("l")).select(
-        "bucket", F.col("l.id").alias("leader"), F.col("l.comp").alias("leader_comp"))
-    pairs = active.join(leaders, "bucket").where("comp <> leader_comp")
-    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    rest = [c for c in active.columns if c != "bucket"]
+    leaders = active.groupBy("bucket").agg(F.min(F.struct(order.alias("__order"), *rest)).alias("__leader")).select(
+        "bucket", *[F.col("__leader")[c].alias(c) for c in rest])
+    return _pairs(active, leaders, F.lit(True), near)
 
 
-def _all_pairs(active: DataFrame, narrow: Narrow | None) -> DataFrame:
+def _all_pairs(active: DataFrame, narrow: Narrow | None, near: Callable[[str, str], Column] | None) -> DataFrame:
     """Pairs of different components in a bucket that can be linked; within a component none."""
-    allowed = F.lit(True)
+    allowed = F.col("one.id") < F.col("two.id")
     if narrow is not None:
         bounds, condition = narrow(active.select("id", "comp").distinct())
         active = stage(active.join(bounds, "id"), "link-narrowed")
-        allowed = condition("one", "two")
-    one, two = active.alias("one"), active.alias("two")
-    apart = (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.id") < F.col("two.id")) & (F.col("one.comp") != F.col("two.comp"))
-    return one.join(two, apart & allowed).select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
+        allowed = allowed & condition("one", "two")
+    return _pairs(active, active, allowed, near)
 
 
 def _join(found: DataFrame | None, links: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,6 +95,6 @@ def _join(found: DataFrame | None, links: DataFrame, active: DataFrame) -> tuple
         edges = edges.unionAll(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     found = components(edges)
     active = active.drop("comp").join(found, "id", "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("comp"))
+        *[c for c in active.columns if c != "comp"], F.coalesce("root", "id").alias("comp"))
     mixed = active.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     return found, stage(active.join(mixed, "bucket", "left_semi"), "link-members")
