@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .textbytes import SPACE, Spans, chunks, row_bytes, span_hashes, words
+from .textbytes import CHUNK_BYTES, SPACE, Spans, chunks, row_bytes, span_hashes, words
 
 #: Units kept by a worker: about 16 bytes and the ids of each.
 CACHE_UNITS = 2_000_000
@@ -195,7 +195,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, text: str
     """(rows, ids, counts) of slices of the batches; each document's ids end with ``end_id``."""
     enc = encoder(path)
     for batch in batches:
-        for a, b in chunks(batch, text):
+        for a, b in chunks(batch, text, 2 * CHUNK_BYTES):
             part = batch.slice(a, b - a)
             ids, counts = enc.encode_rows(part.column(text))
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))

@@ -26,7 +26,7 @@ from .linking import link
 from .store import stage
 from .textbytes import LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
 
-NEAR_BITS, PERCENT, MOST_WEIGHT = 3, 85, 16
+NEAR_BITS, PERCENT, MOST_WEIGHT, WORDS_AT_ONCE = 3, 85, 16, 1 << 16
 #: Up to so many keys (8 bytes each), the documents of candidate lines are picked by broadcast, else by a join.
 BROADCAST_KEYS = 4_000_000
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -55,9 +55,15 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
     prints = np.stack([np.add.reduceat(mix(h + mix(place + np.uint64(c))), first) for c in (1, 1 << 40)], axis=1)
     weight = np.minimum(spans.end - spans.start, MOST_WEIGHT).astype(np.int16)
-    votes = np.unpackbits(h.view(np.uint8)).reshape(n, 64).astype(np.int16)
-    votes = (2 * votes - 1) * weight[:, None]
-    near = np.packbits(np.add.reduceat(votes, first, axis=0, dtype=np.int64) > 0, axis=1).view(np.uint64).ravel()
+    votes = np.zeros((len(first), 64), dtype=np.int32)
+    number = np.repeat(np.arange(len(first)), size)
+    for a in range(0, n, WORDS_AT_ONCE):  # a line may lie in several slices: its votes add up
+        b = min(a + WORDS_AT_ONCE, n)
+        signs = 2 * np.unpackbits(h[a:b].view(np.uint8)).reshape(b - a, 64).astype(np.int16) - 1
+        signs *= weight[a:b, None]
+        starts = np.flatnonzero(np.concatenate(([True], number[a + 1:b] != number[a:b - 1])))
+        votes[number[a:b][starts]] += np.add.reduceat(signs, starts, axis=0, dtype=np.int32)
+    near = np.packbits(votes > 0, axis=1).view(np.uint64).ravel()
     row = spans.row[first]
     return row, line[first] - np.searchsorted(begin, offsets[row], side="right") + 1, prints, near
 

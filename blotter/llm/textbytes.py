@@ -18,7 +18,7 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15  # odd, so powers are invertible modulo 2**64
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Text bytes handled at once in a task; a longer single text is handled alone, whole.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
