@@ -1,4 +1,5 @@
 import random
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from blotter.llm import encoding
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
+@lru_cache
 def plain(name):
     t = Tokenizer.from_file(P.path(name))
     t.encode_special_tokens = True
