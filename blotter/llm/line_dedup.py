@@ -3,33 +3,34 @@
 Lines end at line feeds. A line counts by its words (runs without ASCII white space, ASCII letters
 lower-cased) joined by single spaces. Lines without words are never touched.
 
-1. Lines of the same words are one node (by a 128-bit fingerprint); its SimHash sums the 64 bits of each
-   word's hash, weighted by the word's length.
-2. Two SimHashes that differ in at most ``NEAR_BITS`` = 3 bits agree in at least two of five blocks of 12 or 13
-   bits. Each of the ten choices of two blocks is a bucket, so every such pair shares one.
-3. Pairs within 3 bits are confirmed by edit similarity, in percent of the longer line's characters: at least
-   ``PERCENT``. Components of confirmed pairs are groups (see ``linking``: no bucket is paired out).
+1. Lines of the same words are one node (by a 128-bit fingerprint).
+2. A line's windows are its runs of q characters' bytes; q goes by the line's length (``WINDOWS``), and a line whose
+   partners may use another q has the windows of both. Each q gives the ``SAMPLE`` windows of least hash; each is
+   a bucket. Lines of under 32 characters have few more than that.
+3. Pairs in a bucket are dropped only by bounds that hold for every pair of the similarity asked for (lengths, counts of
+   characters, counts of trigrams), then confirmed by edit similarity, in percent of the longer line's
+   characters: at least ``PERCENT``. Components of confirmed pairs are groups (see ``linking``: no bucket is paired out).
 4. The occurrence of the least (key, line number) of each group stays; all others are removed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import link
 from .store import stage
-from .textbytes import LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
+from .textbytes import LOWER, Spans, chunks, distinct_pairs, mix, row_bytes, span_hashes, words
 
-NEAR_BITS, PERCENT, MOST_WEIGHT, WORDS_AT_ONCE = 3, 85, 16, 1 << 16
+PERCENT, SAMPLE, LANES, PAIRS_AT_ONCE = 85, 24, 1024, 1024
+#: Bytes of a window, by the least characters of the line.
+WINDOWS = {0: 3, 14: 4, 32: 8, 64: 12, 192: 16}
 #: Up to so many keys (8 bytes each), the documents of candidate lines are picked by broadcast, else by a join.
 BROADCAST_KEYS = 4_000_000
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray]:
@@ -41,45 +42,35 @@ def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray
     return spans, np.searchsorted(begin, spans.start, side="right") - 1, begin
 
 
-def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line number, 128-bit fingerprint, SimHash) of every line that has words."""
+def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, 128-bit fingerprint) of every line that has words."""
     data, offsets = row_bytes(column)
     spans, line, begin = line_words(data, offsets)
     n = len(line)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros((0, 2), np.uint64), np.zeros(0, np.uint64)
+        return z, z, np.zeros((0, 2), np.uint64)
     h = span_hashes(Spans(LOWER[data], spans.start, spans.end, spans.row))
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     size = np.diff(np.concatenate((first, [n])))
     place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
     prints = np.stack([np.add.reduceat(mix(h + mix(place + np.uint64(c))), first) for c in (1, 1 << 40)], axis=1)
-    weight = np.minimum(spans.end - spans.start, MOST_WEIGHT).astype(np.int16)
-    votes = np.zeros((len(first), 64), dtype=np.int32)
-    number = np.repeat(np.arange(len(first)), size)
-    for a in range(0, n, WORDS_AT_ONCE):  # a line may lie in several slices: its votes add up
-        b = min(a + WORDS_AT_ONCE, n)
-        signs = 2 * np.unpackbits(h[a:b].view(np.uint8)).reshape(b - a, 64).astype(np.int16) - 1
-        signs *= weight[a:b, None]
-        starts = np.flatnonzero(np.concatenate(([True], number[a + 1:b] != number[a:b - 1])))
-        votes[number[a:b][starts]] += np.add.reduceat(signs, starts, axis=0, dtype=np.int32)
-    near = np.packbits(votes > 0, axis=1).view(np.uint64).ravel()
     row = spans.row[first]
-    return row, line[first] - np.searchsorted(begin, offsets[row], side="right") + 1, prints, near
+    return row, line[first] - np.searchsorted(begin, offsets[row], side="right") + 1, prints
 
 
-_LINES = "key long, line int, high long, low long, simhash long"
+_LINES = "key long, line int, high long, low long"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in chunks(batch):
             part = batch.slice(a, b - a)
-            row, line, prints, near = fingerprints(part.column("text"))
+            row, line, prints = fingerprints(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("key").take(pa.array(row)), pa.array(line, pa.int32()), pa.array(prints[:, 0].astype(np.int64)),
-                 pa.array(prints[:, 1].astype(np.int64)), pa.array(near.astype(np.int64))],
-                names=["key", "line", "high", "low", "simhash"])
+                 pa.array(prints[:, 1].astype(np.int64))],
+                names=["key", "line", "high", "low"])
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +78,7 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in chunks(batch):
             column = batch.column("text").slice(a, b - a)
-            row, line, prints, _ = fingerprints(column)
+            row, line, prints = fingerprints(column)
             texts = column.to_pylist()
             out, last, split = [], -1, []
             for r, i in zip(row.tolist(), line.tolist()):
@@ -131,49 +122,117 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code point) of every character."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.repeat(np.arange(len(texts)), [len(x) for x in texts]), codes
+
+
+def _trigrams(texts: list[str]) -> np.ndarray:
+    """(rows, LANES) counts of the trigrams of each text by hash; an edit changes at most six of them by one."""
+    row, codes = _codes(texts)
+    if len(codes) < 3:
+        return np.zeros((len(texts), LANES), np.int64)
+    h = mix(codes[:-2] + (codes[1:-1] << np.uint64(21)) + (codes[2:] << np.uint64(42))) % np.uint64(LANES)
+    inside = row[:-2] == row[2:]
+    return np.bincount(row[:-2][inside] * LANES + h[inside].astype(np.int64), minlength=len(texts) * LANES).reshape(-1, LANES)
+
+
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [100 * edit_distance(x, y) <= (100 - percent) * max(len(x), len(y))
-                    for x, y in zip(batch.column("w_a").to_pylist(), batch.column("w_b").to_pylist())]
+            keep: list[bool] = []
+            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(at, PAIRS_AT_ONCE)
+                one, two = part.column("w_a").to_pylist(), part.column("w_b").to_pylist()
+                most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(one, two)]
+                apart = np.abs(_trigrams(one) - _trigrams(two)).sum(axis=1).tolist()
+                keep += [d <= 6 * m and edit_distance(x, y) <= m for x, y, m, d in zip(one, two, most, apart)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, id, simhash): the ten choices of two blocks of each SimHash."""
-    def block(at: int, size: int):
-        return F.shiftrightunsigned("simhash", at).bitwiseAND((1 << size) - 1)
+def windows_of(texts: list[str], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(row, window) of the sampled windows of each text, each once."""
+    column, chars = pa.array(texts, pa.string()), np.array([len(x) for x in texts])
+    least = np.array(list(WINDOWS))
+    low, high = (np.searchsorted(least, x, side="right") - 1 for x in (chars * percent // 100, -(-chars * 100 // percent)))
+    found = []
+    for i, q in enumerate(WINDOWS.values()):
+        some = np.flatnonzero((low <= i) & (i <= high))
+        data, offsets = row_bytes(column.take(pa.array(some)))
+        n = np.maximum(np.diff(offsets) - q + 1, 0)
+        own = np.repeat(np.arange(len(some)), n)
+        at = np.arange(n.sum()) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)
+        h = span_hashes(Spans(data, at, at + q, own))
+        # Twice the sample and some pass a threshold, so that few windows need sorting.
+        share = np.minimum((2 * SAMPLE + 32) / np.maximum(n, 1), 1.0)
+        few = h >> np.uint64(11) <= np.repeat((share * 2.0 ** 53).astype(np.uint64), n)
+        held = np.bincount(distinct_pairs(own[few], h[few])[0], minlength=len(some))
+        few |= np.repeat(held < SAMPLE, n)  # lines that repeat themselves: all their windows
+        own, h = distinct_pairs(own[few], h[few])
+        place = np.arange(len(own)) - np.searchsorted(own, own)
+        found.append((some[own[place < SAMPLE]], h[place < SAMPLE]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _members(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch, "words"):
+                part = batch.slice(a, b - a)
+                row, window = windows_of(part.column("words").to_pylist(), percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(window.view(np.int64)), part.column("id").take(pa.array(row))], names=["bucket", "id"])
+    return run
 
-    keys = [F.lit(i << 26) + F.shiftleft(block(*x), 13) + block(*y) for i, (x, y) in enumerate(combinations(BLOCKS, 2))]
-    return nodes.select(F.explode(F.array(*keys)).alias("bucket"), "id", "simhash")
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, chars, one, two): characters, and their counts in 16 classes of a byte each."""
+    for batch in batches:
+        for a, b in chunks(batch, "words"):
+            part = batch.slice(a, b - a)
+            texts = part.column("words").to_pylist()
+            row, codes = _codes(texts)
+            own = row * 16 + (mix(codes) & np.uint64(15)).astype(np.int64)
+            counts = np.minimum(np.bincount(own, minlength=16 * len(texts)), 255).astype(np.uint8).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id"), pa.array([len(x) for x in texts], pa.int32()), pa.array(counts[:, 0]), pa.array(counts[:, 1])],
+                names=["id", "chars", "one", "two"])
+
+
+def _may_be_near(percent: int):
+    """What any two lines of the similarity fulfil: near lengths, and an edit changes at most two counts by one."""
+    def near(one: str, two: str) -> Column:
+        a, b = F.col(f"{one}.chars"), F.col(f"{two}.chars")
+        lane = lambda side, name, at: F.shiftrightunsigned(f"{side}.{name}", at).bitwiseAND(255)
+        apart = sum((F.abs(lane(one, name, at) - lane(two, name, at)) for name in ("one", "two") for at in range(0, 64, 8)), F.lit(0))
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (50 * apart <= (100 - percent) * F.greatest(a, b))
+    return near
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(every line, the lines' groups) of ``docs`` (key, text).
 
-    The lines have (key, line, high, low, simhash); the groups (high, low, root, keep_key, keep_line) list
+    The lines have (key, line, high, low); the groups (high, low, root, keep_key, keep_line) list
     the fingerprints of lines that occur more than once or near each other, and the occurrence to keep.
     """
     lines = stage(docs.mapInArrow(_lines, _LINES), "lines")
-    nodes = lines.groupBy("high", "low").agg(
-        F.min("simhash").alias("simhash"), F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = lines.groupBy("high", "low").agg(F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-
-    def near(one: str, two: str) -> Column:
-        return F.bit_count(F.col(f"{one}.simhash").bitwiseXOR(F.col(f"{two}.simhash"))) <= NEAR_BITS
-
-    # Only lines that SimHash links to another need their words fetched.
-    loose = link(_buckets(nodes), lambda pairs: pairs, near=near)
-    linked = loose.select(F.explode(F.array("id", "root")).alias("id")).distinct()
-    candidates = stage(nodes.join(linked, "id", "left_semi"), "line-candidates")
-    keys = stage(candidates.select(F.col("first.key").alias("key")).distinct(), "line-keys")
+    keys = stage(nodes.select(F.col("first.key").alias("key")).distinct(), "line-keys")
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     texts = docs.join(keys, docs["key"].eqNullSafe(keys["key"]), "left_semi").select("text").mapInArrow(
-        _line_texts, "high long, low long, words string")
-    words_of = stage(texts.join(candidates.select("high", "low", "id"), ["high", "low"]).groupBy("id").agg(
-        F.min("words").alias("words")), "line-words")
+        _line_texts, "high long, low long, words string").dropDuplicates(["high", "low"])
+    words_of = stage(texts.join(nodes.select("high", "low", "id"), ["high", "low"]).select("id", "words"), "line-words")
+    # Most windows occur in one line only; the others' lines are compared.
+    members = words_of.mapInArrow(_members(percent), "bucket long, id long").withColumn(
+        "n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
+    members = stage(members, "line-buckets")
+    shapes = words_of.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(
+        _shapes, "id long, chars int, one long, two long")
+    members = members.join(shapes, "id")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = words_of.select(F.col("id").alias("a"), F.col("words").alias("w_a"))
@@ -181,7 +240,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         return pairs.join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(
             _similar(percent), "a long, b long")
 
-    found = link(_buckets(candidates), verify, near=near)
+    found = link(members, verify, near=_may_be_near(percent))
     grouped = nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     kept = grouped.select("high", "low", "root").join(several, "root").select(

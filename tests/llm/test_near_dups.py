@@ -101,6 +101,46 @@ def test_lines_equal_brute_force(spark, odd, odd_rows):
     assert any(u.find(x) != x for x in u.up)  # some lines are near, not equal
 
 
+def test_lines_equal_brute_force_over_all_pairs(spark, odd, odd_rows):
+    """Edit similarity alone decides: no condition on hashes in the brute force."""
+    rng = random.Random(3)
+    rows = [r for r in odd_rows if r[0] is not None and r[0] < 40] + prose_rows(rng, 100, 40, lines=True)
+    for n in (3, 5, 10, 20, 30, 50, 100):  # one changed word, a tenth of the words, one changed letter
+        for i in range(8):
+            line = [w for _ in range(n) for w in prose_rows(rng, 0, 1)[0][1].split(" ")[:1]]
+            some, typo = list(line), list(line)
+            for at in rng.sample(range(n), max(1, n // 10) if i % 2 else 1):
+                some[at] = some[at][::-1] + "e"
+            typo[rng.randrange(n)] += "x"
+            text = "\n".join(" ".join(x) for x in (line, some, typo))
+            rows.append((1000 * n + i, text, "en", "a", len(text)))
+    places = {}
+    for r in rows:
+        for at, text in enumerate((r[1] or "").split("\n")):
+            if w := b" ".join(words(text)).decode():
+                places.setdefault(w, []).append((r[0], at))
+    u, distinct = Union(), list(places)
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            most = max(len(a), len(b))
+            if 100 * min(len(a), len(b)) >= 85 * most and 100 * line_dedup.edit_distance(a, b) <= 15 * most:
+                u.join(a, b)
+    first = {}
+    for w in distinct:
+        first[u.find(w)] = min([*places[w], *([first[u.find(w)]] if u.find(w) in first else [])])
+    gone = {(*p,) for w in distinct for p in places[w] if p != first[u.find(w)]}
+    want = {}
+    for r in rows:
+        want.setdefault(r[0], "\n".join(t for at, t in enumerate((r[1] or "").split("\n")) if (r[0], at) not in gone))
+    got = {r.doc_id: r.text or "" for r in line_dedup.dedup_lines(spark.createDataFrame(rows, odd.schema)).collect()}
+    assert got == want
+
+
+def test_lines_that_repeat_themselves_have_windows():
+    row, window = line_dedup.windows_of(["ab cd " * 4000 + "x", "ab cd " * 4000 + "y"])
+    assert set(window[row == 0]) & set(window[row == 1])
+
+
 def test_lines_of_nothing(none):
     assert line_dedup.dedup_lines(none).count() == 0
 
