@@ -5,25 +5,25 @@ its first word. Symbols are the distinct training tokens and one symbol for ever
 
 - Root: a training token of count c has (c - d) / N, the unseen word d * V / N; N counts the tokens, V
   the distinct ones, and d = n1 / (n1 + 2 * n2) comes from the tokens seen once and twice.
-- Contexts of up to ``DEPTH`` tokens: one that makes up at least ``LEAST_SHARE`` of all positions is kept
+- Contexts of up to ``DEPTH`` tokens, any tokens: one that occurs ``LEAST_COUNT`` times or more is kept
   if its next-token distribution differs from that of its longest proper suffix, n * KL >=
-  ``DIVERGENCE`` nats (n: its count), or if it is the suffix of a kept one.
+  ``DIVERGENCE`` nats (n: its count), or if it is the suffix of a kept one. Neither depends on the corpus's size, so
+  the tree grows with it.
 - A state's distribution is smoothed towards that of its suffix with the weight of as many
-  observations as it has distinct next tokens (Witten and Bell). Next tokens below ``FREQUENT`` of
-  all tokens are one class, inside which the root's distribution holds.
+  observations as it has distinct next tokens (Witten and Bell). Every next token seen has its own count.
 - Scoring: the state at a token is the longest kept suffix of what precedes it. The score is the sum of
   the log10 probabilities; the base score is that of the smoothed unigram counts.
 
 Counts cover every training text: one job sums the words, a second the windows of a context and its
-next token. What every task needs is bounded by the parameters whatever the corpus: at most
-1 / FREQUENT words, DEPTH / LEAST_SHARE states and DEPTH / FREQUENT next-token counts. It holds all hot
-words; the others, none above FREQUENT of all tokens, join their counts by hash.
+next token. Tokens and contexts are 64-bit hashes; words, states and next-token counts are tables and
+are neither collected nor broadcast. Texts are scored by a join with their distinct windows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from .store import stage
 from .textbytes import LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
 
-DEPTH, LEAST_SHARE, DIVERGENCE, FREQUENT, HELD = 3, 5e-5, 20.0, 2e-6, 2_000_000
-# A window is one 64-bit number: DEPTH context ids, the latest lowest, and the next token's id.
-CONTEXT_BITS, NEXT_BITS = 15, 19
-OTHER = (1 << NEXT_BITS) - 1  # the class of all next tokens that are not frequent
+#: LEAST_SHARE is the share of all positions that a context needs: none, or the tree could not grow.
+DEPTH, LEAST_COUNT, LEAST_SHARE, DIVERGENCE, HELD = 3, 2, 0.0, 20.0, 2_000_000
+OTHER = -1  # in ``Model.after``, the unseen word
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
+CONTEXTS = [f"c{d}" for d in range(1, DEPTH + 1)]
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,249 +93,195 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from seen.all()
 
 
+def contexts(row: np.ndarray, hashes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(hash of the context of each depth, depth that there is) of every token.
+
+    Contexts that would reach beyond the text have hashes that no other context has.
+    """
+    h = hashes.view(np.uint64)
+    n, place = len(h), np.arange(len(h)) - np.searchsorted(row, row)
+    before = np.concatenate((np.zeros(1, np.uint64), h[:-1]))[:n]
+    before[place == 0] = np.int64(END).view(np.uint64)  # an end precedes the first token
+    out, context = [], np.zeros(n, np.uint64)
+    for depth in range(DEPTH):
+        back = np.zeros(n, np.uint64)
+        back[depth:] = mix(before[:max(n - depth, 0)] + np.uint64(depth + 1))
+        back[place < depth] = 0
+        context = mix(context * np.uint64(0x9E3779B97F4A7C15) + back)
+        out.append(context.view(np.int64))
+    return out, np.minimum(place + 1, DEPTH)
+
+
+def _window(context: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Hash of the deepest context and the next token."""
+    return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(hashes.view(np.uint64))).view(np.int64)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every distinct window of some texts: its contexts, its next token, how often it occurs."""
+    for batch in batches:
+        for a, b in chunks(batch):
+            row, hashes = tokens(batch.column("text").slice(a, b - a))
+            own, depth = contexts(row, hashes)
+            window, first, n = np.unique(_window(own[-1], hashes), return_index=True, return_counts=True)
+            columns = [*(c[first] for c in own), hashes[first], depth[first].astype(np.int32), window, n.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*CONTEXTS, "next", "depth", "window", "n"])
+
+
+_WINDOWS = ", ".join(f"{c} long" for c in CONTEXTS) + ", next long, depth int, window long, n long"
+
+
 @dataclass
-class Words:
-    """The frequent tokens, most frequent first in id order, and the corpus's totals."""
+class Model:
+    """Tables of the words (hash, c) and, by depth, of states (context, suffix, total, kinds) and counts (context, next, n)."""
 
-    hash: np.ndarray  # ascending
-    id: np.ndarray  # of each hash
-    count: np.ndarray  # by id
-    contexts: int  # ids below this may be part of a context
     tokens: int
     types: int
     discount: float
+    known: DataFrame
+    states: list[DataFrame]
+    counts: list[DataFrame]
+
+    @property
+    def unseen(self) -> float:
+        return self.discount * max(self.types, 1) / self.tokens if self.tokens else 1.0
+
+    # What follows collects the tables, to look at small models.
+    @cached_property
+    def words(self) -> "Words":
+        got = sorted(((r.c, r.hash) for r in self.known.collect()), reverse=True)
+        return Words(np.array([h for _, h in got], np.int64), np.array([c for c, _ in got], np.int64))
+
+    @cached_property
+    def _collected(self) -> list[tuple[dict, dict]]:
+        return [({r.context: (r.suffix, r.total, r.kinds) for r in s.collect()}, {(r.context, r.next): r.n for r in c.collect()})
+                for s, c in zip(self.states, self.counts)]
+
+    @cached_property
+    def contexts(self) -> list[np.ndarray]:
+        return [np.array(sorted(s), np.int64) for s, _ in self._collected]
+
+    @cached_property
+    def parent(self) -> np.ndarray:
+        """Of each state, 0 being the root."""
+        at, up = {(0, None): 0}, [0]
+        for depth, own in enumerate(self.contexts, 1):
+            for c in own.tolist():
+                at[depth, c] = len(up)
+                up.append(at[depth - 1, self._collected[depth - 1][0][c][0] if depth > 1 else None])
+        return np.array(up)
+
+    def after(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10 probability of each word (by its place in ``words``, or ``OTHER``) after a given state."""
+        flat = [(d, c) for d, own in enumerate(self.contexts) for c in own.tolist()]
+
+        def p(s: int, i: int) -> float:
+            if s == 0:
+                return self.unseen if i == OTHER else (self.words.count[i] - self.discount) / self.tokens
+            depth, c = flat[s - 1]
+            _, total, kinds = self._collected[depth][0][c]
+            n = 0 if i == OTHER else self._collected[depth][1].get((c, int(self.words.hash[i])), 0)
+            return (n + kinds * p(int(self.parent[s]), i)) / (total + kinds)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Id of each token, OTHER for those that are not frequent."""
-        if not len(self.hash):
-            return np.full(len(hashes), OTHER)
-        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
-        return np.where(self.hash[at] == hashes, self.id[at], OTHER)
-
-    def history(self, row: np.ndarray, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each depth: (positions that have a context of it, the contexts)."""
-        n = len(ids)
-        end = self.ids(np.array([END]))[0]
-        first = np.concatenate(([True], row[1:] != row[:-1])) if n else np.zeros(0, bool)
-        before = np.concatenate(([0], ids[:-1])) if n else ids
-        before = np.where(first, end, before)  # an end precedes the first token
-        usable = before < self.contexts
-        out = []
-        at = np.flatnonzero(usable)
-        context = before[at].astype(np.int64)
-        out.append((at, context))
-        for depth in range(2, DEPTH + 1):
-            # One token further back, inside the row (with the end before it).
-            back = at - (depth - 1)
-            fine = (back >= 0) & (row[np.maximum(back, 0)] == row[at])
-            at, context, back = at[fine], context[fine], back[fine]
-            fine = usable[back]
-            at, context, back = at[fine], context[fine], back[fine]
-            context = context | before[back].astype(np.int64) << CONTEXT_BITS * (depth - 1)
-            out.append((at, context))
-        return out
+        return np.log10([p(int(s), int(i)) for s, i in zip(state, ids)])
 
 
 @dataclass
-class Model:
-    """States by depth and context; state 0 is the root."""
-
-    words: Words
-    contexts: list[np.ndarray]  # of each depth, ascending
-    first: list[int]  # state of the first context of each depth
-    parent: np.ndarray  # by state
-    backoff: np.ndarray  # log10 weight of the suffix's distribution
-    entry: np.ndarray  # state << NEXT_BITS | next, ascending
-    entry_log10: np.ndarray
-    root_log10: np.ndarray  # by id of a frequent token
-    other_log10: float  # the root's share of all other tokens
-    unseen_log10: float  # the root's share of the unseen word
-
-    def states(self, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        state = np.zeros(len(ids), dtype=np.int64)
-        for depth, (at, context) in enumerate(self.words.history(row, ids)):
-            known = self.contexts[depth]
-            if len(known) and len(at):
-                place = np.minimum(np.searchsorted(known, context), len(known) - 1)
-                hit = known[place] == context
-                state[at[hit]] = self.first[depth] + place[hit]
-        return state
-
-    def log10(self, row: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each token's id after its state."""
-        return self.after(self.states(row, ids), ids)
+class Words:
+    """The tokens, most frequent first."""
 
-    def after(self, state: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 probability of each id after a given state: its own entry, or its suffix's share."""
-        out, state = np.zeros(len(ids)), state.copy()
-        todo = np.flatnonzero(state > 0)
-        while len(todo):
-            key = (state[todo] << NEXT_BITS) | ids[todo]
-            if len(self.entry):
-                at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
-                hit = self.entry[at] == key
-                out[todo[hit]] += self.entry_log10[at[hit]]
-                state[todo[hit]] = -1
-                todo = todo[~hit]
-            out[todo] += self.backoff[state[todo]]
-            state[todo] = self.parent[state[todo]]
-            todo = todo[state[todo] > 0]
-        rest = np.flatnonzero(state == 0)
-        other = ids[rest] == OTHER
-        out[rest[other]] += self.other_log10
-        out[rest[~other]] += self.root_log10[ids[rest[~other]]]
-        return out
-
-
-def build(w: Words, rows: np.ndarray) -> Model:
-    """The model from rows (depth, context, next, n, total, kinds) of the kept contexts.
-
-    ``total`` and ``kinds`` are a context's count and its number of distinct next tokens; rows
-    of rare windows may be left out and then back off.
-    """
-    n = max(w.tokens, 1)
-    share = (w.count - w.discount) / n
-    unseen = w.discount * max(w.types, 1) / n if w.tokens else 1.0
-    other = max(1.0 - share.sum(), 1e-300)
-    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))] if len(rows) else rows.reshape(0, 6)
-    contexts, first, at = [], [], 1
-    for depth in range(1, DEPTH + 1):
-        own = np.unique(rows[rows[:, 0] == depth, 1])
-        contexts.append(own)
-        first.append(at)
-        at += len(own)
-    parent, backoff = np.zeros(at, np.int64), np.zeros(at)
-    keys, logs = [np.zeros(0, np.int64)], [np.zeros(0)]
-    model = Model(w, contexts, first, parent, backoff, keys[0], logs[0], np.log10(share), float(np.log10(other)),
-                  float(np.log10(unseen)))
+    hash: np.ndarray
+    count: np.ndarray
+
+
+def grow(windows: DataFrame, known: DataFrame, positions: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(states, counts) by depth of the contexts that the tests keep."""
+    some, differ = [], []
     for depth in range(1, DEPTH + 1):
-        part = rows[rows[:, 0] == depth]
-        if not len(part):
-            continue
-        state = first[depth - 1] + np.searchsorted(contexts[depth - 1], part[:, 1])
-        held = np.bincount(state, weights=part[:, 3], minlength=at)
-        total, kinds = np.zeros(at), np.zeros(at)
-        total[state], kinds[state] = part[:, 4], part[:, 5]
-        own = np.unique(state)
-        up = contexts[depth - 1] & ((1 << CONTEXT_BITS * (depth - 1)) - 1)
-        if depth > 1:
-            parent[own] = first[depth - 2] + np.searchsorted(contexts[depth - 2], up)
-        weight = total - held + kinds
-        backoff[own] = np.log10(weight[own] / (total[own] + kinds[own]))
-        # The suffix's probability of each next token, from the levels built so far.
-        below = model.after(parent[state], part[:, 2])
-        p = (part[:, 3] + weight[state] * 10.0 ** below) / (total[state] + kinds[state])
-        keys.append((state << NEXT_BITS) | part[:, 2])
-        logs.append(np.log10(p))
-        model.entry, model.entry_log10 = np.concatenate(keys), np.concatenate(logs)
-    return model
-
-
-def kept_windows(windows: DataFrame, positions: int) -> DataFrame:
-    """(depth, context, next, n, total, kinds) of the contexts that the tests keep."""
-    counts = windows.select(F.col("kind").cast("int").alias("depth"), F.shiftrightunsigned("key", NEXT_BITS).alias("context"),
-                            F.col("key").bitwiseAND(OTHER).alias("next"), "n")
-    totals = counts.groupBy("depth", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    some = stage(counts.join(totals.where(F.col("total") >= LEAST_SHARE * positions), ["depth", "context"]), "tree-contexts")
-    suffix = F.expr(f"context & (shiftleft(1L, {CONTEXT_BITS} * (depth - 1)) - 1L)")
-    parent = some.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("suffix"), "next",
-                         (F.col("n") / F.col("total")).alias("share"))
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("share")))
-    differ = some.withColumn("suffix", suffix).join(parent, ["depth", "suffix", "next"]).groupBy("depth", "context").agg(
-        gain.alias("gain")).where(F.col("gain") >= DIVERGENCE)
-    closed = differ.select(F.explode(F.sequence(F.lit(1), "depth")).alias("d"), "context").select(
-        F.col("d").alias("depth"), F.expr(f"context & (shiftleft(1L, {CONTEXT_BITS} * d) - 1L)").alias("context")).distinct()
-    kept = some.join(closed, ["depth", "context"], "left_semi")
-    return kept.where((F.col("depth") > 0) & (F.col("n") >= FREQUENT * positions))
+        own, up = F.col(f"c{depth}"), F.col(f"c{depth - 1}") if depth > 1 else F.lit(0).cast("long")
+        counts = windows.where(F.col("depth") >= depth).groupBy(own.alias("context"), up.alias("suffix"), "next").agg(F.sum("n").alias("n"))
+        counts = stage(counts, "tree-counts")
+        totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(
+            F.col("total") >= max(LEAST_COUNT, LEAST_SHARE * positions))
+        some.append(stage(counts.join(totals, "context"), "tree-contexts"))
+        if depth == 1:
+            parent, on = known.select(F.col("hash").alias("next"), (F.col("c") / positions).alias("share")), ["next"]
+        else:
+            # A context's suffix occurs at least as often, so it is there.
+            parent = some[-2].select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("total")).alias("share"))
+            on = ["suffix", "next"]
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("share")))
+        differ.append(some[-1].join(parent, on).groupBy("context", "suffix").agg(gain.alias("gain")).where(
+            F.col("gain") >= DIVERGENCE).select("context", "suffix"))
+    states, counts, wanted = [], [], None
+    for depth in range(DEPTH, 0, -1):  # a kept context's suffixes are kept
+        kept = differ[depth - 1].select("context")
+        if wanted is not None:
+            kept = kept.unionAll(wanted.select(F.col("suffix").alias("context"))).distinct()
+        own = stage(some[depth - 1].join(kept, "context", "left_semi"), "tree-kept")
+        wanted = stage(own.groupBy("context").agg(*(F.min(c).alias(c) for c in ("suffix", "total", "kinds"))), "tree-states")
+        states.insert(0, wanted)
+        counts.insert(0, own.select("context", "next", "n"))
+    return states, counts
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the counts (hash, c) of the words that are not in it."""
+    """The model of all rows of ``docs``, and the counts (hash, c) of their words."""
     docs = docs.select(F.col(text).alias("text"))
     seen = docs.mapInArrow(_count_words, "kind byte, key long, n long").groupBy(F.col("key").alias("hash")).agg(F.sum("n").alias("c"))
     seen = stage(seen, "tree-words")
     total = seen.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n, types, once, twice = (total[0] or 0), total[1], total[2], total[3]
     discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
-    frequent = F.col("c") >= max(1.0, FREQUENT * n)
-    hot = seen.where(frequent).toArrow()  # at most 1 / FREQUENT rows
-    hashes, counts = hot.column("hash").to_numpy(), hot.column("c").to_numpy()
-    order = np.lexsort((hashes, -counts))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    up = np.argsort(hashes)
-    few = int((counts >= max(1.0, LEAST_SHARE * n)).sum())
-    w = Words(hashes[up], rank[up], counts[order], few, n, types, discount)
-    shared = docs.sparkSession.sparkContext.broadcast(w)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [_Counter(depth) for depth in range(DEPTH + 1)]
+    windows = docs.mapInArrow(_windows, _WINDOWS).groupBy(*CONTEXTS, "next", "depth").agg(F.sum("n").alias("n"))
+    states, counts = grow(stage(windows, "tree-windows"), seen, max(n, 1))
+    return Model(n, types, discount, seen, states, counts), seen
+
+
+def _row_windows(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b in chunks(batch):
-                row, hashes = tokens(batch.column("text").slice(a, b - a))
-                ids = shared.value.ids(hashes)
-                yield from sums[0].add(ids)
-                for depth, (at, context) in enumerate(shared.value.history(row, ids), 1):
-                    yield from sums[depth].add((context << NEXT_BITS) | ids[at])
-        for s in sums:
-            yield from s.all()
-
-    windows = docs.mapInArrow(count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    kept = kept_windows(stage(windows, "tree-windows"), n).toArrow()
-    rows = np.stack([kept.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "next", "n", "total", "kinds")], axis=1)
-    return build(w, rows), seen.where(~frequent)
+                part = batch.slice(a, b - a)
+                row, hashes = tokens(part.column("text"))
+                row, window, times = _times(row, _window(contexts(row, hashes)[0][-1], hashes))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row + number), part.column("key").take(pa.array(row)), pa.array(window), pa.array(times.astype(np.int64))],
+                    names=["row", "key", "window", "times"])
+                number += b - a
+    return run, f"row long, key {kind}, window long, times long"
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, seen: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: key, n_tokens, n_known, train_tokens, base_score, score.
 
     Null and empty texts are an end alone. Repeated rows are scored each. With a model of no texts
     every token is the unseen word.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_tokens long, known long, base double, score double, hashes array<bigint>, times array<int>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        w = m.words
-        floor = w.tokens + 0.5 * (w.types + 1)
-        for batch in batches:
-            for a, b in chunks(batch):
-                part, rows = batch.slice(a, b - a), b - a
-                row, hashes = tokens(part.column("text"))
-                ids = w.ids(hashes)
-                other = ids == OTHER
-                # Words that are not frequent count as unseen here; the join below mends those seen.
-                log = m.log10(row, ids)
-                log[other] += m.unseen_log10 - m.other_log10
-                count = np.zeros(len(ids))
-                count[~other] = w.count[ids[~other]]
-                add = lambda v: np.bincount(row, weights=v, minlength=rows)
-                pair_row, pair_hash, times = _times(row[other], hashes[other])
-                offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(pair_row, minlength=rows)))), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(np.bincount(row, minlength=rows).astype(np.int64)),
-                     pa.array(add(~other).astype(np.int64)), pa.array(add(np.log10((count + 0.5) / floor))), pa.array(add(log)),
-                     pa.ListArray.from_arrays(offsets, pa.array(pair_hash, pa.int64())),
-                     pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))],
-                    names=["key", "n_tokens", "known", "base", "score", "hashes", "times"])
-
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "tree-scores")
-    others = rows.select("row", F.explode(F.arrays_zip("hashes", "times")).alias("w")).select(
-        "row", F.col("w.hashes").alias("hash"), F.col("w.times").alias("times"))
-    # What a word of count c has over an unseen one, under the base and under the model.
-    w = model.words
-    over = F.log10((F.col("c") - w.discount) / (w.discount * max(w.types, 1)))
-    found = others.join(rare, "hash").groupBy("row").agg(
-        F.sum("times").alias("found"), F.sum(F.col("times") * F.log10(2 * F.col("c") + 1)).alias("base_over"),
-        F.sum(F.col("times") * over).alias("over"))
-    return rows.drop("hashes", "times").join(found, "row", "left").select(
-        F.col("key").alias(key), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(w.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_over", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("over", F.lit(0.0))).alias("score"))
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    asked = docs.select("text").mapInArrow(_windows, _WINDOWS).groupBy("window").agg(
+        *(F.min(c).alias(c) for c in (*CONTEXTS, "next")))
+    asked = asked.join(seen.select(F.col("hash").alias("next"), "c"), "next", "left")
+    p = F.coalesce((F.col("c") - model.discount) / max(model.tokens, 1), F.lit(model.unseen))
+    asked = asked.withColumn("p", p)
+    for own, states, counts in zip(CONTEXTS, model.states, model.counts):
+        asked = asked.join(states.select(F.col("context").alias(own), "total", "kinds"), own, "left").join(
+            counts.select(F.col("context").alias(own), "next", "n"), [own, "next"], "left")
+        p = (F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))
+        asked = asked.withColumn("p", F.coalesce(p, "p")).drop("total", "kinds", "n")
+    asked = stage(asked.select("window", "c", F.log10("p").alias("log")), "tree-scores")
+
+    floor = model.tokens + 0.5 * (model.types + 1)
+    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / floor)
+    rows = docs.mapInArrow(*_row_windows(docs.schema["key"].dataType.simpleString())).join(asked, "window")
+    return rows.groupBy("row").agg(
+        F.first("key").alias(key), F.sum("times").alias("n_tokens"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.sum(F.col("times") * base).alias("base_score"), F.sum(F.col("times") * F.col("log")).alias("score")).drop("row")
 
 
 def _times(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -164,6 +164,16 @@ def test_distributions_sum_to_one(spark):
         assert (10 ** model.after(np.full(len(ids), state), ids)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_a_context_of_a_small_share_is_kept(spark):
+    """30 of 700,000 positions: what follows is known by the count, whatever else the corpus holds."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abcdefgh", k=1000)) for _ in range(700)] + ["zulu yankee"] * 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, seen = suffix_tree.fit(df)
+    asked = spark.createDataFrame([(0, "zulu yankee")], "doc_id long, text string")
+    assert suffix_tree.score(asked, model, seen).first().score > math.log10(0.9 * 30 / 730)
+
+
 def test_no_training_texts(none, odd):
     model, rare = suffix_tree.fit(none)
     rows = suffix_tree.score(odd, model, rare).collect()
