@@ -13,7 +13,8 @@ DataFrame functions only; no Python runs on the rows.
    is then a multivariate-hypergeometric draw from the node's exact quotas, and the blocks of
    different shards are disjoint. The table of blocks has at most sources * 512 * (ceiling + 1)
    rows and does not grow with the documents.
-4. Rows join their block's places. Inside a shard, rows are put in the order of a seeded hash.
+4. Rows join their block's places. They are dealt to tasks by shard and a seeded hash, and put in the order of that
+   hash inside their task.
 
 All draws are hashes of the seed, so reruns agree.
 """
@@ -151,8 +152,17 @@ def mix(docs: DataFrame, weights: DataFrame, size: Column, key: str = "doc_id",
         (F.col("__size") * F.size("__taken")).alias("taken"), F.col("__taken").alias("places"))
 
 
-def mixture(mixed: DataFrame, key: str = "doc_id", seed: int = 7) -> DataFrame:
-    """One row for each time a document is taken, with its shard, shuffled inside each task."""
+def mixture(mixed: DataFrame, key: str = "doc_id", seed: int = 7, shards: int = 8, parts: int | None = None) -> DataFrame:
+    """One row for each time a document is taken, with its shard: dealt by shard, then shuffled inside each task.
+
+    A shard is dealt to as many tasks as its share of the shuffle partitions (``parts`` of them), by the
+    seeded hash of the key and the pass, so that no shard is one task and every task holds all sources of its
+    shard, however the input lies.
+    """
+    parts = parts or max(1, -(-int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
     rows = mixed.withColumn("__place", F.explode("places")).withColumn("shard", F.col("__place")["shard"])
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.col(key).cast("string"), F.col("__place")["pass"]))
-    return rows.withColumn("__order", order).sortWithinPartitions("shard", "__order").drop("__place", "__order")
+    rows = rows.withColumn("__order", order)
+    task = F.col("shard") * parts + F.pmod(F.xxhash64("__order"), F.lit(parts)).cast("int")
+    return rows.withColumn("__task", task).repartitionById(shards * parts, F.col("__task")).sortWithinPartitions(
+        "shard", "__order").drop("__place", "__order", "__task")

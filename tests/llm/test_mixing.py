@@ -67,6 +67,21 @@ def test_shards_get_disjoint_and_even_parts(spark):
     assert max(totals) < 1.25 * min(totals)
 
 
+def test_rows_are_dealt_by_shard_and_not_as_the_input_lies(spark):
+    df = spark.range(0, 6000, 1, 6).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.col("id") / 2000).cast("string")).alias("source"), F.lit("one two").alias("text"))
+    tasks, shards = defaultdict(list), defaultdict(set)
+    for r in mixing.mixture(mixed(df), parts=2).withColumn("task", F.spark_partition_id()).collect():
+        tasks[r.task].append(r.source)
+        shards[r.shard].add(r.task)
+    assert len(tasks) == 16 and all(len(t) == 2 for t in shards.values()) and len(set.union(*shards.values())) == 16
+    for own in tasks.values():
+        count = Counter(own)
+        runs = 1 + sum(a != b for a, b in zip(own, own[1:]))
+        # As many changes of source as a random order has, not a run for each source.
+        assert len(count) == 3 and runs > 0.7 * len(own) * (1 - sum((c / len(own)) ** 2 for c in count.values()))
+
+
 def test_oracle(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
