@@ -106,33 +106,38 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     the least key reachable, the document's own included. A document with fewer than 5 words has
     its whole sequence as one shingle; one without words (null, empty) has an empty set and is linked with
     nothing. ``key`` holds whole numbers; rows with a null key are left out of links and get a null
-    component, kept. Repeated rows are all returned, alike. An empty table gives an empty result.
+    component, kept. Rows that share a key but not their text stand for themselves; of a component one text of the
+    least key is kept. Repeated rows are all returned, alike. An empty table gives an empty result.
     """
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     sketches = stage(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketch, _SKETCH), "sketches")
-    # One node for each distinct set: the least key that has it.
+    # One node for each distinct set, and the least (key, text_hash) that has it.
     nodes = sketches.where("n_shingles > 0 AND key IS NOT NULL").groupBy("high", "low", "n_shingles").agg(
-        F.min("key").alias("id"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
-    nodes = stage(nodes, "sketch-nodes")
+        F.min(F.struct("key", "text_hash")).alias("least"), F.first("signature").alias("signature"), F.first("buckets").alias("buckets"))
+    nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "sketch-nodes")
     members = nodes.select(F.explode("buckets").alias("bucket"), "id").distinct()
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stage(members.join(shared, "bucket", "left_semi"), "shared-buckets")
     # The whole texts of the documents that have a candidate, fetched once.
-    texts = docs.join(members.select(F.col("id").alias("key")).distinct(), "key", "left_semi").groupBy(
-        F.col("key").alias("id")).agg(F.min("text").alias("text"))
+    wanted = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "least.key", "least.text_hash")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["key", "text_hash"]).groupBy("id").agg(
+        F.min("text").alias("text"))
     texts = stage(texts, "candidate-texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         return confirm(estimate(pairs, nodes, percent), texts, percent)
 
     found = link(members, verify, lambda ids: reachable(ids, texts, percent))
-    by_set = nodes.select("high", "low", "n_shingles", "id").join(found, "id", "left").select(
-        "high", "low", "n_shingles", F.coalesce("root", "id").alias("root"))
+    by_set = nodes.select("high", "low", "n_shingles", "id", "least").join(found, "id", "left").withColumn(
+        "root", F.coalesce("root", "id"))
+    firsts = by_set.groupBy("root").agg(F.min("least").alias("first"))
+    by_set = by_set.join(firsts, "root").select("high", "low", "n_shingles", "first")
     out = sketches.select("key", "text_hash", "n_shingles", "high", "low").join(by_set, ["high", "low", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("key"))
-    component = F.when(F.col("key").isNotNull(), component)
-    return out.select(F.col("key").alias(key), "text_hash", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
+    linked = F.col("key").isNotNull() & (F.col("n_shingles") > 0)
+    own = (F.col("key") == F.col("first.key")) & (F.col("text_hash") == F.col("first.text_hash"))
+    return out.select(F.col("key").alias(key), "text_hash", "n_shingles",
+                      F.when(linked, F.col("first.key")).otherwise(F.col("key")).alias("component_id"),
+                      F.when(linked, own).otherwise(True).alias("kept"))
 
 
 def reachable(ids: DataFrame, texts: DataFrame, percent: int):

@@ -60,6 +60,18 @@ def test_null_keys_and_no_rows(odd, none):
     assert minmax_dedup.near_duplicates(none).count() == 0
 
 
+def test_texts_of_one_key_are_told_apart(spark, odd):
+    rng = random.Random(12)
+    one, two, three = (" ".join(prose_rows(rng, 0, 1)[0][1].split()[:60]) for _ in range(3))
+    near = lambda t: t + " more"
+    rows = [(7, one), (7, two), (8, near(two)), (9, near(one)), (5, three), (5, near(three))]
+    df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], odd.schema)
+    hashes = {r.h: r.text for r in df.selectExpr("xxhash64(text) AS h", "text").collect()}
+    got = {(r.doc_id, hashes[r.text_hash]): (r.component_id, r.kept) for r in minmax_dedup.near_duplicates(df).collect()}
+    assert got[7, one] == got[7, two] == (7, True) and got[8, near(two)] == got[9, near(one)] == (7, False)
+    assert sorted(got[5, t] for t in (three, near(three))) == [(5, False), (5, True)]
+
+
 def brute_lines(rows):
     import pyarrow as pa
     row, line, _, near = line_dedup.fingerprints(pa.array([r[1] for r in rows], pa.string()))
