@@ -3,7 +3,8 @@
 A store is a folder with two Parquet tables, written and committed by Spark:
 
 - ``dictionary``: one row (dict_hash, dictionary), trained on the serialized id arrays of a bounded
-  sample of documents (``SAMPLE_DOCS`` by smallest hash of the id, ``SAMPLE_CHARS`` characters of each).
+  sample of documents (``SAMPLE_DOCS`` by smallest hash of the id, ``SAMPLE_CHARS`` characters from
+  anywhere in each).
 - ``blocks``: rows of up to ``BLOCK_DOCS`` documents in ascending key order: part and block numbers,
   the keys, token counts and byte offsets of the documents, the dictionary's hash, and the payload:
   one zstandard frame for each document. A document is read by its block's key range, its offset
@@ -54,6 +55,14 @@ def _serialize(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
+def sample_texts(docs: DataFrame) -> DataFrame:
+    """A slice of each sampled document of (key, text); the key's hash says where in the whole text it begins."""
+    some = docs.orderBy(F.xxhash64("key"), "key", "text").limit(SAMPLE_DOCS)
+    begins = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    begin = (F.pmod(F.xxhash64("key", F.lit(1)), begins) + 1).cast("int")
+    return some.select(F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"))
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, key: str = "doc_id",
                 text: str = "text", partitions: int | None = None) -> None:
     """Write ``docs`` (one row per document) as a store in ascending key order.
@@ -64,8 +73,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
     spark = docs.sparkSession
     width = 2 if vocabulary <= 1 << 16 else 4
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sample = docs.orderBy(F.xxhash64("key"), "key", "text").select(
-        F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_DOCS).toArrow()
+    sample = sample_texts(docs).toArrow()
     parts: list[bytes] = []
     for _, ids, counts in encoded(sample.combine_chunks().to_batches(), tokenizer, end_id):
         parts += [_serialize(x, width) for x in np.split(ids, np.cumsum(counts)[:-1])]

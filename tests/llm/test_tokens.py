@@ -88,3 +88,12 @@ def test_rest_is_placed_without_overlap():
 
 def test_nothing_to_pack(none):
     assert packing.pack(none, P.path("word_bpe_49k.json"), 2).count() == 0
+
+
+def test_samples_come_from_all_of_long_texts(spark):
+    text = " ".join(f"{i:06d}" for i in range(10_000))
+    docs = spark.createDataFrame([(k, text if k else None) for k in range(60)], "key long, text string")
+    texts = [r.text for r in token_store.sample_texts(docs).collect() if r.text]
+    places = [text.index(t) for t in texts]
+    assert len(texts) == 59 and {len(t) for t in texts} == {token_store.SAMPLE_CHARS}
+    assert min(places) < 10_000 and max(places) > 50_000 and len(set(places)) > 50
