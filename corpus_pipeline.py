@@ -37,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each near-duplicate component, and of equal rows one."""
     docs = docs.select(*COLUMNS)
-    gone = minmax_dedup.near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash").distinct()
+    gone = minmax_dedup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id", "text_hash").distinct()
     rest = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti")
     again = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("doc_id", "text_hash"))
     return rest.withColumn("again", again).where((F.col("again") == 1) | F.col("doc_id").isNull()).select(*COLUMNS)

@@ -63,6 +63,14 @@ def test_pieces_hold_the_mixture(stages):
         assert have[r.doc_id] == tokens[r.doc_id] * r["count"]
 
 
+def test_near_copies_from_four_fifths_go(spark, odd):
+    base = " ".join(f"w{i}" for i in range(100))
+    more = base + "".join(f" x{i}" for i in range(20))  # 96 of 116 shingles: 0.83
+    other = base + "".join(f" y{i}" for i in range(30))  # 96 of 126, and 96 of 146: too few
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate((base, more, other))], odd.schema)
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, df, SF).collect()) == [0, 2]
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_odd_rows_and_no_rows(spark, odd, none, k):
     name, step = pipeline.STAGES[k]
