@@ -18,7 +18,6 @@ Floating-point outputs are rounded to 6 decimals on both sides for the compariso
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -916,10 +915,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    """Queries and SQL of the training-data operators; none where that subpackage is left out."""
-    if find_spec("blotter.llm") is None or find_spec("corpus_pipeline") is None:
+    """Queries and SQL of the training-data operators; none where that subpackage cannot be imported."""
+    try:
+        from blotter.llm import ORACLES, QUERIES
+        from corpus_pipeline import ORACLE_SQL, run
+    except ImportError:
         return {}, {}
-    from blotter.llm import ORACLES, QUERIES
-    from corpus_pipeline import ORACLE_SQL, run
 
     return {**QUERIES, "pipeline": run}, ORACLES | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

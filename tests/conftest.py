@@ -3,19 +3,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 from blotter.session import get_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = get_session("local[4]", 4, "blotter-tests")
     s.sparkContext.setLogLevel("ERROR")
     yield s
-
-
-def table(spark, name, sf=SF):
-    return spark.read.parquet(f"{sf}/{name}.parquet")

@@ -5,7 +5,7 @@ import pytest
 from blotter.functions.categorise import categorise, category_dimension, decisive, rule_expr
 from blotter.functions.rules import CRIME_RULES, DEFAULT_CATEGORY
 from blotter.plans.incidents import category_counts
-from conftest import table
+from tables import table
 
 ONE_PER_RULE = [
     ("ASSAULT 3", "Violent Crime"),

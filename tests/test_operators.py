@@ -10,7 +10,7 @@ from blotter.operators.running import row_number_global, running_total
 from blotter.operators.shares import reorder_levels, share_of_total, share_within, stack_fill
 from blotter.operators.topk import top_k_with_ties
 from blotter.plans.incidents import donut_segments, share_by_group, share_then_exclude
-from conftest import table
+from tables import table
 
 
 def test_share_within_fixture(spark):

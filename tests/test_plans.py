@@ -12,7 +12,7 @@ from blotter.operators.shares import share_of_total
 from blotter.operators.topk import top_k_with_ties
 from blotter.plans.hotspots import top_locations
 from blotter.plans.incidents import category_counts
-from conftest import table
+from tables import table
 
 
 def plan_of(df):

@@ -11,7 +11,7 @@ from blotter.sources.csv import CsvSource, read_csv, read_csv_text, read_rejects
 from blotter.sources.geo import read_lines, read_polygons, write_line_features, write_polygon_features
 from blotter.sources.parquet import read_parquet, register_table, write_parquet
 from blotter.sources.profile import profile
-from conftest import table
+from tables import table
 
 BAD_CSV = 'a,b,c\n1,"x, ""q""",007\n2,short\n3,x,y,z\n4,ok,008\n'
 

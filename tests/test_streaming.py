@@ -7,7 +7,7 @@ from blotter.streaming.incidents import (
     read_parquet_stream,
     start_snapshots,
 )
-from conftest import SF, table
+from tables import SF, table
 
 
 def test_stream_category_counts_equal_batch(spark):
