@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_path
-from . import ann_scan, line_dedup, minmax_dedup, mixing, nbsvm, packing, sharding, suffix_tree, token_store, topk_pivot
+from . import ann_scan, bpe, conversation_repair, line_dedup, minmax_dedup, mixing, nbsvm, packing, sharding, suffix_tree, token_store, topk_pivot, whitening
 from .store import stage, table
 
 
@@ -98,6 +98,25 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    report = conversation_repair.repair_report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+    return report.withColumnsRenamed({"conv": "conv_id", "sha256": "repaired_sha256"})
+
+
+def op12_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of every document's ids and of the text that they decode to."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bounded_ring": op1_bounded_ring,
     "op2_dimension_scan": op2_dimension_scan,
@@ -109,4 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_splitting_tree": op8_splitting_tree,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_harmonic_packing": op10_harmonic_packing,
+    "op11_lattice_repair": op11_lattice_repair,
+    "op12_speculative_bpe": op12_speculative_bpe,
+    "op13_qdwh_whitening": op13_qdwh_whitening,
 }
