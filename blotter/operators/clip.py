@@ -4,19 +4,17 @@ Spark has no usable geometry type, so the intersection is expressed with joins o
 grid, all as DataFrame operations:
 
 1. lines are exploded into segments and polygon rings into edges;
-2. segments and edges are both exploded into the grid cells they pass through; segments are
+2. segments and edges meet in the cells of an adaptive grid that both pass (see ``grid``): segments are
    left-joined to edges on the cell, and one aggregate by segment gathers the parameters ``t`` of its
    crossings;
 3. every segment is cut at its crossings; each interval lies wholly inside or wholly outside
    each polygon;
-4. an interval is a candidate for the polygons whose box holds its midpoint (a join on the grid
-   cell); the midpoint is tested with an even-odd ray cast to +x against the edges of that polygon in
-   its horizontal band (all rings of all parts take part, so holes and multi-part polygons work);
-5. inside intervals are stitched into pieces (gaps and islands over the segment order) and
-   their points collected in order.
+4. an interval's midpoint is looked up in the polygons' covers: cells wholly inside decide alone, in a border cell
+   the edges of that cell do (all rings of all parts take part, so holes and multi-part polygons work);
+5. inside intervals are stitched into pieces by ranges of segments (see ``stitch``).
 
 All joins are equi-joins on a spatial key; which side is broadcast is the optimizer's choice from the
-sizes it sees. Everything before the stitching is grouped by segment, so a long line is spread over
+sizes it sees. Nothing is grouped by line before its pieces are known, so a long line is spread over
 many tasks.
 
 Conventions: planar coordinates (degrees treated as a plane); a piece that only touches the
@@ -28,12 +26,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import CITY_BBOX
 from ..session import materialise
+from .grid import EDGE, LEVELS, PAIRS, PLACE, Grid
 from .points import DEGREE_CRS, crs_of
+from .stitch import RANGE, stitch
 
 EPS = 1e-12
 MIN_INTERVAL = 1e-11
@@ -76,25 +76,6 @@ def _edges(polygons: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
-def _cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, cell: float) -> DataFrame:
-    """Grid cells a segment passes through (not its whole bounding box): for each column slab
-    the segment crosses, the rows between its y values at the slab borders. Linear in the
-    segment length; the y range is padded by a hair so points on cell borders are never lost."""
-    ax, ay, bx, by = F.col(x1), F.col(y1), F.col(x2), F.col(y2)
-    xlo, xhi = F.least(ax, bx), F.greatest(ax, bx)
-    out = df.withColumn("_ix", F.explode(F.sequence(F.floor(xlo / cell), F.floor(xhi / cell))))
-    sx0 = F.greatest(xlo, F.col("_ix") * cell)
-    sx1 = F.least(xhi, (F.col("_ix") + 1) * cell)
-    slope = F.try_divide(by - ay, bx - ax)
-    vertical = ax == bx
-    ya = F.when(vertical, F.least(ay, by)).otherwise(ay + (sx0 - ax) * slope)
-    yb = F.when(vertical, F.greatest(ay, by)).otherwise(ay + (sx1 - ax) * slope)
-    pad = cell * 1e-9
-    lo = F.floor((F.least(ya, yb) - pad) / cell)
-    hi = F.floor((F.greatest(ya, yb) + pad) / cell)
-    return out.withColumn("_iy", F.explode(F.sequence(lo, hi)))
-
-
 def line_intersects_box(pts: Column | str, box: tuple[float, float, float, float] = CITY_BBOX) -> Column:
     """True when any part of the line lies in the box (xmin, ymin, xmax, ymax), borders included.
 
@@ -135,18 +116,17 @@ def _check_crs(lines: DataFrame, polygons: DataFrame) -> None:
 
 def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] = ("way_id",),
                poly_key: Sequence[str] = ("name",), cell: float = DEFAULT_CELL,
-               band: float | None = None) -> DataFrame:
+               pairs: int = PAIRS, levels: int = LEVELS, segments: int = RANGE) -> DataFrame:
     """Intersect lines (``pts``) with polygons (``rings``).
 
     Rows of ``polygons`` with the same ``poly_key`` are the parts of one polygon. A line is identified
     by ``line_key``, its ``part`` (if there is such a column) and its points; rows that agree in these are
     one line. Returns the other columns of both inputs (of the polygons: those of one part, without
     ``part``) plus ``piece`` (1, 2, ... per line and polygon, along the line) and ``pts``, the ordered points
-    of that piece. ``cell`` is the grid size of the crossing join and ``band`` the band height of the
-    inside test (default: ``cell``), both in coordinate units.
+    of that piece. ``cell`` is the size of the grid's cells in coordinate units; cells in which more than ``pairs`` pairs of a
+    segment and an edge meet are split, at most ``levels`` times. ``segments`` of a line are stitched in one task.
     """
     _check_crs(lines, polygons)
-    band = band or cell
     pk = [f"_pk{i}" for i in range(len(poly_key))]
     parts = [F.col("part").cast("string")] if "part" in lines.columns else []
     line_cols = [c for c in lines.columns if c != "pts"]
@@ -155,12 +135,13 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] =
     P = polygons.select(*[F.col(c).alias(a) for c, a in zip(poly_key, pk)], "rings")
 
     segs = _segments(L, ["_line", "_attrs"])
-    # Used three times below: computed once, with its lineage cut.
+    # Used several times below: computed once, with its lineage cut.
     edges = materialise(_edges(P, pk))
+    grid = Grid(segs, edges, cell, pairs, levels)
 
     # 2. cut points of every segment: one scan of the lines, one shuffle by segment
-    sc = _cells(segs, "x1", "y1", "x2", "y2", cell)
-    ec = _cells(edges, "ex1", "ey1", "ex2", "ey2", cell).select("_ix", "_iy", "ex1", "ey1", "ex2", "ey2")
+    sc = grid.place(segs, ["x1", "y1", "x2", "y2"], ["_line", "seg"])
+    ec = grid.place(edges.select(*EDGE), EDGE, None)
     rx, ry = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     sx, sy = F.col("ex2") - F.col("ex1"), F.col("ey2") - F.col("ey1")
     qx, qy = F.col("ex1") - F.col("x1"), F.col("ey1") - F.col("y1")
@@ -170,7 +151,7 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] =
     crossing = (t > EPS) & (t < 1 - EPS) & (u >= -EPS) & (u <= 1 + EPS)
     seg_cols = ["_line", "seg", "x1", "y1", "x2", "y2"]
     with_cuts = (
-        sc.join(ec, ["_ix", "_iy"], "left")
+        sc.join(ec, [*PLACE, "_salt"], "left")
         .groupBy(*seg_cols)
         .agg(F.collect_set(F.when(crossing, F.round(t, 12))).alias("ts"), F.first("_attrs").alias("_attrs"))
     )
@@ -187,65 +168,30 @@ def clip_lines(lines: DataFrame, polygons: DataFrame, line_key: Sequence[str] =
     tm = (F.col("ta") + F.col("tb")) / 2.0
     intervals = intervals.withColumn("mx", F.col("x1") + tm * rx).withColumn("my", F.col("y1") + tm * ry)
 
-    # 4. candidate polygons by box, then the even-odd test against their edges in the midpoint's band
-    boxes = edges.groupBy(*pk).agg(
-        F.min(F.least("ex1", "ex2")).alias("bx1"), F.max(F.greatest("ex1", "ex2")).alias("bx2"),
-        F.min(F.least("ey1", "ey2")).alias("by1"), F.max(F.greatest("ey1", "ey2")).alias("by2"))
-
-    def span(lo: str, hi: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-
-    boxes = boxes.withColumn("_ix", span("bx1", "bx2")).withColumn("_iy", span("by1", "by2"))
-    held = F.col("mx").between(F.col("bx1"), F.col("bx2")) & F.col("my").between(F.col("by1"), F.col("by2"))
-    near = (
-        intervals.withColumn("_ix", F.floor(F.col("mx") / cell)).withColumn("_iy", F.floor(F.col("my") / cell))
-        .join(boxes, ["_ix", "_iy"]).where(held)
-        .withColumn("_band", F.floor(F.col("my") / band))
-        .drop("_ix", "_iy", "bx1", "bx2", "by1", "by2")
-    )
-    eb = edges.withColumn(
-        "_band", F.explode(F.sequence(F.floor(F.least("ey1", "ey2") / band), F.floor(F.greatest("ey1", "ey2") / band)))
-    ).select("_band", *pk, "ex1", "ey1", "ex2", "ey2")
-    ray_hits = (
-        ((F.col("ey1") > F.col("my")) != (F.col("ey2") > F.col("my")))
-        & (F.greatest("ex1", "ex2") > F.col("mx"))
-        & (F.col("ex1") + F.try_divide((F.col("my") - F.col("ey1")) * (F.col("ex2") - F.col("ex1")),
-                                       F.col("ey2") - F.col("ey1")) > F.col("mx"))
-    )
-    keys = [*seg_cols, "ta", "tb", *pk]
+    # 4. the polygons' cover: only the edges of a midpoint's own border cell are met
+    near = grid.looked_up(intervals, "mx", "my", ["_line", "seg"]).join(grid.cover(edges, pk), [*PLACE, "_salt"])
+    change = Grid.changes(F.col("mx"), F.col("my"), F.col("_cx"), F.col("_cy"))
     inside = (
-        _join_null_safe(near, eb, ["_band", *pk])
-        .where(ray_hits)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_hits"), F.first("_attrs").alias("_attrs"))
+        near.select(*seg_cols, "ta", "tb", *pk, "_attrs", change.alias("_change"))
+        .where("_change > 0")
+        .groupBy(*seg_cols, "ta", "tb", *pk)
+        .agg(F.sum("_change").alias("_hits"), F.first("_attrs").alias("_attrs"))
         .where(F.col("_hits") % 2 == 1)
-        .drop("_hits")
     )
 
     # 5. stitch consecutive inside intervals of the same line and polygon into pieces
-    w = Window.partitionBy("_line", *pk).orderBy("seg", "ta")
-    prev_seg, prev_tb = F.lag("seg").over(w), F.lag("tb").over(w)
-    continues = ((prev_seg == F.col("seg")) & (F.abs(prev_tb - F.col("ta")) < 1e-9)) | (
-        (prev_seg == F.col("seg") - 1) & (prev_tb > 1 - 1e-9) & (F.col("ta") < 1e-9)
-    )
-    flagged = inside.withColumn("_new", F.when(F.coalesce(continues, F.lit(False)), 0).otherwise(1))
-    flagged = flagged.withColumn("piece", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
-
     def at(tc: str) -> Column:
         # "+ 0.0" folds a negative zero into 0.0
         return F.struct((F.col("x1") + F.col(tc) * rx + 0.0).alias("x"), (F.col("y1") + F.col(tc) * ry + 0.0).alias("y"))
 
-    ends = flagged.select("_line", "_attrs", *pk, "piece",
-                          F.struct("seg", "ta", at("ta").alias("a"), at("tb").alias("b")).alias("iv"))
-    pieces = ends.groupBy("_line", *pk, "piece").agg(
-        F.array_sort(F.collect_list("iv")).alias("ivs"), F.first("_attrs").alias("_attrs"))
-    pts = F.concat(F.array(F.get(F.col("ivs"), 0)["a"]), F.transform("ivs", lambda v: v["b"]))
+    pieces = stitch(inside.select("_line", *pk, "seg", "ta", "tb", at("ta").alias("a"), at("tb").alias("b"), "_attrs"),
+                    ["_line", *pk], "_attrs", segments)
 
     # attributes of the polygons: one row for each key
     poly_cols = [c for c in polygons.columns if c not in ("rings", "part")]
     poly_attrs = polygons.groupBy(*[F.col(c).alias(a) for c, a in zip(poly_key, pk)]).agg(
         F.first(F.struct(*poly_cols)).alias("_poly"))
-    out = _join_null_safe(pieces.select("_attrs", *pk, "piece", pts.alias("pts")), poly_attrs, pk)
+    out = _join_null_safe(pieces.select("_attrs", *pk, "piece", "pts"), poly_attrs, pk)
     return out.select(*[F.col("_poly")[c].alias(c) for c in poly_cols], *[F.col("_attrs")[c].alias(c) for c in line_cols],
                       "piece", "pts")
 

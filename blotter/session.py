@@ -76,9 +76,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_table(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    As ``materialise``, for small tables that are used again: the files carry sizes, so the optimizer sees
+    what may be broadcast.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for code that needs an OS path (tests only)."""
     return path[len("file:"):] if path.startswith("file:") else path
 
 
-__all__ = ["get_session", "ensure_checkpoint_dir", "shared_path", "materialise", "local_path"]
+__all__ = ["get_session", "ensure_checkpoint_dir", "shared_path", "materialise", "stage_table", "local_path"]

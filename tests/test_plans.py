@@ -60,7 +60,7 @@ def test_inline_categorisation_shuffles_only_counts(spark):
 
 
 def test_long_line_is_spread_until_stitching(spark):
-    """Crossings and inside tests of one long line run in many tasks."""
+    """Crossings, inside tests and stitching of one long line run in many tasks."""
     n = 4000
     pts = [(i * 0.002, 0.25 + 0.5 * (i % 2)) for i in range(n + 1)]
     pt = "struct<x:double,y:double>"
@@ -71,8 +71,8 @@ def test_long_line_is_spread_until_stitching(spark):
     final = final_plan(out)
     hashed = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", final)
     assert any("seg#" in h for h in hashed)
-    alone = [h for h in hashed if "_line#" in h and "seg#" not in h]
-    assert len(alone) <= 1  # only the stitching groups by line
+    alone = [h for h in hashed if "_line#" in h and "seg#" not in h and "_range#" not in h and "piece#" not in h]
+    assert len(alone) <= 1  # one row for each range of segments; the intervals stay with their range
     assert out.count() == n // 2 + 1
 
 
