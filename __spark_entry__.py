@@ -19,12 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.functions.categorise import categorise, categorise_sql, category_dimension
-from blotter.functions.labels import percent_label
+from blotter.functions.labels import fraction_percent_label, percent_label
 from blotter.functions.recode import recode
 from blotter.functions.rules import (
     CATEGORY_COLOURS,
@@ -34,7 +34,7 @@ from blotter.functions.rules import (
     MONTH_ABBREVIATIONS,
     RACE_PALETTE,
 )
-from blotter.operators.counts import count_by, distinct_values
+from blotter.operators.counts import count_by, distinct_values, monthly_counts
 from blotter.functions.scales import in_view
 from blotter.operators.points import crs_of, point_counts, points_from_wkt, to_crs, with_crs
 from blotter.operators.shares import share_within
@@ -45,8 +45,11 @@ from blotter.plans import basemap, hotspots, incidents
 from blotter.plans.ingest import ingest_tables, load_table
 from blotter.session import shared_path
 from blotter.sources.csv import CsvSource, read_csv_text, write_lines
-from blotter.sources.geo import read_lines, read_polygons, write_line_features, write_polygon_features
-from blotter.sources.profile import profile
+from blotter.sources.geo import BOX, read_clustered, read_lines, read_polygons, write_clustered, write_line_features, write_polygon_features
+from blotter.sources.multiline import read_csv_multiline
+from blotter.sources.parquet import register_table
+from blotter.sources.profile import glimpse, profile
+from blotter.sources.sniff import read_csv_auto, sniff
 
 SF0001 = "/root/testdata/sf0.001"
 
@@ -436,6 +439,85 @@ def q_multi_part_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("borough_name", "highway", "way_id", "part", "piece", _path("pts").alias("path"))
 
 
+# --- CSV without a schema, quoted line feeds, clustered roads, order of a written result -------------
+def _dialect_lines(orders: DataFrame, kind: str) -> DataFrame:
+    """Order lines in one of three dialects; every fifth note holds the delimiter and a quote, every seventh is empty."""
+    sep, quote, day = {"us": (",", '"', "MM/dd/yyyy"), "eu": (";", "'", "dd.MM.yyyy"), "tabs": ("\t", '"', "yyyy-MM-dd")}[kind]
+    k = F.col("o_orderkey")
+    note = (F.when(k % 7 == 0, F.lit("")).when(k % 5 == 0, F.concat(F.lit(f"{quote}a{sep} {quote}{quote}"), F.col("o_orderpriority"), F.lit(quote)))
+            .otherwise(F.col("o_orderpriority")))
+    return orders.select(F.concat_ws(sep, k.cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"),
+                                     F.date_format("o_orderdate", day), note).alias("value"))
+
+
+def q_csv_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three dialects read without a schema: their rows, and the types found."""
+    orders, root, out = _t(spark, sf_dir, "orders"), shared_path(spark, "sniffed"), None
+    for kind, header in (("us", "order,price,day,note"), ("eu", "order;price;day;note"), ("tabs", None)):
+        path = write_lines(_dialect_lines(orders, kind), f"{root}/{kind}", header)
+        dialect = sniff(spark, path)
+        rows = read_csv_auto(spark, path, dialect).toDF("order_key", "price", "day", "note")
+        types = ",".join(f.dataType.simpleString() for f in dialect.schema)
+        rows = rows.select(F.lit(kind).alias("file"), F.lit(types).alias("types"), "order_key", F.round("price", 2).alias("price"), "day", "note")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def q_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with line feeds, written as one quoted CSV file and read by ranges."""
+    path = shared_path(spark, "multiline")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+    docs.coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
+    rows = read_csv_multiline(spark, path, schema)
+    return rows.select("doc_id", "lang", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+SMALL_BOX = (2.0, 2.0, 4.5, 4.0)
+
+
+def q_pruned_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main roads of a small box from a clustered table."""
+    path = shared_path(spark, "clustered")
+    write_clustered(_supplier_roads(_t(spark, sf_dir, "supplier"), bends=False), path, world=(0.0, 0.0, 10.0, 10.0))
+    roads = basemap.main_roads(read_clustered(spark, path), ROAD_TAGS[:5], SMALL_BOX)
+    return _round(roads.select("way_id", "highway", *[F.col(c) for c in BOX]))
+
+
+def q_stacked_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled stack's bounds as axis labels."""
+    stack = incidents.share_by_group(_t(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", exclude=("P",),
+                                     group_names=ORDER_STATUS_NAMES, key_names=PRIORITY_NAMES, colours=PRIORITY_COLOURS)
+    return stack.select("o_orderstatus", "o_orderpriority", fraction_percent_label("ymin").alias("from_label"),
+                        fraction_percent_label("ymax", 0.1).alias("to_label"))
+
+
+def q_registered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over registered tables."""
+    register_table(_t(spark, sf_dir, "orders"), "blotter_orders")
+    register_table(_t(spark, sf_dir, "customer"), "blotter_customer")
+    return spark.sql("""
+        SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n, max(o_orderdate) AS latest
+        FROM blotter_orders JOIN blotter_customer ON o_custkey = c_custkey GROUP BY ALL""")
+
+
+def q_glimpse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and first values of a table's columns."""
+    return glimpse(_t(spark, sf_dir, "orders"), "o_orderkey", 3)
+
+
+def q_monthly_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written monthly trend: ``place`` is each row's position in the files, read back."""
+    path = shared_path(spark, "monthly")
+    k = F.col("o_orderkey")
+    text = F.when(k % 50 == 0, F.lit("13/45/2020")).when(k % 51 == 0, F.lit(None)).otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
+    monthly_counts(_t(spark, sf_dir, "orders").select(text.alias("day")), "day", "n").write.parquet(path)
+    rows = spark.read.parquet(path).select("month", "n", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+    place = F.row_number().over(Window.orderBy("f", "i"))  # twelve months and the missing one
+    return rows.select("month", "n", place.alias("place"))
+
+
 # --- one description for every rule, and the branches that the given tables do not reach ----------
 DESCRIPTIONS = (
     "ASSAULT 3", "LARCENY,PETIT", "CONTROLLED SUBSTANCE", "CRIM POS WEAP 2", "TRESPASS 2", "PROSTITUTION",
@@ -548,6 +630,13 @@ def q_props_categories_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "csv_sniffed": q_csv_sniffed,
+    "csv_multiline": q_csv_multiline,
+    "pruned_roads": q_pruned_roads,
+    "stacked_axis": q_stacked_axis,
+    "registered_table": q_registered_table,
+    "glimpse": q_glimpse,
+    "monthly_order": q_monthly_order,
     "nine_rules": q_nine_rules,
     "weapons_layers": q_weapons_layers,
     "monthly_trend_text": q_monthly_trend_text,
@@ -732,6 +821,46 @@ def _sql() -> dict[str, str]:
         SELECT CAST(c_custkey AS VARCHAR) AS cust_key, c_name || ', "' || c_mktsegment || '"' AS name,
                lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS nation_code, c_mktsegment AS segment
         FROM customer WHERE c_custkey % 37 <> 0 AND c_custkey % 41 <> 0"""
+    s["csv_sniffed"] = " UNION ALL ".join(f"""
+        SELECT '{kind}' AS file, 'bigint,double,date,string' AS types, o_orderkey AS order_key, round(o_totalprice, 2) AS price,
+               CAST(o_orderdate AS DATE) AS day,
+               CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'a{sep} ' || {quote} || o_orderpriority
+                    ELSE o_orderpriority END AS note FROM orders"""
+        for kind, sep, quote in (("us", ",", "'\"'"), ("eu", ";", "chr(39)"), ("tabs", "\t", "'\"'")))
+    s["csv_multiline"] = """
+        SELECT doc_id, lang, CASE WHEN text <> '' THEN length(text) END AS chars, CASE WHEN text <> '' THEN md5(text) END AS text_md5
+        FROM (SELECT doc_id, lang, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents)"""
+    s["registered_table"] = """
+        SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n, max(o_orderdate) AS latest
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
+    s["glimpse"] = " UNION ALL ".join(f"""
+        SELECT '{c}' AS column_name, {i} AS position, '{kind}' AS data_type, count(*) AS rows, count({c}) AS non_null,
+               count(*) - count({c}) AS nulls,
+               (SELECT string_agg(coalesce(CAST({c} AS VARCHAR), 'NA'), ', ' ORDER BY o_orderkey)
+                FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 3)) AS first_values FROM orders"""
+        for i, (c, kind) in enumerate((("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+                                       ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")), 1))
+    s["monthly_order"] = """
+        WITH m AS (SELECT CASE WHEN o_orderkey % 50 <> 0 AND o_orderkey % 51 <> 0 THEN CAST(month(o_orderdate) AS INTEGER) END AS month,
+                          count(*) AS n FROM orders GROUP BY 1)
+        SELECT month, n, CAST(row_number() OVER (ORDER BY month NULLS LAST) AS INTEGER) AS place FROM m"""
+    s["stacked_axis"] = f"""
+        SELECT o_orderstatus, o_orderpriority, printf('%.0f%%', round_even(100 * ymin, 0)) AS from_label,
+               printf('%.1f%%', round_even(100 * ymax, 1)) AS to_label FROM ({s['stacked_fill']})"""
+    xmin, ymin, xmax, ymax = SMALL_BOX
+    corners = [(xmin, ymin), (xmin, ymax), (xmax, ymin), (xmax, ymax)]
+    small_sides = ", ".join(f"(x2 - x1) * ({cy} - y1) - (y2 - y1) * ({cx} - x1)" for cx, cy in corners)
+    small_tags = ", ".join(f"'{t}'" for t in ROAD_TAGS)
+    s["pruned_roads"] = f"""
+        WITH l AS (SELECT s_suppkey AS way_id, ([{small_tags}])[s_suppkey % 6 + 1] AS highway,
+                     CAST((s_suppkey * 37) % 97 AS DOUBLE) / 10 + sqrt(2.0) / 100 AS x1,
+                     CAST((s_suppkey * 53) % 89 AS DOUBLE) / 10 + sqrt(3.0) / 100 AS y1,
+                     CAST((s_suppkey * 71) % 101 AS DOUBLE) / 10 + sqrt(5.0) / 100 AS x2,
+                     CAST((s_suppkey * 29) % 83 AS DOUBLE) / 10 + sqrt(7.0) / 100 AS y2 FROM supplier)
+        SELECT way_id, highway, round(least(x1, x2), 6) AS xmin, round(least(y1, y2), 6) AS ymin,
+               round(greatest(x1, x2), 6) AS xmax, round(greatest(y1, y2), 6) AS ymax FROM l
+        WHERE highway <> '{ROAD_TAGS[5]}' AND least(x1, x2) <= {xmax} AND greatest(x1, x2) >= {xmin}
+          AND least(y1, y2) <= {ymax} AND greatest(y1, y2) >= {ymin} AND least({small_sides}) <= 0 AND greatest({small_sides}) >= 0"""
     xmin, ymin, xmax, ymax = GRID_BOX
     corners = [(xmin, ymin), (xmin, ymax), (xmax, ymin), (xmax, ymax)]
     seg_sides = ", ".join(f"(x2 - x1) * ({cy} - y1) - (y2 - y1) * ({cx} - x1)" for cx, cy in corners)

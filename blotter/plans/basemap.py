@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.recode import recode
 from ..functions.rules import BOROUGH_ALIASES, BOROUGH_COUNTIES, CITY_BBOX, ROAD_CLASSES
 from ..operators.clip import DEFAULT_CELL, clip_lines, line_intersects_box
+from ..sources.geo import BOX, in_box
 
 
 def named_areas(polygons: DataFrame, name_col: str = "name", keep: Sequence[str] = BOROUGH_COUNTIES,
@@ -20,7 +21,12 @@ def named_areas(polygons: DataFrame, name_col: str = "name", keep: Sequence[str]
 
 def main_roads(lines: DataFrame, classes: Sequence[str] = ROAD_CLASSES,
                box: tuple[float, float, float, float] = CITY_BBOX, tag: str = "highway") -> DataFrame:
-    """Lines tagged with one of ``classes`` that reach into ``box`` (xmin, ymin, xmax, ymax)."""
+    """Lines tagged with one of ``classes`` that reach into ``box`` (xmin, ymin, xmax, ymax).
+
+    Where the lines carry their boxes (a clustered table), these are compared first, by the scan.
+    """
+    if set(BOX) <= set(lines.columns):
+        lines = lines.where(in_box(box))
     return lines.where(F.col(tag).isin(*classes)).where(line_intersects_box("pts", box))
 
 

@@ -47,11 +47,11 @@ def top_locations(df: DataFrame, lon: str = "longitude", lat: str = "latitude",
 
 
 def layer_points(df: DataFrame, wkt_col: str, k: int = 100, drop_zero: bool = False) -> DataFrame:
-    """One layer: parse WKT points, count per exact point, keep the top k with ties."""
+    """One layer: parse WKT points, count per exact point (once, as a staged table), keep the top k with ties."""
     pts = points_from_wkt(df.select(wkt_col), wkt_col)
     if drop_zero:
         pts = valid_points(pts, "lon", "lat", drop_zero=True)
-    return top_k_with_ties(point_counts(pts, "lon", "lat"), "n", k)
+    return top_k_with_ties(point_counts(pts, "lon", "lat"), "n", k, staged=True)
 
 
 def weapon_arrests(df: DataFrame, category: str = "category", value: str = WEAPONS) -> DataFrame:

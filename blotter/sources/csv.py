@@ -84,7 +84,7 @@ def read_csv_text(spark: SparkSession, path: str, *, delimiter: str = ",", quote
 
 def read_csv_tagged(spark: SparkSession, path: str, schema: T.StructType | None = None, *, text: bool = False,
                     delimiter: str = ",", quote: str = '"', escape: str = '"', date_format: str = US_DATE,
-                    multiline: bool = False) -> DataFrame:
+                    multiline: bool = False, header: bool = True) -> DataFrame:
     """Parse once, keep every line: data columns + ``_ingest_status`` ('ok'/'rejected') + raw
     text of rejected lines in ``_corrupt_record``. Wrong field counts and values that do not
     fit their type are rejected."""
@@ -94,7 +94,7 @@ def read_csv_tagged(spark: SparkSession, path: str, schema: T.StructType | None
         schema = header_schema(spark, path, delimiter, quote, escape)
     full = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     df = (
-        _reader(spark, True, delimiter, quote, escape, date_format, multiline)
+        _reader(spark, header, delimiter, quote, escape, date_format, multiline)
         .schema(full)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)

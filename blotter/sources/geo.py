@@ -9,6 +9,10 @@ lines:    ``way_id BIGINT, part INT, highway STRING, pts ARRAY<STRUCT<x DOUBLE,
           (a multi-line becomes several rows with increasing ``part``)
 
 One feature per line keeps the files splittable (a single FeatureCollection document is not).
+
+Clustered tables hold either layout as Parquet with the box of every geometry (``xmin, ymin, xmax, ymax``), range-partitioned
+and sorted by a Z-order key of the box's centre. Near features so share files and row groups, whose minima and maxima let a
+box filter skip all others: ``read_clustered`` sends four comparisons to the scan.
 """
 
 from __future__ import annotations
@@ -104,3 +108,61 @@ def write_line_features(df: DataFrame, path: str, id_col: str = "way_id", tag_co
     )
     df.select(F.to_json(feat).alias("value")).write.mode(mode).text(path)
     return path
+
+
+# --- clustered tables -----------------------------------------------------------------------------
+BOX = ("xmin", "ymin", "xmax", "ymax")
+WORLD = (-180.0, -90.0, 180.0, 90.0)
+Z_BITS = 20
+
+
+def _spread(v: Column, bits: int = Z_BITS) -> Column:
+    """Bit i of ``v`` at place 2 * i, by halving steps: each moves the upper half of every group away."""
+    step = 1 << (bits - 1).bit_length()
+    while step > 1:
+        step //= 2
+        mask = sum(((1 << step) - 1) << at for at in range(0, 64, 2 * step))
+        mask -= (mask >> 63) << 64  # as a signed long
+        v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
+
+
+def z_order(x: Column, y: Column, box: tuple[float, float, float, float] = WORLD, bits: int = Z_BITS) -> Column:
+    """Z-order key of a point in ``box`` (points outside count as on its border); NULL where a coordinate is."""
+    def scaled(c: Column, low: float, high: float) -> Column:
+        top = float((1 << bits) - 1)
+        inside = F.least(F.greatest(F.floor((c - low) / (high - low) * top), F.lit(0.0)), F.lit(top)).cast("long")
+        return F.when(c.isNotNull(), inside)
+
+    xmin, ymin, xmax, ymax = box
+    return _spread(scaled(x, xmin, xmax), bits).bitwiseOR(F.shiftleft(_spread(scaled(y, ymin, ymax), bits), 1))
+
+
+def with_box(df: DataFrame) -> DataFrame:
+    """``xmin, ymin, xmax, ymax`` of ``pts`` or of all ``rings``; NULL for a geometry without points."""
+    points = F.col("pts") if "pts" in df.columns else F.flatten("rings")
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    return df.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
+
+
+def write_clustered(df: DataFrame, path: str, files: int | None = None, world: tuple[float, float, float, float] = WORLD,
+                    mode: str = "overwrite") -> str:
+    """Lines or polygons as Parquet, near ones together. ``files``: how many ranges (default: shuffle partitions)."""
+    boxed = with_box(df).withColumn("_z", z_order((F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2, world))
+    dealt = boxed.repartitionByRange(files, "_z") if files else boxed.repartitionByRange("_z")
+    dealt.sortWithinPartitions("_z").drop("_z").write.mode(mode).parquet(path)
+    return path
+
+
+def in_box(box: tuple[float, float, float, float]) -> Column:
+    """The geometry's box meets ``box`` (xmin, ymin, xmax, ymax): four comparisons a Parquet scan can use."""
+    xmin, ymin, xmax, ymax = box
+    return (F.col("xmin") <= xmax) & (F.col("xmax") >= xmin) & (F.col("ymin") <= ymax) & (F.col("ymax") >= ymin)
+
+
+def read_clustered(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None,
+                   crs: int = 4326) -> DataFrame:
+    """A clustered table; with ``box`` the features whose box meets it, row groups elsewhere unread."""
+    df = spark.read.parquet(path)
+    geometry = "pts" if "pts" in df.columns else "rings"
+    return with_crs(df.where(in_box(box)) if box else df, [geometry], crs)

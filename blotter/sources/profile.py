@@ -38,6 +38,21 @@ def profile(df: DataFrame) -> DataFrame:
     )
 
 
+def glimpse(df: DataFrame, order: str, n: int = 5) -> DataFrame:
+    """``profile`` with the type's name and the first ``n`` values of each column, as text, rows taken by ``order``.
+
+    The first values come from one top-n of the rows; NULL shows as ``NA``. An empty table has empty texts.
+    """
+    rest = [F.coalesce(F.col(_q(c)).cast("string"), F.lit("NA")).alias(f"_v{i}") for i, c in enumerate(df.columns)]
+    first = df.select(F.col(_q(order)).alias("_order"), *rest).orderBy("_order", *[f"_v{i}" for i in range(len(rest))]).limit(n)
+    firsts = first.agg(F.array_sort(F.collect_list(F.struct("_order", *[f"_v{i}" for i in range(len(rest))]))).alias("r"))  # n rows
+    entries = [F.struct(F.lit(i + 1).alias("position"), F.concat_ws(", ", F.col(f"r._v{i}")).alias("first_values"))
+               for i in range(len(rest))]
+    values = firsts.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return profile(df).join(values, "position").select(
+        "column_name", "position", "data_type", "rows", "non_null", "nulls", "first_values")
+
+
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """The first ``n`` rows (a preview is a row cap by definition)."""
     return df.limit(n)
