@@ -3,14 +3,16 @@
 Lines end at line feeds. A line counts by its words (runs without ASCII white space, ASCII letters
 lower-cased) joined by single spaces. Lines without words are never touched.
 
-1. Lines of the same words are one node (by a 128-bit fingerprint).
-2. A line's windows are its runs of q characters' bytes; q goes by the line's length (``WINDOWS``), and a line whose
-   partners may use another q has the windows of both. Each q gives the ``SAMPLE`` windows of least hash; each is
-   a bucket. Lines of under 32 characters have few more than that.
-3. Pairs in a bucket are dropped only by bounds that hold for every pair of the similarity asked for (lengths, counts of
-   characters, counts of trigrams), then confirmed by edit similarity, in percent of the longer line's
+1. Lines of the same words are one node (by a 128-bit fingerprint), with a SimHash of ``64 * HASH_WORDS`` bits over its
+   runs of ``GRAM`` bytes.
+2. Pigeonhole blocks: two lines are candidates if one of their ``BLOCKS`` blocks of ``BLOCK_BITS`` bits is equal and their
+   lengths lie in one class. Classes double; a line that may have partners in the next class is in both.
+   Lines within ``BLOCKS`` - 1 bits over the blocks share one for certain, most lines of a few times that do.
+3. A bucket's lines are kept if another line of it lies within ``HALF_NEAR`` of half of the bits (see ``_mates``): this
+   drops what shares a block by chance before anything is paired.
+4. Pairs in a bucket within ``NEAR`` and of near lengths are confirmed by edit similarity, in percent of the longer line's
    characters: at least ``PERCENT``. Components of confirmed pairs are groups (see ``linking``: no bucket is paired out).
-4. The occurrence of the least (key, line number) of each group stays; all others are removed.
+5. The occurrence of the least (key, line number) of each group stays; all others are removed.
 """
 
 from __future__ import annotations
@@ -19,18 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link
+from .simhash import simhashes
 from .store import stage
-from .textbytes import LOWER, Spans, chunks, distinct_pairs, mix, row_bytes, span_hashes, words
+from .textbytes import CHUNK_BYTES, LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
 
-PERCENT, SAMPLE, LANES, PAIRS_AT_ONCE = 85, 24, 1024, 1024
-#: Bytes of a window, by the least characters of the line.
-WINDOWS = {0: 3, 14: 4, 32: 8, 64: 12, 192: 16}
-#: Up to so many keys (8 bytes each), the documents of candidate lines are picked by broadcast, else by a join.
-BROADCAST_KEYS = 4_000_000
+PERCENT, LANES, PAIRS_AT_ONCE = 85, 1024, 1024
+#: The SimHash: bytes of a run, 64-bit words, blocks and their bits, and the share of differing bits up to which lines are near.
+GRAM, HASH_WORDS, BLOCKS, BLOCK_BITS, NEAR = 4, 4, 14, 16, 0.19
+#: The same for half of the SimHash, which differs by chance a little more or less than the whole.
+HALF_NEAR = 0.22
+#: Lines of fewer characters are near no other line: one edit is too much.
+LEAST_CHARS = -(-100 // (100 - PERCENT))
+HASH = [f"s{i}" for i in range(HASH_WORDS)]
 
 
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray, np.ndarray]:
@@ -59,18 +65,37 @@ def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, line[first] - np.searchsorted(begin, offsets[row], side="right") + 1, prints
 
 
-_LINES = "key long, line int, high long, low long"
+def normalised(data: np.ndarray, spans: Spans, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, end) of the lines that have words: each its words, lower-cased, joined by single spaces."""
+    if not len(line):
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), z, z
+    size = spans.end - spans.start + 1  # with the space behind
+    ends = np.cumsum(size)
+    index = np.arange(ends[-1]) + np.repeat(spans.start - (ends - size), size)
+    out = np.concatenate((LOWER[data], np.zeros(1, np.uint8)))[index]
+    out[ends - 1] = 0x20
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    return out, (ends - size)[first], ends[np.concatenate((first[1:], [len(line)])) - 1] - 1
+
+
+_LINES = "key long, line int, high long, low long, chars int, " + ", ".join(f"{c} long" for c in HASH)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in chunks(batch):
+        for a, b in chunks(batch, "text", 4 * CHUNK_BYTES):
             part = batch.slice(a, b - a)
             row, line, prints = fingerprints(part.column("text"))
+            data, offsets = row_bytes(part.column("text"))
+            text, begin, end = normalised(data, *line_words(data, offsets)[:2])
+            heads = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))  # bytes that begin a character
+            hashes = simhashes(text, begin, end, GRAM, HASH_WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("key").take(pa.array(row)), pa.array(line, pa.int32()), pa.array(prints[:, 0].astype(np.int64)),
-                 pa.array(prints[:, 1].astype(np.int64))],
-                names=["key", "line", "high", "low"])
+                 pa.array(prints[:, 1].astype(np.int64)), pa.array(heads[end] - heads[begin], pa.int32()),
+                 *(pa.array(hashes[:, w]) for w in range(HASH_WORDS))],
+                names=["key", "line", "high", "low", "chars", *HASH])
 
 
 def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +118,11 @@ def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LOWERED = bytes(LOWER)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance: common ends cut off, then bit-parallel over one long integer."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance: common ends cut off, then bit-parallel over one long integer.
+
+    With ``most``, work ends once the distance is sure to be greater, and some greater number is returned.
+    """
     low, high = 0, min(len(a), len(b))
     while low < high:  # length of the common prefix
         middle = (low + high + 1) // 2
@@ -112,7 +140,11 @@ def edit_distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << i
     ones, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     rises, falls, distance = ones, 0, len(a)  # between neighbouring cells of a column
+    left = len(b) + (len(a) + len(b) if most is None else most)  # each character left takes off one at most
     for c in b:
+        if distance > left:
+            break
+        left -= 1
         match = places.get(c, 0)
         diagonal = ((((match & rises) + rises) ^ rises) | match | falls) & ones
         up, down = falls | (ones & ~(diagonal | rises)), rises & diagonal
@@ -147,68 +179,73 @@ def _similar(percent: int):
                 one, two = part.column("w_a").to_pylist(), part.column("w_b").to_pylist()
                 most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(one, two)]
                 apart = np.abs(_trigrams(one) - _trigrams(two)).sum(axis=1).tolist()
-                keep += [d <= 6 * m and edit_distance(x, y) <= m for x, y, m, d in zip(one, two, most, apart)]
+                keep += [d <= 6 * m and edit_distance(x, y, m) <= m for x, y, m, d in zip(one, two, most, apart)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def windows_of(texts: list[str], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(row, window) of the sampled windows of each text, each once."""
-    column, chars = pa.array(texts, pa.string()), np.array([len(x) for x in texts])
-    least = np.array(list(WINDOWS))
-    low, high = (np.searchsorted(least, x, side="right") - 1 for x in (chars * percent // 100, -(-chars * 100 // percent)))
-    found = []
-    for i, q in enumerate(WINDOWS.values()):
-        some = np.flatnonzero((low <= i) & (i <= high))
-        data, offsets = row_bytes(column.take(pa.array(some)))
-        n = np.maximum(np.diff(offsets) - q + 1, 0)
-        own = np.repeat(np.arange(len(some)), n)
-        at = np.arange(n.sum()) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)
-        h = span_hashes(Spans(data, at, at + q, own))
-        # Twice the sample and some pass a threshold, so that few windows need sorting.
-        share = np.minimum((2 * SAMPLE + 32) / np.maximum(n, 1), 1.0)
-        few = h >> np.uint64(11) <= np.repeat((share * 2.0 ** 53).astype(np.uint64), n)
-        held = np.bincount(distinct_pairs(own[few], h[few])[0], minlength=len(some))
-        few |= np.repeat(held < SAMPLE, n)  # lines that repeat themselves: all their windows
-        own, h = distinct_pairs(own[few], h[few])
-        place = np.arange(len(own)) - np.searchsorted(own, own)
-        found.append((some[own[place < SAMPLE]], h[place < SAMPLE]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
-
-def _members(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(batch, "words"):
-                part = batch.slice(a, b - a)
-                row, window = windows_of(part.column("words").to_pylist(), percent)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(window.view(np.int64)), part.column("id").take(pa.array(row))], names=["bucket", "id"])
-    return run
+def _buckets(percent: int) -> Column:
+    """The buckets of a line: each block's number, its bits and the length's class, in one whole number."""
+    def of(block: int, size: Column) -> Column:
+        at = block * BLOCK_BITS
+        bits = F.shiftrightunsigned(HASH[at // 64], at % 64).bitwiseAND((1 << BLOCK_BITS) - 1)
+        return (size * BLOCKS + block) * (1 << BLOCK_BITS) + bits
+
+    size = F.floor(F.log2("chars") + 1e-9).cast("long")
+    beyond = F.floor(F.log2(F.col("chars") * 100 / percent) + 1e-9).cast("long")
+    own = F.array(*[of(b, size) for b in range(BLOCKS)])
+    return F.when(beyond > size, F.concat(own, F.array(*[of(b, size + 1) for b in range(BLOCKS)]))).otherwise(own)
+
+
+def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the lines that have a line within ``HALF_NEAR`` beside them in their bucket, by the two words of the
+    SimHash that come along. Rows come sorted by bucket; a bucket may span batches."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def near(bucket: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+        found = np.zeros(len(bucket), bool)
+        last = np.searchsorted(bucket, bucket, side="right")
+        at, step = np.arange(len(bucket)), 1
+        while len(at := at[at + step < last[at]]):
+            open_ = at[~(found[at] & found[at + step])]
+            apart = np.bitwise_count(one[open_] ^ one[open_ + step])
+            some = apart <= HALF_NEAR * 128
+            open_, apart = open_[some], apart[some]
+            hit = open_[apart + np.bitwise_count(two[open_] ^ two[open_ + step]) <= HALF_NEAR * 128]
+            found[hit] = found[hit + step] = True
+            step += 1
+        return pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (bucket, ids, one.view(np.int64), two.view(np.int64))],
+                                          names=["bucket", "id", "one", "two"])
 
-
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, chars, one, two): characters, and their counts in 16 classes of a byte each."""
     for batch in batches:
-        for a, b in chunks(batch, "words"):
-            part = batch.slice(a, b - a)
-            texts = part.column("words").to_pylist()
-            row, codes = _codes(texts)
-            own = row * 16 + (mix(codes) & np.uint64(15)).astype(np.int64)
-            counts = np.minimum(np.bincount(own, minlength=16 * len(texts)), 255).astype(np.uint8).view(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([len(x) for x in texts], pa.int32()), pa.array(counts[:, 0]), pa.array(counts[:, 1])],
-                names=["id", "chars", "one", "two"])
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "id", "one", "two")]
+        columns = columns[:2] + [c.view(np.uint64) for c in columns[2:]]
+        if not len(columns[0]):
+            continue
+        if held:
+            columns = [np.concatenate((h, c)) for h, c in zip(held[0], columns)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
+        if cut:
+            yield near(*(c[:cut] for c in columns))
+        held = [tuple(c[cut:] for c in columns)]
+    if held:
+        yield near(*held[0])
+
+
+def _hamming(one: str, two: str) -> Column:
+    return sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in HASH), F.lit(0))
 
 
-def _may_be_near(percent: int):
-    """What any two lines of the similarity fulfil: near lengths, and an edit changes at most two counts by one."""
-    def near(one: str, two: str) -> Column:
-        a, b = F.col(f"{one}.chars"), F.col(f"{two}.chars")
-        lane = lambda side, name, at: F.shiftrightunsigned(f"{side}.{name}", at).bitwiseAND(255)
-        apart = sum((F.abs(lane(one, name, at) - lane(two, name, at)) for name in ("one", "two") for at in range(0, 64, 8)), F.lit(0))
-        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (50 * apart <= (100 - percent) * F.greatest(a, b))
-    return near
+def _half_near(one: str, two: str) -> Column:
+    """What ``_mates`` asks of two lines."""
+    apart = sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in ("one", "two")), F.lit(0))
+    return apart <= int(HALF_NEAR * 128)
+
+
+def _may_be_near(percent: int, one: str, two: str) -> Column:
+    """Near lengths, and SimHashes within the radius."""
+    a, b = F.col(f"{one}.chars"), F.col(f"{two}.chars")
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_hamming(one, two) <= int(NEAR * 64 * HASH_WORDS))
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -218,34 +255,36 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     the fingerprints of lines that occur more than once or near each other, and the occurrence to keep.
     """
     lines = stage(docs.mapInArrow(_lines, _LINES), "lines")
-    nodes = lines.groupBy("high", "low").agg(F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = lines.groupBy("high", "low").agg(
+        F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("chars", *HASH)))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    keys = stage(nodes.select(F.col("first.key").alias("key")).distinct(), "line-keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    texts = docs.join(keys, docs["key"].eqNullSafe(keys["key"]), "left_semi").select("text").mapInArrow(
-        _line_texts, "high long, low long, words string").dropDuplicates(["high", "low"])
-    words_of = stage(texts.join(nodes.select("high", "low", "id"), ["high", "low"]).select("id", "words"), "line-words")
-    # Most windows occur in one line only; the others' lines are compared.
-    members = words_of.mapInArrow(_members(percent), "bucket long, id long").withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1").drop("n")
+    least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
+    rows = nodes.where(F.col("chars") >= least).select(
+        F.explode(_buckets(percent)).alias("bucket"), "id", F.col("s0").alias("one"), F.col("s1").alias("two"))
+    members = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mates, "bucket long, id long, one long, two long")
     members = stage(members, "line-buckets")
-    shapes = words_of.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(
-        _shapes, "id long, chars int, one long, two long")
-    members = members.join(shapes, "id")
+    ids = members.select("id").distinct()
+    near = stage(nodes.join(ids, "id", "left_semi").select("id", "high", "low", "chars", *HASH, F.col("first.key").alias("key")), "line-near")
+    keys = near.select("key").distinct()
+    texts = docs.join(keys, docs["key"].eqNullSafe(keys["key"]), "left_semi").select("text").mapInArrow(
+        _line_texts, "high long, low long, words string").join(near.select("high", "low", "id"), ["high", "low"])
+    words_of = stage(texts.select("id", "words").dropDuplicates(["id"]), "line-words")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        one, two = (near.select("id", "chars", *HASH).alias(x) for x in ("one", "two"))
+        pairs = pairs.join(one, F.col("a") == F.col("one.id")).join(two, F.col("b") == F.col("two.id")).where(
+            _may_be_near(percent, "one", "two")).select("a", "b")
         one = words_of.select(F.col("id").alias("a"), F.col("words").alias("w_a"))
         two = words_of.select(F.col("id").alias("b"), F.col("words").alias("w_b"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(
             _similar(percent), "a long, b long")
 
-    found = link(members, verify, near=_may_be_near(percent))
-    grouped = nodes.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    found = link(members, verify, near=_half_near)
+    grouped = nodes.select("id", "high", "low", "first", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     kept = grouped.select("high", "low", "root").join(several, "root").select(
         "high", "low", "root", F.col("keep.key").alias("keep_key"), F.col("keep.line").alias("keep_line"))
-    return lines, stage(kept, "line-groups")
+    return lines.select("key", "line", "high", "low"), stage(kept, "line-groups")
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
