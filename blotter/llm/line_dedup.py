@@ -8,8 +8,8 @@ lower-cased) joined by single spaces. Lines without words are never touched.
 2. Pigeonhole blocks: two lines are candidates if one of their ``BLOCKS`` blocks of ``BLOCK_BITS`` bits is equal and their
    lengths lie in one class. Classes double; a line that may have partners in the next class is in both.
    Lines within ``BLOCKS`` - 1 bits over the blocks share one for certain, most lines of a few times that do.
-3. A bucket's lines are kept if another line of it lies within ``HALF_NEAR`` of half of the bits (see ``_mates``): this
-   drops what shares a block by chance before anything is paired.
+3. A bucket's lines are kept if another line of it lies within ``HALF_NEAR`` of half of the bits, then within ``NEAR`` of all
+   (see ``_mates``): this drops what shares a block by chance before anything is paired.
 4. Pairs in a bucket within ``NEAR`` and of near lengths are confirmed by edit similarity, in percent of the longer line's
    characters: at least ``PERCENT``. Components of confirmed pairs are groups (see ``linking``: no bucket is paired out).
 5. The occurrence of the least (key, line number) of each group stays; all others are removed.
@@ -197,55 +197,56 @@ def _buckets(percent: int) -> Column:
     return F.when(beyond > size, F.concat(own, F.array(*[of(b, size + 1) for b in range(BLOCKS)]))).otherwise(own)
 
 
-def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of the lines that have a line within ``HALF_NEAR`` beside them in their bucket, by the two words of the
-    SimHash that come along. Rows come sorted by bucket; a bucket may span batches."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _mates(words: list[str], radius: float):
+    """Rows (bucket, id, words) of the lines that have a line within ``radius`` beside them in their bucket, by the share of
+    bits in which these words of the SimHashes differ. Rows come sorted by bucket; a bucket may span batches."""
+    names, most = ["bucket", "id", *words], int(radius * 64 * len(words))
 
-    def near(bucket: np.ndarray, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    def near(columns: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, hashes = columns[0], [np.ascontiguousarray(c).view(np.uint64) for c in columns[2:]]  # counts bits of unsigned words only
         found = np.zeros(len(bucket), bool)
         last = np.searchsorted(bucket, bucket, side="right")
         at, step = np.arange(len(bucket)), 1
         while len(at := at[at + step < last[at]]):
-            open_ = at[~(found[at] & found[at + step])]
-            apart = np.bitwise_count(one[open_] ^ one[open_ + step])
-            some = apart <= HALF_NEAR * 128
-            open_, apart = open_[some], apart[some]
-            hit = open_[apart + np.bitwise_count(two[open_] ^ two[open_ + step]) <= HALF_NEAR * 128]
-            found[hit] = found[hit + step] = True
+            some = at[~(found[at] & found[at + step])]
+            apart = np.zeros(len(some), np.uint16)
+            for h in hashes:
+                apart += np.bitwise_count(h[some] ^ h[some + step])
+                few = apart <= most
+                some, apart = some[few], apart[few]
+            found[some] = found[some + step] = True
             step += 1
-        return pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (bucket, ids, one.view(np.int64), two.view(np.int64))],
-                                          names=["bucket", "id", "one", "two"])
+        return pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns], names=names)
 
-    for batch in batches:
-        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "id", "one", "two")]
-        columns = columns[:2] + [c.view(np.uint64) for c in columns[2:]]
-        if not len(columns[0]):
-            continue
-        if held:
-            columns = [np.concatenate((h, c)) for h, c in zip(held[0], columns)]
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
-        if cut:
-            yield near(*(c[:cut] for c in columns))
-        held = [tuple(c[cut:] for c in columns)]
-    if held:
-        yield near(*held[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                columns = [np.concatenate(pair) for pair in zip(held, columns)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
+            if cut:
+                yield near([c[:cut] for c in columns])
+            held = [c[cut:] for c in columns]
+        if held is not None:
+            yield near(held)
+    return run
 
 
-def _hamming(one: str, two: str) -> Column:
-    return sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in HASH), F.lit(0))
+def _with_mates(rows: DataFrame, words: list[str], radius: float) -> DataFrame:
+    schema = ", ".join(f"{c} long" for c in ("bucket", "id", *words))
+    return rows.select("bucket", "id", *words).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mates(words, radius), schema)
 
 
-def _half_near(one: str, two: str) -> Column:
-    """What ``_mates`` asks of two lines."""
-    apart = sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in ("one", "two")), F.lit(0))
-    return apart <= int(HALF_NEAR * 128)
+def _hamming(one: str, two: str) -> Column:
+    return sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in HASH), F.lit(0))
 
 
-def _may_be_near(percent: int, one: str, two: str) -> Column:
-    """Near lengths, and SimHashes within the radius."""
-    a, b = F.col(f"{one}.chars"), F.col(f"{two}.chars")
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (_hamming(one, two) <= int(NEAR * 64 * HASH_WORDS))
+def _may_be_near(one: str, two: str) -> Column:
+    """SimHashes within the radius."""
+    return _hamming(one, two) <= int(NEAR * 64 * HASH_WORDS)
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -259,27 +260,26 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("chars", *HASH)))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
-    rows = nodes.where(F.col("chars") >= least).select(
-        F.explode(_buckets(percent)).alias("bucket"), "id", F.col("s0").alias("one"), F.col("s1").alias("two"))
-    members = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mates, "bucket long, id long, one long, two long")
-    members = stage(members, "line-buckets")
-    ids = members.select("id").distinct()
-    near = stage(nodes.join(ids, "id", "left_semi").select("id", "high", "low", "chars", *HASH, F.col("first.key").alias("key")), "line-near")
+    rows = nodes.where(F.col("chars") >= least).select(F.explode(_buckets(percent)).alias("bucket"), "id", *HASH[:2])
+    # First by half of the SimHash, which keeps the many rows short, then by all of it.
+    members = stage(_with_mates(rows, HASH[:2], HALF_NEAR).select("bucket", "id"), "line-buckets")
+    hashes = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", *HASH)
+    members = stage(_with_mates(members.join(hashes, "id"), HASH, NEAR), "line-mates")
+    near = stage(nodes.join(members.select("id").distinct(), "id", "left_semi").select(
+        "id", "high", "low", "chars", F.col("first.key").alias("key")), "line-near")
     keys = near.select("key").distinct()
     texts = docs.join(keys, docs["key"].eqNullSafe(keys["key"]), "left_semi").select("text").mapInArrow(
         _line_texts, "high long, low long, words string").join(near.select("high", "low", "id"), ["high", "low"])
     words_of = stage(texts.select("id", "words").dropDuplicates(["id"]), "line-words")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one, two = (near.select("id", "chars", *HASH).alias(x) for x in ("one", "two"))
-        pairs = pairs.join(one, F.col("a") == F.col("one.id")).join(two, F.col("b") == F.col("two.id")).where(
-            _may_be_near(percent, "one", "two")).select("a", "b")
         one = words_of.select(F.col("id").alias("a"), F.col("words").alias("w_a"))
         two = words_of.select(F.col("id").alias("b"), F.col("words").alias("w_b"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(
-            _similar(percent), "a long, b long")
+        sizes = [F.length("w_a"), F.length("w_b")]
+        return pairs.join(one, "a").join(two, "b").where(100 * F.least(*sizes) >= percent * F.greatest(*sizes)).select(
+            "a", "b", "w_a", "w_b").mapInArrow(_similar(percent), "a long, b long")
 
-    found = link(members, verify, near=_half_near)
+    found = link(members, verify, near=_may_be_near)
     grouped = nodes.select("id", "high", "low", "first", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     kept = grouped.select("high", "low", "root").join(several, "root").select(

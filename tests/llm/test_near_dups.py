@@ -109,6 +109,7 @@ def _line_links(lines):
                     buckets.setdefault((c, b, tuple(hashes[w][16 * b:16 * b + 16])), []).append(w)
     for own in buckets.values():
         mated = [a for a in own if any(a != b and apart(a, b, 128) <= 0.22 * 128 for b in own)]
+        mated = [a for a in mated if any(a != b and apart(a, b, 256) <= 48 for b in mated)]
         for i, a in enumerate(mated):
             for b in mated[:i]:
                 most = max(len(a), len(b))
