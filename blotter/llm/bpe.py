@@ -34,8 +34,9 @@ from .encoding import FastEncoder
 from .textbytes import CHUNK_BYTES, binary_rows, chunks
 
 NEVER = np.int64(1) << 62
-#: Verdicts on pairs kept by a worker (17 bytes each); dropped whole when full, which costs time only.
-KEPT_PAIRS = 4_000_000
+#: Verdicts on pairs (9 bytes each) and ids of units (some 36 bytes each) kept by a worker; dropped whole when full, which
+#: costs time only.
+KEPT_PAIRS, KEPT_UNITS = 1_000_000, 400_000
 #: Words of up to so many bytes are merged together, longer ones each alone.
 SHORT = 48
 
@@ -300,7 +301,8 @@ class SpeculativeEncoder(FastEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.merges = Merges(path)
+        self.merges = merges_of(path)
+        self.cache_units = KEPT_UNITS
         self.plain = {ord(c): b for c, b in self.merges.byte_of.items()}
 
     def _words_of(self, text: str) -> list[bytes]:
@@ -352,9 +354,17 @@ def _cut(text: str, special: dict[str, int]) -> list[str]:
     return [*out, text[at:]]
 
 
+_merges: dict[str, Merges] = {}
 _encoders: dict[str, SpeculativeEncoder] = {}
 
 
+def merges_of(path: str) -> Merges:
+    """The worker's tokens of a tokenizer file, made once; enough for decoding."""
+    if path not in _merges:
+        _merges[path] = Merges(path)
+    return _merges[path]
+
+
 def encoder(path: str) -> SpeculativeEncoder:
     """The worker's encoder for a tokenizer file, made once."""
     if path not in _encoders:
@@ -376,7 +386,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", cou
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for a, b in chunks(batch, "__text", 2 * CHUNK_BYTES):
+            for a, b in chunks(batch, "__text"):
                 part = batch.slice(a, b - a)
                 flat, counts = enc.encode_texts(part.column("__text"))
                 columns = [*(part.column(c) for c in rest), binary_rows(flat.astype("<u4"), counts), pa.array(counts)]
@@ -396,7 +406,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     fields = ", ".join(f"`{c.replace('`', '``')}` {slim.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = encoder(path).merges
+        merges = merges_of(path)
         for batch in batches:
             for a, b in _ranges(batch.column(ids)):
                 part = batch.slice(a, b - a)
@@ -411,7 +421,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     return slim.mapInArrow(run, f"{fields}, `{text}` string")
 
 
-def _ranges(column: pa.Array, limit: int = 2 * CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def _ranges(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of ids each (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     at, total = 0, 0

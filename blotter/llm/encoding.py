@@ -41,6 +41,7 @@ class FastEncoder:
         self.spaced = bool(self._direct([" \n"])[0].size)  # byte-level keeps white space
         self.lower = self.tokenizer.normalizer is not None
         self.tails: dict[bytes, list[int]] = {}
+        self.cache_units = CACHE_UNITS
         self._forget()
 
     def _forget(self) -> None:
@@ -116,7 +117,7 @@ class FastEncoder:
         if len(new):
             raw = data.tobytes()
             units = [raw[a:b] for a, b in zip(spans.start[first[new]].tolist(), spans.end[first[new]].tolist())]
-            if len(self.known) + len(new) > CACHE_UNITS:
+            if len(self.known) + len(new) > self.cache_units:
                 self._forget()
                 units_all = [raw[a:b] for a, b in zip(spans.start[first].tolist(), spans.end[first].tolist())]
                 self._remember(hashes, self._encode_units(units_all))
