@@ -40,10 +40,27 @@ x AS (
 y AS (
   SELECT *, sum(words) OVER (PARTITION BY skey ORDER BY cell) - words / 2 AS middle FROM x),
 z AS (
-  SELECT skey, coalesce(max(cell + 1) FILTER (WHERE middle <= room), max(block) * 2048) AS cut FROM y GROUP BY skey)
+  SELECT skey, coalesce(max(cell + 1) FILTER (WHERE middle <= room), max(block) * 2048) AS cut FROM y GROUP BY skey),
+-- The blocks of each pass, halved at each node of the tree in the order of a hash, down to 8 shards.
+u AS (
+  SELECT p.skey, block, pass, passes, coalesce(cut, 0) AS cut, concat_ws(':', p.skey, pass, block) AS name
+  FROM b JOIN p USING (skey) LEFT JOIN z USING (skey), unnest(range(1, passes + 2)) AS n(pass)
+  WHERE pass <= passes OR block * 2048 < coalesce(cut, 0)),
+v AS (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('7/0:' || name)) * 8 <= count(*) OVER () * 4 THEN 0 ELSE 4 END AS half FROM u),
+f AS (
+  SELECT *, half + CASE WHEN row_number() OVER (PARTITION BY half ORDER BY md5('7/1:' || name)) * 4
+                          <= count(*) OVER (PARTITION BY half) * 2 THEN 0 ELSE 2 END AS quarter FROM v),
+o AS (
+  SELECT *, quarter + CASE WHEN row_number() OVER (PARTITION BY quarter ORDER BY md5('7/2:' || name)) * 2
+                             <= count(*) OVER (PARTITION BY quarter) THEN 0 ELSE 1 END AS shard FROM f),
+q AS (
+  SELECT skey, block, list({'pass': pass, 'shard': shard} ORDER BY pass) AS places FROM o GROUP BY 1, 2)
 SELECT d.doc_id, d.size, p.source_size, p.target,
-       CAST(d.size * (passes + CASE WHEN d.cell < coalesce(z.cut, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN p USING (skey) LEFT JOIN z USING (skey)
+       CAST(d.size * (passes + CASE WHEN d.cell < coalesce(z.cut, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       coalesce(array_to_string(list_transform(
+         list_filter(places, lambda x: x.pass <= passes OR d.cell < coalesce(z.cut, 0)), lambda x: x.shard), ','), '') AS shards
+FROM d JOIN p USING (skey) LEFT JOIN z USING (skey) LEFT JOIN q ON q.skey = d.skey AND q.block = d.cell // 2048
 """
 
 _TOP = """

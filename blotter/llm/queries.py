@@ -77,11 +77,12 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture's share of every document."""
+    """The mixture's share of every document, and the output shards that the tree gives it to, pass by pass."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
     docs = stage(docs, "mix-sizes")
     mixed = mixing.mix(docs, mixing.repeating_weights(docs, "source"), F.col("words"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("places", lambda p: p["shard"].cast("string")), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
