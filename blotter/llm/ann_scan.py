@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import sample_keys, sampled
 from .store import stage
 from .vectors import BLOCK_ROWS, QUERY_ROWS, best, clean, list_column, matrix, top_k
 
@@ -114,8 +115,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = clean(queries, key, vector).where(nonzero)
     lists = max(1, min(MAX_LISTS, math.isqrt(size) // 2))
-    sample = base.orderBy(F.xxhash64("id"), "id").select("vec").limit(SAMPLE_ROWS).toArrow()
-    middle = centres(unit(matrix(sample.column("vec"))), lists, seed=seed)
+    keyed = base.select(F.col("id").alias("key"), "vec")
+    sample = sampled(keyed, sample_keys(keyed.select("key"), SAMPLE_ROWS), F.col("vec")).orderBy("hash").toArrow()
+    middle = centres(unit(matrix(sample.column("value"))), lists, seed=seed)
     lists = len(middle)
     nearest = max(1, math.ceil(probes * lists))
     turn = rotation(middle.shape[1], seed)

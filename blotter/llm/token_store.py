@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoded
+from .sampling import sample_keys, sampled
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 400, 8_000, 32_768, 3
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
@@ -56,11 +57,14 @@ def _serialize(ids: np.ndarray, width: int) -> bytes:
 
 
 def sample_texts(docs: DataFrame) -> DataFrame:
-    """A slice of each sampled document of (key, text); the key's hash says where in the whole text it begins."""
-    some = docs.orderBy(F.xxhash64("key"), "key", "text").limit(SAMPLE_DOCS)
+    """(text): a slice of each sampled document of (key, text); the key's hash says where in the whole text it begins.
+
+    Keys are picked without their texts. A key that repeats gives the least of its slices.
+    """
     begins = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     begin = (F.pmod(F.xxhash64("key", F.lit(1)), begins) + 1).cast("int")
-    return some.select(F.substring("text", begin, F.lit(SAMPLE_CHARS)).alias("text"))
+    slices = sampled(docs, sample_keys(docs.select("key"), SAMPLE_DOCS), F.substring("text", begin, F.lit(SAMPLE_CHARS)))
+    return slices.orderBy("hash").select(F.col("value").alias("text"))  # at most SAMPLE_DOCS rows
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary: int, key: str = "doc_id",
@@ -68,7 +72,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, vocabul
     """Write ``docs`` (one row per document) as a store in ascending key order.
 
     Null texts are empty documents, which hold the end id alone. Rows with equal keys are all kept,
-    ordered by their text; a null key sorts first. An empty table gives a store without blocks.
+    ordered by their text; a null key sorts first. Further columns are not stored, whatever their names. An empty table
+    gives a store without blocks.
     """
     spark = docs.sparkSession
     width = 2 if vocabulary <= 1 << 16 else 4
