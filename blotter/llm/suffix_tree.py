@@ -33,8 +33,7 @@ from pyspark.sql import functions as F
 from .store import stage
 from .textbytes import LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
 
-#: LEAST_SHARE is the share of all positions that a context needs: none, or the tree could not grow.
-DEPTH, LEAST_COUNT, LEAST_SHARE, DIVERGENCE, HELD = 3, 2, 0.0, 20.0, 2_000_000
+DEPTH, LEAST_COUNT, DIVERGENCE, HELD = 3, 2, 20.0, 2_000_000
 OTHER = -1  # in ``Model.after``, the unseen word
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
 CONTEXTS = [f"c{d}" for d in range(1, DEPTH + 1)]
@@ -202,7 +201,7 @@ def grow(windows: DataFrame, known: DataFrame, positions: int) -> tuple[list[Dat
         counts = windows.where(F.col("depth") >= depth).groupBy(own.alias("context"), up.alias("suffix"), "next").agg(F.sum("n").alias("n"))
         counts = stage(counts, "tree-counts")
         totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(
-            F.col("total") >= max(LEAST_COUNT, LEAST_SHARE * positions))
+            F.col("total") >= LEAST_COUNT)
         some.append(stage(counts.join(totals, "context"), "tree-contexts"))
         if depth == 1:
             parent, on = known.select(F.col("hash").alias("next"), (F.col("c") / positions).alias("share")), ["next"]

@@ -46,6 +46,81 @@ def test_fits_without_labels_or_with_one_class(labelled, none):
     assert nbsvm.scores(none, nothing).count() == 0
 
 
+def plain_fit(sets, good, rng):
+    """Dictionary version of the ratios and the descent: (ratio, weight of each feature, bias)."""
+    counts = {True: Counter(), False: Counter()}
+    for f, g in zip(sets, good):
+        counts[g].update(f)
+    whole = {g: nbsvm.DIMS + sum(c.values()) for g, c in counts.items()}
+    ratio = {f: math.log((1 + counts[True][f]) / whole[True]) - math.log((1 + counts[False][f]) / whole[False])
+             for f in range(nbsvm.DIMS)}
+    share = sum(good) / len(good)
+    most = [nbsvm.COST * 0.5 / (share if g else 1 - share) for g in good]
+    size = [math.sqrt(sum(ratio[f] ** 2 for f in own)) for own in sets]
+    weight, bias, dual = Counter(), 0.0, [0.0] * len(sets)
+    for _ in range(nbsvm.ROUNDS):
+        moved = 0.0
+        for i in rng.permutation(len(sets)).tolist():
+            sign = 1 if good[i] else -1
+            slope = sign * (sum(weight[f] * ratio[f] / size[i] for f in sets[i]) + bias) - 1
+            length = 2 if sets[i] else 1  # the indicators have length one, the bias another
+            new = min(max(dual[i] - slope / length, 0.0), most[i])
+            step, dual[i] = (new - dual[i]) * sign, new
+            for f in sets[i]:
+                weight[f] += step * ratio[f] / size[i]
+            bias, moved = bias + step, max(moved, abs(step))
+        if moved < 1e-3:
+            break
+    return ratio, weight, bias
+
+
+def plain_margin(model, own, ratio):
+    """Features that no fit saw have ratios too, so every feature counts in the length."""
+    _, weight, bias = model
+    return sum(weight[f] * ratio[f] for f in own) / max(math.sqrt(sum(ratio[f] ** 2 for f in own)), 1e-12) + bias
+
+
+def test_scores_equal_a_dictionary_version(spark, odd, odd_rows):
+    """Ratios, margins, folds and scores over odd rows too: a key labelled both ways is bad, of its texts the least is learnt."""
+    import pyarrow as pa
+    rng = random.Random(16)
+    rows = odd_rows + [row(1000 + i, junk(rng, rng.randint(3, 12)) if i % 3 == 0 else prose(rng, rng.randint(3, 25))) for i in range(40)]
+    labels = [(1000 + i, int(i % 3 != 0)) for i in range(40)] + [(5, None), (None, 1), (1001, 0), (40, 0), (41, 1), (47, 1), (777, 1)]
+    docs = spark.createDataFrame(rows, odd.schema)
+    got = nbsvm.scores(docs, nbsvm.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))).select("doc_id", "text", "score").collect()
+
+    def features_of(text):
+        return nbsvm.features(pa.array([text], pa.string()))[1].tolist()
+
+    texts, label = {}, {}
+    for r in rows:
+        texts[r[0]] = min((t for t in (texts.get(r[0]), r[1]) if t is not None), default=None)
+    for k, v in labels:
+        if k is not None and v is not None:
+            label[k] = min(v, label.get(k, 1))
+    order = spark.createDataFrame([(k,) for k in label if k in texts], "key long").orderBy(F.xxhash64("key")).collect()
+    keys = [r.key for r in order]
+    sets, good = [features_of(texts[k]) for k in keys], [label[k] == 1 for k in keys]
+    fold, seen = [], Counter()
+    for g in good:
+        fold.append(seen[g] % 3)
+        seen[g] += 1
+    margin = [0.0] * len(keys)
+    for k in range(3):
+        inside = [i for i in range(len(keys)) if fold[i] != k]
+        model = plain_fit([sets[i] for i in inside], [good[i] for i in inside], np.random.default_rng(5))
+        for i in set(range(len(keys))) - set(inside):
+            margin[i] = plain_margin(model, sets[i], model[0])
+    slope, offset = nbsvm.logistic(np.array(margin), np.array(good))
+    ones, zeros = sum(v == 1 for v in label.values()), sum(v == 0 for v in label.values())
+    offset += math.log((ones + 1) / (zeros + 1))
+    model = plain_fit(sets, good, np.random.default_rng(5))
+    want = {t: 1 / (1 + math.exp(-(slope * plain_margin(model, features_of(t), model[0]) + offset))) for t in {r[1] for r in rows}}
+    assert len(got) == len(rows) and len(set(want.values())) > 40
+    for r in got:
+        assert r.score == pytest.approx(want[r.text], abs=1e-6), r.doc_id
+
+
 def test_features_are_sets_of_whole_texts():
     import pyarrow as pa
     texts = ["ab", "abab" * 100, None, "", "b"]
@@ -104,7 +179,6 @@ def brute(texts):
     n, v = sum(uni.values()), len(uni)
     once, twice = (sum(c == k for c in uni.values()) for k in (1, 2))
     d = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
-    least = max(1.0, suffix_tree.LEAST_SHARE * n)
     after = {}
     for s in seqs:
         full = [None] + s
@@ -112,13 +186,10 @@ def brute(texts):
             for k in range(0, suffix_tree.DEPTH + 1):
                 if i - k < 0:
                     break
-                context = tuple(full[i - k:i])
-                if any(uni[c] < least for c in context):
-                    break
-                after.setdefault(context, Counter())[full[i]] += 1
+                after.setdefault(tuple(full[i - k:i]), Counter())[full[i]] += 1
     kept = {()}
     for context, own in after.items():
-        if context and sum(own.values()) >= suffix_tree.LEAST_SHARE * n:
+        if context and sum(own.values()) >= suffix_tree.LEAST_COUNT:
             total, up = sum(own.values()), after[context[1:]]
             gain = sum(c * math.log(c / total / (up[x] / sum(up.values()))) for x, c in own.items())
             if gain >= suffix_tree.DIVERGENCE:
