@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import drop, stage
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "components")
     mark = None
     while True:
-        edges = stage(_stars(_stars(edges, large=True), large=False), "components")
+        before, edges = edges, stage(_stars(_stars(edges, large=True), large=False), "components")
+        drop(before)
         new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .linking import link
 from .simhash import simhashes
-from .store import stage
+from .store import drop, stage
 from .textbytes import CHUNK_BYTES, LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
 
 PERCENT, LANES, PAIRS_AT_ONCE = 85, 1024, 1024
@@ -262,15 +262,17 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
     rows = nodes.where(F.col("chars") >= least).select(F.explode(_buckets(percent)).alias("bucket"), "id", *HASH[:2])
     # First by half of the SimHash, which keeps the many rows short, then by all of it.
-    members = stage(_with_mates(rows, HASH[:2], HALF_NEAR).select("bucket", "id"), "line-buckets")
-    hashes = nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", *HASH)
-    members = stage(_with_mates(members.join(hashes, "id"), HASH, NEAR), "line-mates")
+    buckets = stage(_with_mates(rows, HASH[:2], HALF_NEAR).select("bucket", "id"), "line-buckets")
+    hashes = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", *HASH)
+    members = stage(_with_mates(buckets.join(hashes, "id"), HASH, NEAR), "line-mates")
+    drop(buckets)
     near = stage(nodes.join(members.select("id").distinct(), "id", "left_semi").select(
         "id", "high", "low", "chars", F.col("first.key").alias("key")), "line-near")
     keys = near.select("key").distinct()
     texts = docs.join(keys, docs["key"].eqNullSafe(keys["key"]), "left_semi").select("text").mapInArrow(
         _line_texts, "high long, low long, words string").join(near.select("high", "low", "id"), ["high", "low"])
     words_of = stage(texts.select("id", "words").dropDuplicates(["id"]), "line-words")
+    drop(near)
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = words_of.select(F.col("id").alias("a"), F.col("words").alias("w_a"))
@@ -280,11 +282,14 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
             "a", "b", "w_a", "w_b").mapInArrow(_similar(percent), "a long, b long")
 
     found = link(members, verify, near=_may_be_near)
+    drop(members, words_of)
     grouped = nodes.select("id", "high", "low", "first", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     kept = grouped.select("high", "low", "root").join(several, "root").select(
         "high", "low", "root", F.col("keep.key").alias("keep_key"), F.col("keep.line").alias("keep_line"))
-    return lines.select("key", "line", "high", "low"), stage(kept, "line-groups")
+    kept = stage(kept, "line-groups")
+    drop(nodes, found)
+    return lines.select("key", "line", "high", "low"), kept
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:

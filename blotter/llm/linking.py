@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import stage
+from .store import drop, stage
 
 #: All pairs are tested once there are at most so many for each member left in the buckets; rounds go
 #: on while each leaves at most the share ``PAYS`` of the pairs before it.
@@ -50,12 +50,17 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], narrow: N
         few = left[1] <= PAIRS_PER_MEMBER * left[0]
         if few or (before is not None and left[1] > PAYS * before):
             links = stage(verify(_all_pairs(active, None if few else narrow, near)), "links")
-            found, _ = _join(found, links, active)
+            found = _join(found, links)
             break
         links = stage(verify(_leader_pairs(active, turn, near)), "links")
-        if not links.isEmpty():
-            found, active = _join(found, links, active)
+        if links.isEmpty():
+            drop(links)
+        else:
+            found, old = _join(found, links), active
+            active = _mixed(found, active)
+            drop(old)
         turn, before = turn + 1, left[1]
+    drop(active)
     if found is None:
         return members.select("id", F.col("id").alias("root")).limit(0)
     return found
@@ -88,13 +93,19 @@ def _all_pairs(active: DataFrame, narrow: Narrow | None, near: Callable[[str, st
     return _pairs(active, active, allowed, near)
 
 
-def _join(found: DataFrame | None, links: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All components so far, and the members of buckets that still hold several."""
+def _join(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """All components so far; the tables that they are made of go."""
     edges = links.select("a", "b")
     if found is not None:
         edges = edges.unionAll(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    found = components(edges)
+    joined = components(edges)
+    drop(edges)
+    return joined
+
+
+def _mixed(found: DataFrame, active: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components."""
     active = active.drop("comp").join(found, "id", "left").select(
         *[c for c in active.columns if c != "comp"], F.coalesce("root", "id").alias("comp"))
     mixed = active.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    return found, stage(active.join(mixed, "bucket", "left_semi"), "link-members")
+    return stage(active.join(mixed, "bucket", "left_semi"), "link-members")

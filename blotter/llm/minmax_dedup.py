@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link
-from .store import stage
+from .store import drop, stage
 from .textbytes import LOWER, Spans, binary_rows, chunks, distinct_pairs, mix, row_bytes, span_hashes, windows, words
 
 SHINGLE, HASHES, BAND, LEAST_MATCH, PARTS = 5, 40, 4, 48, 64
@@ -128,6 +128,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
         return confirm(estimate(pairs, nodes, percent), texts, percent)
 
     found = link(members, verify, lambda ids: reachable(ids, texts, percent))
+    drop(members, texts)
     by_set = nodes.select("high", "low", "n_shingles", "id", "least").join(found, "id", "left").withColumn(
         "root", F.coalesce("root", "id"))
     firsts = by_set.groupBy("root").agg(F.min("least").alias("first"))
