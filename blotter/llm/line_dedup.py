@@ -8,7 +8,7 @@ lower-cased) joined by single spaces. Lines without words are never touched.
 2. Pigeonhole blocks: two lines are candidates if one of their ``BLOCKS`` blocks of ``BLOCK_BITS`` bits is equal and their
    lengths lie in one class. Classes double; a line that may have partners in the next class is in both.
    Lines within ``BLOCKS`` - 1 bits over the blocks share one for certain, most lines of a few times that do.
-3. A bucket's lines are kept if another line of it lies within ``HALF_NEAR`` of half of the bits, then within ``NEAR`` of all
+3. A bucket's lines are kept if another line of it, of a length that the edit similarity allows, lies within ``HALF_NEAR`` of half of the bits, then within ``NEAR`` of all
    (see ``_mates``): this drops what shares a block by chance before anything is paired.
 4. Pairs in a bucket within ``NEAR`` and of near lengths are confirmed by edit similarity, in percent of the longer line's
    characters: at least ``PERCENT``. Components of confirmed pairs are groups (see ``linking``: no bucket is paired out).
@@ -197,18 +197,21 @@ def _buckets(percent: int) -> Column:
     return F.when(beyond > size, F.concat(own, F.array(*[of(b, size + 1) for b in range(BLOCKS)]))).otherwise(own)
 
 
-def _mates(words: list[str], radius: float):
-    """Rows (bucket, id, words) of the lines that have a line within ``radius`` beside them in their bucket, by the share of
-    bits in which these words of the SimHashes differ. Rows come sorted by bucket; a bucket may span batches."""
-    names, most = ["bucket", "id", *words], int(radius * 64 * len(words))
+def _mates(words: list[str], radius: float, percent: int):
+    """Rows (bucket, id, chars, words) of the lines that have a line of near length within ``radius`` beside them in their bucket,
+    by the share of bits in which these words of the SimHashes differ. Rows come sorted by bucket; a bucket may span batches."""
+    names, most = ["bucket", "id", "chars", *words], int(radius * 64 * len(words))
 
     def near(columns: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, hashes = columns[0], [np.ascontiguousarray(c).view(np.uint64) for c in columns[2:]]  # counts bits of unsigned words only
+        bucket, chars = columns[0], columns[2]
+        hashes = [np.ascontiguousarray(c).view(np.uint64) for c in columns[3:]]  # counts bits of unsigned words only
         found = np.zeros(len(bucket), bool)
         last = np.searchsorted(bucket, bucket, side="right")
         at, step = np.arange(len(bucket)), 1
         while len(at := at[at + step < last[at]]):
             some = at[~(found[at] & found[at + step])]
+            one, two = chars[some], chars[some + step]
+            some = some[100 * np.minimum(one, two) >= percent * np.maximum(one, two)]
             apart = np.zeros(len(some), np.uint16)
             for h in hashes:
                 apart += np.bitwise_count(h[some] ^ h[some + step])
@@ -235,18 +238,22 @@ def _mates(words: list[str], radius: float):
     return run
 
 
-def _with_mates(rows: DataFrame, words: list[str], radius: float) -> DataFrame:
-    schema = ", ".join(f"{c} long" for c in ("bucket", "id", *words))
-    return rows.select("bucket", "id", *words).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mates(words, radius), schema)
+def _with_mates(rows: DataFrame, words: list[str], radius: float, percent: int) -> DataFrame:
+    schema = "bucket long, id long, chars int, " + ", ".join(f"{c} long" for c in words)
+    return rows.select("bucket", "id", "chars", *words).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _mates(words, radius, percent), schema)
 
 
 def _hamming(one: str, two: str) -> Column:
     return sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{two}.{c}"))) for c in HASH), F.lit(0))
 
 
-def _may_be_near(one: str, two: str) -> Column:
-    """SimHashes within the radius."""
-    return _hamming(one, two) <= int(NEAR * 64 * HASH_WORDS)
+def _may_be_near(percent: int):
+    """SimHashes within the radius, and lengths that the edit similarity allows."""
+    def near(one: str, two: str) -> Column:
+        chars = [F.col(f"{one}.chars"), F.col(f"{two}.chars")]
+        return (100 * F.least(*chars) >= percent * F.greatest(*chars)) & (_hamming(one, two) <= int(NEAR * 64 * HASH_WORDS))
+    return near
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -260,11 +267,11 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("chars", *HASH)))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
     least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
-    rows = nodes.where(F.col("chars") >= least).select(F.explode(_buckets(percent)).alias("bucket"), "id", *HASH[:2])
+    rows = nodes.where(F.col("chars") >= least).select(F.explode(_buckets(percent)).alias("bucket"), "id", "chars", *HASH[:2])
     # First by half of the SimHash, which keeps the many rows short, then by all of it.
-    buckets = stage(_with_mates(rows, HASH[:2], HALF_NEAR).select("bucket", "id"), "line-buckets")
-    hashes = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", *HASH)
-    members = stage(_with_mates(buckets.join(hashes, "id"), HASH, NEAR), "line-mates")
+    buckets = stage(_with_mates(rows, HASH[:2], HALF_NEAR, percent).select("bucket", "id"), "line-buckets")
+    hashes = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "chars", *HASH)
+    members = stage(_with_mates(buckets.join(hashes, "id"), HASH, NEAR, percent), "line-mates")
     drop(buckets)
     near = stage(nodes.join(members.select("id").distinct(), "id", "left_semi").select(
         "id", "high", "low", "chars", F.col("first.key").alias("key")), "line-near")
@@ -277,11 +284,9 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     def verify(pairs: DataFrame) -> DataFrame:
         one = words_of.select(F.col("id").alias("a"), F.col("words").alias("w_a"))
         two = words_of.select(F.col("id").alias("b"), F.col("words").alias("w_b"))
-        sizes = [F.length("w_a"), F.length("w_b")]
-        return pairs.join(one, "a").join(two, "b").where(100 * F.least(*sizes) >= percent * F.greatest(*sizes)).select(
-            "a", "b", "w_a", "w_b").mapInArrow(_similar(percent), "a long, b long")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(_similar(percent), "a long, b long")
 
-    found = link(members, verify, near=_may_be_near)
+    found = link(members, verify, near=_may_be_near(percent))
     drop(members, words_of)
     grouped = nodes.select("id", "high", "low", "first", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
