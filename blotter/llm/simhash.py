@@ -1,6 +1,6 @@
 """SimHashes of many byte strings at once, by bit-sliced counters.
 
-Bit b of a string's SimHash is the majority of bit b over the hashes of its n-grams (each as often as it occurs). All
+Bit b of a string's SimHash is the majority of bit b over the hashes of its distinct n-grams. All
 strings of a batch take their k-th n-gram together: 64 counters of a string lie across a few words ("planes"), plane
 j holding bit j of all 64 counts. Words of one weight wait in pairs: a full adder puts two of them and the plane into
 the plane and one word of twice the weight, so a plane is touched half as often as the one below it.
@@ -25,6 +25,17 @@ def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _repeats(codes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of n-grams that the same string has before, how many distinct n-grams each string has)."""
+    string = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(string)) + np.repeat(begin - (np.cumsum(count) - count), count)
+    order = np.lexsort((codes[place], string))
+    string, place = string[order], place[order]
+    code = codes[place]
+    again = np.flatnonzero((string[1:] == string[:-1]) & (code[1:] == code[:-1])) + 1
+    return place[again], count - np.bincount(string[again], minlength=len(count))
+
+
 def _word(mixed: np.ndarray, w: int) -> np.ndarray:
     """64 more hash bits of values that are hashes already."""
     if not w:
@@ -78,11 +89,13 @@ def simhashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, w
     order = np.argsort(-count, kind="stable")
     order = order[count[order] <= LONG]
     n, first = count[order], begin[order]
-    half = n // 2
+    again, distinct = _repeats(codes, begin, count)
+    half = distinct[order] // 2
     mixed = mix(codes)
     m_of = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left").tolist()  # strings with more than k n-grams
     for w in range(words):
-        hashes = _word(mixed, w)
+        hashes = _word(mixed, w).copy()
+        hashes[again] = 0  # adds to no bit's count
         if len(order):
             planes = _counts(hashes, first, m_of)
             more, equal = np.zeros(len(order), np.uint64), np.full(len(order), ~np.uint64(0))
@@ -96,5 +109,5 @@ def simhashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, w
             for a in range(0, int(count[i]), SLICE):
                 part = hashes[begin[i] + a:begin[i] + min(a + SLICE, int(count[i]))]
                 total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i, w] = np.packbits(total > count[i] // 2, bitorder="little").view(np.uint64)[0]
+            out[i, w] = np.packbits(total > distinct[i] // 2, bitorder="little").view(np.uint64)[0]
     return out
