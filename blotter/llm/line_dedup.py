@@ -4,7 +4,7 @@ Lines end at line feeds. A line counts by its words (runs without ASCII white sp
 lower-cased) joined by single spaces. Lines without words are never touched.
 
 1. Lines of the same words are one node (by a 128-bit fingerprint), with a SimHash of ``64 * HASH_WORDS`` bits over its
-   runs of ``GRAM`` bytes.
+   distinct runs of ``GRAM`` bytes.
 2. Pigeonhole blocks: two lines are candidates if one of their ``BLOCKS`` blocks of ``BLOCK_BITS`` bits is equal and their
    lengths lie in one class. Classes double; a line that may have partners in the next class is in both.
    Lines within ``BLOCKS`` - 1 bits over the blocks share one for certain, most lines of a few times that do.
@@ -31,9 +31,9 @@ from .textbytes import CHUNK_BYTES, LOWER, Spans, chunks, mix, row_bytes, span_h
 
 PERCENT, LANES, PAIRS_AT_ONCE = 85, 1024, 1024
 #: The SimHash: bytes of a run, 64-bit words, blocks and their bits, and the share of differing bits up to which lines are near.
-GRAM, HASH_WORDS, BLOCKS, BLOCK_BITS, NEAR = 4, 4, 14, 16, 0.19
+GRAM, HASH_WORDS, BLOCKS, BLOCK_BITS, NEAR = 4, 4, 16, 16, 0.25
 #: The same for half of the SimHash, which differs by chance a little more or less than the whole.
-HALF_NEAR = 0.22
+HALF_NEAR = 0.28
 #: Lines of fewer characters are near no other line: one edit is too much.
 LEAST_CHARS = -(-100 // (100 - PERCENT))
 HASH = [f"s{i}" for i in range(HASH_WORDS)]

@@ -87,9 +87,9 @@ def _line_nodes(rows):
 
 
 def _hash(line):
-    """The SimHash by plain counting, as a list of bits."""
+    """The SimHash by plain counting over the distinct runs of bytes, as a list of bits."""
     raw, size = line.encode(), line_dedup.GRAM
-    codes = [int.from_bytes(raw[k:k + size], "little") for k in range(max(len(raw) - size + 1, 1))]
+    codes = sorted({int.from_bytes(raw[k:k + size], "little") for k in range(max(len(raw) - size + 1, 1))})
     mixed, bits = mix(np.array(codes, np.uint64)), []
     for w in range(line_dedup.HASH_WORDS):
         each = simhash._word(mixed, w)
@@ -108,12 +108,12 @@ def _line_links(lines):
                 for b in range(line_dedup.BLOCKS):
                     buckets.setdefault((c, b, tuple(hashes[w][16 * b:16 * b + 16])), []).append(w)
     for own in buckets.values():
-        mated = [a for a in own if any(a != b and apart(a, b, 128) <= 0.22 * 128 for b in own)]
-        mated = [a for a in mated if any(a != b and apart(a, b, 256) <= 48 for b in mated)]
+        mated = [a for a in own if any(a != b and apart(a, b, 128) <= 0.28 * 128 for b in own)]
+        mated = [a for a in mated if any(a != b and apart(a, b, 256) <= 64 for b in mated)]
         for i, a in enumerate(mated):
             for b in mated[:i]:
                 most = max(len(a), len(b))
-                if apart(a, b, 256) <= 48 and line_dedup.edit_distance(a, b) * 100 <= 15 * most:
+                if apart(a, b, 256) <= 64 and line_dedup.edit_distance(a, b) * 100 <= 15 * most:
                     yield a, b
 
 
