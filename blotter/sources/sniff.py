@@ -1,7 +1,7 @@
 """CSV files without a given schema: the dialect from a bounded sample of lines, the types from all rows.
 
-- **Dialect.** Up to ``SAMPLE_LINES`` lines of one file are cut with each delimiter and quote; the pair that gives most lines
-  the same number of fields (more than one) wins, then the one with more fields. A first line of distinct, non-empty texts is a header if
+- **Dialect.** Up to ``SAMPLE_LINES`` lines, of the first file and, if it has fewer (a header alone, say), of the others, are cut with
+  each delimiter and quote; the pair that gives most lines the same number of fields (more than one) wins, then the one with more fields. A first line of distinct, non-empty texts is a header if
   some column below it is typed, or if none of its texts comes again in its column.
 - **Types.** A column's type is the first of boolean, bigint, double, date, timestamp that every non-empty value of
   the column fits, else string. What the sample rules out needs no test; all rows decide on the rest in one aggregate: for each column and
@@ -86,11 +86,17 @@ def _fits(text: str, kind: str, fmt: str | None) -> bool:
 
 
 def _sample(spark: SparkSession, path: str, lines: int) -> list[str]:
-    """The first lines of the first file that has any."""
-    for file in map(unquote, sorted(spark.read.text(path).inputFiles())):
-        found = [r.value for r in spark.read.text(file).where(F.length(F.trim("value")) > 0).limit(lines).collect()]
+    """The first lines of the first file that has any; where they are too few, lines of the other files too, but for copies of the first line."""
+    def some(files: list[str], most: int, but: str = "") -> list[str]:
+        df = spark.read.text(files).where((F.length(F.trim("value")) > 0) & (F.col("value") != but))
+        return [r.value for r in df.limit(most).collect()]
+
+    files = list(map(unquote, sorted(spark.read.text(path).inputFiles())))
+    for i, file in enumerate(files, 1):
+        found = some([file], lines)
         if found:
-            return found
+            rest = files[i:] if len(found) < lines else []
+            return found + (some(rest, lines - len(found), found[0]) if rest else [])
     return []
 
 
@@ -110,10 +116,10 @@ def _dialect(lines: list[str]) -> tuple[str, str, list[list[str]]]:
     return best[1:]
 
 
-def _open_candidates(rows: list[list[str]]) -> list[list[int]]:
-    """For each column the candidates that every non-empty sampled value fits."""
+def _open_candidates(rows: list[list[str]], width: int) -> list[list[int]]:
+    """For each of ``width`` columns the candidates that every non-empty sampled value fits: without values, all."""
     found = []
-    for column in zip(*rows):
+    for column in zip(*rows) if rows else [()] * width:
         values = {v for v in column if v.strip()}
         found.append([i for i, c in enumerate(CANDIDATES) if all(_fits(v, *c) for v in values)])
     return found
@@ -124,7 +130,7 @@ def _is_header(rows: list[list[str]]) -> bool:
     texts = all(v.strip() for v in first) and len(set(first)) == len(first)
     if not texts or any(_fits(v, *c) for v in first for c in CANDIDATES):
         return False
-    typed = any(some and any(r[i].strip() for r in rest) for i, some in enumerate(_open_candidates(rest))) if rest else False
+    typed = any(some and any(r[i].strip() for r in rest) for i, some in enumerate(_open_candidates(rest, len(first))))
     return typed or all(first[i] not in {r[i] for r in rest} for i in range(len(first)))
 
 
@@ -141,7 +147,7 @@ def sniff(spark: SparkSession, path: str, lines: int = SAMPLE_LINES) -> Dialect:
     header = _is_header(rows)
     names = rows[0] if header else [f"c{i}" for i in range(len(rows[0]))]
     names = [n if names.count(n) == 1 else f"{n}_{i}" for i, n in enumerate(names)]
-    open_ = _open_candidates(rows[header:])
+    open_ = _open_candidates(rows[header:], len(names))
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = _texts(spark, path, delimiter, quote, header, text)
     given = [F.col(_quoted(n)) for n in names]

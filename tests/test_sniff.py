@@ -45,6 +45,22 @@ def test_all_rows_decide_on_types(spark, tmp_path):
     assert rows.count() == 3001 and rows.where("c = 'n/a' AND b = date'2024-01-25'").count() == 1
 
 
+def test_a_header_alone_in_the_first_file(spark, tmp_path):
+    """As Spark writes it for an empty first partition: the other files tell the quote, all rows the types."""
+    path = write(tmp_path, "parts", "k;d;t\n", "k;d;t\n1;25.01.2024;'a; ''b'\n2;26.01.2024;c\n", "k;d;t\n3;;'d;e'\n")
+    got = sniff(spark, path)
+    assert (got.delimiter, got.quote, got.header, got.formats) == (";", "'", True, {"d": "dd.MM.yyyy"})
+    assert got.schema.simpleString() == "struct<k:bigint,d:date,t:string>"
+    assert sorted((r.k, str(r.d), r.t) for r in read_csv_auto(spark, path).collect()) == [
+        (1, "2024-01-25", "a; 'b"), (2, "2024-01-26", "c"), (3, "None", "d;e")]
+
+
+def test_headers_alone(spark, tmp_path):
+    got = sniff(spark, write(tmp_path, "heads", "k,d\n", "k,d\n"))
+    assert got.header and got.schema.simpleString() == "struct<k:string,d:string>"
+    assert read_csv_auto(spark, write(tmp_path, "head", "k,d\n")).toDF("a", "b").collect() == []
+
+
 def test_odd_files(spark, tmp_path):
     assert read_csv_auto(spark, write(tmp_path, "empty", "")).columns == []
     rows = read_csv_auto(spark, write(tmp_path, "wide", "a,b\n1,2\n1,2,3\n4\n5,\n , \n")).collect()
