@@ -464,10 +464,10 @@ def q_csv_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts with line feeds, written as one quoted CSV file and read by ranges."""
+    """Whole texts with line feeds, written as quoted CSV files, one a task, and read by ranges."""
     path = shared_path(spark, "multiline")
     docs = _t(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_replace("text", "\r\n?", "\n").alias("text"))
-    docs.coalesce(1).write.option("header", True).option("escape", '"').option("quoteAll", True).option(
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
     rows = read_csv_multiline(spark, path, schema)

@@ -1,7 +1,7 @@
 """CSV files whose quoted values hold line feeds, read by many tasks.
 
 A reader that starts in the middle of a file cannot know whether it is inside quotes. Here the file is read as lines, in byte ranges
-as any text file, and only the quotes are counted:
+as any text file, and only the quotes are counted. What is sorted by one task is a part of a range, of at most 2 ** ``PART_BITS`` lines ("range" below):
 
 1. the quotes of each range are odd or even in number: one small row a range;
 2. a running sum over a file's ranges says for each whether it begins inside quotes;
@@ -21,13 +21,17 @@ from pyspark.sql import types as T
 
 from .csv import CORRUPT, OK, REJECTED, STATUS, header_schema
 
+PART_BITS = 12
+
 
 def records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
     """(file, at, record): the records of the files at ``path``; ``at`` grows along a file, records of blanks are left out."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"),
         F.monotonically_increasing_id().alias("at"), F.col("value"),
         (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))).alias("quotes"))
+    # Numbers grow along the lines of a task, so those of one range and one quotient follow each other.
+    lines = lines.withColumn("range", F.struct("begin", F.shiftright("at", PART_BITS).alias("part"))).drop("begin")
 
     within = Window.partitionBy("file", "range").orderBy("at")
     so_far = F.sum("quotes").over(within.rowsBetween(Window.unboundedPreceding, -1))

@@ -117,6 +117,29 @@ def test_a_record_longer_than_a_range(spark, tmp_path, small_ranges):
     assert got == {"1": long, "2": "b", "3": long}
 
 
+def test_no_task_sorts_a_whole_range(spark, tmp_path):
+    rng = random.Random(3)
+    text, rows = multi(rng, 3000)
+    path = write(tmp_path, "parts", text)
+    assert records(spark, path).select("at.range").distinct().count() > 1  # one range by bytes
+    assert sorted((r.id, r.text or "", r.tail) for r in read_csv_multiline(spark, path).collect()) == sorted(rows)
+
+
+def test_no_task_writes_all_texts(spark, tmp_path):
+    import glob
+
+    from __spark_entry__ import queries
+    from blotter.session import ensure_checkpoint_dir, local_path
+
+    rows = [(i, "en", f'a "{i}",\n\r\nb' if i % 3 else "") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    files = lambda: set(glob.glob(f"{local_path(ensure_checkpoint_dir(spark))}/blotter/multiline/*/*.csv"))
+    before = files()
+    got = queries()["csv_multiline"](spark, str(tmp_path)).collect()
+    assert len(files() - before) > 1
+    assert sorted((r.doc_id, r.lang, r.chars) for r in got) == sorted((i, g, len(t.replace("\r", "")) or None) for i, g, t in rows)
+
+
 def test_typed_and_tagged(spark, tmp_path):
     path = write(tmp_path, "tagged", 'a;b\r\n1;"x\ny"\r\nbad;z\r\n2\r\n')
     got = read_csv_multiline(spark, path, spark.createDataFrame([], "a int, b string").schema, delimiter=";", tagged=True)
