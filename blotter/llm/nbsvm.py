@@ -218,21 +218,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def scores(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text (null as empty); an input column ``out`` is replaced."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 2 * DIMS numbers
 
-    @pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    @arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         got = [np.zeros(0)]
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        for part in slices([batch], "text"):
+        for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], "text"):
             row, feature = features(part.column("text"))
             got.append(shared.value.score(row, feature, part.num_rows))
-        return pd.Series(np.concatenate(got))
+        return pa.array(np.concatenate(got))
 
     return docs.withColumn(out, score(F.col(text)))
 

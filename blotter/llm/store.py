@@ -9,6 +9,9 @@ from ..session import shared_path
 
 #: Spark then deletes a job's shuffle files when the job ends, not when the driver next collects garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python in batches of about so many bytes: 10,000 whole texts at once are held several times over by the JVM
+#: and by each worker. A session's own setting stays.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -20,15 +23,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    before = spark.conf.get(CLEANUP, None)
+    before = {k: spark.conf.get(k, None) for k in (CLEANUP, BATCH)}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, before[BATCH] or BATCH_BYTES)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,11 @@
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from blotter.llm.components import components
-from blotter.llm.store import CLEANUP, drop, stage
+from blotter.llm.store import BATCH, CLEANUP, drop, stage
 
 
 def test_a_staged_table_is_read_back_and_dropped(spark):
@@ -20,6 +21,18 @@ def test_a_staged_table_is_read_back_and_dropped(spark):
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_a_stage_hands_texts_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    before = spark.conf.get(BATCH, None)
+    texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    got = [r.n for r in stage(texts.mapInArrow(sizes, "n long"), "store-batches").collect()]
+    assert spark.conf.get(BATCH, None) == before
+    assert sum(got) > 12_000_000 and max(got) < 6_000_000
+
+
 def test_an_empty_table_is_dropped(spark):
     empty = stage(spark.range(0), "store-empty")
     assert empty.count() == 0
