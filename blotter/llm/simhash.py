@@ -25,10 +25,22 @@ def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _repeats(codes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(codes: np.ndarray, begin: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(places of n-grams that the same string has before, how many distinct n-grams each string has)."""
-    string = np.repeat(np.arange(len(count)), count)
+    string = np.repeat(np.arange(len(count), dtype=np.int32), count)
     place = np.arange(len(string)) + np.repeat(begin - (np.cumsum(count) - count), count)
+    if size <= 4 and len(codes) < 1 << 32 and (begin[1:] >= (begin + count)[:-1]).all():
+        # Code and place in one number: sorted, equal codes follow by place, so a string's own are neighbours.
+        both = codes[place] << np.uint64(32)
+        both |= place.view(np.uint64)
+        of = np.zeros(len(codes), np.int32)
+        of[place] = string
+        del string, place
+        both.sort()
+        later = np.flatnonzero((both[1:] ^ both[:-1]) >> np.uint64(32) == 0) + 1
+        place, before = ((both[k] & np.uint64(0xFFFFFFFF)).view(np.int64) for k in (later, later - 1))
+        place = place[of[place] == of[before]]
+        return place, count - np.bincount(of[place], minlength=len(count))
     order = np.lexsort((codes[place], string))
     string, place = string[order], place[order]
     code = codes[place]
@@ -89,7 +101,7 @@ def simhashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, w
     order = np.argsort(-count, kind="stable")
     order = order[count[order] <= LONG]
     n, first = count[order], begin[order]
-    again, distinct = _repeats(codes, begin, count)
+    again, distinct = _repeats(codes, begin, count, size)
     half = distinct[order] // 2
     mixed = mix(codes)
     m_of = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left").tolist()  # strings with more than k n-grams

@@ -177,6 +177,34 @@ def test_simhashes_of_many_strings():
         assert np.unpackbits(words_.view(np.uint8), bitorder="little").tolist() == _hash(text.decode())
 
 
+def test_repeated_runs_by_either_way():
+    """Runs of four bytes are found by one sort of code and place, longer ones by code and string."""
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(4, 60))) for _ in range(200)]
+    data, end = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    begin = end - [len(t) for t in texts]
+    codes, count = simhash.gram_codes(data, 4), end - begin - 3
+    (one, some), (two, other) = (simhash._repeats(codes, begin, count, size) for size in (4, 5))
+    assert sorted(one) == sorted(two) and len(one) and some.tolist() == other.tolist()
+
+
+def test_memory_of_the_line_pass():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["\n".join(prose(rng, 40) for _ in range(10)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(texts)], names=["key", "text"])
+    assert batch.nbytes > 4_000_000
+    list(line_dedup._lines(iter([batch.slice(0, 9)])))  # tables that a worker keeps
+    tracemalloc.start()
+    list(line_dedup._lines(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
 def test_edit_distance_with_a_bound():
     rng = random.Random(5)
     for _ in range(300):
