@@ -1,8 +1,8 @@
 """SimHashes of many byte strings at once, by bit-sliced counters.
 
 Bit b of a string's SimHash is the majority of bit b over the hashes of its distinct n-grams. All
-strings of a batch take their k-th n-gram together: 64 counters of a string lie across a few words ("planes"), plane
-j holding bit j of all 64 counts. Words of one weight wait in pairs: a full adder puts two of them and the plane into
+strings of a batch take their k-th n-gram together, all its words side by side: 64 counters of a string lie across a few words
+("planes"), plane j holding bit j of all 64 counts. Words of one weight wait in pairs: a full adder puts two of them and the plane into
 the plane and one word of twice the weight, so a plane is touched half as often as the one below it.
 """
 
@@ -12,8 +12,8 @@ import numpy as np
 
 from .textbytes import mix
 
-#: Strings of more n-grams are counted one by one, in slices.
-LONG, SLICE = 1024, 1 << 15
+#: Strings of more n-grams are counted by pieces of so many; n-grams counted at once.
+LONG, AT_ONCE = 1024, 1 << 20
 
 
 def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
@@ -59,19 +59,23 @@ def _word(mixed: np.ndarray, w: int) -> np.ndarray:
     return x
 
 
-def _counts(hashes: np.ndarray, first: np.ndarray, m_of: list[int]) -> list[np.ndarray]:
-    """Planes of the counters of all strings; string i has the hashes from ``first[i]`` on, ``m_of[k]`` strings have more than k."""
+def _counts(hashes: np.ndarray, m_of: list[int]) -> list[np.ndarray]:
+    """Planes of the counters of all strings. ``hashes`` has a row of words for the first n-gram of every string, then for the second of
+    all that have one, and so on: ``m_of[k]`` strings have more than k."""
     top = len(m_of).bit_length()
-    planes = [np.zeros(len(first), np.uint64) for _ in range(top)]
+    planes = [np.zeros((m_of[0] if m_of else 0, hashes.shape[1]), np.uint64) for _ in range(top)]
     waiting: list[np.ndarray | None] = [None] * (top + 1)
-    for k, m in enumerate(m_of):
-        x, level = hashes[first[:m] + k], 0
-        while (y := waiting[level]) is not None:
-            if len(y) > len(x):
-                x = np.concatenate((x, np.zeros(len(y) - len(x), np.uint64)))
-            plane = planes[level][:len(y)]
-            either = y ^ x
-            carry = (y & x) | (plane & either)
+    at = 0
+    for m in m_of:
+        x, level = hashes[at:at + m], 0
+        at += m
+        while (y := waiting[level]) is not None:  # never shorter than x
+            m, plane = len(x), planes[level][:len(y)]
+            either = y.copy()
+            either[:m] ^= x
+            x = np.bitwise_and(y[:m], x, out=x)
+            carry = plane & either
+            carry[:m] |= x
             plane ^= either
             waiting[level] = None
             x, level = carry, level + 1
@@ -98,28 +102,47 @@ def simhashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, w
         keep = (np.uint64(1) << (np.uint64(8) * (end - begin)[short].astype(np.uint64))) - np.uint64(1)
         codes[begin[short]] &= keep
     out = np.zeros((len(begin), words), np.uint64)
-    order = np.argsort(-count, kind="stable")
-    order = order[count[order] <= LONG]
-    n, first = count[order], begin[order]
+    if not len(begin):
+        return out
     again, distinct = _repeats(codes, begin, count, size)
-    half = distinct[order] // 2
     mixed = mix(codes)
-    m_of = np.searchsorted(-n, -np.arange(int(n[0]) if len(n) else 0), side="left").tolist()  # strings with more than k n-grams
-    for w in range(words):
-        hashes = _word(mixed, w).copy()
-        hashes[again] = 0  # adds to no bit's count
-        if len(order):
-            planes = _counts(hashes, first, m_of)
-            more, equal = np.zeros(len(order), np.uint64), np.full(len(order), ~np.uint64(0))
-            for j in range(len(planes) - 1, -1, -1):  # count > half, from the highest bit down
-                limit = np.where(half >> j & 1, ~np.uint64(0), np.uint64(0))
-                more |= equal & planes[j] & ~limit
-                equal &= ~(planes[j] ^ limit)
-            out[order, w] = more
-        for i in np.flatnonzero(count > LONG):
-            total = np.zeros(64, np.int64)
-            for a in range(0, int(count[i]), SLICE):
-                part = hashes[begin[i] + a:begin[i] + min(a + SLICE, int(count[i]))]
-                total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i, w] = np.packbits(total > distinct[i] // 2, bitorder="little").view(np.uint64)[0]
+    del codes
+    new = np.ones(len(mixed), bool)
+    new[again] = False  # adds to no bit's count
+    # Pieces of at most ``LONG`` n-grams, those of most first.
+    pieces = -(-count // LONG)
+    string = np.repeat(np.arange(len(count)), pieces)
+    skip = (np.arange(len(string)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONG
+    n, first = np.minimum(count[string] - skip, LONG), begin[string] + skip
+    order = np.argsort(-n, kind="stable")
+    n, first, string = n[order], first[order], string[order]
+    half, cut = distinct // 2, pieces > 1
+    totals, of = np.zeros((int(cut.sum()), 64 * words), np.int64), np.cumsum(cut) - 1
+    at, ends = 0, np.cumsum(n)
+    while at < len(n):  # some pieces at a time
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + AT_ONCE, side="right")))
+        own, some = string[at:to], first[at:to]
+        m_of = np.searchsorted(-n[at:to], -np.arange(int(n[at])), side="left").tolist()  # pieces with more than k n-grams
+        place = np.concatenate([some[:m] + k for k, m in enumerate(m_of)])
+        codes, seen = mixed[place], np.flatnonzero(~new[place])
+        del place
+        hashes = np.empty((len(codes), words), np.uint64)
+        for w in range(words):
+            hashes[:, w] = _word(codes, w)
+        hashes[seen] = 0
+        planes = _counts(hashes, m_of)
+        alone = np.flatnonzero(~cut[own])
+        most = half[own[alone]]
+        more, equal = np.zeros((len(alone), words), np.uint64), np.full((len(alone), words), ~np.uint64(0))
+        for j in range(len(planes) - 1, -1, -1):  # count > half, from the highest bit down
+            limit, plane = np.where(most >> j & 1, ~np.uint64(0), np.uint64(0))[:, None], planes[j][alone]
+            more |= equal & plane & ~limit
+            equal &= ~(plane ^ limit)
+        out[own[alone]] = more
+        rest = np.flatnonzero(cut[own])
+        for j, plane in enumerate(planes if len(rest) else ()):
+            bits = np.unpackbits(plane[rest].view(np.uint8), axis=1, bitorder="little")
+            np.add.at(totals, of[own[rest]], bits.astype(np.int64) << j)
+        at = to
+    out[cut] = np.packbits(totals > half[cut][:, None], axis=1, bitorder="little").view(np.uint64)
     return out
