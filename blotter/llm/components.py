@@ -7,7 +7,7 @@ join. The number of rounds grows with the logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .store import drop, stage
@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Point each node's neighbours at the least node of its neighbourhood.
 
     ``edges`` are (a, b) with a > b. The large star moves the larger neighbours of a node, the small
-    star the smaller ones and the node itself.
+    star the smaller ones and the node itself. A pair may come several times.
     """
     if large:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,7 +27,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         least = edges.groupBy("a").agg(F.min("b").alias("low"))
         moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         moved = moved.unionAll(least.select("a", F.col("low").alias("b")))
-    return moved.where("a <> b").distinct()
+    return moved.where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,9 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "components")
     mark = None
     while True:
-        before, edges = edges, stage(_stars(_stars(edges, large=True), large=False), "components")
+        seen = Observation()
+        moved = _stars(_stars(edges, large=True), large=False).distinct().observe(
+            seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        before, edges = edges, stage(moved, "components")
         drop(before)
-        new = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        new = seen.get  # of no rows it may be empty
         if new == mark:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
         mark = new

@@ -9,7 +9,7 @@ lower-cased) joined by single spaces. Lines without words are never touched.
    lengths lie in one class. Classes double; a line that may have partners in the next class is in both.
    Lines within ``BLOCKS`` - 1 bits over the blocks share one for certain, most lines of a few times that do.
 3. A bucket's lines are kept if another line of it, of a length that the edit similarity allows, lies within ``HALF_NEAR`` of half of the bits, then within ``NEAR`` of all
-   (see ``_mates``): this drops what shares a block by chance before anything is paired.
+   (see ``_mates``): this drops what shares a block by chance before anything is paired. Blocks are taken in ``PASSES`` passes.
 4. Pairs in a bucket within ``NEAR`` and of near lengths are confirmed by edit similarity, in percent of the longer line's
    characters: at least ``PERCENT``. Components of confirmed pairs are groups (see ``linking``: no bucket is paired out).
 5. The occurrence of the least (key, line number) of each group stays; all others are removed.
@@ -18,24 +18,32 @@ lower-cased) joined by single spaces. Lines without words are never touched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import link
 from .simhash import simhashes
 from .store import drop, stage
-from .textbytes import LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
+from .textbytes import LOWER, Spans, binary_rows, chunks, mix, row_bytes, span_hashes, words
 
-PERCENT, LANES, PAIRS_AT_ONCE = 85, 1024, 1024
+PERCENT = 85
+#: Pairs, and their characters, whose edit distances are found at once; pairs of longer lines are taken alone.
+PAIRS_AT_ONCE, CHARS_AT_ONCE, LONG_CHARS = 1024, 1 << 19, 2048
+#: Edits that are tried before the bound of each pair itself.
+BOUNDS = (12, 40)
 #: The SimHash: bytes of a run, 64-bit words, blocks and their bits, and the share of differing bits up to which lines are near.
 GRAM, HASH_WORDS, BLOCKS, BLOCK_BITS, NEAR = 4, 4, 16, 16, 0.25
 #: The same for half of the SimHash, which differs by chance a little more or less than the whole.
 HALF_NEAR = 0.28
 #: Lines of fewer characters are near no other line: one edit is too much.
 LEAST_CHARS = -(-100 // (100 - PERCENT))
+#: Passes over the blocks, lines and rows that a task deals and receives at once, and bits of the sieve for the near lines' words.
+PASSES, DEAL_ROWS, RANGE_ROWS, SIEVE_BITS = 4, 1 << 16, 1 << 14, 1 << 26
 HASH = [f"s{i}" for i in range(HASH_WORDS)]
 
 
@@ -50,19 +58,23 @@ def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, line number, 128-bit fingerprint) of every line that has words."""
-    data, offsets = row_bytes(column)
+    return _prints(*row_bytes(column))[:3]
+
+
+def _prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Spans, np.ndarray]:
+    """What ``fingerprints`` gives, and the words and the line of each."""
     spans, line, begin = line_words(data, offsets)
     n = len(line)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros((0, 2), np.uint64)
+        return z, z, np.zeros((0, 2), np.uint64), spans, line
     h = span_hashes(Spans(LOWER[data], spans.start, spans.end, spans.row))
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     size = np.diff(np.concatenate((first, [n])))
     place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
     prints = np.stack([np.add.reduceat(mix(h + mix(place + np.uint64(c))), first) for c in (1, 1 << 40)], axis=1)
     row = spans.row[first]
-    return row, line[first] - np.searchsorted(begin, offsets[row], side="right") + 1, prints
+    return row, line[first] - np.searchsorted(begin, offsets[row], side="right") + 1, prints, spans, line
 
 
 def normalised(data: np.ndarray, spans: Spans, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,9 +98,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in chunks(batch):
             part = batch.slice(a, b - a)
-            row, line, prints = fingerprints(part.column("text"))
             data, offsets = row_bytes(part.column("text"))
-            text, begin, end = normalised(data, *line_words(data, offsets)[:2])
+            row, line, prints, *parts = _prints(data, offsets)
+            text, begin, end = normalised(data, *parts)
             heads = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))  # bytes that begin a character
             hashes = simhashes(text, begin, end, GRAM, HASH_WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -98,24 +110,40 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["key", "line", "high", "low", "chars", *HASH])
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(high, low, words): every line that has words, as its words joined by single spaces."""
-    for batch in batches:
-        for a, b in chunks(batch):
-            column = batch.column("text").slice(a, b - a)
-            row, line, prints = fingerprints(column)
-            texts = column.to_pylist()
-            out, last, split = [], -1, []
-            for r, i in zip(row.tolist(), line.tolist()):
-                if r != last:
-                    last, split = r, texts[r].encode().split(b"\n")
-                out.append(b" ".join(split[i].translate(_LOWERED).split()).decode())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prints[:, 0].astype(np.int64)), pa.array(prints[:, 1].astype(np.int64)), pa.array(out, pa.string())],
-                names=["high", "low", "words"])
+def _sieve(prints: DataFrame, rows: int) -> np.ndarray:
+    """Bits set at both halves of the fingerprints (high, low): of other fingerprints some 1.4 percent have both set.
+
+    It takes 16 bits a fingerprint, at most ``SIEVE_BITS``; beyond that it only lets more pass.
+    """
+    bits = min(1 << max(16 * rows, 64).bit_length(), SIEVE_BITS)
+    at = F.explode(F.array(*(F.col(c).bitwiseAND(bits - 1) for c in ("high", "low"))))
+    words = prints.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits")).toArrow()
+    sieve = np.zeros(bits // 64, np.uint64)
+    sieve[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return sieve
+
+
+def _passing(sieve: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    at = prints & np.uint64(64 * len(sieve) - 1)
+    return (sieve[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=1)
 
 
-_LOWERED = bytes(LOWER)
+def _line_texts(sieve: Broadcast):
+    """(high, low, words): the lines that pass, once for each chunk, as their words joined by single spaces."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch):
+                data, offsets = row_bytes(batch.column("text").slice(a, b - a))
+                _, _, prints, *parts = _prints(data, offsets)
+                text, begin, end = normalised(data, *parts)
+                some = np.flatnonzero(_passing(sieve.value, prints)) if len(prints) else np.zeros(0, np.int64)
+                some = some[np.unique(prints[some, 0], return_index=True)[1]]
+                out = [text[x:y].tobytes().decode() for x, y in zip(begin[some].tolist(), end[some].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(prints[some, c].view(np.int64)) for c in (0, 1)), pa.array(out, pa.string())],
+                    names=["high", "low", "words"])
+    return run
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -123,16 +151,7 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
     With ``most``, work ends once the distance is sure to be greater, and some greater number is returned.
     """
-    low, high = 0, min(len(a), len(b))
-    while low < high:  # length of the common prefix
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
-    a, b = a[low:], b[low:]
-    low, high = 0, min(len(a), len(b))
-    while low < high:  # and of the common suffix
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if a[-middle:] == b[-middle:] else (low, middle - 1)
-    a, b = a[:len(a) - low], b[:len(b) - low]
+    a, b = _trimmed(a, b)
     if not a or not b:
         return len(a) + len(b)
     places: dict[str, int] = {}
@@ -154,94 +173,209 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return distance
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, code point) of every character."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return np.repeat(np.arange(len(texts)), [len(x) for x in texts]), codes
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common ends, the shorter first."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # length of the common prefix
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle - 1)
+    a, b = a[low:], b[low:]
+    low, high = 0, min(len(a), len(b))
+    while low < high:  # and of the common suffix
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[-middle:] == b[-middle:] else (low, middle - 1)
+    a, b = a[:len(a) - low], b[:len(b) - low]
+    return (a, b) if len(a) <= len(b) else (b, a)
+
+
+def _columns(texts: list[str], before: int, rows: int, pad: int, back: bool) -> np.ndarray:
+    """Code points, a text in each column from row ``before`` on, ``pad`` around; ``back``: last character first, up to the same row."""
+    out = np.full((len(texts), rows), pad, np.int32)
+    for own, text in zip(out, texts):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+        if back:
+            own[rows - before - len(codes):rows - before] = codes[::-1]
+        else:
+            own[before:before + len(codes)] = codes
+    return np.ascontiguousarray(out.T)
+
 
+def _close(one: list[str], two: list[str], most: np.ndarray) -> np.ndarray:
+    """Which pairs are at most so many edits apart: all of them at once, by the diagonals within the greatest of the bounds.
 
-def _trigrams(texts: list[str]) -> np.ndarray:
-    """(rows, LANES) counts of the trigrams of each text by hash; an edit changes at most six of them by one."""
-    row, codes = _codes(texts)
-    if len(codes) < 3:
-        return np.zeros((len(texts), LANES), np.int64)
-    h = mix(codes[:-2] + (codes[1:-1] << np.uint64(21)) + (codes[2:] << np.uint64(42))) % np.uint64(LANES)
-    inside = row[:-2] == row[2:]
-    return np.bincount(row[:-2][inside] * LANES + h[inside].astype(np.int64), minlength=len(texts) * LANES).reshape(-1, LANES)
+    Anti-diagonal s of the table has the cells i + j = s; a cell's place is that of its diagonal j - i, every second one.
+    """
+    wide = int(most.max()) + int(most.max()) % 2  # diagonals -wide to wide
+    n, m = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    last, place = n + m, (m - n + wide) >> 1
+    half, steps = wide // 2, int(last.max())
+    rows = int(max(n.max(), m.max())) + wide + 2  # places of characters that a step may ask for
+    a, b = _columns(one, half, rows, -1, back=True), _columns(two, half, rows, -2, back=False)
+    far = np.int16(12_000)
+    even, odd = np.full((wide + 1, len(one)), far), np.full((wide + 2, len(one)), far)
+    even[half] = 0
+    out = np.where(last == 0, 0, far)
+    for s in range(1, steps + 1):
+        # Cell (i, j) compares characters i - 1 and j - 1; the first of them, of the lowest diagonal, has the greatest i.
+        if s % 2:
+            i, j, cells = (s + wide - 1) // 2, (s - wide + 1) // 2, wide
+            near, prev = odd[1:-1], np.minimum(even[:-1], even[1:])
+        else:
+            i, j, cells = (s + wide) // 2, (s - wide) // 2, wide + 1
+            near, prev = even, np.minimum(odd[:-1], odd[1:])
+        if cells:
+            top, left = rows - half - i, half + j - 1
+            near += a[top:top + cells] != b[left:left + cells]
+            prev += 1
+            np.minimum(near, prev, out=near)
+        for p in np.flatnonzero(last == s).tolist():
+            if abs(int(m[p]) - int(n[p])) <= wide - s % 2:
+                out[p] = near[place[p] if s % 2 == 0 else (m[p] - n[p] + wide - 1) >> 1, p]
+    return out <= most
+
+
+def _within(one: list[str], two: list[str], most: list[int]) -> np.ndarray:
+    """Which pairs are at most ``most`` edits apart."""
+    keep, left = np.zeros(len(one), bool), []
+    for p, (x, y) in enumerate(zip(one, two)):
+        x, y = _trimmed(x, y)
+        if len(y) <= most[p]:  # at most every character of the longer one
+            keep[p] = True
+        elif len(y) > LONG_CHARS:
+            keep[p] = edit_distance(x, y, most[p]) <= most[p]
+        elif len(y) - len(x) <= most[p]:
+            left.append((len(x) + len(y), p, x, y))
+    left.sort()
+    for bound in (*BOUNDS, None):  # most near pairs are a few edits apart
+        at, far = 0, []
+        while at < len(left):  # the longest of them decides how many fit
+            to = min(at + PAIRS_AT_ONCE, len(left))
+            while to > at + 1 and (to - at) * left[to - 1][0] > CHARS_AT_ONCE:
+                to = at + (to - at + 1) // 2
+            part = left[at:to]
+            limits = np.array([most[p] if bound is None else min(most[p], bound) for _, p, _, _ in part])
+            near = _close([x for *_, x, _ in part], [y for *_, y in part], limits)
+            for pair, ok, limit in zip(part, near.tolist(), limits.tolist()):
+                if ok:
+                    keep[pair[1]] = True
+                elif limit < most[pair[1]]:
+                    far.append(pair)
+            at = to
+        left = far
+    return keep
 
 
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep: list[bool] = []
-            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
-                part = batch.slice(at, PAIRS_AT_ONCE)
-                one, two = part.column("w_a").to_pylist(), part.column("w_b").to_pylist()
-                most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(one, two)]
-                apart = np.abs(_trigrams(one) - _trigrams(two)).sum(axis=1).tolist()
-                keep += [d <= 6 * m and edit_distance(x, y, m) <= m for x, y, m, d in zip(one, two, most, apart)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            one, two = batch.column("w_a").to_pylist(), batch.column("w_b").to_pylist()
+            most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(one, two)]
+            yield batch.select(["a", "b"]).filter(pa.array(_within(one, two, most), pa.bool_()))
     return run
 
 
-def _buckets(percent: int) -> Column:
-    """The buckets of a line: each block's number, its bits and the length's class, in one whole number."""
-    def of(block: int, size: Column) -> Column:
-        at = block * BLOCK_BITS
-        bits = F.shiftrightunsigned(HASH[at // 64], at % 64).bitwiseAND((1 << BLOCK_BITS) - 1)
-        return (size * BLOCKS + block) * (1 << BLOCK_BITS) + bits
-
-    size = F.floor(F.log2("chars") + 1e-9).cast("long")
-    beyond = F.floor(F.log2(F.col("chars") * 100 / percent) + 1e-9).cast("long")
-    own = F.array(*[of(b, size) for b in range(BLOCKS)])
-    return F.when(beyond > size, F.concat(own, F.array(*[of(b, size + 1) for b in range(BLOCKS)]))).otherwise(own)
-
-
-def _mates(words: list[str], radius: float, percent: int):
-    """Rows (bucket, id, chars, words) of the lines that have a line of near length within ``radius`` beside them in their bucket,
-    by the share of bits in which these words of the SimHashes differ. Rows come sorted by bucket; a bucket may span batches."""
-    names, most = ["bucket", "id", "chars", *words], int(radius * 64 * len(words))
-
-    def near(columns: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, chars = columns[0], columns[2]
-        hashes = [np.ascontiguousarray(c).view(np.uint64) for c in columns[3:]]  # counts bits of unsigned words only
-        found = np.zeros(len(bucket), bool)
-        last = np.searchsorted(bucket, bucket, side="right")
-        at, step = np.arange(len(bucket)), 1
-        while len(at := at[at + step < last[at]]):
-            some = at[~(found[at] & found[at + step])]
-            one, two = chars[some], chars[some + step]
-            some = some[100 * np.minimum(one, two) >= percent * np.maximum(one, two)]
-            apart = np.zeros(len(some), np.uint16)
-            for h in hashes:
-                apart += np.bitwise_count(h[some] ^ h[some + step])
-                few = apart <= most
-                some, apart = some[few], apart[few]
-            found[some] = found[some + step] = True
-            step += 1
-        return pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns], names=names)
+def _deal(percent: int, blocks: range, ranges: int):
+    """Rows (range, rows): the lines of each range of buckets, as six 64-bit words each: id, characters and bucket, SimHash.
+
+    The bucket is the block and the length's class (above the characters' 32 bits) and the block's bits of the SimHash.
+    """
+    def deal(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, chars, *hashes = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("id", "chars", *HASH))
+        hashes = np.stack(hashes, axis=1).view(np.uint64)
+        size, beyond = (np.floor(np.log2(x) + 1e-9).astype(np.int64) for x in (chars, chars * 100 / percent))
+        more = np.flatnonzero(beyond > size)
+        line, cls = np.concatenate((np.arange(len(node)), more)), np.concatenate((size, size[more] + 1))
+        each, tag = np.tile(line, len(blocks)), np.concatenate([cls * BLOCKS + b for b in blocks])
+        rows = np.concatenate((node.view(np.uint64)[each, None], (tag << 32 | chars[each]).view(np.uint64)[:, None], hashes[each]), axis=1)
+        to = (mix(_bucket(rows).view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        own, counts = np.unique(to, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(own), binary_rows(rows[order], counts * rows.shape[1])], names=["range", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= DEAL_ROWS:
+                yield deal(held)
+                held, n = [], 0
+        if n:
+            yield deal(held)
+    return run
+
+
+def _bucket(rows: np.ndarray) -> np.ndarray:
+    """The buckets of rows dealt by ``_deal``: the length's class, the block's number and its bits, in one whole number."""
+    tag = (rows[:, 1] >> np.uint64(32)).astype(np.int64)
+    at = tag % BLOCKS * BLOCK_BITS
+    bits = rows[np.arange(len(rows)), 2 + at // 64] >> (at % 64).astype(np.uint64) & np.uint64((1 << BLOCK_BITS) - 1)
+    return tag << BLOCK_BITS | bits.astype(np.int64)
+
+
+def _mated(bucket: np.ndarray, chars: np.ndarray, hashes: np.ndarray, most: int, percent: int) -> np.ndarray:
+    """Which lines have a line of near length beside them in their bucket that differs in at most ``most`` bits. Sorted by bucket."""
+    found, last = np.zeros(len(bucket), bool), np.searchsorted(bucket, bucket, side="right")
+    at, step = np.arange(len(bucket)), 1
+    while len(at := at[at + step < last[at]]):
+        some = at[~(found[at] & found[at + step])]
+        one, two = chars[some], chars[some + step]
+        some = some[100 * np.minimum(one, two) >= percent * np.maximum(one, two)]
+        apart = np.zeros(len(some), np.uint16)
+        for h in hashes.T:
+            apart += np.bitwise_count(h[some] ^ h[some + step])
+            few = apart <= most
+            some, apart = some[few], apart[few]
+        found[some] = found[some + step] = True
+        step += 1
+    return found
+
+
+def _mates(percent: int):
+    """Rows (bucket, id, chars, SimHash) of the lines that have, beside them in their bucket, a line of near length within
+    ``HALF_NEAR`` of half of the SimHash's bits, and of these lines one within ``NEAR`` of all. Rows of ``_deal`` come sorted by range."""
+    def near(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        bucket = _bucket(rows)
+        order = np.argsort(bucket, kind="stable")
+        bucket, rows = bucket[order], rows[order]
+        for words, share in ((HASH_WORDS // 2, HALF_NEAR), (HASH_WORDS, NEAR)):  # half first: it drops most
+            chars = (rows[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            found = _mated(bucket, chars, rows[:, 2:2 + words], int(share * 64 * words), percent)
+            bucket, rows, chars = bucket[found], rows[found], chars[found]
+        columns = [bucket, rows[:, 0].astype(np.int64), chars.astype(np.int32), *(c.astype(np.int64) for c in rows[:, 2:].T)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "chars", *HASH])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held, now = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            if held is not None:
-                columns = [np.concatenate(pair) for pair in zip(held, columns)]
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last bucket may go on
-            if cut:
-                yield near([c[:cut] for c in columns])
-            held = [c[cut:] for c in columns]
-        if held is not None:
+            for own, rows in zip(batch.column("range").to_pylist(), batch.column("rows")):
+                if own != now and held:
+                    yield near(held)
+                    held = []
+                now = own
+                held.append(np.frombuffer(rows.as_buffer(), np.uint64).reshape(-1, 2 + HASH_WORDS))
+        if held:
             yield near(held)
     return run
 
 
-def _with_mates(rows: DataFrame, words: list[str], radius: float, percent: int) -> DataFrame:
-    schema = "bucket long, id long, chars int, " + ", ".join(f"{c} long" for c in words)
-    return rows.select("bucket", "id", "chars", *words).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _mates(words, radius, percent), schema)
+_MEMBERS = "bucket long, id long, chars int, " + ", ".join(f"{c} long" for c in HASH)
+
+
+def _members(nodes: DataFrame, percent: int) -> list[DataFrame]:
+    """Staged tables of the lines that have mates, by some blocks each: no more than these blocks' rows are shuffled at once."""
+    spark, each = nodes.sparkSession, BLOCKS // PASSES
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(tasks, nodes.count() * each // RANGE_ROWS)
+    least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
+    rows = nodes.where(F.col("chars") >= least).select("id", "chars", *HASH)
+    out = []
+    for first in range(0, BLOCKS, each):
+        dealt = rows.mapInArrow(_deal(percent, range(first, first + each), ranges), "range long, rows binary")
+        dealt = dealt.repartition("range").sortWithinPartitions("range")
+        out.append(stage(dealt.mapInArrow(_mates(percent), _MEMBERS), "line-mates"))
+    return out
 
 
 def _hamming(one: str, two: str) -> Column:
@@ -266,20 +400,14 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     nodes = lines.groupBy("high", "low").agg(
         F.min(F.struct("key", "line")).alias("first"), F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in ("chars", *HASH)))
     nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "line-nodes")
-    least = -(-100 // (100 - percent)) if percent < 100 else 1 << 30
-    rows = nodes.where(F.col("chars") >= least).select(F.explode(_buckets(percent)).alias("bucket"), "id", "chars", *HASH[:2])
-    # First by half of the SimHash, which keeps the many rows short, then by all of it.
-    buckets = stage(_with_mates(rows, HASH[:2], HALF_NEAR, percent).select("bucket", "id"), "line-buckets")
-    hashes = nodes.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "chars", *HASH)
-    members = stage(_with_mates(buckets.join(hashes, "id"), HASH, NEAR, percent), "line-mates")
-    drop(buckets)
-    near = stage(nodes.join(members.select("id").distinct(), "id", "left_semi").select(
-        "id", "high", "low", "chars", F.col("first.key").alias("key")), "line-near")
-    keys = near.select("key").distinct()
-    texts = docs.join(keys, docs["key"].eqNullSafe(keys["key"]), "left_semi").select("text").mapInArrow(
-        _line_texts, "high long, low long, words string").join(near.select("high", "low", "id"), ["high", "low"])
+    parts = _members(nodes, percent)
+    members = reduce(DataFrame.unionAll, parts)
+    near = stage(nodes.join(members.select("id").distinct(), "id", "left_semi").select("id", "high", "low"), "line-near")
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(near, near.count()))
+    texts = docs.select("text").mapInArrow(_line_texts(sieve), "high long, low long, words string").join(near, ["high", "low"])
     words_of = stage(texts.select("id", "words").dropDuplicates(["id"]), "line-words")
     drop(near)
+    sieve.unpersist()
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = words_of.select(F.col("id").alias("a"), F.col("words").alias("w_a"))
@@ -287,7 +415,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         return pairs.join(one, "a").join(two, "b").select("a", "b", "w_a", "w_b").mapInArrow(_similar(percent), "a long, b long")
 
     found = link(members, verify, near=_may_be_near(percent))
-    drop(members, words_of)
+    drop(*parts, words_of)
     grouped = nodes.select("id", "high", "low", "first", "n").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     several = grouped.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")
     kept = grouped.select("high", "low", "root").join(several, "root").select(

@@ -216,6 +216,66 @@ def test_edit_distance_with_a_bound():
             assert bounded == whole if whole <= most else bounded > most
 
 
+def test_many_pairs_within_a_bound():
+    """The diagonals of many pairs at once decide as one distance after the other does."""
+    rng = random.Random(6)
+    one, two, most = ["", "", "a"], ["", "abc", "a"], [0, 2, 0]
+    for n in [1, 2, 7, 20, 60, 200, 700] * 40:
+        a = [rng.choice("abcdeé😀") for _ in range(n)]
+        b = list(a)
+        for at in sorted(rng.sample(range(n), rng.randint(0, max(1, n // 6))), reverse=True):
+            b[at:at + 1] = rng.choice([[], ["q"], [b[at], "z"]])
+        one.append("".join(a))
+        two.append("".join(b))
+        most.append(rng.choice([rng.randint(0, 30), 15 * max(len(a), len(b)) // 100]))
+    want = [line_dedup.edit_distance(a, b) <= m for a, b, m in zip(one, two, most)]
+    assert line_dedup._within(one, two, most).tolist() == want
+    assert 50 < sum(want) < len(want) - 20
+
+
+def test_lines_with_mates_by_passes(spark):
+    """The passes over the blocks together find what all blocks at once do, and each shuffles its own blocks alone."""
+    rng = random.Random(10)
+    lines = sorted({w for a, b in changed_lines(rng, 30, 40) for w in (a, b)})
+    hashes = [np.packbits(_hash(w), bitorder="little").view(np.int64).tolist() for w in lines]
+    nodes = spark.createDataFrame([(i, len(w), *h) for i, (w, h) in enumerate(zip(lines, hashes))],
+                                  "id long, chars int, " + ", ".join(f"{c} long" for c in line_dedup.HASH))
+    parts = line_dedup._members(nodes, 85)
+    assert len(parts) == line_dedup.PASSES > 1
+    near = lambda i, j, n: (100 * min(len(lines[i]), len(lines[j])) >= 85 * max(len(lines[i]), len(lines[j])) and
+                            sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in list(zip(hashes[i], hashes[j]))[:n // 64]))
+    for part, first in zip(parts, range(0, line_dedup.BLOCKS, line_dedup.BLOCKS // line_dedup.PASSES)):
+        blocks = range(first, first + line_dedup.BLOCKS // line_dedup.PASSES)
+        buckets = {}
+        for i, w in enumerate(lines):
+            for c in {int(math.log2(len(w))), int(math.log2(len(w) * 100 / 85))}:
+                for b in blocks:
+                    bits = hashes[i][b // 4] >> 16 * (b % 4) & 0xFFFF
+                    buckets.setdefault(((c * line_dedup.BLOCKS + b) << 16) | bits, []).append(i)
+        want = set()
+        for bucket, own in buckets.items():
+            for n, most in ((128, 35), (256, 64)):
+                close = lambda i, j: near(i, j, n) is not False and near(i, j, n) <= most  # noqa: B023, E731
+                own = [i for i in own if any(i != j and close(i, j) for j in own)]
+            want |= {(bucket, i) for i in own}
+        assert {(r.bucket, r.id) for r in part.collect()} == want
+        rows = nodes.mapInArrow(line_dedup._deal(85, blocks, 5), "range long, rows binary").collect()
+        assert sum(len(r.rows) for r in rows) == 48 * sum(map(len, buckets.values()))
+    assert sum(p.count() for p in parts) > 40
+
+
+def test_only_the_words_of_near_lines_leave_the_tasks(spark):
+    rng = random.Random(11)
+    docs = spark.createDataFrame([("\n".join([prose(rng, 5), "One  Line", prose(rng, 5)]),) for _ in range(200)] + [(None,)], "text string")
+    import pyarrow as pa
+
+    row, line, prints = line_dedup.fingerprints(pa.array(["one line"]))
+    asked = spark.createDataFrame([tuple(prints.view(np.int64)[0].tolist())], "high long, low long")
+    sieve = spark.sparkContext.broadcast(line_dedup._sieve(asked, 1))
+    got = docs.repartition(1).mapInArrow(line_dedup._line_texts(sieve), "high long, low long, words string").collect()
+    assert "one line" in {r.words for r in got} and len(got) < 40
+
+
 def test_crowded_buckets_of_near_lines(spark, odd):
     """600 near copies of one line and 600 far ones: one stays of the former."""
     rng = random.Random(9)
