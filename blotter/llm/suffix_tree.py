@@ -14,26 +14,37 @@ its first word. Symbols are the distinct training tokens and one symbol for ever
 - Scoring: the state at a token is the longest kept suffix of what precedes it. The score is the sum of
   the log10 probabilities; the base score is that of the smoothed unigram counts.
 
-Counts cover every training text: one job sums the words, a second the windows of a context and its
-next token. Tokens and contexts are 64-bit hashes; words, states and next-token counts are tables and
-are neither collected nor broadcast. Texts are scored by a join with their distinct windows.
+Counts cover every training text. Tokens and contexts are 64-bit hashes; words, states and next-token
+counts are tables and are neither collected nor broadcast.
+
+1. Texts are cut once, into chunks: distinct words, and places in them. The counts of a chunk's words come back to it.
+2. Each position goes, with its three words before, its next word and that word's count, to the bucket of the last
+   word before it, in ``PASSES`` passes over the buckets. A context and its suffixes share that word, so a bucket
+   counts and keeps its own contexts. The gain is at most n ln(m / n) <= m / e (m: the suffix's count), so what
+   cannot reach ``DIVERGENCE`` is not counted further. Positions after a word of more than ``HOT`` do not fit one task and
+   are counted as rows, by context and next word (``grow``).
+3. Scoring deals the positions of the texts in the same way, to the bucket's part of the tree, and adds up by text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import drop, stage
 from .textbytes import LOWER, Spans, chunks, mix, row_bytes, span_hashes, words
 
-DEPTH, LEAST_COUNT, DIVERGENCE, HELD = 3, 2, 20.0, 2_000_000
+DEPTH, LEAST_COUNT, DIVERGENCE = 3, 2, 20.0
+#: Tokens of a chunk, of a bucket, and of a word that is too frequent for a bucket; passes over the buckets.
+CODED, BUCKET, HOT, PASSES = 1 << 21, 1 << 20, 1 << 22, 4
+#: A context's gain is at most its suffix's count by e; the rest is for rounding.
+LEAST_SUFFIX = DIVERGENCE * np.e * (1 - 1e-9)
 OTHER = -1  # in ``Model.after``, the unseen word
 END = int(mix(np.array([1], np.uint64)).view(np.int64)[0])
 CONTEXTS = [f"c{d}" for d in range(1, DEPTH + 1)]
@@ -49,49 +60,6 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(spans.row, ends, np.arange(rows)), np.insert(hashes, ends, END)
 
 
-class _Counter:
-    """Counts of 64-bit keys, merged as they come and given out before they fill the task."""
-
-    def __init__(self, kind: int):
-        self.kind, self.keys, self.counts, self.size = kind, [], [], 0
-
-    def add(self, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, count = np.unique(values, return_counts=True)
-        self.keys.append(key)
-        self.counts.append(count)
-        self.size += len(key)
-        if self.size > 2 * HELD:
-            self._merge()
-            if self.size > HELD:
-                yield from self.all()
-
-    def _merge(self) -> None:
-        key, count = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        self.keys, self.counts, self.size = [key[first]], [np.add.reduceat(count, first)], len(first)
-
-    def all(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            self._merge()
-            key, count = self.keys[0], self.counts[0]
-            self.keys, self.counts, self.size = [], [], 0
-            for a in range(0, len(key), 200_000):
-                part = key[a:a + 200_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), self.kind, np.int8)), pa.array(part), pa.array(count[a:a + 200_000])],
-                    names=["kind", "key", "n"])
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = _Counter(0)
-    for batch in batches:
-        for a, b in chunks(batch):
-            yield from seen.add(tokens(batch.column("text").slice(a, b - a))[1])
-    yield from seen.all()
-
-
 def contexts(row: np.ndarray, hashes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """(hash of the context of each depth, depth that there is) of every token.
 
@@ -116,23 +84,382 @@ def _window(context: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix(hashes.view(np.uint64))).view(np.int64)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every distinct window of some texts: its contexts, its next token, how often it occurs."""
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, byte by byte in planes, compressed."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(values).to_bytes(7, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    n, width = int.from_bytes(blob[:7], "little"), blob[7]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(blob[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
+def _raw(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(blob, kind)
+
+
+def _rows(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in columns.values()], names=list(columns))
+
+
+def _share(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each hash."""
+    return ((hashes.view(np.uint64) >> np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+
+
+_CODED = "words binary, ids binary, lengths binary, size long, kinds long"
+
+
+def _code(kind: str):
+    """Texts as chunks: the distinct hashes, most frequent first, the place in them of each token, tokens of each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 33
+        keys, lengths, found = [], [], []
+
+        def out() -> pa.RecordBatch:
+            nonlocal number
+            word, place, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            key, length = pa.concat_arrays(keys), np.concatenate(lengths)
+            number += 1
+            columns = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), key),
+                       pa.array([word[order].tobytes()], pa.binary()), pa.array([_pack(rank[place])], pa.binary()),
+                       pa.array([_pack(length)], pa.binary()), pa.array([len(place)]), pa.array([len(word)])]
+            for held in (keys, lengths, found):
+                held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "keys", "words", "ids", "lengths", "size", "kinds"])
+
+        for batch in batches:
+            for a, b in chunks(batch):
+                part = batch.slice(a, b - a)
+                row, hashes = tokens(part.column("text"))
+                keys.append(part.column("key"))
+                lengths.append(np.bincount(row, minlength=b - a))
+                found.append(hashes)
+                if sum(map(len, found)) >= CODED:
+                    yield out()
+        if found:
+            yield out()
+    return run, f"chunk long, keys array<{kind}>, {_CODED}"
+
+
+def _terms(parts: int):
+    """Each chunk's words and how often they occur there, by part of the words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                word = _raw(r["words"])
+                n, part = np.bincount(_unpack(r["ids"]), minlength=len(word)), _share(word, parts)
+                each = [(p, np.flatnonzero(part == p)) for p in np.unique(part).tolist()]
+                yield _rows({"part": (pa.int64(), [p for p, _ in each]), "chunk": (pa.int64(), [r["chunk"]] * len(each)),
+                             "words": (pa.binary(), [word[i].tobytes() for _, i in each]),
+                             "n": (pa.binary(), [_pack(n[i]) for _, i in each])})
+    return run
+
+
+_TERMS = "part long, chunk long, words binary, n binary"
+
+
+def _sum_terms(table: pa.Table, given: bool) -> pa.Table:
+    """One part: for each chunk the counts of its words, and without a chunk all words and counts.
+
+    If counts are ``given``, by rows without a chunk, they hold, and other words have 0.
+    """
+    rows = table.to_pylist()
+    word = [_raw(r["words"]) for r in rows]
+    known, place = np.unique(np.concatenate(word), return_inverse=True)
+    n = [_unpack(r["n"]) for r in rows]
+    ends = np.cumsum([0, *map(len, word)])
+    count = np.zeros(len(known), np.int64)
+    for k, r in enumerate(rows):
+        if (r["chunk"] is None) == given:
+            np.add.at(count, place[ends[k]:ends[k + 1]], n[k])
+    part = rows[0]["part"]
+    own = [(r["chunk"], None, _pack(count[place[ends[k]:ends[k + 1]]])) for k, r in enumerate(rows) if r["chunk"] is not None]
+    own += [] if given else [(None, known.tobytes(), _pack(count))]
+    return pa.table({"part": pa.array([part] * len(own), pa.int64()), "chunk": pa.array([c for c, _, _ in own], pa.int64()),
+                     "words": pa.array([w for _, w, _ in own], pa.binary()), "n": pa.array([x for _, _, x in own], pa.binary())})
+
+
+def _known_terms(parts: int):
+    """Words and counts of a model, by part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = batch.column("hash").to_numpy(), batch.column("c").to_numpy()
+            part = _share(word, parts)
+            each = [(p, np.flatnonzero(part == p)) for p in np.unique(part).tolist()]
+            yield _rows({"part": (pa.int64(), [p for p, _ in each]), "chunk": (pa.int64(), [None] * len(each)),
+                         "words": (pa.binary(), [word[i].tobytes() for _, i in each]),
+                         "n": (pa.binary(), [_pack(n[i]) for _, i in each])})
+    return run
+
+
+def _known_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in chunks(batch):
-            row, hashes = tokens(batch.column("text").slice(a, b - a))
-            own, depth = contexts(row, hashes)
-            window, first, n = np.unique(_window(own[-1], hashes), return_index=True, return_counts=True)
-            columns = [*(c[first] for c in own), hashes[first], depth[first].astype(np.int32), window, n.astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*CONTEXTS, "next", "depth", "window", "n"])
+        for r in batch.to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(_raw(r["words"])), pa.array(_unpack(r["n"]))], names=["hash", "c"])
 
 
-_WINDOWS = ", ".join(f"{c} long" for c in CONTEXTS) + ", next long, depth int, window long, n long"
+def _counted(docs: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    """(chunks of the texts, each with its words' counts; the words' table; parts of the words).
+
+    The counts are those of ``seen`` or, without it, of the texts.
+    """
+    run, schema = _code(docs.schema["key"].dataType.simpleString())
+    coded = stage(docs.mapInArrow(run, schema), "tree-chunks")
+    parts = max(1, -(-(coded.agg(F.sum("kinds")).first()[0] or 0) // BUCKET))
+    terms = coded.select("chunk", "words", "ids").mapInArrow(_terms(parts), _TERMS)
+    if seen is not None:
+        terms = terms.unionAll(seen.select("hash", "c").mapInArrow(_known_terms(parts), _TERMS))
+    given = seen is not None
+    terms = stage(terms.groupBy("part").applyInArrow(lambda t: _sum_terms(t, given), _TERMS), "tree-words")
+    counts = terms.where("chunk IS NOT NULL").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("counts"))
+    whole = stage(coded.join(counts, "chunk"), "tree-coded")
+    drop(coded)
+    return whole, terms, parts
+
+
+@dataclass
+class _Chunk:
+    """A chunk's words, their counts, and of each token its place in the words and that of up to three tokens before it."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+    lengths: np.ndarray
+
+    @classmethod
+    def read(cls, r: dict, parts: int) -> "_Chunk":
+        word = _raw(r["words"])
+        count = np.zeros(len(word), np.int64)
+        count[np.argsort(_share(word, parts), kind="stable")] = np.concatenate([_unpack(p["n"]) for p in r["counts"]])
+        return cls(word, count, _unpack(r["ids"]).astype(np.int32), _unpack(r["lengths"]))
+
+    @property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
+    def before(self) -> list[np.ndarray]:
+        """The tokens before each token, nearest first; -1 where they would reach beyond the text."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        place = np.arange(len(self.ids), dtype=np.int32) - np.repeat(starts.astype(np.int32), self.lengths)
+        last = np.concatenate((self.ids[:1], self.ids[:-1]))
+        last[starts] = np.flatnonzero(self.words == END)[0]  # an end precedes the first token
+        out = [last]
+        for depth in range(1, DEPTH):
+            far = np.full(len(last), -1, np.int32)
+            far[depth:] = last[:-depth]
+            far[place < depth] = -1
+            out.append(far)
+        return out
+
+
+def _longer(context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
+    """Hashes of contexts of a depth: those of their suffixes, and the word before."""
+    back = mix(word.view(np.uint64) + np.uint64(depth))
+    return mix(context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + back).view(np.int64)
+
+
+def _after(word: np.ndarray) -> np.ndarray:
+    """Hash of the context that a word alone is."""
+    return _longer(np.zeros(len(word), np.int64), word, 1)
+
+
+_BLOBS = "bucket long, depth int, chunk long, words binary, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary, b5 binary"
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    """``_BLOBS``, of positions (words' counts, words before, next, rows) or of a depth (contexts, suffixes, totals, kinds, next, n)."""
+    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
+    names = [c.split()[0] for c in _BLOBS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
+def _positions(parts: int, buckets: int, number: int, left: list[int]):
+    """The positions of every chunk by the bucket of the last word, for the buckets of one pass, without the words ``left``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                chunk = _Chunk.read(r, parts)
+                bucket = _share(_after(chunk.words), buckets)
+                bucket[(bucket % PASSES != number) | np.isin(chunk.words, np.array(left, np.int64))] = -1
+                before, row = chunk.before(), chunk.rows
+                own = bucket.astype(np.int32)[before[0]]
+                order = np.flatnonzero(own >= 0)
+                own = own[order]
+                turn = np.argsort(own.astype(np.uint16 if buckets < 1 << 16 else np.int32), kind="stable")
+                order, own = order[turn], own[turn]
+                ends = np.concatenate((np.flatnonzero(np.diff(own)) + 1, [len(own)])) if len(own) else []
+                rows, a = [], 0
+                for b in ends:
+                    at = order[a:b]
+                    near = [*(w[at] for w in before), chunk.ids[at]]
+                    used = np.zeros(len(chunk.words) + 1, bool)
+                    for w in near:
+                        used[w] = True
+                    used[-1] = False  # where there is no word
+                    word = np.flatnonzero(used)
+                    short = np.zeros(len(used), np.int32)
+                    short[word] = np.arange(len(word)) + 1
+                    rows.append((int(own[a]), DEPTH + 1, r["chunk"], chunk.words[word].tobytes(), _pack(chunk.counts[word]),
+                                 _join([_pack(short[w]) for w in near[:-1]]), _pack(short[near[-1]] - 1),
+                                 _pack(np.diff(row[at], prepend=0)), None, None))
+                    a = b
+                if rows:
+                    yield _blobs(rows)
+    return run
+
+
+def _join(blobs: list[bytes]) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in blobs)
+
+
+def _split(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at:at + 8], "little")
+        out.append(blob[at + 8:at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _find(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted array, or -1."""
+    if not len(known):
+        return np.full(len(asked), -1)
+    order = np.argsort(asked)
+    sorted_ = asked[order]
+    at = np.minimum(np.searchsorted(known, sorted_), len(known) - 1)
+    out = np.empty(len(asked), np.int64)
+    out[order] = np.where(known[at] == sorted_, at, -1)
+    return out
+
+
+def _kept(bucket: int, depth: int, context: np.ndarray, suffix: np.ndarray, total: np.ndarray,
+          state: np.ndarray, following: np.ndarray, n: np.ndarray) -> tuple:
+    """States and their counts, as one row of ``_BLOBS``: states by hash, counts by state and next word."""
+    order = np.argsort(context)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    word, place = np.unique(following, return_inverse=True)
+    turn = np.argsort(rank[state] * len(word) + place)
+    return (bucket, depth, None, word.tobytes(), context[order].tobytes(), suffix[order].tobytes(), _pack(total[order]),
+            _pack(np.bincount(rank[state], minlength=len(order))), _pack(place[turn]), _pack(n[turn]))
+
+
+def _grow_bucket(table: pa.Table, positions: int) -> pa.Table:
+    """The contexts that the tests keep, of those that end in the words of a bucket."""
+    got = table.to_pylist()
+    words = [_raw(r["words"]) for r in got]
+    ends = np.cumsum([0, *map(len, words)])
+    word, place = np.unique(np.concatenate(words), return_inverse=True)
+    count = np.zeros(len(word), np.int64)
+    count[place] = np.concatenate([_unpack(r["b0"]) for r in got])
+    place = place.astype(np.int32)
+    near = [[np.where(w == 0, -1, place[e + w - 1]) for w in (_unpack(b) for b in _split(r["b1"]))] for r, e in zip(got, ends)]
+    before = [np.concatenate([w[d] for w in near]) for d in range(DEPTH)]
+    following = np.concatenate([place[e + _unpack(r["b2"])] for r, e in zip(got, ends)])
+    del near, words
+    kinds = len(word)
+    levels = []  # (hash, place of the suffix, total; state, next and n of each count; whether it differs)
+    own = before[0].astype(np.int64)
+    at = np.bincount(own, minlength=kinds)
+    up, hashes, totals = np.zeros(kinds, np.int64), _after(word), at
+    can = at >= LEAST_COUNT
+    for depth in range(1, DEPTH + 1):
+        if depth > 1:
+            parent = levels[-1]
+            ask = np.flatnonzero((before[depth - 1] >= 0) & (parent[2][own] >= LEAST_SUFFIX))
+            before, following, own = [b[ask] for b in before], following[ask], own[ask]
+            key, own, totals = np.unique(own * kinds + before[depth - 1], return_inverse=True, return_counts=True)
+            up = key // kinds
+            m = parent[2][up]
+            hashes = _longer(parent[0][up], word[key % kinds], depth)
+            can = (totals >= LEAST_COUNT) & (
+                (totals * np.log(m / totals) >= DIVERGENCE * (1 - 1e-9)) | (totals >= LEAST_SUFFIX))
+        ask = can[own]
+        dense = np.cumsum(can) - 1
+        before, following, own = [b[ask] for b in before], following[ask], dense[own[ask]]
+        hashes, up, totals = hashes[can], up[can], totals[can]
+        key, n = np.unique(own * kinds + following, return_counts=True)
+        state, token = key // kinds, key % kinds
+        if depth == 1:
+            share = count[token] / positions
+        else:
+            above = _find(parent[3] * kinds + parent[4], up[state] * kinds + token)
+            share = parent[5][above] / parent[2][parent[3][above]]
+        gain = np.bincount(state, n * np.log(n / totals[state] / share), minlength=len(totals))
+        levels.append((hashes, up, totals, state, token, n, gain >= DIVERGENCE))
+    out, wanted = [], np.zeros(0, np.int64)
+    for depth in range(DEPTH, 0, -1):  # a kept context's suffixes are kept
+        hashes, up, totals, state, token, n, keep = levels[depth - 1]
+        keep = keep.copy()
+        keep[wanted] = True
+        wanted = up[keep]
+        if keep.any():
+            dense, some = np.cumsum(keep) - 1, keep[state]
+            suffix = levels[depth - 2][0][wanted] if depth > 1 else np.zeros(len(wanted), np.int64)
+            out.append(_kept(got[0]["bucket"], depth, hashes[keep], suffix, totals[keep], dense[state[some]], word[token[some]], n[some]))
+    return pa.Table.from_batches([_blobs(out)])
+
+
+def _hot_windows(parts: int, hot: list[int]):
+    """Every distinct window after some words in a chunk: its contexts, its next token, how often it occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                chunk = _Chunk.read(r, parts)
+                own, depth = contexts(chunk.rows, chunk.words[chunk.ids])
+                at = np.flatnonzero(np.isin(chunk.words, np.array(hot, np.int64))[chunk.before()[0]])
+                following = chunk.words[chunk.ids[at]]
+                _, first, n = np.unique(_window(own[-1][at], following), return_index=True, return_counts=True)
+                columns = [*(c[at][first] for c in own), following[first], depth[at][first].astype(np.int32), n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*CONTEXTS, "next", "depth", "n"])
+    return run
+
+
+_WINDOWS = ", ".join(f"{c} long" for c in CONTEXTS) + ", next long, depth int, n long"
+
+
+def _kept_rows(table: pa.Table) -> pa.Table:
+    """The states of one bucket and depth, from rows of their counts."""
+    c = {k: table.column(k).to_numpy() for k in ("context", "suffix", "total", "next", "n")}
+    context, first, state = np.unique(c["context"], return_index=True, return_inverse=True)
+    bucket, depth = table.column("bucket")[0].as_py(), table.column("depth")[0].as_py()
+    return pa.Table.from_batches([_blobs([
+        _kept(bucket, depth, context, c["suffix"][first], c["total"][first], state, c["next"], c["n"])])])
+
+
+def _state_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            columns = [_raw(r["b0"]), _raw(r["b1"]), _unpack(r["b2"]), _unpack(r["b3"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "suffix", "total", "kinds"])
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            columns = [np.repeat(_raw(r["b0"]), _unpack(r["b3"])), _raw(r["words"])[_unpack(r["b4"])], _unpack(r["b5"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "next", "n"])
 
 
 @dataclass
 class Model:
-    """Tables of the words (hash, c) and, by depth, of states (context, suffix, total, kinds) and counts (context, next, n)."""
+    """Tables of the words (hash, c) and, by depth, of states (context, suffix, total, kinds) and counts (context, next, n).
+
+    Both are read from ``tree``, which holds them by bucket of the context's last word.
+    """
 
     tokens: int
     types: int
@@ -140,6 +467,8 @@ class Model:
     known: DataFrame
     states: list[DataFrame]
     counts: list[DataFrame]
+    tree: DataFrame
+    buckets: int
 
     @property
     def unseen(self) -> float:
@@ -193,16 +522,18 @@ class Words:
     count: np.ndarray
 
 
-def grow(windows: DataFrame, known: DataFrame, positions: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(states, counts) by depth of the contexts that the tests keep."""
+def grow(windows: DataFrame, known: DataFrame, positions: int, buckets: int) -> list[DataFrame]:
+    """The contexts that the tests keep, by depth and bucket, from distinct windows as rows."""
     some, differ = [], []
     for depth in range(1, DEPTH + 1):
         own, up = F.col(f"c{depth}"), F.col(f"c{depth - 1}") if depth > 1 else F.lit(0).cast("long")
-        counts = windows.where(F.col("depth") >= depth).groupBy(own.alias("context"), up.alias("suffix"), "next").agg(F.sum("n").alias("n"))
+        counts = windows.where(F.col("depth") >= depth).groupBy(
+            own.alias("context"), up.alias("suffix"), F.col("c1").alias("last"), "next").agg(F.sum("n").alias("n"))
         counts = stage(counts, "tree-counts")
         totals = counts.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(
             F.col("total") >= LEAST_COUNT)
         some.append(stage(counts.join(totals, "context"), "tree-contexts"))
+        drop(counts)
         if depth == 1:
             parent, on = known.select(F.col("hash").alias("next"), (F.col("c") / positions).alias("share")), ["next"]
         else:
@@ -210,48 +541,149 @@ def grow(windows: DataFrame, known: DataFrame, positions: int) -> tuple[list[Dat
             parent = some[-2].select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("total")).alias("share"))
             on = ["suffix", "next"]
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("share")))
-        differ.append(some[-1].join(parent, on).groupBy("context", "suffix").agg(gain.alias("gain")).where(
-            F.col("gain") >= DIVERGENCE).select("context", "suffix"))
-    states, counts, wanted = [], [], None
+        differ.append(stage(some[-1].join(parent, on).groupBy("context").agg(gain.alias("gain")).where(
+            F.col("gain") >= DIVERGENCE).select("context"), "tree-differ"))
+    drop(windows)
+    out, wanted = [], None
+    bucket = F.expr(f"shiftrightunsigned(last, 1) % {buckets}").alias("bucket")
     for depth in range(DEPTH, 0, -1):  # a kept context's suffixes are kept
-        kept = differ[depth - 1].select("context")
+        kept = differ[depth - 1]
         if wanted is not None:
-            kept = kept.unionAll(wanted.select(F.col("suffix").alias("context"))).distinct()
-        own = stage(some[depth - 1].join(kept, "context", "left_semi"), "tree-kept")
-        wanted = stage(own.groupBy("context").agg(*(F.min(c).alias(c) for c in ("suffix", "total", "kinds"))), "tree-states")
-        states.insert(0, wanted)
-        counts.insert(0, own.select("context", "next", "n"))
-    return states, counts
+            kept = kept.unionAll(wanted).distinct()
+        own = stage(some[depth - 1].join(kept, "context", "left_semi"), "tree-kept-rows")
+        wanted = stage(own.select(F.col("suffix").alias("context")).distinct(), "tree-wanted")
+        out.append(stage(own.select(bucket, F.lit(depth).alias("depth"), "context", "suffix", "total", "next", "n").groupBy(
+            "bucket").applyInArrow(_kept_rows, _BLOBS), "tree-kept"))
+        drop(some[depth - 1], own)
+    return out
+
+
+def _groups(counts: dict[int, int], most: int) -> list[list[int]]:
+    """Words in groups of about ``most`` occurrences (or one word), which are counted one after the other."""
+    groups, size = [], most + 1
+    for word, n in sorted(counts.items()):
+        if size + n > most:
+            groups.append([])
+            size = 0
+        groups[-1].append(word)
+        size += n
+    return groups
 
 
 def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     """The model of all rows of ``docs``, and the counts (hash, c) of their words."""
-    docs = docs.select(F.col(text).alias("text"))
-    seen = docs.mapInArrow(_count_words, "kind byte, key long, n long").groupBy(F.col("key").alias("hash")).agg(F.sum("n").alias("c"))
-    seen = stage(seen, "tree-words")
-    total = seen.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n, types, once, twice = (total[0] or 0), total[1], total[2], total[3]
+    coded, terms, parts = _counted(docs.select(F.lit(0).alias("key"), F.col(text).alias("text")), None)
+    seen = terms.where("chunk IS NULL").select("words", "n").mapInArrow(_known_rows, "hash long, c long")
+    c = F.col("c")
+    total = seen.agg(F.sum(c), F.count(F.lit(1)), F.count_if(c == 1), F.count_if(c == 2),
+                     F.collect_list(F.when(c > HOT, F.struct("hash", "c")))).first()
+    n, types, once, twice, hot = (total[0] or 0), total[1], total[2], total[3], total[4]
+    frequent = [r.hash for r in hot]
     discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
-    windows = docs.mapInArrow(_windows, _WINDOWS).groupBy(*CONTEXTS, "next", "depth").agg(F.sum("n").alias("n"))
-    states, counts = grow(stage(windows, "tree-windows"), seen, max(n, 1))
-    return Model(n, types, discount, seen, states, counts), seen
-
-
-def _row_windows(kind: str):
+    buckets = max(1, -(-n // BUCKET))
+    tree = [stage(coded.mapInArrow(_positions(parts, buckets, k, frequent), _BLOBS).groupBy("bucket").applyInArrow(
+        lambda t: _grow_bucket(t, n), _BLOBS), "tree-kept") for k in range(min(PASSES, buckets))]
+    for some in _groups({r.hash: r.c for r in hot}, n // PASSES):
+        windows = coded.mapInArrow(_hot_windows(parts, some), _WINDOWS).groupBy(*CONTEXTS, "next", "depth").agg(F.sum("n").alias("n"))
+        tree += grow(stage(windows, "tree-windows"), seen, n, buckets)
+    drop(coded)
+    tree = reduce(DataFrame.unionAll, tree)
+    states = [tree.where(F.col("depth") == d).mapInArrow(_state_rows, "context long, suffix long, total long, kinds long")
+              for d in range(1, DEPTH + 1)]
+    counts = [tree.where(F.col("depth") == d).mapInArrow(_count_rows, "context long, next long, n long") for d in range(1, DEPTH + 1)]
+    return Model(n, types, discount, seen, states, counts, tree, buckets), seen
+
+
+def _bases(parts: int, floor: float, kind: str):
+    """Each text's tokens, known ones and base score, by chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for batch in batches:
+            for k, r in enumerate(batch.to_pylist()):
+                chunk = _Chunk.read(r, parts)
+                starts, c = np.cumsum(chunk.lengths) - chunk.lengths, chunk.counts
+                known = np.add.reduceat((c > 0)[chunk.ids].astype(np.int64), starts)
+                base = np.add.reduceat(np.log10((c + 0.5) / floor)[chunk.ids], starts)
+                columns = [pa.array([r["chunk"]]), batch.column("keys").slice(k, 1),
+                           *(pa.array([b], pa.binary()) for b in (_pack(chunk.lengths), _pack(known), base.tobytes()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "keys", "lengths", "known", "base"])
+    return run, f"chunk long, keys array<{kind}>, lengths binary, known binary, base binary"
+
+
+class _Part:
+    """States and counts of one row of ``_BLOBS``, to be looked up."""
+
+    def __init__(self, r: dict):
+        self.words, self.contexts = _raw(r["words"]), _raw(r["b0"])
+        self.total, self.kinds = _unpack(r["b2"]), _unpack(r["b3"])
+        self.n = _unpack(r["b5"])
+        self.keys = np.repeat(np.arange(len(self.kinds)), self.kinds) * len(self.words) + _unpack(r["b4"])
+
+    def after(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """How often each word (by its place here, or -1) follows a state."""
+        at = _find(self.keys, np.where(token < 0, -1, state * len(self.words) + token))
+        return np.where(at < 0, 0, self.n[at])
+
+
+def _scored(tokens_: int, discount: float, unseen: float):
+    """The sums of the log10 probabilities, by bucket, chunk and text, from a bucket's states and then its positions."""
+    def positions(r: dict, parts: dict[int, list[_Part]]) -> tuple:
+        word, count = _raw(r["words"]), _unpack(r["b0"])
+        before, following = [_unpack(b) - 1 for b in _split(r["b1"])], _unpack(r["b2"])
+        row = np.cumsum(_unpack(r["b3"]))
+        p = np.where(count > 0, (count - discount) / max(tokens_, 1), unseen)[following]
+        at, context = np.arange(len(p)), np.zeros(0, np.int64)
+        for depth in range(1, DEPTH + 1):
+            if depth > 1:
+                some = before[depth - 1][at] >= 0
+                at = at[some]
+                context = _longer(context[some], word[before[depth - 1][at]], depth)
+            else:
+                context = _after(word)[before[0]]
+            kept = np.zeros(len(at), bool)
+            for part in parts.get(depth, []):
+                if depth == 1:
+                    state = _find(part.contexts, _after(word))[before[0]]
+                else:
+                    state = _find(part.contexts, context)
+                here = np.flatnonzero(state >= 0)
+                state, place = state[here], at[here]
+                token = _find(part.words, word)[following[place]]
+                kinds = part.kinds[state]
+                p[place] = (part.after(state, token) + kinds * p[place]) / (part.total[state] + kinds)
+                kept[here] = True
+            at, context = at[kept], context[kept]  # a kept context's suffixes are kept
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        return r["bucket"], r["chunk"], _pack(np.diff(row[first], prepend=0)), np.add.reduceat(np.log10(p), first).tobytes()
 
-        number = TaskContext.get().partitionId() << 33
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts = None, {}
         for batch in batches:
-            for a, b in chunks(batch):
-                part = batch.slice(a, b - a)
-                row, hashes = tokens(part.column("text"))
-                row, window, times = _times(row, _window(contexts(row, hashes)[0][-1], hashes))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + number), part.column("key").take(pa.array(row)), pa.array(window), pa.array(times.astype(np.int64))],
-                    names=["row", "key", "window", "times"])
-                number += b - a
-    return run, f"row long, key {kind}, window long, times long"
+            out = []
+            for r in batch.to_pylist():
+                if r["bucket"] != bucket:
+                    bucket, parts = r["bucket"], {}
+                if r["depth"] <= DEPTH:
+                    parts.setdefault(r["depth"], []).append(_Part(r))
+                else:
+                    out.append(positions(r, parts))
+            yield _rows({k: (t, [o[i] for o in out]) for i, (k, t) in enumerate(
+                [("bucket", pa.int64()), ("chunk", pa.int64()), ("rows", pa.binary()), ("sums", pa.binary())])})
+    return run
+
+
+def _texts(key: str, kind: str, train: int):
+    """A row for each text of a chunk, from its base scores and the sums of all buckets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, r in enumerate(batch.to_pylist()):
+                n = _unpack(r["lengths"])
+                score = np.zeros(len(n))
+                for s in r["sums"]:
+                    score[np.cumsum(_unpack(s["rows"]))] += _raw(s["sums"], np.float64)
+                columns = [batch.column("keys").slice(k, 1).flatten(), *(pa.array(c) for c in (
+                    n, _unpack(r["known"]), np.full(len(n), train, np.int64), _raw(r["base"], np.float64), score))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+    return run, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, model: Model, seen: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,33 +693,18 @@ def score(docs: DataFrame, model: Model, seen: DataFrame, key: str = "doc_id", t
     every token is the unseen word.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    asked = docs.select("text").mapInArrow(_windows, _WINDOWS).groupBy("window").agg(
-        *(F.min(c).alias(c) for c in (*CONTEXTS, "next")))
-    asked = asked.join(seen.select(F.col("hash").alias("next"), "c"), "next", "left")
-    p = F.coalesce((F.col("c") - model.discount) / max(model.tokens, 1), F.lit(model.unseen))
-    asked = asked.withColumn("p", p)
-    for own, states, counts in zip(CONTEXTS, model.states, model.counts):
-        asked = asked.join(states.select(F.col("context").alias(own), "total", "kinds"), own, "left").join(
-            counts.select(F.col("context").alias(own), "next", "n"), [own, "next"], "left")
-        p = (F.coalesce("n", F.lit(0)) + F.col("kinds") * F.col("p")) / (F.col("total") + F.col("kinds"))
-        asked = asked.withColumn("p", F.coalesce(p, "p")).drop("total", "kinds", "n")
-    asked = stage(asked.select("window", "c", F.log10("p").alias("log")), "tree-scores")
-
-    floor = model.tokens + 0.5 * (model.types + 1)
-    base = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / floor)
-    rows = docs.mapInArrow(*_row_windows(docs.schema["key"].dataType.simpleString())).join(asked, "window")
-    return rows.groupBy("row").agg(
-        F.first("key").alias(key), F.sum("times").alias("n_tokens"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        F.sum(F.col("times") * base).alias("base_score"), F.sum(F.col("times") * F.col("log")).alias("score")).drop("row")
-
-
-def _times(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, value) and how often each occurs."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    if not len(row):
-        return row, value, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1]))))
-    return row[first], value[first], np.diff(np.concatenate((first, [len(row)])))
+    kind = docs.schema["key"].dataType.simpleString()
+    coded, terms, parts = _counted(docs, seen)
+    drop(terms)
+    base = stage(coded.mapInArrow(*_bases(parts, model.tokens + 0.5 * (model.types + 1), kind)), "tree-bases")
+    sums = []
+    for k in range(min(PASSES, model.buckets)):
+        dealt = model.tree.where(F.col("bucket") % PASSES == k).unionAll(
+            coded.mapInArrow(_positions(parts, model.buckets, k, []), _BLOBS))
+        dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "depth", "chunk")
+        sums.append(stage(dealt.mapInArrow(_scored(model.tokens, model.discount, model.unseen),
+                                           "bucket long, chunk long, rows binary, sums binary"), "tree-sums"))
+    drop(coded)
+    sums = reduce(DataFrame.unionAll, sums).groupBy("chunk").agg(
+        F.sort_array(F.collect_list(F.struct("bucket", "rows", "sums"))).alias("sums"))
+    return base.join(sums, "chunk").mapInArrow(*_texts(key, kind, model.tokens))

@@ -226,6 +226,40 @@ def test_tree_equals_a_dictionary_version(spark):
         assert r.score == pytest.approx(score(probes[r.doc_id]), rel=1e-6)
 
 
+@pytest.mark.parametrize("small", [{"HOT": 20}, {"BUCKET": 50, "CODED": 100}, {"HOT": 20, "BUCKET": 50, "CODED": 100, "PASSES": 2}])
+def test_the_tree_is_the_same_in_parts(spark, odd, odd_rows, monkeypatch, small):
+    """Many chunks, buckets and passes, and words too frequent for a bucket, over odd rows too."""
+    for name, value in small.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    rng = random.Random(18)
+    rows = odd_rows + [row(2000 + i, " ".join(rng.choice(["a b c", "a b d", "x", "y z", "a", "b a c"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    train = [r for r in rows if r[0] != 43]
+    score, kept = brute([r[1] for r in train])
+    df = spark.createDataFrame(rows, odd.schema)
+    model, seen = suffix_tree.fit(df.where("doc_id IS NULL OR doc_id <> 43"))
+    assert any(len(c) == 2 for c in kept) and sum(map(len, model.contexts)) == len(kept) - 1
+    got = suffix_tree.score(df, model, seen).collect()
+    want = sorted((r[0] or -1, len(tokens(r[1])), score(r[1])) for r in rows)
+    for a, b in zip(sorted((r.doc_id or -1, r.n_tokens, r.score) for r in got), want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-9)
+
+
+def test_no_staged_table_has_a_row_for_each_window(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(200)], k=500)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    staged, stage = [], suffix_tree.stage
+
+    def counted(frame, label):
+        out = stage(frame, label)
+        staged.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_tree, "stage", counted)
+    assert suffix_tree.score(df, *suffix_tree.fit(df)).count() == 40
+    assert len(staged) > 3 and max(staged) < 2_000
+
+
 def test_distributions_sum_to_one(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([(i, " ".join(rng.choice("abcdefg") for _ in range(40))) for i in range(40)], "doc_id long, text string")
