@@ -29,13 +29,15 @@ from pyspark.sql import functions as F
 from .linking import link
 from .simhash import simhashes
 from .store import drop, stage
-from .textbytes import LOWER, Spans, binary_rows, chunks, mix, row_bytes, span_hashes, words
+from .textbytes import Spans, binary_rows, chunks, lower, mix, row_bytes, span_hashes, words
 
 PERCENT = 85
 #: Pairs, and their characters, whose edit distances are found at once; pairs of longer lines are taken alone.
 PAIRS_AT_ONCE, CHARS_AT_ONCE, LONG_CHARS = 1024, 1 << 19, 2048
-#: Edits that are tried before the bound of each pair itself.
-BOUNDS = (12, 40)
+#: Edits that are tried before the bound of each pair itself, and steps after which counted edits are cut to the bound.
+BOUNDS, STEPS = (40, 100, 188), 64
+#: Characters of texts that are compared at once, of a piece of a long pair, and of what both have where it is cut.
+HOLD_CHARS, PIECE, ANCHOR = 1 << 23, 192, 12
 #: The SimHash: bytes of a run, 64-bit words, blocks and their bits, and the share of differing bits up to which lines are near.
 GRAM, HASH_WORDS, BLOCKS, BLOCK_BITS, NEAR = 4, 4, 16, 16, 0.25
 #: The same for half of the SimHash, which differs by chance a little more or less than the whole.
@@ -53,7 +55,8 @@ def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Spans, np.ndarray
     begin = np.sort(np.concatenate((offsets[:-1], feeds + 1)), kind="stable")
     spans = words(data, offsets)
     # A row's first line begins at its offset; empty rows share that place with the next row's.
-    return spans, np.searchsorted(begin, spans.start, side="right") - 1, begin
+    places = np.concatenate((np.searchsorted(spans.start, begin), [len(spans.start)]))
+    return spans, np.repeat(np.arange(len(begin)), np.diff(places)), begin
 
 
 def fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +71,7 @@ def _prints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros((0, 2), np.uint64), spans, line
-    h = span_hashes(Spans(LOWER[data], spans.start, spans.end, spans.row))
+    h = span_hashes(Spans(lower(data), spans.start, spans.end, spans.row))
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     size = np.diff(np.concatenate((first, [n])))
     place = (np.arange(n) - np.repeat(first, size)).astype(np.uint64)
@@ -85,12 +88,20 @@ def normalised(data: np.ndarray, spans: Spans, line: np.ndarray) -> tuple[np.nda
     size = spans.end - spans.start + 1  # with the space behind
     ends = np.cumsum(size)
     index = np.arange(ends[-1]) + np.repeat(spans.start - (ends - size), size)
-    out = np.concatenate((LOWER[data], np.zeros(1, np.uint8)))[index]
+    out = np.concatenate((lower(data), np.zeros(1, np.uint8)))[index]
     out[ends - 1] = 0x20
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     return out, (ends - size)[first], ends[np.concatenate((first[1:], [len(line)])) - 1] - 1
 
 
+def _words_of(some: np.ndarray, spans: Spans, line: np.ndarray) -> tuple[Spans, np.ndarray]:
+    """The words, and their lines, of some of the lines that have words."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(line), 1), bool), line[1:] != line[:-1])))
+    size = np.diff(np.concatenate((first, [len(line)])))[some]
+    at = np.arange(size.sum()) + np.repeat(first[some] - (np.cumsum(size) - size), size)
+    return Spans(spans.data, spans.start[at], spans.end[at], spans.row[at]), line[at]
+
+
 _LINES = "key long, line int, high long, low long, chars int, " + ", ".join(f"{c} long" for c in HASH)
 
 
@@ -101,11 +112,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = row_bytes(part.column("text"))
             row, line, prints, *parts = _prints(data, offsets)
             text, begin, end = normalised(data, *parts)
-            heads = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))  # bytes that begin a character
+            inner = np.flatnonzero((text & 0xC0) == 0x80)  # bytes that begin no character
+            chars = end - begin - (np.searchsorted(inner, end) - np.searchsorted(inner, begin))
             hashes = simhashes(text, begin, end, GRAM, HASH_WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [part.column("key").take(pa.array(row)), pa.array(line, pa.int32()), pa.array(prints[:, 0].astype(np.int64)),
-                 pa.array(prints[:, 1].astype(np.int64)), pa.array(heads[end] - heads[begin], pa.int32()),
+                 pa.array(prints[:, 1].astype(np.int64)), pa.array(chars, pa.int32()),
                  *(pa.array(hashes[:, w]) for w in range(HASH_WORDS))],
                 names=["key", "line", "high", "low", "chars", *HASH])
 
@@ -135,11 +147,11 @@ def _line_texts(sieve: Broadcast):
         for batch in batches:
             for a, b in chunks(batch):
                 data, offsets = row_bytes(batch.column("text").slice(a, b - a))
-                _, _, prints, *parts = _prints(data, offsets)
-                text, begin, end = normalised(data, *parts)
+                _, _, prints, spans, line = _prints(data, offsets)
                 some = np.flatnonzero(_passing(sieve.value, prints)) if len(prints) else np.zeros(0, np.int64)
-                some = some[np.unique(prints[some, 0], return_index=True)[1]]
-                out = [text[x:y].tobytes().decode() for x, y in zip(begin[some].tolist(), end[some].tolist())]
+                some = np.sort(some[np.unique(prints[some, 0], return_index=True)[1]])
+                text, begin, end = normalised(data, *_words_of(some, spans, line))
+                out = [text[x:y].tobytes().decode() for x, y in zip(begin.tolist(), end.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(prints[some, c].view(np.int64)) for c in (0, 1)), pa.array(out, pa.string())],
                     names=["high", "low", "words"])
@@ -188,11 +200,26 @@ def _trimmed(a: str, b: str) -> tuple[str, str]:
     return (a, b) if len(a) <= len(b) else (b, a)
 
 
-def _columns(texts: list[str], before: int, rows: int, pad: int, back: bool) -> np.ndarray:
-    """Code points, a text in each column from row ``before`` on, ``pad`` around; ``back``: last character first, up to the same row."""
-    out = np.full((len(texts), rows), pad, np.int32)
+def _most_edits(a: str, b: str, most: int) -> int:
+    """At least the edit distance, and mostly that: the texts are cut where both have the same characters, and the pieces' distances added."""
+    edits, i, j, to = 0, 0, 0, PIECE
+    while i + to + ANCHOR < len(a) and edits <= most:
+        at = b.find(a[i + to:i + to + ANCHOR], max(j, j + to - PIECE // 2), j + to + PIECE // 2)
+        if at < 0:
+            to += ANCHOR
+            continue
+        edits += edit_distance(a[i:i + to], b[j:at])
+        i, j, to = i + to, at, PIECE
+    return edits + (edit_distance(a[i:], b[j:]) if edits <= most else 0)
+
+
+def _columns(texts: list[str], before: int, rows: int, pad: int, back: bool, narrow: bool) -> np.ndarray:
+    """Code points (``narrow``: bytes of ASCII), a text in each column from row ``before`` on, ``pad`` around; ``back``: last character
+    first, up to the same row."""
+    kind, coding = (np.uint8, "ascii") if narrow else (np.int32, "utf-32-le")
+    out = np.full((len(texts), rows), pad, kind)
     for own, text in zip(out, texts):
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+        codes = np.frombuffer(text.encode(coding, "surrogatepass"), kind)
         if back:
             own[rows - before - len(codes):rows - before] = codes[::-1]
         else:
@@ -204,17 +231,26 @@ def _close(one: list[str], two: list[str], most: np.ndarray) -> np.ndarray:
     """Which pairs are at most so many edits apart: all of them at once, by the diagonals within the greatest of the bounds.
 
     Anti-diagonal s of the table has the cells i + j = s; a cell's place is that of its diagonal j - i, every second one.
+    A step adds one edit at most, so cells that are cut to the greatest bound and one every ``STEPS`` steps stay small.
     """
-    wide = int(most.max()) + int(most.max()) % 2  # diagonals -wide to wide
+    bound = int(most.max())
+    wide = bound + bound % 2  # diagonals -wide to wide
     n, m = np.array([len(x) for x in one]), np.array([len(x) for x in two])
     last, place = n + m, (m - n + wide) >> 1
-    half, steps = wide // 2, int(last.max())
+    half, steps, limit = wide // 2, int(last.max()), most
     rows = int(max(n.max(), m.max())) + wide + 2  # places of characters that a step may ask for
-    a, b = _columns(one, half, rows, -1, back=True), _columns(two, half, rows, -2, back=False)
-    far = np.int16(12_000)
+    narrow = all(map(str.isascii, one)) and all(map(str.isascii, two))
+    pads = (254, 255) if narrow else (-1, -2)
+    a, b = _columns(one, half, rows, pads[0], True, narrow), _columns(two, half, rows, pads[1], False, narrow)
+    kind = np.uint8 if bound + 1 + STEPS < 255 else np.uint16
+    far, step = kind(bound + 1), kind(1)
     even, odd = np.full((wide + 1, len(one)), far), np.full((wide + 2, len(one)), far)
     even[half] = 0
-    out = np.where(last == 0, 0, far)
+    out = np.where(last == 0, 0, bound + 1)
+    own = np.argsort(last, kind="stable")  # the pairs of the columns that are left, those that end first in front
+    a, b, ended = a.take(own, axis=1), b.take(own, axis=1), int((last == 0).sum())
+    ends = last[own]
+    differ = np.empty((wide + 1, len(one)), bool)
     for s in range(1, steps + 1):
         # Cell (i, j) compares characters i - 1 and j - 1; the first of them, of the lowest diagonal, has the greatest i.
         if s % 2:
@@ -225,12 +261,24 @@ def _close(one: list[str], two: list[str], most: np.ndarray) -> np.ndarray:
             near, prev = even, np.minimum(odd[:-1], odd[1:])
         if cells:
             top, left = rows - half - i, half + j - 1
-            near += a[top:top + cells] != b[left:left + cells]
-            prev += 1
+            unlike = np.not_equal(a[top:top + cells], b[left:left + cells], out=differ[:cells])
+            near += unlike.view(np.uint8)
+            prev += step
             np.minimum(near, prev, out=near)
-        for p in np.flatnonzero(last == s).tolist():
+        while ended < len(own) and ends[ended] == s:
+            p = own[ended]
             if abs(int(m[p]) - int(n[p])) <= wide - s % 2:
-                out[p] = near[place[p] if s % 2 == 0 else (m[p] - n[p] + wide - 1) >> 1, p]
+                out[p] = near[place[p] if s % 2 == 0 else (m[p] - n[p] + wide - 1) >> 1, ended]
+            ended += 1
+        if s % STEPS == 0:
+            np.minimum(even, far, out=even)
+            np.minimum(odd, far, out=odd)
+            left = np.flatnonzero((np.minimum(even.min(axis=0), odd.min(axis=0)) <= limit[own]) & (np.arange(len(own)) >= ended))
+            if 4 * len(left) <= 3 * len(own):  # the others have ended or are too far apart
+                own, ended, ends = own[left], 0, ends[left]
+                a, b, even, odd, differ = (x.take(left, axis=1) for x in (a, b, even, odd, differ))
+                if not len(own):
+                    break
     return out <= most
 
 
@@ -242,23 +290,24 @@ def _within(one: list[str], two: list[str], most: list[int]) -> np.ndarray:
         if len(y) <= most[p]:  # at most every character of the longer one
             keep[p] = True
         elif len(y) > LONG_CHARS:
-            keep[p] = edit_distance(x, y, most[p]) <= most[p]
+            keep[p] = len(y) - len(x) <= most[p] and (
+                _most_edits(x, y, most[p]) <= most[p] or edit_distance(x, y, most[p]) <= most[p])
         elif len(y) - len(x) <= most[p]:
-            left.append((len(x) + len(y), p, x, y))
+            left.append((not (x.isascii() and y.isascii()), len(x) + len(y), p, x, y))
     left.sort()
     for bound in (*BOUNDS, None):  # most near pairs are a few edits apart
         at, far = 0, []
         while at < len(left):  # the longest of them decides how many fit
             to = min(at + PAIRS_AT_ONCE, len(left))
-            while to > at + 1 and (to - at) * left[to - 1][0] > CHARS_AT_ONCE:
+            while to > at + 1 and (to - at) * left[to - 1][1] > CHARS_AT_ONCE:
                 to = at + (to - at + 1) // 2
             part = left[at:to]
-            limits = np.array([most[p] if bound is None else min(most[p], bound) for _, p, _, _ in part])
+            limits = np.array([most[p] if bound is None or 2 * most[p] < 3 * bound else bound for *_, p, _, _ in part])
             near = _close([x for *_, x, _ in part], [y for *_, y in part], limits)
             for pair, ok, limit in zip(part, near.tolist(), limits.tolist()):
                 if ok:
-                    keep[pair[1]] = True
-                elif limit < most[pair[1]]:
+                    keep[pair[2]] = True
+                elif limit < most[pair[2]]:
                     far.append(pair)
             at = to
         left = far
@@ -266,11 +315,24 @@ def _within(one: list[str], two: list[str], most: list[int]) -> np.ndarray:
 
 
 def _similar(percent: int):
+    def similar(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = ([w for batch in held for w in batch.column(c).to_pylist()] for c in ("w_a", "w_b"))
+        most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(one, two)]
+        keep, at = pa.array(_within(one, two, most), pa.bool_()), 0
+        for batch in held:
+            yield batch.select(["a", "b"]).filter(keep.slice(at, batch.num_rows))
+            at += batch.num_rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            one, two = batch.column("w_a").to_pylist(), batch.column("w_b").to_pylist()
-            most = [(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(one, two)]
-            yield batch.select(["a", "b"]).filter(pa.array(_within(one, two, most), pa.bool_()))
+            held.append(batch)
+            size += batch.nbytes
+            if size >= HOLD_CHARS:
+                yield from similar(held)
+                held, size = [], 0
+        if held:
+            yield from similar(held)
     return run
 
 
@@ -287,10 +349,10 @@ def _deal(percent: int, blocks: range, ranges: int):
         line, cls = np.concatenate((np.arange(len(node)), more)), np.concatenate((size, size[more] + 1))
         each, tag = np.tile(line, len(blocks)), np.concatenate([cls * BLOCKS + b for b in blocks])
         rows = np.concatenate((node.view(np.uint64)[each, None], (tag << 32 | chars[each]).view(np.uint64)[:, None], hashes[each]), axis=1)
-        to = (mix(_bucket(rows).view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        to = (mix(_bucket(rows).view(np.uint64)) % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+        order = np.argsort(to, kind="stable")  # a radix sort for 16 bits
         own, counts = np.unique(to, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(own), binary_rows(rows[order], counts * rows.shape[1])], names=["range", "rows"])
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), binary_rows(rows[order], counts * rows.shape[1])], names=["range", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -313,16 +375,19 @@ def _bucket(rows: np.ndarray) -> np.ndarray:
     return tag << BLOCK_BITS | bits.astype(np.int64)
 
 
-def _mated(bucket: np.ndarray, chars: np.ndarray, hashes: np.ndarray, most: int, percent: int) -> np.ndarray:
-    """Which lines have a line of near length beside them in their bucket that differs in at most ``most`` bits. Sorted by bucket."""
-    found, last = np.zeros(len(bucket), bool), np.searchsorted(bucket, bucket, side="right")
-    at, step = np.arange(len(bucket)), 1
-    while len(at := at[at + step < last[at]]):
+def _mated(key: np.ndarray, hashes: np.ndarray, most: int, percent: int) -> np.ndarray:
+    """Which lines have a line of near length beside them in their bucket that differs in at most ``most`` bits.
+
+    Sorted by ``key``, the bucket above 32 bits of characters: a line's longer mates lie right behind it.
+    """
+    chars = key & 0xFFFFFFFF
+    found, last = np.zeros(len(key), bool), np.searchsorted(key, key - chars + 100 * chars // percent, side="right")
+    at, step = np.arange(len(key)), 1
+    more, hashes = last - at, np.ascontiguousarray(hashes.T)
+    while len(at := at[more[at] > step]):
         some = at[~(found[at] & found[at + step])]
-        one, two = chars[some], chars[some + step]
-        some = some[100 * np.minimum(one, two) >= percent * np.maximum(one, two)]
         apart = np.zeros(len(some), np.uint16)
-        for h in hashes.T:
+        for h in hashes:
             apart += np.bitwise_count(h[some] ^ h[some + step])
             few = apart <= most
             some, apart = some[few], apart[few]
@@ -336,14 +401,13 @@ def _mates(percent: int):
     ``HALF_NEAR`` of half of the SimHash's bits, and of these lines one within ``NEAR`` of all. Rows of ``_deal`` come sorted by range."""
     def near(held: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(held)
-        bucket = _bucket(rows)
-        order = np.argsort(bucket, kind="stable")
-        bucket, rows = bucket[order], rows[order]
+        key = _bucket(rows) << 32 | (rows[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.argsort(key)
+        key, rows = key[order], rows[order]
         for words, share in ((HASH_WORDS // 2, HALF_NEAR), (HASH_WORDS, NEAR)):  # half first: it drops most
-            chars = (rows[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            found = _mated(bucket, chars, rows[:, 2:2 + words], int(share * 64 * words), percent)
-            bucket, rows, chars = bucket[found], rows[found], chars[found]
-        columns = [bucket, rows[:, 0].astype(np.int64), chars.astype(np.int32), *(c.astype(np.int64) for c in rows[:, 2:].T)]
+            found = _mated(key, rows[:, 2:2 + words], int(share * 64 * words), percent)
+            key, rows = key[found], rows[found]
+        columns = [key >> 32, rows[:, 0].astype(np.int64), (key & 0xFFFFFFFF).astype(np.int32), *(c.astype(np.int64) for c in rows[:, 2:].T)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "id", "chars", *HASH])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ from .textbytes import mix
 
 #: Strings of more n-grams are counted by pieces of so many; n-grams counted at once.
 LONG, AT_ONCE = 1024, 1 << 20
+#: Repeats: n-grams looked up at once, slots for each, and lookups by another hash before the rest is sorted. Hashes made at once.
+LOOK_UP, SLOTS, LOOKUPS, HASH_BLOCK = 1 << 17, 4, 8, 1 << 14
 
 
 def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
@@ -27,6 +29,61 @@ def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
 
 def _repeats(codes: np.ndarray, begin: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(places of n-grams that the same string has before, how many distinct n-grams each string has)."""
+    again, distinct = [np.zeros(0, np.int64)], count.copy()
+    at, ends = 0, np.cumsum(count)
+    while at < len(count):  # some strings at a time, a very long one alone
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + LOOK_UP, side="right")))
+        some = slice(at, to)
+        find = _looked_up if ends[to - 1] - ends[at] + count[at] <= AT_ONCE else _sorted_repeats
+        place, string = find(codes, begin[some], count[some], size)
+        again.append(place)
+        distinct[some] -= np.bincount(string, minlength=to - at)
+        at = to
+    return np.concatenate(again), distinct
+
+
+def _looked_up(codes: np.ndarray, begin: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of n-grams that the same string has before, their strings). Every string has slots of its own; the first n-gram of a slot stays
+    there. Equal n-grams share a slot, so those that find their own there are repeats; those that find another one look again by another hash."""
+    total = int(count.sum())
+    skip = np.cumsum(count) - count
+    place = np.arange(total) + np.repeat(begin - skip, count)
+    code, string = codes[place], np.repeat(np.arange(len(count)), count)
+    slots, first = (np.repeat((x * SLOTS).astype(np.uint64), count) for x in (count, skip))
+    holds, found = np.empty(total * SLOTS, np.int32), []
+    left, own = np.arange(total - 1, -1, -1, dtype=np.int32), code
+    for turn in range(LOOKUPS):
+        slot = own * np.uint64((0x9E3779B97F4A7C15 + turn * 0xBF58476D1CE4E5BA) & (1 << 64) - 1)
+        slot >>= np.uint64(32)
+        slot *= slots
+        slot >>= np.uint64(32)
+        slot += first
+        slot = (slot if turn else slot[::-1].copy()).view(np.int64)
+        holds[slot] = left  # last ones first: of several the last one written stays, the first of them
+        there = holds[slot]
+        other = np.flatnonzero(there != left)
+        there, left = there[other], left[other]
+        own = code[left]
+        same = own == code[there]
+        found.append(left[same])
+        left, own = left[~same], own[~same]
+        if not len(left):
+            break
+        if turn:
+            other = other[~same]
+            slots, first = slots[other], first[other]
+        else:
+            slots, first = slots[left], first[left]
+    else:
+        order = np.lexsort((left, own, string[left]))
+        left, own = left[order], own[order]
+        found.append(left[1:][(string[left[1:]] == string[left[:-1]]) & (own[1:] == own[:-1])])
+    at = np.concatenate(found)
+    return place[at], string[at]
+
+
+def _sorted_repeats(codes: np.ndarray, begin: np.ndarray, count: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by sorting, which takes less memory."""
     string = np.repeat(np.arange(len(count), dtype=np.int32), count)
     place = np.arange(len(string)) + np.repeat(begin - (np.cumsum(count) - count), count)
     if size <= 4 and len(codes) < 1 << 32 and (begin[1:] >= (begin + count)[:-1]).all():
@@ -40,12 +97,12 @@ def _repeats(codes: np.ndarray, begin: np.ndarray, count: np.ndarray, size: int)
         later = np.flatnonzero((both[1:] ^ both[:-1]) >> np.uint64(32) == 0) + 1
         place, before = ((both[k] & np.uint64(0xFFFFFFFF)).view(np.int64) for k in (later, later - 1))
         place = place[of[place] == of[before]]
-        return place, count - np.bincount(of[place], minlength=len(count))
+        return place, of[place]
     order = np.lexsort((codes[place], string))
     string, place = string[order], place[order]
     code = codes[place]
     again = np.flatnonzero((string[1:] == string[:-1]) & (code[1:] == code[:-1])) + 1
-    return place[again], count - np.bincount(string[again], minlength=len(count))
+    return place[again], string[again]
 
 
 def _word(mixed: np.ndarray, w: int) -> np.ndarray:
@@ -105,15 +162,16 @@ def simhashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, w
     if not len(begin):
         return out
     again, distinct = _repeats(codes, begin, count, size)
-    mixed = mix(codes)
-    del codes
-    new = np.ones(len(mixed), bool)
-    new[again] = False  # adds to no bit's count
+    new = np.ones(len(codes), bool)
+    new[again] = False
+    place = np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+    mixed = mix(codes[place[new[place]]])  # the distinct n-grams alone, string by string
+    del codes, place, new
     # Pieces of at most ``LONG`` n-grams, those of most first.
-    pieces = -(-count // LONG)
+    pieces = -(-distinct // LONG)
     string = np.repeat(np.arange(len(count)), pieces)
     skip = (np.arange(len(string)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * LONG
-    n, first = np.minimum(count[string] - skip, LONG), begin[string] + skip
+    n, first = np.minimum(distinct[string] - skip, LONG), (np.cumsum(distinct) - distinct)[string] + skip
     order = np.argsort(-n, kind="stable")
     n, first, string = n[order], first[order], string[order]
     half, cut = distinct // 2, pieces > 1
@@ -123,13 +181,12 @@ def simhashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, size: int, w
         to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + AT_ONCE, side="right")))
         own, some = string[at:to], first[at:to]
         m_of = np.searchsorted(-n[at:to], -np.arange(int(n[at])), side="left").tolist()  # pieces with more than k n-grams
-        place = np.concatenate([some[:m] + k for k, m in enumerate(m_of)])
-        codes, seen = mixed[place], np.flatnonzero(~new[place])
-        del place
+        codes = mixed[np.concatenate([some[:m] + k for k, m in enumerate(m_of)])]
         hashes = np.empty((len(codes), words), np.uint64)
-        for w in range(words):
-            hashes[:, w] = _word(codes, w)
-        hashes[seen] = 0
+        for k in range(0, len(codes), HASH_BLOCK):
+            part = codes[k:k + HASH_BLOCK]
+            for w in range(words):
+                hashes[k:k + HASH_BLOCK, w] = _word(part, w)
         planes = _counts(hashes, m_of)
         alone = np.flatnonzero(~cut[own])
         most = half[own[alone]]

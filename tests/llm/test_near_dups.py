@@ -264,6 +264,91 @@ def test_lines_with_mates_by_passes(spark):
     assert sum(p.count() for p in parts) > 40
 
 
+def test_repeated_runs_by_slots(monkeypatch):
+    """Repeats are found by slots as by plain search, also when lookups end early and the rest is sorted, and when a string is sorted whole."""
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(rng.choice([4, 5, 9, 60, 300, 3000]))) for _ in range(150)]
+    data, end = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    begin = end - [len(t) for t in texts]
+    want, kinds = [], []
+    for t, start in zip(texts, begin.tolist()):
+        runs = [t[k:k + 4] for k in range(len(t) - 3)]
+        want += [start + k for k, r in enumerate(runs) if r in runs[:k]]
+        kinds.append(len(set(runs)))
+    for lookups, at_once, look_up in ((8, 1 << 20, 1 << 17), (1, 1 << 20, 1000), (2, 1 << 20, 1), (8, 500, 1000)):
+        monkeypatch.setattr(simhash, "LOOKUPS", lookups)
+        monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+        monkeypatch.setattr(simhash, "LOOK_UP", look_up)
+        again, distinct = simhash._repeats(simhash.gram_codes(data, 4), begin, end - begin - 3, 4)
+        assert sorted(again.tolist()) == want and distinct.tolist() == kinds
+
+
+def test_every_byte_as_word_and_lower_case():
+    from blotter.llm import textbytes
+
+    data = np.arange(256, dtype=np.uint8)
+    assert (textbytes.lower(data) == textbytes.LOWER).all()
+    found = textbytes.words(np.repeat(data, 2), np.arange(0, 513, 2))  # a row for each byte
+    assert found.row.tolist() == np.flatnonzero(~textbytes.SPACE).tolist() and (found.end - found.start == 2).all()
+
+
+def test_only_distinct_runs_are_hashed(monkeypatch):
+    """A run that comes again in its line adds to no count, so it costs no hashes."""
+    seen, word = [], simhash._word
+    monkeypatch.setattr(simhash, "_word", lambda mixed, w: seen.append(len(mixed)) or word(mixed, w))
+    text = b"abcdefgh" * 100
+    got = simhash.simhashes(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]), 4, 4)
+    assert sum(seen) == 4 * 8 and np.unpackbits(got[0].view(np.uint8), bitorder="little").tolist() == _hash(text.decode())
+
+
+def test_only_lines_of_near_lengths_are_compared(monkeypatch):
+    """In a bucket, SimHashes are compared only of lines whose lengths the edit similarity allows."""
+    rng = np.random.default_rng(13)
+    bucket, chars = rng.integers(0, 4, 300), rng.integers(64, 128, 300)
+    key = np.sort(bucket << 32 | chars)
+    hashes = rng.integers(0, 4, (300, 2)).astype(np.uint64)
+    compared, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(len(x)) or count(x))
+    got = line_dedup._mated(key, hashes, 0, 85)
+    monkeypatch.undo()
+    near = [(i, j) for i in range(300) for j in range(i) if key[i] >> 32 == key[j] >> 32
+            and 100 * min(key[i] & 0xFFFF, key[j] & 0xFFFF) >= 85 * max(key[i] & 0xFFFF, key[j] & 0xFFFF)]
+    want = {k for i, j in near if (hashes[i] == hashes[j]).all() for k in (i, j)}
+    assert set(np.flatnonzero(got).tolist()) == want and 0 < len(want) and sum(compared) <= 2 * len(near)
+
+
+def test_only_near_lines_are_joined_from_their_words(spark, monkeypatch):
+    """Lines that the sieve drops are not put together."""
+    import pyarrow as pa
+
+    texts = pa.array(["\n".join(f"line {i} {k}  of words" for k in range(5)) for i in range(100)] + [None, "", " "])
+    _, _, prints = line_dedup.fingerprints(texts)
+    asked = spark.createDataFrame([tuple(p) for p in prints.view(np.int64)[[3, 77, 499]].tolist()], "high long, low long")
+    sieve = spark.sparkContext.broadcast(line_dedup._sieve(asked, 3))
+    joined, normalised = [], line_dedup.normalised
+    monkeypatch.setattr(line_dedup, "normalised", lambda data, spans, line: joined.append(len(line)) or normalised(data, spans, line))
+    got = [w for b in line_dedup._line_texts(sieve)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])) for w in b.column("words").to_pylist()]
+    assert {"line 0 3 of words", "line 15 2 of words", "line 99 4 of words"} <= set(got) and len(got) < 40 and sum(joined) == 5 * len(got)
+
+
+def test_long_pairs_by_pieces():
+    """Pieces of a long pair add up to its edit distance or more, and decide alike."""
+    rng = random.Random(14)
+    one, two, most = [], [], []
+    for n in (2100, 3000, 5000):
+        for share in (0.01, 0.1, 0.14, 0.2):
+            a = [rng.choice("abcdeé") for _ in range(n)]
+            b = list(a)
+            for at in sorted(rng.sample(range(n), int(n * share)), reverse=True):
+                b[at:at + 1] = rng.choice([[], ["q"], [b[at], "z"]])
+            one.append("x" + "".join(a) + "y")
+            two.append("z" + "".join(b) + "w")
+            most.append(15 * max(len(one[-1]), len(two[-1])) // 100)
+    whole = [line_dedup.edit_distance(a, b) for a, b in zip(one, two)]
+    assert all(line_dedup._most_edits(a, b, 10**6) >= w for a, b, w in zip(one, two, whole))
+    assert line_dedup._within(one, two, most).tolist() == [w <= m for w, m in zip(whole, most)] and len(set(line_dedup._within(one, two, most))) == 2
+
+
 def test_only_the_words_of_near_lines_leave_the_tasks(spark):
     rng = random.Random(11)
     docs = spark.createDataFrame([("\n".join([prose(rng, 5), "One  Line", prose(rng, 5)]),) for _ in range(200)] + [(None,)], "text string")
